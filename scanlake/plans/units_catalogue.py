@@ -38,7 +38,7 @@ def exposure_slider(spark, sf_dir):
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", units.exposure_from_pos(pos).alias("exposure_us"),
         units.pos_from_exposure(C("l_extendedprice")).alias("pos"),
-    ).distinct()
+    )
 
 
 def white_balance(spark, sf_dir):
@@ -227,7 +227,7 @@ QUERIES = {
     ),
     "fn3_exposure_slider": (
         exposure_slider,
-        """SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(round_even(10 * power(1e5, (l_partkey % 1001) / 1e3), 0) AS BIGINT) AS exposure_us,
+        """SELECT l_orderkey, l_linenumber, l_partkey, CAST(round_even(10 * power(1e5, (l_partkey % 1001) / 1e3), 0) AS BIGINT) AS exposure_us,
         CAST(round_even(ln(greatest(1e1, l_extendedprice) / 1e1) / ln(1e5) * 1000, 0) AS BIGINT) AS pos FROM lineitem""",
     ),
     "fn4_wb_ratios": (
