@@ -28,7 +28,7 @@ def sharpest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     m = F.col("top.metric")
     return scored.select(
-        "label", (-F.col("top.minus")).alias("frame_id"), F.round(m, 6).alias("metric"),
+        "label", (-F.col("top.minus")).alias("frame_id"), (F.round(m * 4096) / 4096).alias("metric"),
         units.focus_bar(m).alias("bar"), units.focus_class(m).alias("focus"),
     )
 
@@ -39,7 +39,7 @@ _LAPLACIAN = """SELECT frame_id, var_pop(lap) AS metric FROM (
   FROM fx_frames WINDOW rw AS (PARTITION BY frame_id, r ORDER BY c), cw AS (PARTITION BY frame_id, c ORDER BY r)) GROUP BY frame_id"""
 
 SHARPEST_SQL = tables.sql(
-    """SELECT label, frame_id, round(metric, 6) AS metric,
+    """SELECT label, frame_id, round(metric * 4096) / 4096 AS metric,
   least(1000, CAST(trunc(log10(greatest(1e0, metric)) / 16e-1 * 1000) AS INT)) AS bar,
   CASE WHEN metric > 20 THEN 'sharp' WHEN metric > 5 THEN 'fair' ELSE 'poor' END AS focus
 FROM (SELECT e.label, m.frame_id, m.metric, row_number() OVER (PARTITION BY e.label ORDER BY metric DESC, frame_id) AS k
