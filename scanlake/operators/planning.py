@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.operators import edges, ordered
@@ -47,6 +47,12 @@ def serpentine_order(points: DataFrame, keys: tuple[str, ...] = ("map_id",), xi:
     return ordered.dense_index(points.withColumn("_along", along), list(keys), [yi, "_along"], F.col(yi).cast("long"), "seq").drop("_along")
 
 
+def limit_positions(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int = 10) -> DataFrame:
+    """First ``n`` rows of each key as slots 1 to n. Each task keeps at most n rows of a key before the shuffle."""
+    slot = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("slot", slot).where(F.col("slot") <= n)
+
+
 def random_offsets(starts: DataFrame, n: int, range_mm: float, seed: int = 0) -> DataFrame:
     """``n`` seeded uniform positions round each start point (x, y)."""
     rows = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake.functions import naming
-from scanlake.operators import surface
+from scanlake.operators import planning, surface
 from scanlake.plans import tables
 from scanlake.session import shared_path
 from scanlake.sources import files
@@ -51,10 +51,17 @@ def presets(spark, sf_dir):
     return exposures.unionByName(axes)
 
 
+def _slots(spark, sf_dir):
+    return planning.limit_positions(tables.load(spark, sf_dir, "lineitem"), ("l_orderkey",), ("l_partkey", "l_suppkey", "l_linenumber"))
+
+
+def limit_positions(spark, sf_dir):
+    return _slots(spark, sf_dir).select("l_orderkey", "slot", "l_partkey", "l_suppkey")
+
+
 def positions(spark, sf_dir):
     entry = """concat('{"Name": "m', l_linenumber, '", "Locked": ', l_tax > 0.04, ', "X": ', l_partkey, ', "Y": ', l_suppkey, '}')"""
-    lists = tables.load(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", f"{entry} AS e")
-    rows = lists.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey", "e"))).alias("l"))
+    rows = _slots(spark, sf_dir).selectExpr("l_orderkey", "slot", f"{entry} AS e").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("l"))
     rows = rows.select(C("l_orderkey").alias("file"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda s: s["e"]), ","), F.lit("]")).alias("value"))
     return files.explode_positions(rows, "value")
 
@@ -89,11 +96,16 @@ QUERIES = {
     ),
     "src8_positions": (
         positions,
-        """WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS slot FROM lineitem),
+        """WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS slot FROM lineitem),
         o AS (SELECT DISTINCT l_orderkey, CAST(unnest(range(1, 11)) AS INT) AS slot FROM lineitem)
         SELECT o.l_orderkey AS file, o.slot, coalesce('m' || l_linenumber, 'Pos ' || o.slot) AS name, coalesce(l_tax > 0.04, false) AS locked, coalesce(l_partkey, 0) AS x, coalesce(l_suppkey, 0) AS y,
         CAST(0 AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS mag FROM o LEFT JOIN s ON s.l_orderkey = o.l_orderkey AND s.slot = o.slot""",
     ),
+    "tk6_limit_positions": (
+        limit_positions,
+        """SELECT l_orderkey, CAST(slot AS INT) AS slot, l_partkey, l_suppkey FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS slot FROM lineitem) WHERE slot <= 10""",
+    ),
     "src10_manifest": (
         manifest,
         tables.sql(

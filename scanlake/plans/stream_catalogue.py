@@ -1 +1,99 @@
-QUERIES = {}
+"""Streaming queries, run to the end of the given tables. Each has the result of its batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scanlake.operators import logs, ordered
+from scanlake.plans import tables
+from scanlake.plans.logs_catalogue import LATEST_SQL, RATE_SQL
+from scanlake.plans.sweeps_catalogue import _EDGE_CTE, _peak_sql
+from scanlake.session import shared_path
+from scanlake.streaming import stateful, windows
+
+C = F.col
+FILES = 3
+
+
+def _stream_of(rows, order):
+    """Write a table as a few files in the given order and stream it one file at a time."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "feed")
+    rows.repartitionByRange(FILES, order).write.parquet(path)
+    return windows.read_stream(spark, path, rows.schema, files_per_trigger=1)
+
+
+def _table_stream(spark, sf_dir, name):
+    schema = tables.load(spark, sf_dir, name).schema
+    return windows.read_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+
+
+def temporal_average(spark, sf_dir):
+    frames = tables.load(spark, sf_dir, "embeddings")
+    frames = ordered.dense_index(frames, ["label"], ["vec_id"], ordered.index_slice(C("vec_id")), "n")
+    gray = F.transform("embedding", lambda e: F.floor(F.least(F.greatest((e.cast("double") + 0.6) / 1.2, F.lit(0.0)), F.lit(1.0)) * 255))
+    rows = frames.select(C("label").alias("camera"), F.lit(0).alias("tile"), "n", gray.cast("array<double>").alias("v"))
+    out = windows.run_available(stateful.stream_temporal_average(_stream_of(rows, "n"), 4))
+    cells = out.select("camera", "n", F.posexplode("avg_v").alias("p", "avg_v"))
+    return cells.selectExpr("camera", "CAST(p DIV 8 AS INT) AS r", "p % 8 AS c", "n", "avg_v")
+
+
+def frame_rate(spark, sf_dir):
+    events = windows.with_event_time(_table_stream(spark, sf_dir, "events")).where("event_type = 'purchase'").withColumnRenamed("user_id", "instrument_id")
+    return windows.run_available(windows.stream_frame_rate(events, seconds=3600), "update", ["instrument_id", "window_start"])
+
+
+def latest_frame(spark, sf_dir):
+    events = _table_stream(spark, sf_dir, "events").where("event_type = 'purchase'").select(C("user_id").alias("instrument_id"), "ts", C("event_id").alias("frame_id"))
+    return windows.run_available(windows.latest_frame(events), "update", ["instrument_id"]).select("instrument_id", "frame_id")
+
+
+def progress(spark, sf_dir):
+    stream = _table_stream(spark, sf_dir, "orders").select((C("o_custkey") % 20).alias("scan_id"))
+    totals = tables.scan_points(spark, sf_dir).groupBy("scan_id").agg((F.count(F.lit(1)) + 100).alias("total"))
+    return windows.run_available(windows.stream_progress(stream, totals), "update", ["scan_id"])
+
+
+def peak(spark, sf_dir):
+    out = windows.run_available(stateful.stream_peak(_stream_of(tables.sweep(spark, sf_dir), "i"), 10))
+    return out.select("sweep_id", "peak_i", F.round("peak_z", 6).alias("peak_z"))
+
+
+def edge(spark, sf_dir):
+    out = windows.run_available(stateful.stream_edge(_stream_of(tables.edge(spark, sf_dir), "i"), 2))
+    return out.select("scan_id", "dir", F.round("edge_mm", 6).alias("edge_mm"), "edge_kind")
+
+
+def latest_position(spark, sf_dir):
+    events = windows.with_event_time(_table_stream(spark, sf_dir, "events"), delay="0 seconds").withColumnRenamed("user_id", "instrument_id")
+    captures = events.where("event_type = 'purchase'").select(C("event_id").alias("capture_id"), "instrument_id", "ts")
+    good = "concat(CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), ',', CAST(event_id AS STRING), ',', CAST(instrument_id AS STRING))"
+    lines = events.where("event_type <> 'purchase'").selectExpr("instrument_id", "ts", f"CASE WHEN event_type = 'error' THEN 'ERR' ELSE {good} END AS line")
+    readings = logs.parse_position_reply(lines).where("x IS NOT NULL")
+    return windows.run_available(stateful.stream_latest_position(captures, readings))
+
+
+QUERIES = {
+    "sm1_stream_temporal_average": (
+        temporal_average,
+        tables.sql(
+            """SELECT label AS camera, r, c, n, CAST(floor(avg(v) OVER (PARTITION BY label, r, c ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS INT) AS avg_v
+            FROM fx_frames JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings) e ON e.vec_id = frame_id""", "fx_frames",
+        ),
+    ),
+    "sm2_stream_frame_rate": (frame_rate, tables.sql(RATE_SQL.format(s=3600), "fx_captures")),
+    "sm3_latest_frame": (
+        latest_frame, tables.sql("SELECT instrument_id, arg_max(capture_id, (ts, capture_id)) AS frame_id FROM fx_captures GROUP BY 1", "fx_captures"),
+    ),
+    "sm4_stream_peak": (
+        peak, "SELECT sweep_id, peak_i, peak_z FROM (" + _peak_sql("fx_sweep", 10) + ") WHERE peak_kind = 'crossing'",
+    ),
+    "sm5_stream_edge": (
+        edge, tables.sql("SELECT scan_id, dir, round(edge_mm, 6) AS edge_mm, edge_kind FROM e WHERE edge_kind = 'crossed' OR (scan_id, dir) IN (SELECT (scan_id, dir) FROM hit WHERE n = 300)", "fx_edge", extra=_EDGE_CTE),
+    ),
+    "sm6_stream_progress": (
+        progress,
+        "SELECT o_custkey % 20 AS scan_id, count(*) AS captured, count(*) + 100 AS total, CAST(10 + floor(count(*) / (count(*) + 100) * 85) AS INT) AS pct FROM orders GROUP BY 1",
+    ),
+    "sm7_stream_latest_position": (latest_position, LATEST_SQL),
+}
