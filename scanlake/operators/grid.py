@@ -247,12 +247,11 @@ def tile_equalise(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, in
     limit = F.greatest(F.lit(1.0), clip * F.col("area") / bins)
     hist = hist.withColumn("kept", F.least(F.col("n").cast("double"), limit))
     hist = hist.withColumn("excess", F.sum(F.col("n") - F.col("kept")).over(by_tile))
-    upto = F.sum("kept").over(by_tile.orderBy("b")) + F.col("excess") * (F.col("b") + 1) / bins
-    lut = hist.select(*on, "b", (upto * 255.0 / F.col("area")).alias("to"))
-    # a tile map is needed at values its own histogram lacks: carry the last kept count forward within 256 bins
-    full = lut.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("b", "to"))).alias("lut"))
-    extra = hist.groupBy(*on).agg(F.max(F.col("excess") * 255.0 / F.col("area") / bins).alias("slope"))
-    full = full.join(extra, on)
+    tile_rows = hist.groupBy(*on).agg(F.max("area").alias("area"), F.max("excess").alias("excess"))
+    every = tile_rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    every = every.join(hist.select(*on, "b", "kept"), [*on, "b"], "left")
+    upto = F.coalesce(F.sum("kept").over(by_tile.orderBy("b")), F.lit(0.0)) + F.col("excess") * (F.col("b") + 1) / bins
+    lut = every.select(*on, "b", (upto * 255.0 / F.col("area")).alias("to"))
 
     def corner(position: Column, count: int) -> tuple[Column, Column, Column]:
         low = F.floor(position)
@@ -270,9 +269,6 @@ def tile_equalise(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, in
         F.struct(r1.alias("tr"), c1.alias("tc"), (fr * fc).alias("w")),
     )
     rows = pixels.select(*keys, "r", "c", F.col(value).cast("int").alias("b"), F.explode(four).alias("k"))
-    rows = rows.select(*keys, "r", "c", "b", "k.tr", "k.tc", "k.w").join(full, on)
-    below = F.filter("lut", lambda e: e["b"] <= F.col("b"))
-    last = F.get(below, F.size(below) - 1)
-    mapped = F.coalesce(last["to"] + (F.col("b") - last["b"]) * F.col("slope"), (F.col("b") + 1) * F.col("slope"))
-    out = rows.groupBy(*keys, "r", "c").agg(F.sum(F.col("w") * mapped).alias("_v"))
+    rows = rows.select(*keys, "r", "c", "b", "k.tr", "k.tc", "k.w").join(lut, [*on, "b"])
+    out = rows.groupBy(*keys, "r", "c").agg(F.sum(F.col("w") * F.col("to")).alias("_v"))
     return out.select(*keys, "r", "c", F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("_v")))).cast("int").alias(value))

@@ -61,11 +61,17 @@ def noise_floor_of(abs_deltas: Column) -> Column:
     return F.when(F.size(abs_deltas) >= 3, _median_of_lower_half(abs_deltas) * NOISE_FACTOR).otherwise(F.lit(0.0))
 
 
+def _end() -> Column:
+    return F.max(F.struct(F.col("i").cast("long").alias("i"), F.col("z_mm").alias("z"))).alias("end")
+
+
 def _heads(sweep: DataFrame, trend_n: int) -> DataFrame:
-    """First ``trend_n`` steps of each sweep as one short array, with delta and smoothed delta."""
+    """First ``trend_n`` steps of each sweep as one short array, with delta and smoothed delta, and the sweep's last step."""
     first = max(4, trend_n)
     half = half_window(trend_n)
-    head = sweep.where(F.col("i") <= first).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("i", "z_mm", "metric"))).alias("head"))
+    head = sweep.groupBy(KEY).agg(
+        F.sort_array(F.collect_list(F.when(F.col("i") <= first, F.struct("i", "z_mm", "metric")))).alias("head"), _end()
+    )
 
     def metric_at(k: Column) -> Column:
         return F.get(F.col("head"), k)["metric"]
@@ -92,18 +98,18 @@ def find_peak_crossing(sweep: DataFrame, trend_n: int = 10, fresh: bool = False,
     sweep as one that continues an earlier search (no first phase, floor 0). ``peak_kind`` is ``crossing``,
     ``boundary`` (still rising at the end) or ``none``.
 
-    Rows are read once: each (sweep, slice) is reduced to what a later slice needs to know (was it rising) and to
+    One pass gathers the first and last steps, a second one judges the rest: each (sweep, slice) is reduced to what a later slice needs to know (was it rising) and to
     its first falling step with and without that knowledge.
     """
     first = 0 if fresh else max(4, trend_n)
     rows = smoothed_delta(sweep, trend_n, size, keep_slice=True)
     if fresh:
-        start = sweep.groupBy(KEY).agg(F.max("i").alias("_last")).select(
-            KEY, "_last", F.lit(False).alias("was_up"), F.lit(0.0).alias("noise_floor"), F.lit(None).cast("struct<i:bigint,z:double>").alias("early")
+        start = sweep.groupBy(KEY).agg(_end()).select(
+            KEY, "end", F.lit(False).alias("was_up"), F.lit(0.0).alias("noise_floor"), F.lit(None).cast("struct<i:bigint,z:double>").alias("early")
         )
     else:
         start = _first_phase(sweep, trend_n)
-    per_slice = ordered.attach(rows, start.select(KEY, "_last", "noise_floor"), [KEY], "_last", size).where(F.col("i") > first)
+    per_slice = ordered.attach(rows, start.select(KEY, F.col("end.i").alias("_last"), "noise_floor"), [KEY], "_last", size).where(F.col("i") > first)
     w = Window.partitionBy(KEY, SLICE).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rises = F.col("smoothed") > F.col("noise_floor")
     falls = (F.col("delta") < -F.col("noise_floor")) | (~rises & (F.col("smoothed") < 0))
@@ -121,20 +127,19 @@ def find_peak_crossing(sweep: DataFrame, trend_n: int = 10, fresh: bool = False,
         F.min(F.when(F.col("_in"), F.col("any_fall")).otherwise(F.col("own_fall"))).alias("late"),
         F.max("up").alias("late_up"),
     )
-    ends = sweep.groupBy(KEY).agg(F.max(F.struct(F.col("i").cast("long").alias("i"), F.col("z_mm").alias("z"))).alias("end"))
-    joined = ends.join(start, KEY, "left").join(tail, KEY, "left")
+    joined = start.join(tail, KEY, "left")
     peak = F.coalesce("early", "late")
-    rising = F.coalesce(F.col("was_up"), F.lit(False)) | F.coalesce(F.col("late_up"), F.lit(False))
+    rising = F.col("was_up") | F.coalesce(F.col("late_up"), F.lit(False))
     kind = F.when(peak.isNotNull(), "crossing").when(rising, "boundary").otherwise("none")
     place = F.coalesce(peak, F.when(rising, F.col("end")))
     return joined.select(
         KEY, kind.alias("peak_kind"), place["i"].alias("peak_i"), place["z"].alias("peak_z"),
-        F.coalesce(F.col("noise_floor"), F.lit(0.0)).alias("noise_floor"),
+        "noise_floor",
     )
 
 
 def _first_phase(sweep: DataFrame, trend_n: int) -> DataFrame:
-    """Outcome of the first steps: early peak, whether the sweep is rising, noise floor and last index."""
+    """Outcome of the first steps: early peak, whether the sweep is rising, noise floor and last step."""
     heads = _heads(sweep, trend_n)
     heads = heads.withColumn("_first_up", F.array_min(F.transform(F.filter("steps", lambda e: e["smoothed"] > 0), lambda e: e["i"])))
     early = F.array_min(
@@ -145,10 +150,9 @@ def _first_phase(sweep: DataFrame, trend_n: int) -> DataFrame:
     )
     floor = noise_floor_of(F.transform("steps", lambda e: F.abs(e["delta"])))
     rise = F.array_max(F.transform("steps", lambda e: e["metric"])) - F.get("head", F.lit(0))["metric"]
-    heads = heads.select(KEY, "_first_up", early.alias("early"), floor.alias("noise_floor"), rise.alias("_rise"))
+    heads = heads.select(KEY, "end", "_first_up", early.alias("early"), floor.alias("noise_floor"), rise.alias("_rise"))
     lost = (F.col("noise_floor") > 0) & F.col("early").isNull() & (F.col("_rise") <= F.col("noise_floor"))
-    last = sweep.groupBy(KEY).agg(F.max("i").alias("_last"))
-    return heads.join(last, KEY).select(KEY, "_last", (F.col("_first_up").isNotNull() & ~lost).alias("was_up"), "noise_floor", "early")
+    return heads.select(KEY, "end", (F.col("_first_up").isNotNull() & ~lost).alias("was_up"), "noise_floor", "early")
 
 
 def best_focus(sweep: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:

@@ -12,15 +12,16 @@ from scanlake.session import shared_path
 from scanlake.streaming import stateful, windows
 
 C = F.col
-FILES = 3
+BATCHES = 3
 
 
 def _stream_of(rows, order):
-    """Write a table as a few files in the given order and stream it one file at a time."""
+    """Write a table in ranges of a column and stream its files in a few batches, in whatever order they were written."""
     spark = rows.sparkSession
     path = shared_path(spark, "feed")
-    rows.repartitionByRange(FILES, order).write.parquet(path)
-    return windows.read_stream(spark, path, rows.schema, files_per_trigger=1)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(ranges, order).write.parquet(path)
+    return windows.read_stream(spark, path, rows.schema, files_per_trigger=-(-ranges // BATCHES))
 
 
 def _table_stream(spark, sf_dir, name):
@@ -95,5 +96,6 @@ QUERIES = {
         progress,
         "SELECT o_custkey % 20 AS scan_id, count(*) AS captured, count(*) + 100 AS total, CAST(10 + floor(count(*) / (count(*) + 100) * 85) AS INT) AS pct FROM orders GROUP BY 1",
     ),
-    "sm7_stream_latest_position": (latest_position, LATEST_SQL),
+    # captures in the last millisecond of the stream wait for a watermark that has passed them
+    "sm7_stream_latest_position": (latest_position, LATEST_SQL + " WHERE c.ts < (SELECT date_trunc('milliseconds', max(ts)) FROM events)"),
 }
