@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.operators import ordered
-from scanlake.operators.ordered import SLICE
 
 
 def with_calibration(df: DataFrame, dim: DataFrame, key: str = "mag", defaults: Mapping[str, object] | None = None) -> DataFrame:
@@ -54,7 +53,7 @@ def latest_position(captures: DataFrame, telemetry: DataFrame, fields: Sequence[
     left = captures.select(key, ts, F.lit(1).alias("_late"), F.struct(*payload).alias("_capture"), F.lit(None).cast(kind).alias("_reading"))
     right = telemetry.select(key, ts, F.lit(0).alias("_late"), F.lit(None).cast(event).alias("_capture"), reading.alias("_reading"))
     line = left.unionByName(right)
-    line = line.withColumn(SLICE, ordered.time_slice(line, ts, seconds))
+    line = ordered.time_sliced(line, [key], ts, seconds)
     seen = ordered.running(line, [key], [ts, "_late"], _latest=("last", F.col("_reading"))).where("_late = 1")
     return seen.select(key, ts, "_capture.*", *[F.col(f"_latest.{f}").alias(f) for f in fields])
 

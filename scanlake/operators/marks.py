@@ -59,8 +59,9 @@ def mark_binary(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int]
     return binarise(even, otsu_threshold(even))
 
 
-def _label_tile(rows: np.ndarray, cols: np.ndarray, connectivity: int) -> np.ndarray:
-    """Index of the first pixel (in the given order) of each pixel's component."""
+def _first_of_each(codes: np.ndarray, connectivity: int) -> np.ndarray:
+    """For the sorted pixel codes of a tile, the position of the first pixel of each one's component."""
+    rows, cols = np.divmod(codes, _ROW_STRIDE)
     r, c = rows - rows.min() + 1, cols - cols.min() + 1
     index = np.full((r.max() + 2, c.max() + 2), -1, dtype=np.int64)
     index[r, c] = np.arange(len(r))
@@ -90,15 +91,18 @@ def label_components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, connecti
     on = list(keys)
     place = [(F.floor(F.col(a) / tile)).cast("int").alias(f"t{a}") for a in ("r", "c")]
     code = F.col("r").cast("long") * _ROW_STRIDE + F.col("c")
-    pixels = mask.where(F.col("v") > 0).select(*on, "r", "c", *place, code.alias("label"))
-    schema = pixels.schema
+    pixels = mask.where(F.col("v") > 0).select(*on, *place, code.alias("code"))
+    tiles = pixels.groupBy(*on, "tr", "tc").agg(F.sort_array(F.collect_list("code")).alias("codes"))
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("label", ignore_index=True)
-        first = _label_tile(pdf["r"].to_numpy(), pdf["c"].to_numpy(), connectivity)
-        return pdf.assign(label=pdf["label"].to_numpy()[first])
+    @F.pandas_udf("array<bigint>")
+    def label(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda tile_codes: tile_codes[_first_of_each(tile_codes, connectivity)])
 
-    local = pixels.groupBy(*on, "tr", "tc").applyInPandas(label, schema)
+    local = tiles.select(*on, "tr", "tc", F.explode(F.arrays_zip("codes", label("codes").alias("labels"))).alias("_p"))
+    local = local.select(
+        *on, "tr", "tc", F.expr(f"CAST(_p.codes DIV {_ROW_STRIDE} AS INT)").alias("r"), F.expr(f"CAST(_p.codes % {_ROW_STRIDE} AS INT)").alias("c"),
+        F.col("_p.labels").alias("label"),
+    )
     out = ["r", "c", "label"]
     if size is not None and size[0] <= tile and size[1] <= tile:
         return local.select(*on, *out)

@@ -27,11 +27,8 @@ def monomials(degree: int) -> list[tuple[int, int]]:
     return [(i, total - i) for total in range(degree + 1) for i in range(total + 1)]
 
 
-def _power(base: Column, n: int) -> Column:
-    out = F.lit(1.0)
-    for _ in range(n):
-        out = out * base
-    return out
+def _product(*factors: str) -> Column:
+    return F.expr(" * ".join(factors))
 
 
 def fit_surface(points: DataFrame, degree: int = 2, manual_weight: float | None = None) -> DataFrame:
@@ -55,13 +52,13 @@ def fit_surface(points: DataFrame, degree: int = 2, manual_weight: float | None
         KEY, weight.alias("w"), ((F.col("x") - F.col("cx")) / F.col("sx")).alias("u"), ((F.col("y") - F.col("cy")) / F.col("sy")).alias("v"),
         (F.col("z") - F.col("z_ref")).alias("d"),
     )
-    wu = {(i, j): F.col("w") * _power(F.col("u"), i) * _power(F.col("v"), j) for i in range(2 * degree + 1) for j in range(2 * degree + 1 - i)}
+    powers = [(i, j) for i in range(2 * degree + 1) for j in range(2 * degree + 1 - i)]
     moments = rows.groupBy(KEY).agg(
-        *[F.sum(expr).alias(f"m{i}_{j}") for (i, j), expr in wu.items()],
-        *[F.sum(wu[term] * F.col("d")).alias(f"d{term[0]}_{term[1]}") for term in terms],
+        *[F.sum(_product("w", *"u" * i, *"v" * j)).alias(f"m{i}_{j}") for i, j in powers],
+        *[F.sum(_product("w", *"u" * i, *"v" * j, "d")).alias(f"d{i}_{j}") for i, j in terms],
     )
-    normal = F.array(*[F.col(f"m{a[0] + b[0]}_{a[1] + b[1]}") for a in terms for b in terms]).alias("normal")
-    right = F.array(*[F.col(f"d{i}_{j}") for i, j in terms]).alias("right")
+    normal = F.array(*[f"m{a[0] + b[0]}_{a[1] + b[1]}" for a in terms for b in terms]).alias("normal")
+    right = F.array(*[f"d{i}_{j}" for i, j in terms]).alias("right")
     system = moments.select(KEY, normal, right).join(stats.drop("_top"), KEY)
     size = len(terms)
 
@@ -82,14 +79,11 @@ def fit_surface(points: DataFrame, degree: int = 2, manual_weight: float | None
     return solved.select(*names, "degree", "coeffs")
 
 
-def surface_offset(x: Column, y: Column, max_degree: int = 3) -> Column:
-    """Surface value of the model columns at (x, y); terms a lower degree lacks count as 0."""
-    u, v = (x - F.col("cx")) / F.col("sx"), (y - F.col("cy")) / F.col("sy")
-    total = F.get("coeffs", F.lit(0))
-    for k, (i, j) in enumerate(monomials(max_degree)):
-        if k:
-            total = total + F.coalesce(F.get("coeffs", F.lit(k)), F.lit(0.0)) * _power(u, i) * _power(v, j)
-    return total
+def surface_offset(x: str, y: str, max_degree: int = 3) -> Column:
+    """Surface value of the model columns at columns x and y; terms a lower degree lacks count as 0."""
+    u, v = f"((`{x}` - cx) / sx)", f"((`{y}` - cy) / sy)"
+    parts = [" * ".join([f"coalesce(get(coeffs, {k}), 0D)", *[u] * i, *[v] * j]) for k, (i, j) in enumerate(monomials(max_degree))]
+    return F.when(F.col("coeffs").isNotNull(), F.expr(" + ".join(parts)))
 
 
 def predict_surface(points: DataFrame, models: DataFrame, reference: DataFrame | None = None, out: str = "z_pred") -> DataFrame:
@@ -101,7 +95,7 @@ def predict_surface(points: DataFrame, models: DataFrame, reference: DataFrame |
     if reference is not None:
         fit = fit.drop("z_ref").join(reference.select(KEY, F.col("z_applied").alias("z_ref")), KEY, "left")
     rows = points.join(fit, KEY, "left")
-    z = F.when(F.col("n_points") >= MIN_POINTS, F.col("z_ref") + surface_offset(F.col("x"), F.col("y")))
+    z = F.when(F.col("n_points") >= MIN_POINTS, F.col("z_ref") + surface_offset("x", "y"))
     return rows.select(*[rows[c] for c in points.columns], z.alias(out))
 
 
@@ -113,7 +107,7 @@ def grid_query(maps: DataFrame, models: DataFrame, res: int = 100) -> DataFrame:
         lo, hi = F.least(f"{axis}_lo", f"{axis}_hi"), F.greatest(f"{axis}_lo", f"{axis}_hi")
         mesh = mesh.withColumn(axis, lo + F.col(index) * (hi - lo) / (res - 1))
     rows = mesh.select(KEY, "xi", "yi", "x", "y").join(models.select(KEY, "cx", "sx", "cy", "sy", "coeffs"), KEY)
-    return rows.select(KEY, "xi", "yi", "x", "y", (surface_offset(F.col("x"), F.col("y")) * 1000.0).alias("offset_um"))
+    return rows.select(KEY, "xi", "yi", "x", "y", (surface_offset("x", "y") * 1000.0).alias("offset_um"))
 
 
 def map_stats(points: DataFrame) -> DataFrame:

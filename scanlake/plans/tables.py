@@ -38,7 +38,7 @@ def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy recorded sweeps, one per user, in time order."""
     events = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    seen = ordered.dense_index(events, ["user_id"], ["ts", "event_id"], ordered.time_slice(events, "ts"))
+    seen = ordered.dense_index(ordered.time_sliced(events, ["user_id"], "ts"), ["user_id"], ["ts", "event_id"])
     return seen.selectExpr("user_id AS sweep_id", "i", "i * 3e-3 AS z_mm", "value AS metric")
 
 
