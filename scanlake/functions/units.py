@@ -1,6 +1,6 @@
 """Unit conversion, optics and geometry as Column builders.
 
-Half-even rounding (``rint``, ``bround``) and truncation follow the reference semantics, which are Python's.
+Rounding is half-even (``rint``, ``bround``) and whole pixels and counts are truncated, as instrument logs have them.
 """
 
 from __future__ import annotations

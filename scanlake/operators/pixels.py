@@ -161,7 +161,10 @@ def flat_field(channel_rows: DataFrame) -> DataFrame:
 
 
 def apply_flat(channel_rows: DataFrame, flat: DataFrame) -> DataFrame:
-    """Divide by the flat field (at least 1) and scale by its mean."""
+    """Divide by the flat field (at least 1) and scale by its mean.
+
+    The flat is read twice, so pass a stored or checkpointed one rather than the aggregation itself.
+    """
     floored = flat.select("r", "c", "ch", F.greatest(F.lit(1.0), F.col("flat")).alias("flat"))
     mean = floored.agg(F.avg("flat")).scalar()
     rows = channel_rows.join(floored, ["r", "c", "ch"])

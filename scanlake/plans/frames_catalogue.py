@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanlake.operators import frames, grid, ordered, pixels
 from scanlake.plans import tables
+from scanlake.session import cut_lineage
 
 C = F.col
 LAYERS = [pixels.Layer("Monolayer", (120, 100, 90)), pixels.Layer("Bilayer", (160, 140, 130)), pixels.Layer("Trilayer", (60, 220, 200)), pixels.Layer("Background", None)]
@@ -81,7 +82,7 @@ def colour_mask(spark, sf_dir):
 
 def _corrected(spark, sf_dir):
     rows = pixels.channels_long(tables.rgb(spark, sf_dir))
-    return pixels.apply_flat(rows, pixels.flat_field(rows))
+    return pixels.apply_flat(rows, cut_lineage(pixels.flat_field(rows)))
 
 
 def apply_flat(spark, sf_dir):
