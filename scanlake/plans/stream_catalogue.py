@@ -66,12 +66,12 @@ def edge(spark, sf_dir):
 
 
 def latest_position(spark, sf_dir):
-    events = windows.with_event_time(_table_stream(spark, sf_dir, "events"), delay="0 seconds").withColumnRenamed("user_id", "instrument_id")
+    events = _table_stream(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp")).withColumnRenamed("user_id", "instrument_id")
     captures = events.where("event_type = 'purchase'").select(C("event_id").alias("capture_id"), "instrument_id", "ts")
     good = "concat(CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), ',', CAST(event_id AS STRING), ',', CAST(instrument_id AS STRING))"
     lines = events.where("event_type <> 'purchase'").selectExpr("instrument_id", "ts", f"CASE WHEN event_type = 'error' THEN 'ERR' ELSE {good} END AS line")
     readings = logs.parse_position_reply(lines).where("x IS NOT NULL")
-    return windows.run_available(stateful.stream_latest_position(captures, readings))
+    return windows.run_available(stateful.stream_latest_position(captures, readings, "0 seconds"))
 
 
 QUERIES = {
@@ -97,5 +97,5 @@ QUERIES = {
         "SELECT o_custkey % 20 AS scan_id, count(*) AS captured, count(*) + 100 AS total, CAST(10 + floor(count(*) / (count(*) + 100) * 85) AS INT) AS pct FROM orders GROUP BY 1",
     ),
     # captures in the last millisecond of the stream wait for a watermark that has passed them
-    "sm7_stream_latest_position": (latest_position, LATEST_SQL + " WHERE c.ts < (SELECT date_trunc('milliseconds', max(ts)) FROM events)"),
+    "sm7_stream_latest_position": (latest_position, LATEST_SQL + " WHERE c.ts < (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE event_type <> 'error')"),
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scanlake.operators import edges, sweeps
+from scanlake.streaming.windows import WATERMARK
 
 
 class InOrder(StatefulProcessor):
@@ -231,14 +232,15 @@ class LatestPosition(StatefulProcessor):
         pass
 
 
-def stream_latest_position(captures: DataFrame, readings: DataFrame) -> DataFrame:
+def stream_latest_position(captures: DataFrame, readings: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Each capture with the newest reading of its instrument at or before its time, once the watermark has passed it.
 
-    Both streams need a watermark on ``ts``. Captures: capture_id, instrument_id, ts. Readings: instrument_id, ts, x, y, z.
+    Captures: capture_id, instrument_id, ts. Readings: instrument_id, ts, x, y, z. Times are zoned; the watermark is set here,
+    on both streams together.
     """
     none = F.lit(None).cast("bigint")
     left = captures.select("instrument_id", "ts", F.lit(1).alias("late"), "capture_id", none.alias("x"), none.alias("y"), none.alias("z"))
     right = readings.select("instrument_id", "ts", F.lit(0).alias("late"), none.alias("capture_id"), "x", "y", "z")
-    line = left.unionByName(right).withColumn("us", F.unix_micros("ts"))
+    line = left.unionByName(right).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     out = "capture_id bigint, instrument_id bigint, x bigint, y bigint, z bigint"
     return line.groupBy("instrument_id").transformWithStateInPandas(LatestPosition(), out, "append", "EventTime")

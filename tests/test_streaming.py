@@ -56,12 +56,12 @@ def test_latest_position_waits_for_the_watermark(spark, tmp_path):
     rnd = random.Random(4)
     data = [(k, rnd.randint(1, 3), t, rnd.random() < 0.4, k % 2) for k, t in enumerate(sorted(rnd.sample(range(1000), 120)))]
     df = spark.createDataFrame(data, "event_id long, instrument_id long, s long, cap boolean, _file int").withColumn("ts", F.timestamp_seconds("s"))
-    stream = windows.with_event_time(feed(spark, df, str(tmp_path / "in"), (0, 1)), delay="2000 seconds")
+    stream = feed(spark, df, str(tmp_path / "in"), (0, 1))
     closing = spark.createDataFrame([(10**6, 9, 10**6, False, 7)], "event_id long, instrument_id long, s long, cap boolean, _file int").withColumn("ts", F.timestamp_seconds("s"))
     closing.drop("_file").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark past all rows
     caps = stream.where("cap").select(F.col("event_id").alias("capture_id"), "instrument_id", "ts")
     reads = stream.where("NOT cap").selectExpr("instrument_id", "ts", "event_id AS x", "event_id AS y", "event_id AS z")
-    out = windows.run_available(stateful.stream_latest_position(caps, reads))
+    out = windows.run_available(stateful.stream_latest_position(caps, reads, "2000 seconds"))
     c = df.where("cap").select(F.col("event_id").alias("capture_id"), "instrument_id", "ts")
     r = df.where("NOT cap").selectExpr("instrument_id", "ts", "event_id AS x")
     want = lookup.latest_position(c, r, ["x"]).select("capture_id", "instrument_id", "x")
