@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from scanlake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,4 +25,4 @@ def test_entry(spark):
 
 
 def test_oracle_names_are_queries():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

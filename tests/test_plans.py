@@ -5,13 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from scanlake.operators import ordered, sweeps
-from scanlake.plans import tables
+from scanlake.plans import catalogue, tables
 
 SF = "/root/testdata/sf0.001"
 EAGER = ("sm", "src", "ag17", "fl5", "gr6_outer")  # these run jobs while they are built
-LAZY = sorted(n for n in entry.queries() if not n.startswith(EAGER) or n.startswith(("src2", "src7", "src9")))
+LAZY = sorted(n for n in catalogue.queries() if not n.startswith(EAGER) or n.startswith(("src2", "src7", "src9")))
 
 
 def plan(df):
@@ -20,7 +19,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_products_and_no_global_windows(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(catalogue.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     for spec in re.findall(r"windowspecdefinition\((.*?)(?:specifiedwindowframe|$)", text):
         assert not re.match(r"[\w#]+ (ASC|DESC)", spec), f"window without partition: {spec}"
