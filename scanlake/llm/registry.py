@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from scanlake.llm import jump_shards
+from scanlake.llm import divergence, jump_shards, mixing, winnowing
 
 QUERIES = {
+    "op2_distribution_divergence": (divergence.op2_distribution_divergence, None),
     "op4_jump_shards": (jump_shards.op4_jump_shards, None),
+    "op6_water_filling": (mixing.op6_water_filling, mixing.OP6_SQL),
+    "op9_winnowing": (winnowing.op9_winnowing, None),
 }
