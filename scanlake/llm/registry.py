@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from scanlake.llm import divergence, jump_shards, mixing, winnowing
+from scanlake.llm import divergence, jump_shards, mixing, packing, phrases, probminhash, winnowing
 
 QUERIES = {
     "op2_distribution_divergence": (divergence.op2_distribution_divergence, None),
+    "op3_probminhash": (probminhash.op3_probminhash, None),
     "op4_jump_shards": (jump_shards.op4_jump_shards, None),
     "op6_water_filling": (mixing.op6_water_filling, mixing.OP6_SQL),
+    "op7_phrase_automata": (phrases.op7_phrase_automata, phrases.OP7_SQL),
+    "op8_exact_complement": (packing.op8_exact_complement, None),
     "op9_winnowing": (winnowing.op9_winnowing, None),
 }

@@ -92,3 +92,15 @@ def chunks(counts: np.ndarray, most: int):
         total += n
     if start < len(counts):
         yield slice(start, len(counts))
+
+
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row (node, text) for each of ``nodes`` (node, rep): the text with that digest, from the document ``rep``, stored."""
+    own = docs.select(F.col("doc_id").alias("rep"), digest(F.col("text")).alias("_node"), "text")
+    found = own.join(nodes.withColumnRenamed("rep", "_rep"), (F.col("_node") == F.col("node")) & F.col("rep").eqNullSafe(F.col("_rep")))
+    return stored(found.select("node", "text").dropDuplicates(["node"]), "texts")
