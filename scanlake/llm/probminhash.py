@@ -176,9 +176,9 @@ def compare_blocks(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, node, class_id, n_class: the class of each document, links being pairs of at least ``least`` similarity.
+    """doc_id, node, root, class_id, n_class: the class of each document, links being pairs of at least ``least`` similarity.
 
-    A class is a connected component; class_id is the smallest doc_id in it and n_class its distinct texts. Equal texts are
+    A class is a connected component, named by its root node; class_id is the smallest doc_id in it and n_class its distinct texts. Equal texts are
     one node (null counts as empty; a text without words is only like itself), so copies are never compared. Nodes that share a band
     meet in a bucket; first each is compared with the bucket's smallest node, which joins large groups at a cost of one pair per
     member, then what is still apart within a bucket is compared in blocks. Pairs are verified on whole texts. Null doc_ids
@@ -208,8 +208,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     named = rooted(nodes.select("node", "rep"))
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_class"))
-    named = named.join(classes, "root").select("node", "class_id", "n_class")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "n_class")
+    named = named.join(classes, "root").select("node", "root", "class_id", "n_class")
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "class_id", "n_class")
+
+
+def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, any one of rows equal in doc_id and text."""
+    last = F.lit(2**63 - 1)
+    found = near_duplicates(docs, least)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "node")).alias("kept")).select("kept.id", F.col("kept.node").alias("_node"))
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_node", text.digest(F.col("text")))
+    return rows.join(kept.withColumnRenamed("id", "_id"), ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select(*docs.columns)
 
 
 def op3_probminhash(spark, sf_dir: str) -> DataFrame:
