@@ -134,7 +134,7 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 
 def rules_stage(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
+    own = docs.select(text.row_of(docs), "text", "lang")
     # the id keeps the optimizer from moving the filter below the projections, which would repeat each of them in the next
     judged = judge(own, references(docs)).select("_row", "kept", F.monotonically_increasing_id().alias("_id"))
     return judged.where("kept AND _id >= 0").select("_row.*")

@@ -105,10 +105,9 @@ def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix_stage(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``."""
-    drawn = docs.withColumn("draw", draw(seed))
-    narrow = text.stored(drawn.select("source", "draw", F.size(text.words(F.col("text"))).cast("long").alias("size")), "mix-rows")
-    taken = take(drawn, plan(narrow, seed=seed)).where("times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    drawn = docs.select(text.row_of(docs), "source", draw(seed).alias("draw"), F.size(text.words(F.col("text"))).cast("long").alias("size"))
+    taken = take(drawn.drop("size"), plan(text.stored(drawn.drop("_row"), "mix-rows"), seed=seed)).where("times > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("_row.*")
 
 
 def op6_water_filling(spark, sf_dir: str) -> DataFrame:

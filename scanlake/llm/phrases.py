@@ -235,13 +235,14 @@ def phrases_stage(docs: DataFrame) -> DataFrame:
     _, nodes, cuts = find_repeats(docs)
     changed = nodes.join(cuts, "node", "left").where("copies > 1 OR kept IS NOT NULL")
     changed = changed.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"), F.col("n_words").alias("_n"), F.col("kept").alias("_kept"))
-    rows = docs.join(changed, text.digest(F.col("text")) == F.col("_node"), "left")
-    later = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) > F.col("_rep")) & (F.col("_n") >= WINDOW)
-    now = F.when(later, F.lit("")).otherwise(F.coalesce("_kept", "text"))
-    rows = rows.withColumn("text", now)
+    rows = docs.select(text.row_of(docs), text.digest(F.col("text")).alias("node")).join(changed, F.col("node") == F.col("_node"), "left")
+    later = (F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_LAST)) > F.col("_rep")) & (F.col("_n") >= WINDOW)
+    now = F.when(later, F.lit("")).otherwise(F.coalesce("_kept", F.col("_row.text")))
+    replaced = {"text": now}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(later | F.col("_kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        length = F.length(now).cast(docs.schema["n_chars"].dataType)
+        replaced["n_chars"] = F.when(later | F.col("_kept").isNotNull(), length).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_phrase_automata(spark, sf_dir: str) -> DataFrame:

@@ -217,8 +217,8 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     last = F.lit(2**63 - 1)
     found = near_duplicates(docs, least)
     kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "node")).alias("kept")).select("kept.id", F.col("kept.node").alias("_node"))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_node", text.digest(F.col("text")))
-    return rows.join(kept.withColumnRenamed("id", "_id"), ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    rows = docs.select(text.row_of(docs), F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text.digest(F.col("text")).alias("_node"))
+    return rows.join(kept, ["id", "_node"]).dropDuplicates(["id", "_node"]).select("_row.*")
 
 
 def op3_probminhash(spark, sf_dir: str) -> DataFrame:

@@ -104,3 +104,8 @@ def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").alias("rep"), digest(F.col("text")).alias("_node"), "text")
     found = own.join(nodes.withColumnRenamed("rep", "_rep"), (F.col("_node") == F.col("node")) & F.col("rep").eqNullSafe(F.col("_rep")))
     return stored(found.select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``_row``, so that columns added beside it cannot clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
