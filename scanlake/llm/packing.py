@@ -6,7 +6,8 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from scanlake.llm import text
 SEQUENCE = 2048
 GROUP_ROWS = 50_000
 #: Most words a Python worker keeps token ids of before it starts anew (a bound on memory, not on results), and words encoded at once.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 ENCODE_WORDS = 20_000
 _ENCODERS: dict[str, "WordIds"] = {}
 
@@ -24,46 +25,62 @@ _ENCODERS: dict[str, "WordIds"] = {}
 class WordIds:
     """Token ids (little-endian bytes) of white-space separated words; each distinct word is encoded once while the cache lasts.
 
-    The tokenizer drops white space before it looks for tokens, so a text's ids are those of its words one after another. A
-    final comma or full stop after an ASCII letter or digit is a token of its own, and ASCII letters are put in lower case.
+    The tokenizer drops white space before it looks for tokens, so a text's ids are those of its words one after another. It
+    also puts text in lower case, and never joins a letter with one of the marks behind it; doing both first leaves fewer words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-
-    def _learn(self, missing: set[bytes]) -> None:
-        plain = {w: self._plain(w) for w in missing}
-        new = list({w for w in plain.values() if w not in self.ids} | {b",", b"."})
-        for i in range(0, len(new), ENCODE_WORDS):
-            part = new[i : i + ENCODE_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        for w, p in plain.items():
-            if w is not p:
-                end = w[-1:] if len(p) < len(w) else b""
-                self.ids[w] = self.ids[p] + (self.ids[end] if end else b"")
-
-    @staticmethod
-    def _plain(word: bytes) -> bytes:
-        if b"<" in word:
-            return word  # may hold the name of a special token, which is case-sensitive
-        out = word.lower() if word.isascii() else word
-        if out[-1:] in (b",", b".") and out[-2:-1].isalnum():
-            out = out[:-1]
-        return word if out == word else out
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        words = [text.split_words(t) for t in texts]
-        missing = set().union(*words) - self.ids.keys()
+        self.comma = np.array(self._encode([","])[0], "<u4")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        names = [w.decode("utf-8", "replace") for w in new]
+        plain = [k for k, w in enumerate(names) if w.isalpha()]
+        # words of letters only are encoded many at once, with commas between them to tell their ids apart
+        for i in range(0, len(plain), ENCODE_WORDS):
+            groups = [plain[j : j + 50] for j in range(i, min(i + ENCODE_WORDS, len(plain)), 50)]
+            for group, ids in zip(groups, self._encode([" , ".join(names[k] for k in g) for g in groups])):
+                ids = np.array(ids, "<u4")
+                cut = np.flatnonzero(ids == self.comma[0])
+                data = ids.tobytes()
+                for k, start, end in zip(group, [0, *(cut + 1)], [*cut, len(ids)], strict=True):
+                    self.ids[new[k]] = data[4 * start : 4 * end]
+        other = [k for k, w in enumerate(names) if not w.isalpha()]
+        for i in range(0, len(other), ENCODE_WORDS):
+            group = other[i : i + ENCODE_WORDS]
+            for k, ids in zip(group, self._encode([names[k] for k in group])):
+                self.ids[new[k]] = np.array(ids, "<u4").tobytes()
+
+    def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text)."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-zß-öø-ÿ])([.,!#$%&*|])", r"\1 \2")
+        # the name of a special token is one token, in its own case only
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.ids.get, names))
+        missing = {w for w, x in zip(names, found) if x is None} - {b""}
+        self.ids[b""] = b""
         if missing:
             if len(self.ids) + len(missing) > CACHE_WORDS:
                 self.ids.clear()
-                missing = set().union(*words)
-            self._learn(missing)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+                self.ids[b""] = b""
+                missing = set(names) - {b""}
+            self._learn(list(missing))
+        found = list(map(self.ids.__getitem__, names))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start[word] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[words.offsets.to_numpy()])
 
 
 def word_ids(path: str) -> WordIds:
@@ -84,22 +101,26 @@ def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = 0) -
 
     Null and empty texts are the one token ``end``. Only documents of more than ``size`` tokens are cut.
     """
-    tail = np.array([end], "<u4").tobytes()
-
     def rows(batches):
         encoder = word_ids(path)
-        for pdf in batches:
-            docs_of, piece, start, length, crc = [], [], [], [], []
-            for at in text.chunks(pdf["text"].str.len().fillna(0).to_numpy(np.int64), 2_000_000):
-                for key, data in zip(pdf["doc_id"].iloc[at], encoder.texts(pdf["text"].iloc[at].tolist())):
-                    data += tail
-                    for i in range(0, len(data), 4 * size):
-                        part = data[i : i + 4 * size]
-                        docs_of.append(key), piece.append(i // (4 * size)), start.append(i // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pd.DataFrame({"doc_id": pd.array(docs_of, "Int64"), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+        for batch in batches:
+            ids, counts = encoder.texts(batch["text"])
+            # the end mark of each document behind its ids
+            ids = np.insert(ids, np.cumsum(counts), end)
+            counts = counts + 1
+            pieces = -(-counts // size)
+            row = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(counts[row] - piece * size, size)
+            data, at = memoryview(ids.astype("<u4").tobytes()), 4 * (np.cumsum(length) - length)
+            crc = [zlib.crc32(data[a : a + 4 * n]) for a, n in zip(at.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(crc, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return pairs.mapInPandas(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pairs.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Counts:
