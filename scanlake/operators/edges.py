@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.operators import ordered
+
 TRACE = ("scan_id", "dir")
 DIRECTIONS = ("x_negative", "x_positive", "y_negative", "y_positive")
-# The search stops after 300 steps; its last position counts as edge after more than 50.
-MAX_STEPS = 300
+# Fixed value: without a crossing, the last position counts as edge after more than 50 steps.
 LIMIT_STEPS = 50
 
 
@@ -18,19 +19,21 @@ def auto_threshold(traces: DataFrame, keys: tuple[str, ...] = TRACE) -> DataFram
     return first.select(*keys, F.greatest(F.lit(10.0), 0.5 * F.col("first")).alias("threshold"))
 
 
-def find_edge(traces: DataFrame, thresholds: DataFrame, k: int = 3, cap: int = MAX_STEPS) -> DataFrame:
+def find_edge(traces: DataFrame, thresholds: DataFrame, k: int = 3, cap: int | None = None, size: int = ordered.INDEX_SLICE) -> DataFrame:
     """First place where ``k`` steps in a row are darker than the threshold.
 
-    Only the first ``cap`` steps of a trace take part, as in the search itself, so a window holds at most ``cap`` rows.
-    ``edge_kind`` is ``crossed``, ``limit`` or ``none``.
+    ``i`` numbers the steps of a trace without gaps. The whole trace takes part; with ``cap`` only its first ``cap`` steps, as in a
+    search that gives up. ``edge_kind`` is ``crossed``, ``limit`` or ``none``. Slices of the index, each with the last steps of the
+    one before, keep a long trace out of one task.
     """
     on = [c for c in TRACE if c in thresholds.columns]
-    rows = traces.where((F.col("i") >= 0) & (F.col("i") < cap)).join(thresholds, on)
-    w = Window.partitionBy(*TRACE).orderBy("i").rowsBetween(-(k - 1), 0)
+    rows = traces.where(F.col("i") >= 0) if cap is None else traces.where((F.col("i") >= 0) & (F.col("i") < cap))
+    rows = ordered.with_halo(rows.join(thresholds, on), "i", k - 1, size)
+    w = ordered.halo_window(TRACE, "i").rowsBetween(-(k - 1), 0)
     dark = (F.col("intensity") < F.col("threshold")).cast("int")
     rows = rows.withColumn("_run", F.sum(dark).over(w))
     at = F.struct(F.col("i"), (F.col("pos_mm") - (k - 1) * F.col("step_mm")).alias("pos"))
-    found = rows.groupBy(*TRACE).agg(
+    found = ordered.drop_halo(rows).groupBy(*TRACE).agg(
         F.min(F.when(F.col("_run") == k, at)).alias("hit"),
         F.count(F.lit(1)).alias("n"),
         F.max(F.struct(F.col("i"), F.col("pos_mm").alias("pos"))).alias("end"),

@@ -20,36 +20,36 @@ def parse_position_reply(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select("*", *[F.when(good, n).alias(axis) for n, axis in zip((x, y, z), "xyz")])
 
 
-def forward_fill(rows: DataFrame, fields: Sequence[str], key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), start: object = 0, seconds: int = ordered.DAY) -> DataFrame:
+def forward_fill(rows: DataFrame, fields: Sequence[str], key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), start: object = 0, seconds: float = ordered.DAY) -> DataFrame:
     """Replace missing readings by the last good one of the instrument, ``start`` before the first."""
-    sliced = ordered.time_sliced(rows, [key], order[0], seconds)
+    sliced = ordered.time_sliced(rows, order[0], seconds)
     filled = ordered.running(sliced, [key], list(order), **{f"_fill_{f}": ("last", F.col(f)) for f in fields})
     value = {f: F.coalesce(F.col(f"_fill_{f}"), F.lit(start)).alias(f) for f in fields}
     return filled.select(*[value.get(c, F.col(c)) for c in rows.columns])
 
 
-def every_nth(rows: DataFrame, n: int = REFRESH_EVERY, key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), remainder: int = 1, seconds: int = ordered.DAY) -> DataFrame:
+def every_nth(rows: DataFrame, n: int = REFRESH_EVERY, key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), remainder: int = 1, seconds: float = ordered.DAY) -> DataFrame:
     """Rows whose number within their key, counted from 1, leaves ``remainder`` when divided by ``n``."""
-    numbered = ordered.dense_index(ordered.time_sliced(rows, [key], order[0], seconds), [key], list(order), name="_tick")
+    numbered = ordered.dense_index(ordered.time_sliced(rows, order[0], seconds), [key], list(order), name="_tick")
     return numbered.where(F.pmod(F.col("_tick") + 1, F.lit(n)) == remainder % n).drop("_tick")
 
 
-def rising_edges(rows: DataFrame, active: Column, continuous: Column | None = None, key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), seconds: int = ordered.DAY) -> DataFrame:
+def rising_edges(rows: DataFrame, active: Column, continuous: Column | None = None, key: str = "instrument_id", order: Sequence[str] = ("ts", "event_id"), seconds: float = ordered.DAY) -> DataFrame:
     """Rows that fire: active now and not on the row before, or active at all while ``continuous`` holds."""
     held = F.lit(False) if continuous is None else continuous
-    sliced = ordered.time_sliced(rows.withColumn("_active", active).withColumn("_held", held), [key], order[0], seconds)
+    sliced = ordered.time_sliced(rows.withColumn("_active", active).withColumn("_held", held), order[0], seconds)
     seen = ordered.previous(sliced, [key], list(order), _before=F.col("_active"))
     fires = F.col("_active") & (F.col("_held") | ~F.coalesce(F.col("_before"), F.lit(False)))
     return seen.where(fires).select(*rows.columns)
 
 
-def scan_eta(points: DataFrame, totals: DataFrame, key: str = "scan_id", order: Sequence[str] = ("ts", "seq"), seconds: int = ordered.DAY) -> DataFrame:
+def scan_eta(points: DataFrame, totals: DataFrame, key: str = "scan_id", order: Sequence[str] = ("ts", "seq"), seconds: float = ordered.DAY) -> DataFrame:
     """Add captured, elapsed_s, remaining_s and pct to every captured point.
 
     ``totals`` holds the planned points per scan (total) and may hold its start time (started); without one the first
     capture starts the clock. ``remaining_s`` is null while no time has passed.
     """
-    sliced = ordered.time_sliced(points, [key], order[0], seconds)
+    sliced = ordered.time_sliced(points, order[0], seconds)
     seen = ordered.running(sliced, [key], list(order), captured=("count", F.lit(1)), _first=("min", F.col(order[0])))
     seen = seen.join(totals, key)
     start = F.col("started") if "started" in totals.columns else F.col("_first")

@@ -41,7 +41,7 @@ def nearest_defaults(df: DataFrame, builtin: Sequence[Mapping[str, object]], use
     return out.select(*df.columns, *picked, source)
 
 
-def latest_position(captures: DataFrame, telemetry: DataFrame, fields: Sequence[str], key: str = "instrument_id", ts: str = "ts", seconds: int = ordered.DAY) -> DataFrame:
+def latest_position(captures: DataFrame, telemetry: DataFrame, fields: Sequence[str], key: str = "instrument_id", ts: str = "ts", seconds: float = ordered.DAY) -> DataFrame:
     """Each capture with the newest reading of its instrument at or before its time.
 
     Captures and readings are merged into one time line per instrument, cut into time slices.
@@ -53,7 +53,7 @@ def latest_position(captures: DataFrame, telemetry: DataFrame, fields: Sequence[
     left = captures.select(key, ts, F.lit(1).alias("_late"), F.struct(*payload).alias("_capture"), F.lit(None).cast(kind).alias("_reading"))
     right = telemetry.select(key, ts, F.lit(0).alias("_late"), F.lit(None).cast(event).alias("_capture"), reading.alias("_reading"))
     line = left.unionByName(right)
-    line = ordered.time_sliced(line, [key], ts, seconds)
+    line = ordered.time_sliced(line, ts, seconds)
     seen = ordered.running(line, [key], [ts, "_late"], _latest=("last", F.col("_reading"))).where("_late = 1")
     return seen.select(key, ts, "_capture.*", *[F.col(f"_latest.{f}").alias(f) for f in fields])
 

@@ -82,15 +82,16 @@ def _first_of_each(codes: np.ndarray, connectivity: int) -> np.ndarray:
             first = first[first]
 
 
-def label_components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, connectivity: int = 8, tile: int = TILE, size: tuple[int, int] | None = None) -> DataFrame:
+def label_components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, connectivity: int = 8, tile: int = TILE) -> DataFrame:
     """Component label (its first pixel in reading order, as r * 2^20 + c) of every set pixel.
 
     Tiles are labelled on their own, at most ``tile`` squared pixels at a time. Components that touch across tile borders
-    are then joined by a graph over border labels only. When ``size`` says that frames fit one tile, that step is left out.
+    are then joined by a graph over border labels only. Fails on columns from 2^20 on, which have no label.
     """
     on = list(keys)
     place = [(F.floor(F.col(a) / tile)).cast("int").alias(f"t{a}") for a in ("r", "c")]
-    code = F.col("r").cast("long") * _ROW_STRIDE + F.col("c")
+    wide = F.raise_error(F.lit(f"a column is not below {_ROW_STRIDE}")).cast("long")
+    code = F.when(F.col("c") >= _ROW_STRIDE, wide).otherwise(F.col("r").cast("long") * _ROW_STRIDE + F.col("c"))
     pixels = mask.where(F.col("v") > 0).select(*on, *place, code.alias("code"))
     tiles = pixels.groupBy(*on, "tr", "tc").agg(F.sort_array(F.collect_list("code")).alias("codes"))
 
@@ -104,8 +105,6 @@ def label_components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, connecti
         F.col("_p.labels").alias("label"),
     )
     out = ["r", "c", "label"]
-    if size is not None and size[0] <= tile and size[1] <= tile:
-        return local.select(*on, *out)
     local = cut_lineage(local)
     roots = _connect(_border_links(local, on, tile, connectivity), on)
     if roots is None:
@@ -172,9 +171,9 @@ def component_stats(labels: DataFrame, keys: Sequence[str] = grid.FRAME) -> Data
     )
 
 
-def components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, tile: int = TILE, size: tuple[int, int] | None = None) -> DataFrame:
+def components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, tile: int = TILE) -> DataFrame:
     """8-connected components of a mask with their boxes."""
-    return component_stats(label_components(mask, keys, 8, tile, size), keys)
+    return component_stats(label_components(mask, keys, 8, tile), keys)
 
 
 def mark_like(stats: DataFrame, size: tuple[int, int]) -> DataFrame:
@@ -208,44 +207,58 @@ def largest_centre(stats: DataFrame, frames: DataFrame, size: tuple[int, int], k
     return out.select(*keys, F.coalesce("top.x", F.lit(size[1] // 2)).alias("x"), F.coalesce("top.y", F.lit(size[0] // 2)).alias("y"))
 
 
+def _cells(df: DataFrame, side: int, reach: bool = False) -> DataFrame:
+    """Add the square cell (cx, cy) of each centre, or with ``reach`` one row for its cell and each of the eight round it."""
+    cx, cy = (F.floor(F.col(a) / side).cast("int") for a in ("x", "y"))
+    if not reach:
+        return df.withColumns({"cx": cx, "cy": cy})
+    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    return df.withColumn("_m", F.explode(moves)).withColumns({"cx": cx + F.col("_m.a"), "cy": cy + F.col("_m.b")}).drop("_m")
+
+
 def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME) -> DataFrame:
     """Go through the centres of a frame in order of id and drop those within ``radius`` of a kept one on both axes.
 
-    A later centre on the same pixel always falls with the earlier one, so only the first per pixel is gathered: the list of a
-    frame is bounded by its pixels whatever the number of candidates, and kept centres by one per radius-sized box.
+    Done in rounds over cells in which all centres are near each other: the first open centre of a cell is kept if no earlier
+    open one is near; what is near a kept one is dropped. That keeps what the loop in order keeps. A round compares one centre of a
+    cell with those of the nine cells round it, so no task sees a whole frame. Of centres on one pixel the first stands for all.
     """
-    first = centres.groupBy(*keys, "x", "y").agg(F.min("id").alias("id"))
-    lists = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("_all"))
-
-    def near(a: Column, b: Column) -> Column:
-        return (F.abs(a["x"] - b["x"]) <= radius) & (F.abs(a["y"] - b["y"]) <= radius)
-
-    def step(kept: Column, e: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: near(k, e)), kept).otherwise(F.array_append(kept, e))
-
-    kept = F.aggregate("_all", F.slice("_all", 1, 0), step)
-    return lists.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.id", "_k.x", "_k.y")
+    on = list(keys)
+    first = centres.groupBy(*on, "x", "y").agg(F.min("id").alias("id")).withColumn("p", F.struct("id", "x", "y"))
+    left = cut_lineage(_cells(first, radius + 1).select(*on, "p", "cx", "cy"))
+    kept = None
+    while True:
+        least = left.groupBy(*on, "cx", "cy").agg(F.min("p").alias("m")).select(*on, "m", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
+        near = _cells(least, radius + 1, reach=True).join(left, [*on, "cx", "cy"])
+        near = near.where((F.abs(F.col("p.x") - F.col("m.x")) <= radius) & (F.abs(F.col("p.y") - F.col("m.y")) <= radius))
+        near = cut_lineage(near.select(*on, "m", "p"))
+        clear = near.groupBy(*on, "m").agg(F.min("p").alias("p")).where("p = m").select(*on, "m")
+        kept = clear if kept is None else kept.unionByName(clear)
+        left = cut_lineage(left.join(near.join(clear, [*on, "m"]).select(*on, "p").distinct(), [*on, "p"], "left_anti"))
+        if left.isEmpty():
+            return kept.select(*on, "m.id", "m.x", "m.y")
 
 
-def pairwise(centres: DataFrame, keys: Sequence[str] = grid.FRAME) -> DataFrame:
-    """All pairs of centres of a frame, the one with the smaller id first.
+def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME) -> DataFrame:
+    """Pairs of centres of a frame at most ``reach`` apart on both axes, the one with the smaller id first.
 
-    Meant for centres that went through ``suppress_near``: a frame then holds at most one centre per radius-sized box, which bounds its pairs.
+    Centres meet by cell, so a centre is only compared with those of nine cells; after ``suppress_near`` a cell holds a bounded number.
     """
     on = list(keys)
-    a = centres.select(*on, F.col("id").alias("id_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"))
-    b = centres.select(*on, F.col("id").alias("id_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
+    a = _cells(centres, reach, reach=True).select(*on, "cx", "cy", F.col("id").alias("id_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"))
+    b = _cells(centres, reach).select(*on, "cx", "cy", F.col("id").alias("id_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
+    near = (F.abs(F.col("x_a") - F.col("x_b")) <= reach) & (F.abs(F.col("y_a") - F.col("y_b")) <= reach)
     before = F.struct("id_a", "x_a", "y_a") < F.struct("id_b", "x_b", "y_b")
-    return a.join(b, on).where(before)
+    return a.join(b, [*on, "cx", "cy"]).where(near & before).drop("cx", "cy")
 
 
-def grid_rotation(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME) -> DataFrame:
-    """Median direction between the marks of a frame, folded into [0, 90); frames with one mark give null.
+def grid_rotation(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME) -> DataFrame:
+    """Median direction between neighbouring marks of a frame, folded into [0, 90); frames without neighbours give null.
 
-    Marks are thinned by ``suppress_near`` first, which bounds the pairs of a frame.
+    Marks are thinned by ``suppress_near``; neighbours are at most ``reach`` apart on both axes (a little more than the pitch).
     """
-    kept = suppress_near(centres, radius, keys)
-    pairs = pairwise(kept, keys)
+    kept = cut_lineage(suppress_near(centres, radius, keys))
+    pairs = near_pairs(kept, reach, keys)
     angle = F.degrees(F.atan2(-(F.col("y_b") - F.col("y_a")).cast("double"), (F.col("x_b") - F.col("x_a")).cast("double")))
     turned = pairs.groupBy(*keys).agg(F.median(F.pmod(angle, F.lit(90.0))).alias("angle_deg"))
     return kept.select(*keys).distinct().join(turned, list(keys), "left")

@@ -10,7 +10,7 @@ per (key, slice). What a slice needs from the ones before it comes in one of two
 * ``with_halo``: for frames of at most ``back`` rows over a gapless index, the last ``back`` rows of a slice
   are copied into the next one. The copy is decided by arithmetic on the index, before the only shuffle.
 
-Slices are pure functions of the order column (and of exact row counts), so retries and recomputation give the same cut.
+Slices are pure functions of the order column, so retries and recomputation give the same cut.
 """
 
 from __future__ import annotations
@@ -20,15 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.session import cut_lineage
-
 SLICE = "_slice"
 HALO = "_halo"
 INDEX_SLICE = 65_536
 DAY = 86_400
-# Rows a time slice may hold before it is cut finer, and the most slices worth a broadcast.
-SLICE_ROWS = 1_000_000
-BROADCAST_ROWS = 100_000
+# Width of a time slice unless one is given; give instruments with hundreds of rows a second a narrower one.
 
 
 def index_slice(index: Column, size: int = INDEX_SLICE) -> Column:
@@ -36,36 +32,23 @@ def index_slice(index: Column, size: int = INDEX_SLICE) -> Column:
     return F.floor(index / F.lit(size)).cast("long")
 
 
-def _second(df: DataFrame, column: str) -> Column:
-    """Whole seconds of a time column. Zone-free timestamps are never cast to zoned ones, which keeps them monotone."""
+def _micros(df: DataFrame, column: str) -> Column:
+    """Microseconds of a time column. Zone-free timestamps are never cast to zoned ones, which keeps them monotone."""
     col = F.col(column)
     if df.schema[column].dataType.typeName() == "timestamp_ntz":
-        return F.unix_date(col.cast("date")) * F.lit(DAY).cast("long") + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    return F.unix_seconds(col)
-
+        minutes = F.unix_date(col.cast("date")) * F.lit(DAY // 60).cast("long") + F.hour(col) * 60 + F.minute(col)
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("long")
+    return F.unix_micros(col)
 
-def time_slice(df: DataFrame, column: str, seconds: int = DAY) -> Column:
-    """Slice of a time column, ``seconds`` wide, as its first second."""
-    if seconds == DAY and df.schema[column].dataType.typeName() == "timestamp_ntz":
-        return F.unix_date(F.col(column).cast("date")) * F.lit(DAY).cast("long")
-    return (F.floor(_second(df, column) / F.lit(seconds)) * seconds).cast("long")
 
+def time_slice(df: DataFrame, column: str, seconds: float = DAY) -> Column:
+    """Number of the slice of a time column, ``seconds`` wide (a fraction if need be)."""
+    return F.floor(_micros(df, column) / F.lit(round(seconds * 1_000_000))).cast("long")
 
-def time_sliced(df: DataFrame, keys: Sequence[str], column: str, seconds: int = DAY, max_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add time slices that stay small where a key is busy.
 
-    Rows are counted per (key, slice) first, which reads two columns and moves one number per slice. The slices with more than
-    ``max_rows`` rows, at most rows / ``max_rows`` of them, are cut into single seconds.
-    """
-    on = [*keys, SLICE]
-    rows = df.withColumn(SLICE, time_slice(df, column, seconds))
-    full = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    full = cut_lineage(full.select(*on, F.lit(True).alias("_full")))
-    busy = full.count()
-    if busy == 0:
-        return rows
-    joined = rows.join(F.broadcast(full) if busy <= BROADCAST_ROWS else full, on, "left")
-    return joined.withColumn(SLICE, F.when(F.col("_full"), _second(df, column)).otherwise(F.col(SLICE))).select(*df.columns, SLICE)
+def time_sliced(df: DataFrame, column: str, seconds: float = DAY) -> DataFrame:
+    """Add time slices of one fixed width: choose ``seconds`` so that the busiest key's rows of one slice fit a task."""
+    return df.withColumn(SLICE, time_slice(df, column, seconds))
 
 
 def _local(keys: Sequence[str], order: Sequence[str]) -> Window:

@@ -53,12 +53,24 @@ def limit_positions(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
     return rows.withColumn("slot", slot).where(F.col("slot") <= n)
 
 
-def random_offsets(starts: DataFrame, n: int, range_mm: float, seed: int = 0) -> DataFrame:
-    """``n`` seeded uniform positions round each start point (x, y)."""
+#: Prime modulus of the seeded numbers.
+PRIME = 2_147_483_647
+
+
+def random_offsets(starts: DataFrame, n: int, range_mm: float, key: str, seed: int = 0) -> DataFrame:
+    """``n`` seeded uniform positions round each start point (x, y) with its integer ``key``.
+
+    The numbers are squares and products modulo a prime: whole-number arithmetic that gives the same everywhere.
+    """
     rows = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    p = F.lit(PRIME).cast("long")
+
+    def mixed(x: Column) -> Column:
+        return (x * x + x * 1_103_515_245 + 12_345) % p
 
     def offset(salt: int) -> Column:
-        unit = F.pmod(F.xxhash64(*starts.columns, "k", F.lit(seed), F.lit(salt)), F.lit(1 << 53)) / float(1 << 53)
-        return (2.0 * unit - 1.0) * range_mm
+        start = F.pmod(F.col(key).cast("long"), p)
+        first = (start * 48_271 + F.col("k") * 69_621 + F.lit(seed * 40_692 + salt * 16_807).cast("long")) % p
+        return (2.0 * (mixed(mixed(first)) / float(PRIME)) - 1.0) * range_mm
 
     return rows.withColumn("x", F.col("x") + offset(1)).withColumn("y", F.col("y") + offset(2))

@@ -139,9 +139,8 @@ def reference_track(points: DataFrame, anchors: DataFrame | None = None, min_poi
     seen = seen.withColumn("z_ref", F.when(F.col("_n") >= min_points, F.col("_sum") / F.col("_n"))).drop("_sum", "_n")
     if anchors is None:
         return seen.withColumn("z_applied", F.col("z_ref"))
-    at = seen.join(anchors, [KEY]).where(F.col("seq") <= F.col("anchor_seq")).groupBy(KEY, "anchor_seq", "z_anchor").agg(
-        F.max_by("z_ref", F.struct(*order)).alias("_then")
-    )
+    known = points.join(anchors, [KEY]).where(F.col("seq") <= F.col("anchor_seq"))
+    at = known.groupBy(KEY, "anchor_seq", "z_anchor").agg(F.when(F.count(F.lit(1)) >= min_points, F.avg("z")).alias("_then"))
     rows = seen.join(at, KEY, "left")
     z = F.when(F.col("seq") >= F.col("anchor_seq"), F.col("z_anchor") + F.col("z_ref") - F.col("_then")).otherwise(F.col("z_ref"))
     return rows.select(*[c for c in seen.columns], z.alias("z_applied"))

@@ -69,11 +69,11 @@ def flat_field(spark, sf_dir):
 
 
 def mode_colour(spark, sf_dir):
-    return pixels.mode_colour(tables.rgb(spark, sf_dir), 1)
+    return pixels.mode_colour(tables.rgb(spark, sf_dir))
 
 
 def mode_colour_thin(spark, sf_dir):
-    return pixels.mode_colour(tables.rgb(spark, sf_dir))
+    return pixels.mode_colour(tables.rgb(spark, sf_dir), 4)
 
 
 def colour_mask(spark, sf_dir):

@@ -10,6 +10,7 @@ from scanlake.plans.frames_catalogue import EQUALISE
 
 C = F.col
 SIZE = (8, 8)
+REACH = 240
 
 
 def otsu(spark, sf_dir):
@@ -63,16 +64,16 @@ def mark_like(spark, sf_dir):
 
 
 def box_centres(spark, sf_dir):
-    return marks.box_centres(marks.components(_binary(spark, sf_dir), size=SIZE))
+    return marks.box_centres(marks.components(_binary(spark, sf_dir), tile=4))
 
 
 def moment_centres(spark, sf_dir):
-    return marks.moment_centres(marks.components(_binary(spark, sf_dir), size=SIZE), 10)
+    return marks.moment_centres(marks.components(_binary(spark, sf_dir), tile=4), 10)
 
 
 def largest_centre(spark, sf_dir):
     frames = tables.load(spark, sf_dir, "embeddings").selectExpr("vec_id AS frame_id")
-    return marks.largest_centre(marks.components(_binary(spark, sf_dir), size=SIZE), frames, SIZE)
+    return marks.largest_centre(marks.components(_binary(spark, sf_dir), tile=4), frames, SIZE)
 
 
 def suppress(spark, sf_dir):
@@ -85,15 +86,16 @@ gr AS (SELECT frame_id, a, 1 AS k, [a[1]] AS kept FROM al
   UNION ALL SELECT frame_id, a, k + 1, CASE WHEN len(list_filter(kept, lambda e: abs(e.x - a[k + 1].x) <= {r} AND abs(e.y - a[k + 1].y) <= {r})) > 0 THEN kept ELSE list_append(kept, a[k + 1]) END
   FROM gr WHERE k < len(a)),
 kp AS (SELECT frame_id, unnest(kept, recursive := true) FROM gr WHERE k = len(a))"""
-_PAIRS = """pr AS (SELECT a.frame_id, a.id AS id_a, a.x AS x_a, a.y AS y_a, b.id AS id_b, b.x AS x_b, b.y AS y_b FROM kp a JOIN kp b ON a.frame_id = b.frame_id AND (a.id, a.x, a.y) < (b.id, b.x, b.y))"""
+_PAIRS = f"""pr AS (SELECT a.frame_id, a.id AS id_a, a.x AS x_a, a.y AS y_a, b.id AS id_b, b.x AS x_b, b.y AS y_b FROM kp a JOIN kp b ON a.frame_id = b.frame_id AND (a.id, a.x, a.y) < (b.id, b.x, b.y)
+  AND abs(a.x - b.x) <= {REACH} AND abs(a.y - b.y) <= {REACH})"""
 
 
 def pairs(spark, sf_dir):
-    return marks.pairwise(marks.suppress_near(tables.marks(spark, sf_dir)))
+    return marks.near_pairs(marks.suppress_near(tables.marks(spark, sf_dir)), REACH)
 
 
 def rotation(spark, sf_dir):
-    return marks.grid_rotation(tables.marks(spark, sf_dir)).select("frame_id", F.round("angle_deg", 5).alias("angle_deg"))
+    return marks.grid_rotation(tables.marks(spark, sf_dir), REACH).select("frame_id", F.round("angle_deg", 5).alias("angle_deg"))
 
 
 def digit_boxes(spark, sf_dir):
@@ -138,7 +140,7 @@ QUERIES = {
         ),
     ),
     "tk5_suppress_near": (suppress, tables.sql("SELECT frame_id, id, x, y FROM kp", "fx_marks", extra=_KEPT.format(r=40), recursive=True)),
-    "jn5_pairwise": (pairs, tables.sql("SELECT * FROM pr", "fx_marks", extra=_KEPT.format(r=20) + ", " + _PAIRS, recursive=True)),
+    "jn5_near_pairs": (pairs, tables.sql("SELECT * FROM pr", "fx_marks", extra=_KEPT.format(r=20) + ", " + _PAIRS, recursive=True)),
     "ag15_grid_rotation": (
         rotation,
         tables.sql(

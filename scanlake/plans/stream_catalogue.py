@@ -15,18 +15,31 @@ C = F.col
 BATCHES = 3
 
 
-def _stream_of(rows, order):
-    """Write a table in ranges of a column and stream its files in a few batches, in whatever order they were written."""
+#: Event time by which the feeds may be out of order, and the time of the row that closes them.
+DELAY = "2000 days"
+CLOSING = "timestamp'2100-01-01 00:00:00'"
+#: Second of step 0; a stream's first watermark is the epoch, and what is not later is too late.
+START = 1_000_000_000
+
+
+def _stream_of(rows, order, closing=None):
+    """Write a table in ranges of a column and stream its files in a few batches, in whatever order they were written.
+
+    ``closing`` are columns of one more row, in a file of its own, that moves the watermark past all others.
+    """
     spark = rows.sparkSession
     path = shared_path(spark, "feed")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.repartitionByRange(ranges, order).write.parquet(path)
+    if closing:
+        spark.range(1).selectExpr(*[f"CAST({closing.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in rows.schema]).write.mode("append").parquet(path)
     return windows.read_stream(spark, path, rows.schema, files_per_trigger=-(-ranges // BATCHES))
 
 
-def _table_stream(spark, sf_dir, name):
-    schema = tables.load(spark, sf_dir, name).schema
-    return windows.read_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+def _events(spark, sf_dir, closing=None):
+    """The events as a stream of several batches with a zoned time."""
+    events = tables.load(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp")).drop("props")
+    return _stream_of(events, "ts", closing).withColumnRenamed("user_id", "instrument_id")
 
 
 def temporal_average(spark, sf_dir):
@@ -40,38 +53,44 @@ def temporal_average(spark, sf_dir):
 
 
 def frame_rate(spark, sf_dir):
-    events = windows.with_event_time(_table_stream(spark, sf_dir, "events")).where("event_type = 'purchase'").withColumnRenamed("user_id", "instrument_id")
+    events = _events(spark, sf_dir).withWatermark("ts", DELAY).where("event_type = 'purchase'")
     return windows.run_available(windows.stream_frame_rate(events, seconds=3600), "update", ["instrument_id", "window_start"])
 
 
 def latest_frame(spark, sf_dir):
-    events = _table_stream(spark, sf_dir, "events").where("event_type = 'purchase'").select(C("user_id").alias("instrument_id"), "ts", C("event_id").alias("frame_id"))
+    events = _events(spark, sf_dir).where("event_type = 'purchase'").select("instrument_id", "ts", C("event_id").alias("frame_id"))
     return windows.run_available(windows.latest_frame(events), "update", ["instrument_id"]).select("instrument_id", "frame_id")
 
 
 def progress(spark, sf_dir):
-    stream = _table_stream(spark, sf_dir, "orders").select((C("o_custkey") % 20).alias("scan_id"))
+    stream = _stream_of(tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select((C("o_custkey") % 20).alias("scan_id"))
     totals = tables.scan_points(spark, sf_dir).groupBy("scan_id").agg((F.count(F.lit(1)) + 100).alias("total"))
     return windows.run_available(windows.stream_progress(stream, totals), "update", ["scan_id"])
 
 
 def peak(spark, sf_dir):
-    out = windows.run_available(stateful.stream_peak(_stream_of(tables.sweep(spark, sf_dir), "i"), 10))
-    return out.select("sweep_id", "peak_i", F.round("peak_z", 6).alias("peak_z"))
+    # one gap in 29 steps: by turns the row is missing, or only its metric
+    rows = tables.sweep(spark, sf_dir).where("i % 58 <> 13").withColumn("metric", F.when(C("i") % 29 != 13, C("metric")))
+    rows = rows.withColumn("ts", F.timestamp_seconds(C("i") + START))
+    feed = _stream_of(rows, "i", {"sweep_id": "-1", "ts": CLOSING, "i": "0"}).withWatermark("ts", DELAY)
+    out = windows.run_available(stateful.stream_peak(feed, 10))
+    return out.select("sweep_id", "peak_kind", "peak_i", F.round("peak_z", 6).alias("peak_z"))
 
 
 def edge(spark, sf_dir):
-    out = windows.run_available(stateful.stream_edge(_stream_of(tables.edge(spark, sf_dir), "i"), 2))
+    rows = tables.edge(spark, sf_dir).withColumn("ts", F.timestamp_seconds(C("i") + START))
+    feed = _stream_of(rows, "i", {"scan_id": "-1", "dir": "'end'", "ts": CLOSING, "i": "0"}).withWatermark("ts", DELAY)
+    out = windows.run_available(stateful.stream_edge(feed, 2)).where("scan_id >= 0")
     return out.select("scan_id", "dir", F.round("edge_mm", 6).alias("edge_mm"), "edge_kind")
 
 
 def latest_position(spark, sf_dir):
-    events = _table_stream(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp")).withColumnRenamed("user_id", "instrument_id")
+    events = _events(spark, sf_dir, {"user_id": "-1", "event_id": "-1", "ts": CLOSING, "value": "0", "event_type": "'click'"})
     captures = events.where("event_type = 'purchase'").select(C("event_id").alias("capture_id"), "instrument_id", "ts")
     good = "concat(CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), ',', CAST(event_id AS STRING), ',', CAST(instrument_id AS STRING))"
     lines = events.where("event_type <> 'purchase'").selectExpr("instrument_id", "ts", f"CASE WHEN event_type = 'error' THEN 'ERR' ELSE {good} END AS line")
     readings = logs.parse_position_reply(lines).where("x IS NOT NULL")
-    return windows.run_available(stateful.stream_latest_position(captures, readings, "0 seconds"))
+    return windows.run_available(stateful.stream_latest_position(captures, readings, DELAY))
 
 
 QUERIES = {
@@ -87,15 +106,14 @@ QUERIES = {
         latest_frame, tables.sql("SELECT instrument_id, arg_max(capture_id, (ts, capture_id)) AS frame_id FROM fx_captures GROUP BY 1", "fx_captures"),
     ),
     "sm4_stream_peak": (
-        peak, "SELECT sweep_id, peak_i, peak_z FROM (" + _peak_sql("fx_sweep", 10) + ") WHERE peak_kind = 'crossing'",
+        peak, "SELECT sweep_id, peak_kind, peak_i, peak_z FROM (" + _peak_sql("fx_gappy", 10) + ")",
     ),
     "sm5_stream_edge": (
-        edge, tables.sql("SELECT scan_id, dir, round(edge_mm, 6) AS edge_mm, edge_kind FROM e WHERE edge_kind = 'crossed' OR (scan_id, dir) IN (SELECT (scan_id, dir) FROM hit WHERE n = 300)", "fx_edge", extra=_EDGE_CTE),
+        edge, tables.sql("SELECT scan_id, dir, round(edge_mm, 6) AS edge_mm, edge_kind FROM e", "fx_edge", extra=_EDGE_CTE),
     ),
     "sm6_stream_progress": (
         progress,
         "SELECT o_custkey % 20 AS scan_id, count(*) AS captured, count(*) + 100 AS total, CAST(10 + floor(count(*) / (count(*) + 100) * 85) AS INT) AS pct FROM orders GROUP BY 1",
     ),
-    # captures in the last millisecond of the stream wait for a watermark that has passed them
-    "sm7_stream_latest_position": (latest_position, LATEST_SQL + " WHERE c.ts < (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE event_type <> 'error')"),
+    "sm7_stream_latest_position": (latest_position, LATEST_SQL),
 }

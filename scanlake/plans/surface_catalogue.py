@@ -157,12 +157,12 @@ QUERIES = {
     "wn10_reference_track": (
         reference_track,
         tables.sql(
-            """SELECT map_id, seq, x, y, round(z_ref, 6) AS z_ref, round(CASE WHEN seq >= anchor_seq AND then_ref IS NOT NULL OR (seq >= anchor_seq AND a.map_id IS NOT NULL) THEN z_anchor + z_ref - then_ref ELSE z_ref END, 6) AS z_applied
+            """SELECT map_id, seq, x, y, round(z_ref, 6) AS z_ref, round(CASE WHEN seq >= anchor_seq THEN z_anchor + z_ref - then_ref ELSE z_ref END, 6) AS z_applied
             FROM rt LEFT JOIN at_anchor a USING (map_id)""",
             "fx_points",
-            extra="""rt AS (SELECT map_id, seq, x, y, z, CASE WHEN count(*) OVER w >= 3 THEN avg(z) OVER w END AS z_ref
+            extra="""rt AS MATERIALIZED (SELECT map_id, seq, x, y, z, CASE WHEN count(*) OVER w >= 3 THEN avg(z) OVER w END AS z_ref
               FROM (SELECT * REPLACE (z * 10471975511965976e-16 AS z) FROM fx_points) WINDOW w AS (PARTITION BY map_id ORDER BY seq, x, y, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-            at_anchor AS (SELECT map_id, anchor_seq, z_anchor, arg_max(z_ref, (seq, x, y, z)) AS then_ref FROM rt
+            at_anchor AS (SELECT map_id, anchor_seq, z_anchor, CASE WHEN count(*) >= 3 THEN avg(z) END AS then_ref FROM rt
               JOIN (SELECT s_suppkey AS map_id, s_suppkey * 1000 AS anchor_seq, s_acctbal / 100 AS z_anchor FROM supplier) USING (map_id) WHERE seq <= anchor_seq GROUP BY ALL)""",
         ),
     ),

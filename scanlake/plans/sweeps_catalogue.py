@@ -138,7 +138,7 @@ def find_edge(spark, sf_dir):
 
 _EDGE_CTE = """th AS (SELECT scan_id, dir, greatest(1e1, 5e-1 * arg_min(intensity, i)) AS threshold FROM fx_edge GROUP BY 1, 2),
 runs AS (SELECT *, sum(CASE WHEN intensity < threshold THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id, dir ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS run
-  FROM fx_edge JOIN th USING (scan_id, dir) WHERE i < 300),
+  FROM fx_edge JOIN th USING (scan_id, dir)),
 hit AS (SELECT scan_id, dir, min(CASE WHEN run = 2 THEN i END) AS hit_i, max(i) AS last, count(*) AS n FROM runs GROUP BY 1, 2),
 e AS (SELECT scan_id, dir, CASE WHEN hit_i IS NOT NULL THEN r.pos_mm - r.step_mm WHEN n > 50 THEN r.pos_mm END AS edge_mm,
   CASE WHEN hit_i IS NOT NULL THEN 'crossed' WHEN n > 50 THEN 'limit' ELSE 'none' END AS edge_kind FROM hit JOIN runs r USING (scan_id, dir) WHERE r.i = coalesce(hit_i, last))"""

@@ -38,7 +38,7 @@ def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy recorded sweeps, one per user, in time order."""
     events = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    seen = ordered.dense_index(ordered.time_sliced(events, ["user_id"], "ts"), ["user_id"], ["ts", "event_id"])
+    seen = ordered.dense_index(ordered.time_sliced(events, "ts"), ["user_id"], ["ts", "event_id"])
     return seen.selectExpr("user_id AS sweep_id", "i", "i * 3e-3 AS z_mm", "value AS metric")
 
 
@@ -112,6 +112,7 @@ FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) -
     "fx_rgb": "SELECT frame_id, r, c, v AS blue, (v * 7 + 13) % 256 AS green, (v * 3 + 29) % 256 AS red FROM fx_frames",
     "fx_sweep": """SELECT user_id AS sweep_id, i, i * 3e-3 AS z_mm, value AS metric
 FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)""",
+    "fx_gappy": """SELECT sweep_id, row_number() OVER (PARTITION BY sweep_id ORDER BY i) - 1 AS i, z_mm, metric FROM fx_sweep WHERE i % 29 <> 13""",
     "fx_focus": """SELECT *, 100 + 5000 * exp(-power((z_mm - z_true) / 5e-2, 2)) AS metric
 FROM (SELECT o_custkey AS sweep_id, i, i * 2e-2 AS z_mm, 1e-1 + (o_custkey % 20) * 1e-2 AS z_true
       FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders))""",
@@ -144,7 +145,7 @@ FROM events WHERE event_type <> 'purchase'""",
   AS t(layer, red, green, blue)""",
 }
 
-_NEEDS = {"fx_rgb": ["fx_frames"], "fx_edge": ["fx_sweep"]}
+_NEEDS = {"fx_rgb": ["fx_frames"], "fx_gappy": ["fx_sweep"], "fx_edge": ["fx_sweep"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False, extra: str = "") -> str:

@@ -206,7 +206,8 @@ def crop(spark, sf_dir):
 
 def random_offsets(spark, sf_dir):
     starts = tables.load(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_acctbal AS x", "s_acctbal / 2 AS y")
-    return planning.random_offsets(starts, 10, 0.5, seed=7)
+    out = planning.random_offsets(starts, 10, 0.5, "s_suppkey", seed=7)
+    return out.select("s_suppkey", "k", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 _CHARS = "".join(naming.DIGIT_LOOKALIKES)
@@ -364,5 +365,12 @@ QUERIES = {
         FROM (SELECT o_orderkey, o_totalprice / 1e4 AS a, o_custkey / 50e0 AS b, (o_orderkey % 40) * 1e0 AS c, (o_custkey % 60) * 1e0 AS d FROM orders))""",
     ),
     "ag1_frame_intensity": (frame_intensity, tables.sql("SELECT frame_id, round(avg(v), 6) AS intensity FROM fx_frames GROUP BY 1", "fx_frames")),
-    "tk7_random_offsets": (random_offsets, None),
+    "tk7_random_offsets": (
+        random_offsets,
+        """WITH s AS (SELECT s_suppkey, CAST(unnest(range(10)) AS INT) AS k, s_acctbal AS x, s_acctbal / 2 AS y FROM supplier),
+        f AS (SELECT *, (CAST(s_suppkey AS BIGINT) * 48271 + k * 69621 + 7 * 40692 + 16807) % 2147483647 AS a, (CAST(s_suppkey AS BIGINT) * 48271 + k * 69621 + 7 * 40692 + 2 * 16807) % 2147483647 AS b FROM s),
+        g AS (SELECT *, (a * a + a * 1103515245 + 12345) % 2147483647 AS a1, (b * b + b * 1103515245 + 12345) % 2147483647 AS b1 FROM f),
+        h AS (SELECT *, (a1 * a1 + a1 * 1103515245 + 12345) % 2147483647 AS a2, (b1 * b1 + b1 * 1103515245 + 12345) % 2147483647 AS b2 FROM g)
+        SELECT s_suppkey, k, round(x + (2 * (a2 / 2147483647e0) - 1) * 5e-1, 9) AS x, round(y + (2 * (b2 / 2147483647e0) - 1) * 5e-1, 9) AS y FROM h""",
+    ),
 }

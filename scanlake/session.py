@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +23,7 @@ def get_session(app: str = "scanlake", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         # no call-site capture on every column expression: it costs more than building the plan
@@ -36,12 +36,13 @@ def get_session(app: str = "scanlake", master: str | None = None, **conf: str) -
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or one below the warehouse if that is not set.
+
+    Checkpoints in it go with their tables (``get_session`` turns that on); other files stay until the folder is cleaned.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="scanlake-")
+        root = spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -19,19 +19,29 @@ from scanlake.operators import edges, sweeps
 from scanlake.streaming.windows import WATERMARK
 
 
+#: Event time after a key's newest row at which it counts as finished.
+REST_MS = 60_000
+
+
 class InOrder(StatefulProcessor):
-    """Hands the rows of a key to ``advance`` in index order.
+    """Hands the rows of a key to ``advance`` in index order, and ends a key that has come to rest.
 
-    ``memory`` is the state schema of the subclass; its first column is the next index due.
+    ``memory`` is the state schema of the subclass; its first column is the next index due. With event times a timer goes on past
+    a row that is missing once the watermark has passed the rows behind it (their predecessor would be too late), and calls
+    ``finish`` and forgets the key once it has passed the newest row by ``rest_ms``. Without event times rows behind a gap wait.
     """
 
     index = "i"
     columns = ""
     memory = ""
+    timed = False
+    rest_ms = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("memory", self.memory)
         self.waiting = handle.getListState("waiting", self.columns)
+        self.newest = handle.getValueState("newest", "us bigint")
         self.names = [part.split()[0] for part in self.columns.split(", ")]
 
     def start(self) -> tuple:
@@ -40,34 +50,88 @@ class InOrder(StatefulProcessor):
     def advance(self, key: tuple, run: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame | None, tuple]:
         raise NotImplementedError
 
+    def finish(self, key: tuple, memory: tuple) -> pd.DataFrame | None:
+        """Last row of a key at rest, if it has one to give."""
+        return None
+
+    def _held(self) -> pd.DataFrame:
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        return pd.DataFrame(rows, columns=self.names)
+
+    def _go(self, key, held: pd.DataFrame, memory: tuple, passed_us: int | None = None) -> tuple[list[pd.DataFrame], pd.DataFrame, tuple]:
+        """Advance over what is due, and over gaps before rows that the watermark has passed."""
+        out = []
+        held = held.sort_values(self.index, ignore_index=True)
+        while len(held):
+            due = held[self.index].to_numpy()
+            length = int((due == memory[0] + np.arange(len(held))).cumprod().sum())
+            if not length:
+                if passed_us is None or due[0] > memory[0] and held["us"].iat[0] > passed_us:
+                    break
+                memory = (int(due[0]), *memory[1:]) if due[0] > memory[0] else memory
+                held = held[due >= memory[0]]  # rows that come again are dropped
+                continue
+            rows, memory = self.advance(key, held[:length], memory)
+            memory = (int(due[length - 1]) + 1, *memory[1:])
+            held = held[length:]
+            if rows is not None and len(rows):
+                out.append(rows)
+        return out, held, memory
+
+    def _keep(self, held: pd.DataFrame, memory: tuple) -> None:
+        self.state.update(memory)
+        if len(held):
+            self.waiting.put([tuple(None if isinstance(v, float) and np.isnan(v) else v.tolist() if hasattr(v, "tolist") else v for v in row) for row in held.itertuples(index=False)])
+        elif self.waiting.exists():
+            self.waiting.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         memory = tuple(self.state.get()) if self.state.exists() else self.start()
-        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.names) if self.waiting.exists() else None
+        held = self._held()
         for chunk in rows:
             chunk = chunk[self.names]
-            held = chunk if held is None else pd.concat([held, chunk], ignore_index=True)
-            held = held.sort_values(self.index, ignore_index=True)
-            due = memory[0]
-            length = int((held[self.index].to_numpy() == due + np.arange(len(held))).cumprod().sum())
-            if length:
-                out, memory = self.advance(key, held[:length], memory)
-                memory = (due + length, *memory[1:])
-                held = held[length:]
-                if out is not None and len(out):
-                    yield out
-        self.state.update(memory)
-        if held is not None and len(held):
-            self.waiting.put([tuple(v.tolist() if hasattr(v, "tolist") else v for v in row) for row in held.itertuples(index=False)])
-        elif self.waiting.exists():
-            self.waiting.clear()
+            if self.timed:
+                self._see(int(chunk["us"].max()))
+            out, held, memory = self._go(key, chunk if not len(held) else pd.concat([held, chunk], ignore_index=True), memory)
+            yield from out
+        self._keep(held, memory)
+
+    def _see(self, us: int) -> None:
+        newest = max(us, self.newest.get()[0]) if self.newest.exists() else us
+        self.newest.update((newest,))
+        self.handle.registerTimer(newest // 1000 + self.rest_ms + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        out, held, memory = self._go(key, self._held(), tuple(self.state.get()), passed * 1000)
+        yield from out
+        if len(held) or self.newest.get()[0] // 1000 + self.rest_ms >= passed:
+            self._keep(held, memory)
+            return
+        last = self.finish(key, memory)
+        for state in (self.state, self.waiting, self.newest):
+            if state.exists():
+                state.clear()
+        if last is not None:
+            yield last
 
     def close(self) -> None:
         pass
 
 
+def _timed(processor: InOrder, stream: DataFrame, columns: list, rest_ms: int) -> tuple[DataFrame, str]:
+    """The columns of a stream with its event time ``ts`` (watermarked by the caller) if it has one, and the time mode."""
+    if "ts" not in stream.columns:
+        return stream.select(*columns, F.lit(0).cast("long").alias("us")), "none"
+    processor.timed, processor.rest_ms = True, rest_ms
+    return stream.select(*columns, F.unix_micros("ts").alias("us"), "ts"), "EventTime"
+
+
 class TemporalAverage(InOrder):
     index = "n"
-    columns = "n bigint, v array<double>"
+    columns = "n bigint, us bigint, v array<double>"
     memory = "due bigint, tail array<array<double>>"
 
     def __init__(self, depth: int):
@@ -88,101 +152,153 @@ class TemporalAverage(InOrder):
         return out, (memory[0], keep.tolist())
 
 
-def stream_temporal_average(stream: DataFrame, n: int) -> DataFrame:
+def stream_temporal_average(stream: DataFrame, n: int, rest_ms: int = REST_MS) -> DataFrame:
     """Rolling mean of the last ``n`` frames of every pixel.
 
     A row is one tile of one frame, (camera, tile, n, v) with the tile's values in ``v``, so a busy camera spreads over its tiles
-    and numpy averages whole tiles. Gives (camera, tile, n, avg_v).
+    and numpy averages whole tiles. Gives (camera, tile, n, avg_v). With an event time ``ts`` a lost frame is passed over.
     """
     schema = stream.schema
     types = {c: schema[c].dataType.simpleString() for c in ("camera", "tile")}
-    rows = stream.select("camera", "tile", F.col("n").cast("long").alias("n"), F.col("v").cast("array<double>").alias("v"))
+    search = TemporalAverage(n)
+    rows, mode = _timed(search, stream, ["camera", "tile", F.col("n").cast("long").alias("n"), F.col("v").cast("array<double>").alias("v")], rest_ms)
     out = f"camera {types['camera']}, tile {types['tile']}, n bigint, avg_v array<int>"
-    return rows.groupBy("camera", "tile").transformWithStateInPandas(TemporalAverage(n), out, "append", "none")
+    return rows.groupBy("camera", "tile").transformWithStateInPandas(search, out, "append", mode)
 
 
 class PeakSearch(InOrder):
-    columns = "i bigint, z_mm double, metric double"
-    memory = "due bigint, head array<double>, recent array<double>, up boolean, floor double, done boolean"
+    """The search of ``sweeps.find_peak_crossing``, which see; steps without a metric are passed over and not counted."""
+
+    columns = "i bigint, us bigint, z_mm double, metric double"
+    memory = "due bigint, n bigint, head array<double>, recent array<double>, up boolean, floor double, done boolean, last_z double"
 
     def __init__(self, trend_n: int):
         self.first = max(4, trend_n)
         self.half = sweeps.half_window(trend_n)
 
     def start(self):
-        return 0, [], [], False, 0.0, False
+        return 0, 0, [], [], False, 0.0, False, 0.0
 
-    def noise_floor(self, head: list[float]) -> float:
+    def noise_floor(self, head: np.ndarray) -> float:
+        """``sweeps.NOISE_FACTOR`` times the median of the smaller half of the steps, 0 for fewer than three."""
         steps = np.sort(np.abs(np.diff(head)))
         return float(np.median(steps[: max(1, len(steps) // 2)])) * sweeps.NOISE_FACTOR if len(steps) >= 3 else 0.0
 
+    def after_head(self, head: list, up: bool, done: bool) -> tuple[float, bool]:
+        """Noise floor, and whether the sweep still counts as rising, once its first steps are known."""
+        floor = self.noise_floor(np.array(head))
+        lost = floor > 0 and not done and len(head) > 1 and max(head[1:]) - head[0] <= floor
+        return floor, up and not lost
+
+    @staticmethod
+    def crossing(rises: np.ndarray, falls: np.ndarray, up: bool) -> tuple[int | None, bool]:
+        """First place that falls after a rise (``up``: there was one before), and whether there was a rise in all."""
+        before = np.concatenate(([up], up | np.logical_or.accumulate(rises)))
+        hit = np.flatnonzero(falls & before[:-1])
+        return (int(hit[0]) if len(hit) else None), bool(before[-1])
+
     def advance(self, key, run, memory):
-        due, head, recent, up, floor, done = memory
-        head, recent, found = list(head), list(recent), None
-        for i, z, m in zip(run["i"], run["z_mm"], run["metric"]):
-            if done:
-                break
-            if recent:
-                delta, smoothed = m - recent[-1], (m - recent[0]) / len(recent)
-                if i <= self.first:
-                    done = up and smoothed < 0
-                    up = up or smoothed > 0
-                else:
-                    done = up and (delta < -floor or (smoothed <= floor and smoothed < 0))
-                    up = up or smoothed > floor
-                if done:
-                    found = (i, z)
-            recent = (recent + [float(m)])[-self.half:]
-            if i <= self.first:
-                head.append(float(m))
-            if i == self.first:
-                floor = self.noise_floor(head)
-                if floor > 0 and not done and max(head[1:]) - head[0] <= floor:
-                    up = False
-        out = pd.DataFrame({"sweep_id": [key[0]], "peak_i": [found[0]], "peak_z": [found[1]]}) if found else None
-        return out, (due, head, recent, bool(up), floor, bool(done))
-
-
-def stream_peak(stream: DataFrame, trend_n: int = 10) -> DataFrame:
-    """Reports a sweep's peak crossing (sweep_id, peak_i, peak_z) when its step arrives."""
+        due, n, head, recent, up, floor, done, last_z = memory
+        run = run[run["metric"].notna()]
+        if not len(run):
+            return None, memory
+        head, recent = list(head), list(recent)
+        value, z = run["metric"].to_numpy(float), run["z_mm"].to_numpy(float)
+        count = n + np.arange(len(run))
+        whole = np.concatenate((recent, value))
+        span = np.minimum(self.half, count)
+        at = len(recent) + np.arange(len(run))
+        delta = value - whole[np.maximum(at - 1, 0)]
+        smoothed = np.divide(value - whole[at - span], span, out=np.zeros(len(run)), where=span > 0)
+        early, found = count <= self.first, None
+        head += value[early].tolist()
+        if not done and early.any():
+            found, up = self.crossing(smoothed[early] > 0, smoothed[early] < 0, up)
+        if n <= self.first < n + len(run):
+            floor, up = self.after_head(head, up, done or found is not None)
+        if not done and found is None and not early.all():
+            late = ~early
+            rises = smoothed[late] > floor
+            found, up = self.crossing(rises, (delta[late] < -floor) | (~rises & (smoothed[late] < 0)), up)
+            found = None if found is None else found + int(early.sum())
+        out = None
+        if found is not None:
+            done, out = True, self.row(key, "crossing", int(count[found]), z[found])
+        return out, (due, n + len(run), head, whole[-self.half:].tolist(), bool(up), floor, bool(done), float(z[-1]))
+
+    @staticmethod
+    def row(key, kind, i, z):
+        return pd.DataFrame({"sweep_id": [key[0]], "peak_kind": [kind], "peak_i": pd.array([i], "Int64"), "peak_z": [z]})
+
+    def finish(self, key, memory):
+        _, n, head, _, up, _, done, last_z = memory
+        if done or not n:
+            return None
+        if n <= self.first:
+            _, up = self.after_head(list(head), up, done)
+        return self.row(key, "boundary", n - 1, last_z) if up else self.row(key, "none", None, None)
+
+
+def stream_peak(stream: DataFrame, trend_n: int = 10, rest_ms: int = REST_MS) -> DataFrame:
+    """Reports how a sweep ends (sweep_id, peak_kind, peak_i, peak_z): a ``crossing`` when its step arrives.
+
+    With an event time ``ts`` gaps are passed over, and ``boundary`` or ``none`` follows once the sweep has been at rest for ``rest_ms``.
+    """
     key = stream.schema["sweep_id"].dataType.simpleString()
-    rows = stream.select("sweep_id", F.col("i").cast("long").alias("i"), "z_mm", "metric")
-    return rows.groupBy("sweep_id").transformWithStateInPandas(PeakSearch(trend_n), f"sweep_id {key}, peak_i bigint, peak_z double", "append", "none")
+    search = PeakSearch(trend_n)
+    rows, mode = _timed(search, stream, ["sweep_id", F.col("i").cast("long").alias("i"), "z_mm", "metric"], rest_ms)
+    return rows.groupBy("sweep_id").transformWithStateInPandas(search, f"sweep_id {key}, peak_kind string, peak_i bigint, peak_z double", "append", mode)
 
 
 class EdgeSearch(InOrder):
-    columns = "i bigint, step_mm double, pos_mm double, intensity double"
-    memory = "due bigint, threshold double, dark bigint, done boolean"
+    """The search of ``edges.find_edge`` below half of the first intensity, which see."""
 
-    def __init__(self, k: int, cap: int):
+    columns = "i bigint, us bigint, step_mm double, pos_mm double, intensity double"
+    memory = "due bigint, n bigint, threshold double, dark bigint, done boolean, last_pos double"
+
+    def __init__(self, k: int):
         self.k = k
-        self.cap = cap
 
     def start(self):
-        return 0, -1.0, 0, False
+        return 0, 0, -1.0, 0, False, 0.0
 
     def advance(self, key, run, memory):
-        due, threshold, dark, done = memory
-        found = None
-        for i, step, pos, value in run[["i", "step_mm", "pos_mm", "intensity"]].itertuples(index=False):
-            if done or i >= self.cap:
-                break
-            if threshold < 0:
-                threshold = max(10.0, 0.5 * value)
-            dark = dark + 1 if value < threshold else 0
-            if dark >= self.k:
-                done, found = True, (pos - (self.k - 1) * step, "crossed")
-            elif i == self.cap - 1:
-                done, found = True, (pos, "limit")
-        out = pd.DataFrame({"scan_id": [key[0]], "dir": [key[1]], "edge_mm": [found[0]], "edge_kind": [found[1]]}) if found else None
-        return out, (due, float(threshold), int(dark), bool(done))
-
-
-def stream_edge(stream: DataFrame, k: int = 3, cap: int = edges.MAX_STEPS) -> DataFrame:
-    """Reports a trace's edge when the ``k``-th dark step in a row arrives, or its last position at ``cap`` steps."""
+        due, n, threshold, dark, done, _ = memory
+        value, pos = run["intensity"].to_numpy(float), run["pos_mm"].to_numpy(float)
+        if n == 0:
+            threshold = max(10.0, 0.5 * float(value[0]))
+        below = value < threshold
+        place = np.arange(1, len(run) + 1)
+        lit = np.maximum.accumulate(np.where(below, 0, place))  # last place that is not dark
+        length = np.where(lit > 0, place - lit, place + dark)
+        hit = np.flatnonzero(below & (length >= self.k))
+        out = None
+        if not done and len(hit):
+            done = True
+            out = self.row(key, pos[hit[0]] - (self.k - 1) * run["step_mm"].to_numpy(float)[hit[0]], "crossed")
+        return out, (due, n + len(run), float(threshold), int(length[-1]) if below[-1] else 0, bool(done), float(pos[-1]))
+
+    @staticmethod
+    def row(key, edge, kind):
+        return pd.DataFrame({"scan_id": [key[0]], "dir": [key[1]], "edge_mm": [edge], "edge_kind": [kind]})
+
+    def finish(self, key, memory):
+        _, n, _, _, done, last_pos = memory
+        if done or not n:
+            return None
+        return self.row(key, last_pos, "limit") if n > edges.LIMIT_STEPS else self.row(key, None, "none")
+
+
+def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms: int = REST_MS) -> DataFrame:
+    """Reports a trace's edge (scan_id, dir, edge_mm, edge_kind): ``crossed`` when the ``k``-th dark step in a row arrives.
+
+    With an event time ``ts`` gaps are passed over, and ``limit`` or ``none`` follows once the trace has been at rest for ``rest_ms``.
+    """
     key = stream.schema["scan_id"].dataType.simpleString()
-    rows = stream.select("scan_id", "dir", F.col("i").cast("long").alias("i"), "step_mm", "pos_mm", "intensity")
-    return rows.groupBy("scan_id", "dir").transformWithStateInPandas(EdgeSearch(k, cap), f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", "none")
+    search = EdgeSearch(k)
+    stream = stream if cap is None else stream.where(F.col("i") < cap)
+    rows, mode = _timed(search, stream, ["scan_id", "dir", F.col("i").cast("long").alias("i"), "step_mm", "pos_mm", "intensity"], rest_ms)
+    return rows.groupBy("scan_id", "dir").transformWithStateInPandas(search, f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", mode)
 
 
 class LatestPosition(StatefulProcessor):

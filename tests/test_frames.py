@@ -174,8 +174,16 @@ def test_temporal_average_small_slices(spark):
 
 def test_mode_colour_ties(spark):
     data = [(1, 0, 0, 200, 0, 0), (1, 0, 4, 8, 0, 0), (1, 4, 0, 200, 1, 0), (1, 4, 4, 9, 0, 0), (1, 1, 1, 77, 7, 7)]
-    out = pixels.mode_colour(spark.createDataFrame(data, "frame_id long, r int, c int, blue int, green int, red int")).first()
-    assert (out["blue"], out["green"], out["red"]) == (12, 4, 4)
+    df = spark.createDataFrame(data, "frame_id long, r int, c int, blue int, green int, red int")
+    for out in (pixels.mode_colour(df, 4).first(), pixels.mode_colour(df).first()):
+        assert (out["blue"], out["green"], out["red"]) == (12, 4, 4)
+
+
+def test_shrink_keeps_the_far_edge(spark):
+    image = np.arange(81, dtype=np.uint8).reshape(9, 9)
+    df = spark.createDataFrame([(1, 9, 9, 1, bytes(image.tobytes()))], "frame_id long, height int, width int, n_channels int, data binary")
+    blocks = [[image[r : r + 2, c : c + 2].mean() for c in range(0, 9, 2)] for r in range(0, 9, 2)]
+    assert frames.frame_metric(df, "ImageVariance", 2).first()["metric"] == pytest.approx(np.var(blocks))
 
 
 def png(image):

@@ -58,7 +58,7 @@ def test_component_boxes_and_centres(spark):
     m = np.zeros((12, 20), int)
     m[2:5, 3:9] = 255
     m[8, 15] = 255
-    stats = marks.components(as_rows(spark, {1: m}), size=m.shape)
+    stats = marks.components(as_rows(spark, {1: m}), tile=4)
     box = {(r["left"], r["top"], r["width"], r["height"], r["area"]) for r in stats.collect()}
     assert box == {(3, 2, 6, 3, 18), (15, 8, 1, 1, 1)}
     assert {(r["x"], r["y"]) for r in marks.box_centres(stats).collect()} == {(6, 3), (15, 8)}
@@ -92,14 +92,29 @@ def test_suppress_near_with_a_hot_frame(spark):
     assert got == {k: set(greedy(ps, 20)) for k, ps in points.items()}
 
 
+def test_suppress_near_in_a_wide_frame(spark):
+    rnd = random.Random(4)
+    points = [(i, rnd.randint(0, 1500), rnd.randint(0, 1000)) for i in range(5000)]
+    got = {(r["x"], r["y"]) for r in marks.suppress_near(spark.createDataFrame([(1, *p) for p in points], "frame_id long, id long, x int, y int")).collect()}
+    assert got == set(greedy(points, 20))
+
+
+def test_components_join_over_borders_and_refuse_wide_frames(spark):
+    bar = spark.createDataFrame([(1, 0, c, 1) for c in range(12)], "frame_id long, r int, c int, v int")
+    assert marks.components(bar, tile=8).count() == 1
+    with pytest.raises(Exception, match="not below"):
+        marks.components(bar.withColumn("c", F.col("c") + (1 << 20))).collect()
+
+
 def test_grid_rotation(spark):
     turn = math.radians(17)
     centres = [(100 * a, 100 * b) for a in range(4) for b in range(3)]
     data = [(1, i, round(1000 + x * math.cos(turn) + y * math.sin(turn)), round(1000 - x * math.sin(turn) + y * math.cos(turn))) for i, (x, y) in enumerate(centres)]
     data.append((2, 0, 5, 5))
-    out = {r["frame_id"]: r["angle_deg"] for r in marks.grid_rotation(spark.createDataFrame(data, "frame_id long, id long, x int, y int")).collect()}
+    reach = 150
+    out = {r["frame_id"]: r["angle_deg"] for r in marks.grid_rotation(spark.createDataFrame(data, "frame_id long, id long, x int, y int"), reach).collect()}
     pts = [row[2:] for row in data if row[0] == 1]
-    angles = [math.degrees(math.atan2(-(q[1] - p[1]), q[0] - p[0])) % 90 for i, p in enumerate(pts) for q in pts[i + 1 :]]
+    angles = [math.degrees(math.atan2(-(q[1] - p[1]), q[0] - p[0])) % 90 for i, p in enumerate(pts) for q in pts[i + 1 :] if max(abs(q[0] - p[0]), abs(q[1] - p[1])) <= reach]
     assert out[1] == pytest.approx(float(np.median(angles))) and out[2] is None
 
 

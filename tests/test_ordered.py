@@ -68,15 +68,20 @@ def test_halo_longer_than_slice(rows):
 def test_time_slices_agree(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 01:59:59' AS a, TIMESTAMP'2024-01-01 01:59:59' AS b")
     row = df.select(ordered.time_slice(df, "a", 3600).alias("a"), ordered.time_slice(df, "b", 3600).alias("b")).first()
-    assert row["a"] == row["b"] == 1704074399 // 3600 * 3600
-
-
-def test_busy_slices_are_cut_finer(spark):
-    data = [(1, t, n) for n, t in enumerate([5, 5, 6, 7, 7, 7, 90, 200])] + [(2, 5, 0), (2, 6, 1)]
-    df = spark.createDataFrame(data, "k long, s long, id long")
-    for col in (F.timestamp_seconds("s"), F.timestamp_seconds("s").cast("timestamp_ntz")):
-        rows = ordered.time_sliced(df.withColumn("ts", col), ["k"], "ts", seconds=60, max_rows=4)
-        got = sorted((r["k"], r["id"], r[ordered.SLICE]) for r in rows.collect())
-        assert got == [(1, 0, 5), (1, 1, 5), (1, 2, 6), (1, 3, 7), (1, 4, 7), (1, 5, 7), (1, 6, 60), (1, 7, 180), (2, 0, 0), (2, 1, 0)]
-        numbered = ordered.dense_index(rows, ["k"], ["ts", "id"])
-        assert sorted((r["k"], r["id"], r["i"]) for r in numbered.collect()) == [(k, i, i) for k, _, i in sorted(data, key=lambda d: (d[0], d[2]))]
+    assert row["a"] == row["b"] == 1704074399 // 3600
+
+
+def test_time_slices_of_fractions_of_a_second(spark):
+    df = spark.sql("SELECT explode(array(0.0, 0.2, 0.3, 0.9, 1.0)) AS s").selectExpr("timestamp_micros(CAST(s * 1000000 AS BIGINT)) AS b").withColumn("a", F.col("b").cast("timestamp_ntz"))
+    rows = ordered.time_sliced(df, "a", 0.25).select("*", ordered.time_slice(df, "b", 0.25).alias("other")).collect()
+    assert sorted(r[ordered.SLICE] for r in rows) == [0, 0, 1, 3, 4] and all(r[ordered.SLICE] == r["other"] for r in rows)
+
+
+def test_slicing_runs_no_job(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "id", "timestamp_seconds(id * 1000) AS ts")
+    group = "no-job"
+    spark.sparkContext.setJobGroup(group, group)
+    numbered = ordered.dense_index(ordered.time_sliced(df, "ts", 3600), ["k"], ["ts", "id"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["k"], r["i"]) for r in numbered.collect()) == sorted((n % 3, n // 3) for n in range(100))

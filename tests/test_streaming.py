@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanlake.operators import edges, logs, lookup, sweeps
@@ -29,7 +30,48 @@ def sweep(spark):
 def test_peak_with_rows_out_of_order(spark, sweep, tmp_path):
     out = windows.run_available(stateful.stream_peak(feed(spark, sweep, str(tmp_path / "in"), (2, 0, 1)), 10))
     want = sweeps.find_peak_crossing(sweep.drop("_file"), 10).where("peak_kind = 'crossing'")
-    assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in want.select("sweep_id", "peak_i", "peak_z").collect())
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in want.select("sweep_id", "peak_kind", "peak_i", "peak_z").collect())
+
+
+def closed(spark, df, path, parts, **closing):
+    """``feed`` of rows timed by their index, with a last file that moves the watermark past them all."""
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("i") + 1_000_000))
+    stream = feed(spark, df, path, parts)
+    last = {"i": 0, "ts": "timestamp'2100-01-01'", **closing}
+    rows = spark.range(1).selectExpr(*[f"CAST({last.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in df.drop("_file").schema])
+    rows.coalesce(1).write.mode("append").parquet(path)
+    return stream.withWatermark("ts", "1 hour")
+
+
+def test_peak_over_gaps_and_to_the_end(spark, tmp_path):
+    rnd = random.Random(6)
+    data = []
+    for key in range(60):
+        n, top = rnd.choice([1, 3, 9, 30, 45]), rnd.choice([-5, 10, 20, 99])
+        for i in range(n):
+            if rnd.random() > 0.1:
+                data.append((key, i, i * 0.01, None if rnd.random() < 0.1 else 100.0 - abs(i - top) * rnd.choice([0.1, 3]) + rnd.random(), rnd.randrange(3)))
+    df = spark.createDataFrame(data, "sweep_id long, i long, z_mm double, metric double, _file int")
+    out = windows.run_available(stateful.stream_peak(closed(spark, df, str(tmp_path / "in"), (2, 0, 1), sweep_id=-1), 10))
+    want = sweeps.find_peak_crossing(sweeps.clean_sweep(df.drop("_file")), 10).select("sweep_id", "peak_kind", "peak_i", "peak_z")
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and {r[1] for r in got} == {"crossing", "boundary", "none"}
+
+
+def test_edge_kinds_and_gaps(spark, tmp_path):
+    rnd = random.Random(7)
+    data = []
+    for scan in range(30):
+        n, cut = rnd.choice([2, 40, 52, 120, 400]), rnd.randint(0, 500)
+        values = [100.0] + [rnd.choice([90.0, 90.0, 10.0] if scan % 3 else [90.0]) if k < cut else 10.0 for k in range(1, n)]
+        data += [(scan, "x_positive", i, 0.1, i * 0.1, v, i % 3) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "scan_id long, dir string, i long, step_mm double, pos_mm double, intensity double, _file int")
+    gappy = df.where("i = 0 OR i % 7 <> 3")
+    out = windows.run_available(stateful.stream_edge(closed(spark, gappy, str(tmp_path / "in"), (1, 0, 2), scan_id=-1, dir="'end'"))).where("scan_id >= 0")
+    dense = gappy.drop("_file").withColumn("i", F.row_number().over(Window.partitionBy("scan_id").orderBy("i")) - 1)
+    want = edges.find_edge(dense, edges.auto_threshold(dense))
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and {r[3] for r in got} == {"crossed", "limit", "none"}
 
 
 def test_edge_and_limit(spark, tmp_path):
@@ -37,7 +79,7 @@ def test_edge_and_limit(spark, tmp_path):
     df = spark.createDataFrame(data, "scan_id long, dir string, i long, step_mm double, pos_mm double, intensity double, _file int")
     out = windows.run_available(stateful.stream_edge(feed(spark, df, str(tmp_path / "in"), (1, 0))))
     rows = df.drop("_file")
-    want = edges.find_edge(rows, edges.auto_threshold(rows))
+    want = edges.find_edge(rows, edges.auto_threshold(rows)).where("edge_kind = 'crossed'")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 

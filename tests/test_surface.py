@@ -115,6 +115,6 @@ def test_grids(spark):
 
 def test_random_offsets_are_seeded(spark):
     start = spark.createDataFrame([(1, 5.0, -5.0)], "id long, x double, y double")
-    a, b = (planning.random_offsets(start, 200, 0.5, seed=s).collect() for s in (1, 1))
-    assert a == b and a != planning.random_offsets(start, 200, 0.5, seed=2).collect()
+    a, b = (planning.random_offsets(start, 200, 0.5, "id", seed=s).collect() for s in (1, 1))
+    assert a == b and a != planning.random_offsets(start, 200, 0.5, "id", seed=2).collect()
     assert all(4.5 <= r["x"] <= 5.5 and -5.5 <= r["y"] <= -4.5 for r in a) and len({r["x"] for r in a}) == 200

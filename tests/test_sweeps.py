@@ -146,11 +146,11 @@ def test_fine_plan(spark):
 
 def loop_edge(values, step, threshold, k):
     dark = 0
-    for i, v in enumerate(values[:300]):
+    for i, v in enumerate(values):
         dark = dark + 1 if v < threshold else 0
         if dark >= k:
             return i * step - (k - 1) * step, "crossed"
-    n = min(300, len(values))
+    n = len(values)
     return ((n - 1) * step, "limit") if n > 50 else (None, "none")
 
 
@@ -159,14 +159,14 @@ def test_find_edge(spark):
     data, want = [], {}
     for scan in range(40):
         step = 0.1 if scan % 2 else -0.1
-        n = rnd.choice([3, 40, 60, 320])
+        n = rnd.choice([3, 40, 60, 700])
         cut = rnd.randint(0, 2 * n)
         values = [rnd.choice([90.0, 90.0, 10.0]) if k < cut else 10.0 for k in range(n)]
         values[0] = 100.0
         data += [(scan, "x_positive", i, step, i * step, v) for i, v in enumerate(values)]
         want[scan] = loop_edge(values, step, 50.0, 3)
     df = spark.createDataFrame(data, "scan_id long, dir string, i long, step_mm double, pos_mm double, intensity double")
-    got = {r["scan_id"]: (r["edge_mm"], r["edge_kind"]) for r in edges.find_edge(df, edges.auto_threshold(df)).collect()}
+    got = {r["scan_id"]: (r["edge_mm"], r["edge_kind"]) for r in edges.find_edge(df, edges.auto_threshold(df), size=16).collect()}
     assert got.keys() == want.keys()
     for scan, (edge, kind) in want.items():
         assert got[scan][1] == kind and (got[scan][0] == pytest.approx(edge) if edge is not None else got[scan][0] is None)
