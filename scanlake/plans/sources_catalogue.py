@@ -66,6 +66,16 @@ def positions(spark, sf_dir):
     return files.explode_positions(rows, "value")
 
 
+def scan_rows(spark, sf_dir):
+    points = tables.scan_points(spark, sf_dir)
+    folder = F.concat(F.lit("/data/rig"), C("scan_id").cast("string"), F.lit("/wafer_scan_20240101_000000/"))
+    packed = tables.packed_frames(spark, sf_dir).withColumnRenamed("frame_id", "seq")
+    images = points.select("seq", F.concat(folder, "filename").alias("origin")).join(packed, "seq")
+    rows = files.scan_rows(images)
+    first = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int").alias("first_pixel")
+    return rows.select("frame_id", "scan_id", "scan", "x", "y", "height", "width", first, F.octet_length("data").alias("bytes"))
+
+
 def manifest(spark, sf_dir):
     path = shared_path(spark, "manifest")
     points = tables.scan_points(spark, sf_dir)
@@ -98,14 +108,22 @@ QUERIES = {
         positions,
         """WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS slot FROM lineitem),
         o AS (SELECT DISTINCT l_orderkey, CAST(unnest(range(1, 11)) AS INT) AS slot FROM lineitem)
-        SELECT o.l_orderkey AS file, o.slot, coalesce('m' || l_linenumber, 'Pos ' || o.slot) AS name, coalesce(l_tax > 0.04, false) AS locked, coalesce(l_partkey, 0) AS x, coalesce(l_suppkey, 0) AS y,
-        CAST(0 AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS mag FROM o LEFT JOIN s ON s.l_orderkey = o.l_orderkey AND s.slot = o.slot""",
+        SELECT o.l_orderkey AS file, CAST(n AS INT) AS n_given, o.slot, coalesce('m' || l_linenumber, 'Pos ' || o.slot) AS name, coalesce(l_tax > 0.04, false) AS locked, coalesce(l_partkey, 0) AS x, coalesce(l_suppkey, 0) AS y,
+        CAST(0 AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS mag FROM o LEFT JOIN s ON s.l_orderkey = o.l_orderkey AND s.slot = o.slot JOIN (SELECT l_orderkey, least(10, count(*)) AS n FROM lineitem GROUP BY 1) g ON g.l_orderkey = o.l_orderkey""",
     ),
     "tk6_limit_positions": (
         limit_positions,
         """SELECT l_orderkey, CAST(slot AS INT) AS slot, l_partkey, l_suppkey FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS slot FROM lineitem) WHERE slot <= 10""",
     ),
+    "src1_scan_rows": (
+        scan_rows,
+        tables.sql(
+            r"""SELECT '/data/rig' || scan_id || '/wafer_scan_20240101_000000/' || filename AS frame_id, '/data/rig' || scan_id || '/wafer_scan_20240101_000000' AS scan_id, 'wafer_scan_20240101_000000' AS scan,
+            CAST(regexp_extract(filename, 'X([+-][0-9.]+)_Y([+-][0-9.]+)\.png', 1) AS DOUBLE) AS x, CAST(regexp_extract(filename, 'X([+-][0-9.]+)_Y([+-][0-9.]+)\.png', 2) AS DOUBLE) AS y, 8 AS height, 8 AS width, v AS first_pixel, 64 AS bytes
+            FROM fx_scan_points JOIN fx_frames b ON b.frame_id = seq AND r = 0 AND b.c = 0""", "fx_scan_points", "fx_frames",
+        ),
+    ),
     "src10_manifest": (
         manifest,
         tables.sql(

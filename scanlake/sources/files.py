@@ -26,11 +26,21 @@ POSITION = "struct<Name:string,Locked:boolean,X:bigint,Y:bigint,Z:bigint,Mag:str
 def read_scan(spark: SparkSession, path: str) -> DataFrame:
     """Images of scan folders with the stage place from their names; ``data`` is in blue, green, red order, 8 bit."""
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return scan_rows(images.withColumnRenamed("nChannels", "n_channels"))
+
+
+def scan_rows(images: DataFrame) -> DataFrame:
+    """Frames of ``images`` (origin, height, width, n_channels, data) with what their paths say.
+
+    ``scan_id`` is the whole path of the scan folder, since two instruments can start in one second; ``scan`` is its bare name. Both
+    are null outside a scan folder.
+    """
     x, y = naming.parse_filename(F.col("origin"))
-    folder = F.regexp_extract("origin", "(wafer_scan_[0-9]{8}_[0-9]{6})", 1)
+    folder = F.regexp_extract("origin", "^(.*/)?(wafer_scan_[0-9]{8}_[0-9]{6})/", 0)
+    name = F.regexp_extract("origin", "(?:^|/)(wafer_scan_[0-9]{8}_[0-9]{6})/", 1)
     return images.select(
-        F.col("origin").alias("frame_id"), F.nullif(folder, F.lit("")).alias("scan_id"), x.alias("x"), y.alias("y"),
-        "height", "width", F.col("nChannels").alias("n_channels"), "data",
+        F.col("origin").alias("frame_id"), F.nullif(F.rtrim(folder, F.lit("/")), F.lit("")).alias("scan_id"), F.nullif(name, F.lit("")).alias("scan"),
+        x.alias("x"), y.alias("y"), "height", "width", "n_channels", "data",
     )
 
 
@@ -45,22 +55,28 @@ def read_scan_manifest(spark: SparkSession, path: str, scan_type: str = "bigint"
 
 
 def read_sweep_logs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Sweep logs as steps: sweep_id (the file or the log's own ``sweep_id`` parameter), result, i, z_mm, metric, z_best, m_best."""
+    """Sweep logs as steps: sweep_id, file, result, i, z_mm, metric, z_best, m_best.
+
+    ``sweep_id`` is the log's own ``sweep_id`` parameter or else the path of its file; ``file`` is the bare file name.
+    """
     logs = spark.read.schema(SWEEP_LOG).option("multiLine", multi_line).json(path)
-    own = F.coalesce(F.col("params")["sweep_id"], F.col("_metadata.file_name"))
+    own = F.coalesce(F.col("params")["sweep_id"], F.col("_metadata.file_path"))
     first = F.coalesce(F.col("params")["first_i"].cast("long"), F.lit(0))
-    logs = logs.select(own.alias("sweep_id"), first.alias("_first"), "timestamp", "result", "z_best", "m_best", F.arrays_zip("z_list", "m_list").alias("_steps"))
+    logs = logs.select(own.alias("sweep_id"), F.col("_metadata.file_name").alias("file"), first.alias("_first"), "timestamp", "result", "z_best", "m_best", F.arrays_zip("z_list", "m_list").alias("_steps"))
     steps = logs.select("*", F.posexplode("_steps").alias("_k", "_step"))
     return steps.select(
-        "sweep_id", "timestamp", "result", (F.col("_first") + F.col("_k")).alias("i"), F.col("_step.z_list").alias("z_mm"), F.col("_step.m_list").alias("metric"),
+        "sweep_id", "file", "timestamp", "result", (F.col("_first") + F.col("_k")).alias("i"), F.col("_step.z_list").alias("z_mm"), F.col("_step.m_list").alias("metric"),
         "z_best", "m_best",
     )
 
 
 def read_focus_maps(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Measured points (map_id, degree, x, y, z, metric) and skipped points (map_id, x, y) of saved focus maps."""
+    """Measured points (map_id, degree, x, y, z, metric) and skipped points (map_id, x, y) of saved focus maps.
+
+    ``map_id`` is the document's own or else the path of its file.
+    """
     maps = spark.read.schema(FOCUS_MAP).option("multiLine", multi_line).json(path)
-    name = F.coalesce("map_id", F.col("_metadata.file_name")).alias("map_id")
+    name = F.coalesce("map_id", F.col("_metadata.file_path")).alias("map_id")
     maps = maps.select(name, "z_ref", F.coalesce("degree", F.lit(2)).alias("degree"), "points", "skipped")
     points = maps.select("map_id", "z_ref", "degree", F.explode("points").alias("p"))
     points = points.select("map_id", "degree", F.col("p.x").alias("x"), F.col("p.y").alias("y"), (F.col("z_ref") + F.col("p.z_offset")).alias("z"), F.col("p.metric").alias("metric"))
@@ -69,16 +85,20 @@ def read_focus_maps(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def write_focus_maps(points: DataFrame, models: DataFrame, skipped: DataFrame, path: str, mode: str = "overwrite", limit: int = DOCUMENT_POINTS) -> None:
-    """Write maps as JSON documents, heights as offsets from the model's z_ref.
+    """Write maps as JSON documents, heights as offsets from the model's z_ref, or from the mean of the points where there is no model.
 
     ``points`` and ``skipped`` carry a ``seq``. A document takes one range of ``limit`` seq values, so no task gathers a whole map.
     """
     part = ordered.index_slice(F.col("seq"), limit).alias("_part")
     none = F.lit(None).cast("struct<x:double,y:double,z_offset:double,metric:double>")
     gone = F.lit(None).cast("struct<x:double,y:double>")
-    kept = points.join(models.select("map_id", "z_ref", "degree"), "map_id")
+    known = models.select("map_id", F.col("z_ref").alias("_z"), F.col("degree").alias("_degree"))
+    means = points.groupBy("map_id").agg(F.avg("z").alias("_mean"))
+    every = means.join(skipped.select("map_id").distinct(), "map_id", "full").join(known, "map_id", "left")
+    models = every.select("map_id", F.coalesce("_z", "_mean").alias("z_ref"), F.coalesce("_degree", F.lit(2)).alias("degree"))
+    kept = points.join(models, "map_id")
     kept = kept.select("map_id", part, "seq", "z_ref", "degree", F.struct("x", "y", (F.col("z") - F.col("z_ref")).alias("z_offset"), "metric").alias("p"), gone.alias("s"))
-    left_out = skipped.join(models.select("map_id", "z_ref", "degree"), "map_id")
+    left_out = skipped.join(models, "map_id")
     left_out = left_out.select("map_id", part, "seq", "z_ref", "degree", none.alias("p"), F.struct("x", "y").alias("s"))
     rows = kept.unionByName(left_out).groupBy("map_id", "_part", "z_ref", "degree").agg(
         F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("seq", "p")))).alias("_p"),
@@ -102,11 +122,16 @@ def write_sweep_logs(sweep: DataFrame, path: str, mode: str = "overwrite", limit
 
 
 def parse_intensity(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Rows of an intensity log: six leading numbers, then as many blue, green, red triples as follow."""
+    """Rows of an intensity log: six leading numbers, then as many blue, green, red triples as follow.
+
+    ``rest`` has the values after the last whole triple. A line whose first field is no number is ``malformed`` and keeps its text in
+    ``line``; only header lines are left out.
+    """
     parts = F.split(line, ",")
     names = ("time", "stage_x", "stage_y", "stage_z", "mean_intensity", "centre_intensity")
     head = [F.get(parts, F.lit(k)).try_cast("double").alias(name) for k, name in enumerate(names)]
     rest = F.when(F.size(parts) > 6, F.slice(parts, F.lit(7), F.size(parts))).otherwise(F.array().cast("array<string>"))
+    head_time = F.get(parts, F.lit(0)).try_cast("double")
     values = F.transform(rest, lambda v: v.try_cast("int"))
     count = F.floor(F.size(values) / 3).cast("int")
     pixels = F.when(
@@ -117,8 +142,12 @@ def parse_intensity(lines: DataFrame, line: str = "value") -> DataFrame:
         ),
     ).otherwise(F.array().cast("array<struct<b:int,g:int,r:int>>"))
     rest_columns = [c for c in lines.columns if c != line]
-    out = lines.select(*rest_columns, *head, pixels.alias("pixels"))
-    return out.where(F.col("time").isNotNull())
+    rest = F.transform(F.slice(rest, count * 3 + 1, F.greatest(F.size(rest) - count * 3, F.lit(0))), lambda v: v)
+    bad = head_time.isNull()
+    out = lines.where(~F.col(line).startswith("time,stage_x,")).select(
+        *rest_columns, *head, pixels.alias("pixels"), rest.alias("rest"), bad.alias("malformed"), F.when(bad, F.col(line)).alias("line")
+    )
+    return out
 
 
 def read_intensity_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -127,8 +156,8 @@ def read_intensity_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_presets(spark: SparkSession, path: str, value_type: str, section: str | None = None) -> DataFrame:
-    """Dictionary files as rows (key, value); names starting with _ and entries of another shape are skipped."""
-    text = spark.read.text(path, wholetext=True)
+    """Dictionary files as rows (file, key, value), ``file`` being the path; names starting with _ and entries of another shape are skipped."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return explode_presets(text, "value", value_type, section)
 
 
@@ -148,14 +177,17 @@ def explode_presets(rows: DataFrame, text: str, value_type: str, section: str |
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Saved stage positions: exactly ten slots per file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """Saved stage positions: exactly ten slots per file, ``file`` being its path."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return explode_positions(text, "value")
 
 
 def explode_positions(rows: DataFrame, text: str) -> DataFrame:
-    """First ten positions of a list in a text column, padded with empty ones to ten; the lists are short, so no shuffle."""
-    given = F.slice(F.coalesce(F.from_json(text, f"array<{POSITION}>"), F.array().cast(f"array<{POSITION}>")), 1, SLOTS)
+    """First ten positions of a list in a text column, padded with empty ones to ten; ``n_given`` tells how many the list has.
+
+    The lists are short, so no shuffle.
+    """
+    given = F.coalesce(F.from_json(text, f"array<{POSITION}>"), F.array().cast(f"array<{POSITION}>"))
     rest = [c for c in rows.columns if c != text]
 
     def slot(k: Column) -> Column:
@@ -166,14 +198,15 @@ def explode_positions(rows: DataFrame, text: str) -> DataFrame:
         )
 
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot)
-    return rows.withColumn("_given", given).select(*rest, F.inline(slots))
+    return rows.withColumn("_given", given).select(*rest, F.size("_given").alias("n_given"), F.inline(slots))
 
 
 def write_positions(positions: DataFrame, path: str, keys: Sequence[str] = ("file",), mode: str = "overwrite") -> None:
-    """Write positions as one JSON list per key, thumbnails left out. Only slots 1 to 10 exist, so a list is short."""
+    """Write positions as one JSON list per key, thumbnails left out. All slots are written, also those that a reader of ten slots will not show."""
     entry = F.struct(
         "slot", F.col("name").alias("Name"), F.col("locked").alias("Locked"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"), F.col("mag").alias("Mag")
     )
-    lists = positions.where(F.col("slot").between(1, SLOTS)).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_p"))
+    lists = positions.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_p"))
     bare = F.transform("_p", lambda p: p.dropFields("slot"))
+    # the key names a folder, so a path in it is escaped by Spark
     lists.select(*keys, F.to_json(bare).alias("value")).write.mode(mode).partitionBy(*keys).text(path)

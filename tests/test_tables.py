@@ -15,15 +15,29 @@ def test_sweep_log_files(spark, tmp_path):
     (tmp_path / "af_1_no_peak.json").write_text(json.dumps(log, indent=2))
     (tmp_path / "af_2_finished.json").write_text(json.dumps({**log, "result": "finished", "z_best": 0.2, "m_best": 6.5}, indent=2))
     rows = files.read_sweep_logs(spark, str(tmp_path)).orderBy("sweep_id", "i").collect()
-    assert [(r["sweep_id"], r["i"], r["z_mm"], r["metric"], r["z_best"]) for r in rows] == [
+    assert [(r["file"], r["i"], r["z_mm"], r["metric"], r["z_best"]) for r in rows] == [
         ("af_1_no_peak.json", 0, 0.1, 5.0, None), ("af_1_no_peak.json", 1, 0.2, 6.5, None), ("af_2_finished.json", 0, 0.1, 5.0, 0.2), ("af_2_finished.json", 1, 0.2, 6.5, 0.2)
     ]
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for rig in ("a", "b"):
+        (tmp_path / rig).mkdir()
+        (tmp_path / rig / "log.json").write_text(json.dumps({"params": {}, "z_list": [0.1], "m_list": [5.0]}))
+    logs_ = files.read_sweep_logs(spark, str(tmp_path / "*")).collect()
+    assert len({r["sweep_id"] for r in logs_}) == 2 and {r["file"] for r in logs_} == {"log.json"}
+    for rig, value in (("a", 1), ("b", 2)):
+        (tmp_path / rig / "log.json").write_text(json.dumps({"5x": value, "10x": value}))
+    assert len({(r["file"], r["key"], r["value"]) for r in files.read_presets(spark, str(tmp_path / "*"), "int").collect()}) == 4
+    images = spark.createDataFrame([(f"file:/data/{rig}/wafer_scan_20240101_000000/img_X+1.000_Y-2.000.png", 1, 1, 1, b"0") for rig in "ab"] + [("x.png", 1, 1, 1, b"0")], "origin string, height int, width int, n_channels int, data binary")
+    got = {r["scan_id"]: r["scan"] for r in files.scan_rows(images).collect()}
+    assert got == {"file:/data/a/wafer_scan_20240101_000000": "wafer_scan_20240101_000000", "file:/data/b/wafer_scan_20240101_000000": "wafer_scan_20240101_000000", None: None}
+
+
 def test_focus_map_files(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"z_ref": 2.0, "points": [{"x": 1, "y": 2, "z_offset": 0.5, "metric": 9}]}, indent=2))
     points, skipped = files.read_focus_maps(spark, str(tmp_path))
-    assert [tuple(r) for r in points.collect()] == [("m.json", 2, 1.0, 2.0, 2.5, 9.0)] and skipped.count() == 0
+    assert [(r[0].rsplit("/", 1)[1], *r[1:]) for r in points.collect()] == [("m.json", 2, 1.0, 2.0, 2.5, 9.0)] and skipped.count() == 0
 
 
 def test_focus_map_round_trip_in_parts(spark, tmp_path):
@@ -37,6 +51,22 @@ def test_focus_map_round_trip_in_parts(spark, tmp_path):
     assert [tuple(r) for r in left_out.collect()] == [("1", 7.0, 8.0)]
 
 
+def test_maps_without_a_model_are_written(spark, tmp_path):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0, 3.0, 1.0), (1, 1, 1.0, 0.0, 5.0, 1.0)], "map_id long, seq long, x double, y double, z double, metric double")
+    none = spark.createDataFrame([], "map_id long, z_ref double, degree int")
+    files.write_focus_maps(points, none, spark.createDataFrame([], "map_id long, seq long, x double, y double"), str(tmp_path / "maps"))
+    assert spark.read.json(str(tmp_path / "maps")).first()["z_ref"] == 4.0
+    got, _ = files.read_focus_maps(spark, str(tmp_path / "maps"), multi_line=False)
+    assert sorted(r["z"] for r in got.collect()) == [3.0, 5.0]
+
+
+def test_intensity_keeps_odd_lines(spark):
+    lines = spark.createDataFrame([("1,1,2,3,4,5,10,20,30,40,50",), ("ERR timeout",), ("time,stage_x,stage_y,stage_z,mean_intensity,centre_intensity",)], "value string")
+    rows = files.parse_intensity(lines).orderBy("malformed").collect()
+    assert len(rows) == 2 and rows[0]["rest"] == ["40", "50"] and len(rows[0]["pixels"]) == 1 and not rows[0]["malformed"]
+    assert rows[1]["malformed"] and rows[1]["line"] == "ERR timeout" and rows[1]["time"] is None
+
+
 def test_intensity_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("time,stage_x,stage_y,stage_z,mean_intensity,centre_intensity,p0_B\n1.5,1,2,3,4,5,10,20,30,40,50,60\n2.5,1,2,3,4,5\n")
     rows = files.read_intensity_csv(spark, str(tmp_path)).orderBy("time").collect()
@@ -47,15 +77,15 @@ def test_presets(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"_comment": "c", "X": {"step": 0.5}, "exposure_defaults": {"5x": 10, "_n": 1, "9x": "bad"}, "10x": 3}))
     axes = files.read_presets(spark, str(tmp_path), "struct<step:double>").where("value.step IS NOT NULL").collect()
     assert [(r["key"], r["value"]["step"]) for r in axes] == [("X", 0.5)]
-    assert [tuple(r) for r in files.read_presets(spark, str(tmp_path), "int", "exposure_defaults").collect()] == [("5x", 10)]
+    assert [tuple(r)[1:] for r in files.read_presets(spark, str(tmp_path), "int", "exposure_defaults").collect()] == [("5x", 10)]
 
 
 def test_positions(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"Name": f"n{k}", "X": k, "Thumbnail": "zz"} for k in range(12)], indent=1))
     (tmp_path / "b.json").write_text("[]")
     rows = files.read_positions(spark, str(tmp_path)).orderBy("file", "slot").collect()
-    assert len(rows) == 20 and rows[9]["name"] == "n9" and rows[9]["locked"] is False and rows[9]["y"] == 0 and rows[10]["name"] == "Pos 1"
-    files.write_positions(files.read_positions(spark, str(tmp_path)), str(tmp_path / "out"))
+    assert len(rows) == 20 and rows[9]["name"] == "n9" and rows[9]["locked"] is False and rows[9]["y"] == 0 and rows[10]["name"] == "Pos 1" and rows[0]["n_given"] == 12 and rows[10]["n_given"] == 0
+    files.write_positions(files.read_positions(spark, str(tmp_path)).drop("n_given"), str(tmp_path / "out"))
     saved = spark.read.text(str(tmp_path / "out")).collect()
     assert len(saved) == 2 and all("Thumbnail" not in r["value"] and len(json.loads(r["value"])) == 10 for r in saved)
 
