@@ -135,11 +135,21 @@ def _slide(mask: DataFrame, agg: str, kh: int, kw: int, value: str, keys: Sequen
     out = mask
     for line, axis, k in (("r", "c", kw), ("c", "r", kh)):
         if k > 1:
-            w = Window.partitionBy(*keys, line).orderBy(axis).rowsBetween(-(k // 2), k - 1 - k // 2)
+            w = Window.partitionBy(*keys, line).orderBy(axis).rangeBetween(-(k // 2), k - 1 - k // 2)
             out = out.withColumn(value, best(value).over(w))
     return out
 
 
+def densify(mask: DataFrame, frames: DataFrame, value: str = "v", keys: Sequence[str] = FRAME) -> DataFrame:
+    """All pixels of each of ``frames`` (keys, height, width), 0 where ``mask`` has none.
+
+    Morphology needs this form: a mask of set pixels alone does not say what is beside them.
+    """
+    rows = frames.select(*keys, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
+    cells = rows.select(*keys, "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
+    return cells.join(mask.select(*keys, "r", "c", value), [*keys, "r", "c"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
 def dilate(mask: DataFrame, kh: int = 3, kw: int = 3, value: str = "v", keys: Sequence[str] = FRAME) -> DataFrame:
     """Largest value under a kh x kw box; outside the image counts as nothing."""
     return _slide(mask, "max", kh, kw, value, keys)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.operators import grid, ordered
+from scanlake.session import cut_lineage
 
 CHANNELS = ("blue", "green", "red")
 # Darkest mean a frame may have, smallest metric of a good focus, box half-widths.
@@ -141,6 +142,29 @@ def colour_mask(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20) -> Da
     return pixels.select("frame_id", "r", "c", F.explode(hits).alias("layer"))
 
 
+def layer_masks(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20, background: bool = True) -> DataFrame:
+    """Dense mask (frame_id, layer, r, c, v) of each layer; with ``background`` also of each frame's most frequent colour."""
+    targets = [
+        F.struct(F.lit(layer.name).alias("layer"), *[F.lit(v).alias(ch) for ch, v in zip(("red", "green", "blue"), layer.rgb)])
+        for layer in layers
+        if layer.rgb is not None
+    ]
+    rows = pixels
+    if background:
+        mode = mode_colour(pixels).select("frame_id", F.struct(F.lit("Background").alias("layer"), "red", "green", "blue").alias("_mode"))
+        rows, targets = pixels.join(mode, "frame_id"), [F.col("_mode"), *targets]
+    rows = rows.withColumn("_t", F.explode(F.array(*targets)))
+    far = F.greatest(*[F.abs(F.col(ch) - F.col(f"_t.{ch}")) for ch in CHANNELS])
+    return rows.select("frame_id", F.col("_t.layer").alias("layer"), "r", "c", F.when(far <= tol, 255).otherwise(0).alias("v"))
+
+
+def layer_outlines(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20, background: bool = True) -> DataFrame:
+    """Outer outlines (frame_id, layer, r, c) of each layer, after a 3x3 opening has removed specks."""
+    keys = ("frame_id", "layer")
+    cleaned = cut_lineage(grid.opening(layer_masks(pixels, layers, tol, background), keys=keys))
+    return grid.outer_outline(cleaned, keys=keys).select(*keys, "r", "c")
+
+
 def channels_long(pixels: DataFrame) -> DataFrame:
     """Colour pixels as one row per channel (0 blue, 1 green, 2 red)."""
     return pixels.select("frame_id", "r", "c", F.posexplode(F.array(*CHANNELS)).alias("ch", "v"))

@@ -173,6 +173,23 @@ _OUTER = (
 )
 
 
+def layer_outlines(spark, sf_dir):
+    rows = tables.mosaic(spark, sf_dir).selectExpr("frame_id", "r", "c", "v AS blue", "v AS green", "v AS red")
+    return pixels.layer_outlines(rows, [pixels.Layer("Mid", (120, 120, 120))], 50)
+
+
+_LAYERS = ", ".join(
+    [
+        """mo AS (SELECT frame_id, q * 8 + 4 AS m FROM (SELECT frame_id, v >> 3 AS q, row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, v >> 3) AS k FROM fx_mosaic GROUP BY 1, 2) WHERE k = 1)""",
+        """mk AS (SELECT frame_id * 2 + k AS frame_id, r, c, CASE WHEN abs(v - CASE WHEN k = 0 THEN m ELSE 120 END) <= 50 THEN 255 ELSE 0 END AS v FROM fx_mosaic JOIN mo USING (frame_id) CROSS JOIN (VALUES (0), (1)) AS t(k))""",
+        _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3),
+        "sz AS (SELECT frame_id, max(r) AS r1 FROM op GROUP BY 1)",
+        """open_px AS (SELECT frame_id, r, c FROM op JOIN sz USING (frame_id) WHERE v = 0 AND (r IN (0, r1) OR c IN (0, 63))
+  UNION SELECT m.frame_id, m.r, m.c FROM open_px o JOIN op m ON m.frame_id = o.frame_id AND m.v = 0 AND abs(m.r - o.r) + abs(m.c - o.c) = 1)""",
+    ]
+)
+
+
 def tile_equalise(spark, sf_dir):
     return grid.tile_equalise(tables.frames(spark, sf_dir), (8, 8), (2, 2), 40.0)
 
@@ -306,6 +323,13 @@ QUERIES = {
             OR EXISTS (SELECT 1 FROM open_px o WHERE o.frame_id = m.frame_id AND abs(m.r - o.r) + abs(m.c - o.c) = 1))""", "fx_frames", extra=_OUTER, recursive=True,
         ),
     ),
+    "layer_outlines": (
+        layer_outlines,
+        tables.sql(
+            """SELECT DISTINCT m.frame_id // 2 AS frame_id, CASE m.frame_id % 2 WHEN 0 THEN 'Background' ELSE 'Mid' END AS layer, m.r, m.c FROM op m JOIN sz USING (frame_id) WHERE v > 0
+            AND (m.r IN (0, r1) OR m.c IN (0, 63) OR EXISTS (SELECT 1 FROM open_px o WHERE o.frame_id = m.frame_id AND abs(m.r - o.r) + abs(m.c - o.c) = 1))""", "fx_mosaic", extra=_LAYERS, recursive=True,
+        ),
+    ),
     "gr7_tile_equalise": (tile_equalise, tables.sql("SELECT frame_id, r, c, v FROM eq", "fx_frames", extra=EQUALISE)),
     "gr8_rotate": (
         rotate,

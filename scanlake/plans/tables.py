@@ -22,6 +22,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.selectExpr("vec_id AS frame_id", "CAST(p DIV 8 AS INT) AS r", "CAST(p % 8 AS INT) AS c", f"{gray} AS v")
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64x64 gray frames, an embedding being one image row; the last frame may be shorter."""
+    gray = "CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT)"
+    cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
+    return cells.selectExpr("vec_id DIV 64 AS frame_id", "CAST(vec_id % 64 AS INT) AS r", "p AS c", f"{gray} AS v")
+
+
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).selectExpr("frame_id", "r", "c", "v AS blue", "(v * 7 + 13) % 256 AS green", "(v * 3 + 29) % 256 AS red")
 
@@ -108,6 +115,9 @@ def digit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTE = {
     "fx_frames": """SELECT vec_id AS frame_id, CAST(p // 8 AS INT) AS r, CAST(p % 8 AS INT) AS c,
        CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT) AS v
+FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)""",
+    "fx_mosaic": """SELECT vec_id // 64 AS frame_id, CAST(vec_id % 64 AS INT) AS r, CAST(p AS INT) AS c,
+       CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT) AS v
 FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)""",
     "fx_rgb": "SELECT frame_id, r, c, v AS blue, (v * 7 + 13) % 256 AS green, (v * 3 + 29) % 256 AS red FROM fx_frames",
     "fx_sweep": """SELECT user_id AS sweep_id, i, i * 3e-3 AS z_mm, value AS metric

@@ -179,6 +179,15 @@ def test_mode_colour_ties(spark):
         assert (out["blue"], out["green"], out["red"]) == (12, 4, 4)
 
 
+def test_specks_do_not_survive_an_opening(spark):
+    specks = spark.createDataFrame([(1, 3 * k, 5 * (k % 4), 255) for k in range(9)] + [(2, r, c, 255) for r in range(4, 8) for c in range(5, 8)], "frame_id long, r int, c int, v int")
+    sizes = spark.createDataFrame([(1, 30, 30), (2, 20, 20)], "frame_id long, height int, width int")
+    dense = grid.densify(specks, sizes)
+    assert dense.count() == 30 * 30 + 20 * 20
+    left = {(r["frame_id"], r["r"], r["c"]) for r in grid.opening(dense).where("v > 0").collect()}
+    assert left == {(2, r, c) for r in range(4, 8) for c in range(5, 8)}
+
+
 def test_shrink_keeps_the_far_edge(spark):
     image = np.arange(81, dtype=np.uint8).reshape(9, 9)
     df = spark.createDataFrame([(1, 9, 9, 1, bytes(image.tobytes()))], "frame_id long, height int, width int, n_channels int, data binary")

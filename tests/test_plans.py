@@ -9,7 +9,7 @@ from scanlake.operators import ordered, sweeps
 from scanlake.plans import catalogue, tables
 
 SF = "/root/testdata/sf0.001"
-EAGER = ("sm", "src", "ag17", "fl5", "gr6_outer")  # these run jobs while they are built
+EAGER = ("sm", "src", "ag17", "fl5", "gr6_outer", "layer_", "tk5", "jn5", "ag15", "ag18", "jn4")  # these run jobs while they are built
 LAZY = sorted(n for n in catalogue.queries() if not n.startswith(EAGER) or n.startswith(("src2", "src7", "src9")))
 
 
