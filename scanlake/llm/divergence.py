@@ -142,3 +142,34 @@ def rules_stage(docs: DataFrame) -> DataFrame:
 
 def op2_distribution_divergence(spark, sf_dir: str) -> DataFrame:
     return rate_documents(text.load(spark, sf_dir, "documents"))
+
+
+def _side(x: str, y: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+
+
+OP2_SQL = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM x), (SELECT unnest(range(8)) AS j) WHERE n > 1 GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d),
+b AS (SELECT d.doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[\p{{Ll}}\p{{Lo}}\x20\x09-\x0D]+', '', 'g')) AS odd,
+    length(t) - length(regexp_replace(t, '[\p{{Lu}}\p{{Lt}}]+', '', 'g')) AS upper_, length(t) - length(regexp_replace(t, '\p{{N}}+', '', 'g')) AS digit_
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+e AS (SELECT doc_id, lang, unnest([word_chars - odd, upper_, digit_, length(t) - word_chars, n_symbols, odd - n_symbols - upper_ - digit_]) * 1e0 AS n, unnest(range(6)) AS k FROM b),
+r AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM e GROUP BY 1, 2),
+p AS (SELECT doc_id, lang, k, n / nullif(sum(n) OVER (PARTITION BY doc_id), 0) AS p FROM e),
+cd AS (SELECT doc_id, sqrt(greatest(sum({_side("p", "q")} + {_side("q", "p")}) / 2, 0)) AS class_distance FROM p JOIN r ON p.lang IS NOT DISTINCT FROM r.lang AND p.k = r.k WHERE p IS NOT NULL GROUP BY 1),
+f AS (SELECT lang, s, count(*) AS n FROM (SELECT lang, unnest(w) AS s FROM d) GROUP BY 1, 2),
+tt AS (SELECT lang, sum(n) AS total FROM f GROUP BY 1),
+top AS (SELECT * FROM (SELECT lang, s, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, s) AS k FROM f WHERE length(s) <= 8) WHERE k <= 24),
+own AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS s FROM d) u WHERE EXISTS (SELECT 1 FROM top WHERE top.s = u.s AND top.lang IS NOT DISTINCT FROM u.lang) GROUP BY 1, 2),
+m AS (SELECT b.doc_id, coalesce(own.n, 0) * 1e0 / b.n_words AS p, top.n * 1e0 / total AS q FROM b JOIN top ON b.lang IS NOT DISTINCT FROM top.lang JOIN tt ON tt.lang IS NOT DISTINCT FROM b.lang
+    LEFT JOIN own ON own.doc_id = b.doc_id AND own.s = top.s WHERE b.n_words > 0),
+wd AS (SELECT doc_id, sqrt(greatest((sum({_side("p", "q")} + {_side("q", "p")}) + any_value(0e0) + {_side("greatest(1 - sum(p), 0)", "greatest(1 - sum(q), 0)")} + {_side("greatest(1 - sum(q), 0)", "greatest(1 - sum(p), 0)")}) / 2, 0)) AS word_distance
+  FROM m GROUP BY 1),
+z AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(length(t) >= 200 AND class_distance > 28e-2, false) AND NOT coalesce(n_words >= 50 AND word_distance > 42e-2, false) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM z"""

@@ -7,7 +7,7 @@ from scanlake.llm import divergence, edit_counts, jump_shards, mixing, packing,
 
 QUERIES = {
     "op1_bradley_terry": (pairwise_quality.op1_bradley_terry, None),
-    "op2_distribution_divergence": (divergence.op2_distribution_divergence, None),
+    "op2_distribution_divergence": (divergence.op2_distribution_divergence, divergence.OP2_SQL),
     "op3_probminhash": (probminhash.op3_probminhash, None),
     "op4_jump_shards": (jump_shards.op4_jump_shards, None),
     "op5_classifier_chain": (toxicity_chain.op5_classifier_chain, None),
