@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake.operators import frames, grid, ordered, pixels
+from scanlake.operators import frames, grid, ordered, pixels, planes
 from scanlake.plans import tables
 from scanlake.session import cut_lineage
 
@@ -190,6 +190,18 @@ _LAYERS = ", ".join(
 )
 
 
+def _planes(*steps, kind="int", source=tables.packed_mosaic, digits=None):
+    def query(spark, sf_dir):
+        out = planes.plane_pixels(planes.plane_fn(source(spark, sf_dir), *steps), kind)
+        return out if digits is None else out.withColumn("v", F.round("v", digits))
+
+    return query
+
+
+def _on_mosaic(body, *extra):
+    return tables.sql(body, "fx_mosaic", extra=", ".join(extra).replace("fx_frames", "fx_mosaic") or None)
+
+
 def tile_equalise(spark, sf_dir):
     return grid.tile_equalise(tables.frames(spark, sf_dir), (8, 8), (2, 2), 40.0)
 
@@ -304,6 +316,26 @@ QUERIES = {
         ),
     ),
     "gr3_gaussian_blur": (gaussian, tables.sql("SELECT frame_id, r, c, round(greatest(1, v), 5) AS v FROM g2", "fx_frames", extra=_GAUSS)),
+    "gr1_downsample_packed": (
+        _planes(planes.downsample(5), kind="double", digits=9), _on_mosaic("SELECT frame_id, r // 5 AS r, c // 5 AS c, round(avg(v), 9) AS v FROM fx_mosaic GROUP BY 1, 2, 3"),
+    ),
+    "gr2_laplacian_packed": (_planes(planes.stencil(grid.LAPLACIAN), kind="bigint"), _on_mosaic("SELECT frame_id, r, c, CAST(lap AS BIGINT) AS v FROM st", _NEAR)),
+    "gr3_gaussian_blur_packed": (
+        _planes(planes.gaussian(1.0), lambda plane: plane.clip(1.0), kind="double", source=tables.packed_frames, digits=5),
+        tables.sql("SELECT frame_id, r, c, round(greatest(1, v), 5) AS v FROM g2", "fx_frames", extra=_GAUSS),
+    ),
+    "gr4_opening_packed": (
+        _planes(planes.above(120), planes.opening()), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)),
+    ),
+    "gr4_dilate_packed": (_planes(planes.above(120), planes.dilate(3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, _slide_sql("mk", "dl", "max", 3, 4))),
+    "ag16_binarise_packed": (
+        _planes(planes.otsu), _on_mosaic(
+            """SELECT frame_id, r, c, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM fx_mosaic JOIN (SELECT frame_id, t AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY
+            CASE WHEN w > w0 THEN (s * w0 - w * s0) * (s * w0 - w * s0) / (w0 * (w - w0)) ELSE 0 END DESC, t) AS k FROM (
+            SELECT frame_id, t, sum(n) OVER u AS w0, sum(n * t) OVER u AS s0, sum(n) OVER (PARTITION BY frame_id) AS w, sum(n * t) OVER (PARTITION BY frame_id) AS s
+            FROM (SELECT frame_id, v AS t, CAST(count(*) AS DOUBLE) AS n FROM fx_mosaic GROUP BY ALL) WINDOW u AS (PARTITION BY frame_id ORDER BY t))) WHERE k = 1) USING (frame_id)"""
+        ),
+    ),
     "gr4_dilate": (dilate, tables.sql("SELECT frame_id, r, c, v FROM dl", "fx_frames", extra=_MASK + ", " + _slide_sql("mk", "dl", "max", 3, 4))),
     "gr4_opening": (
         opening, tables.sql("SELECT frame_id, r, c, v FROM op", "fx_frames", extra=", ".join([_MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)])),

@@ -29,6 +29,14 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.selectExpr("vec_id DIV 64 AS frame_id", "CAST(vec_id % 64 AS INT) AS r", "p AS c", f"{gray} AS v")
 
 
+def packed_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of ``mosaic``, one row each with the bytes of the image."""
+    rows = packed_frames(spark, sf_dir).selectExpr("frame_id DIV 64 AS frame_id", "frame_id % 64 AS r", "data AS line")
+    lines = rows.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("r", "line"))).alias("l"))  # at most 64 lines
+    data = F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["line"]))
+    return lines.select("frame_id", F.size("l").alias("height"), F.lit(64).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
+
+
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).selectExpr("frame_id", "r", "c", "v AS blue", "(v * 7 + 13) % 256 AS green", "(v * 3 + 29) % 256 AS red")
 
