@@ -177,9 +177,9 @@ def invert(pixels: DataFrame, value: str = "v") -> DataFrame:
 
 def line_crossings(mask: DataFrame, arm: int, grow: int = 7, arm_v: int | None = None, keys: Sequence[str] = FRAME) -> DataFrame:
     """Places where a horizontal and a vertical bar of the given lengths cross, grown by a box."""
-    across = opening(mask, 1, arm, keys=keys)
-    down = opening(mask, arm_v or arm, 1, keys=keys)
-    return dilate(mask_and(across, down, keys=keys), grow, grow, keys=keys)
+    both = mask.select(*keys, "r", "c", F.col("v").alias("across"), F.col("v").alias("down"))
+    both = opening(opening(both, 1, arm, "across", keys), arm_v or arm, 1, "down", keys)
+    return dilate(both.select(*keys, "r", "c", F.least("across", "down").alias("v")), grow, grow, keys=keys)
 
 
 def mask_outline(mask: DataFrame, value: str = "v", keys: Sequence[str] = FRAME) -> DataFrame:
@@ -261,24 +261,26 @@ def tile_equalise(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, in
     every = tile_rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     every = every.join(hist.select(*on, "b", "kept"), [*on, "b"], "left")
     upto = F.coalesce(F.sum("kept").over(by_tile.orderBy("b")), F.lit(0.0)) + F.col("excess") * (F.col("b") + 1) / bins
-    lut = every.select(*on, "b", (upto * 255.0 / F.col("area")).alias("to"))
-
-    def corner(position: Column, count: int) -> tuple[Column, Column, Column]:
-        low = F.floor(position)
-        a = F.least(F.lit(count - 1), F.greatest(F.lit(0), low)).cast("int")
-        b = F.least(F.lit(count - 1), F.greatest(F.lit(0), low + 1)).cast("int")
-        return a, b, position - low
+    step = every.select(*on, F.struct("b", (upto * 255.0 / F.col("area")).alias("to")).alias("s"))
+    maps = step.groupBy(*on).agg(F.transform(F.sort_array(F.collect_list("s")), lambda e: e["to"]).alias("map"))
 
+    # a pixel lies in a cell between the centres of up to four tiles; each tile goes to the cells that it is a corner of
     n_r, n_c = math.ceil(h / th), math.ceil(w / tw)
-    r0, r1, fr = corner((F.col("r") + 0.5) / th - 0.5, n_r)
-    c0, c1, fc = corner((F.col("c") + 0.5) / tw - 0.5, n_c)
-    four = F.array(
-        F.struct(r0.alias("tr"), c0.alias("tc"), ((1 - fr) * (1 - fc)).alias("w")),
-        F.struct(r0.alias("tr"), c1.alias("tc"), ((1 - fr) * fc).alias("w")),
-        F.struct(r1.alias("tr"), c0.alias("tc"), (fr * (1 - fc)).alias("w")),
-        F.struct(r1.alias("tr"), c1.alias("tc"), (fr * fc).alias("w")),
+    for axis, n in (("r", n_r), ("c", n_c)):
+        t = F.col(f"t{axis}")
+        corners = [F.struct(t.alias("q"), F.lit(0).alias("side")), F.struct((t - 1).alias("q"), F.lit(1).alias("side"))]
+        first = F.when(t == 0, F.struct(F.lit(-1).alias("q"), F.lit(0).alias("side")))
+        last = F.when(t == n - 1, F.struct(F.lit(n - 1).alias("q"), F.lit(1).alias("side")))
+        maps = maps.withColumn(f"_{axis}", F.explode(F.array_compact(F.array(*corners, first, last))))
+    maps = maps.where((F.col("_r.q") >= -1) & (F.col("_c.q") >= -1))
+    sides = [(a, b) for a in (0, 1) for b in (0, 1)]
+    cells = maps.groupBy(*keys, F.col("_r.q").alias("qr"), F.col("_c.q").alias("qc")).agg(
+        *[F.first(F.when((F.col("_r.side") == a) & (F.col("_c.side") == b), F.col("map")), ignorenulls=True).alias(f"_m{a}{b}") for a, b in sides]
     )
-    rows = pixels.select(*keys, "r", "c", F.col(value).cast("int").alias("b"), F.explode(four).alias("k"))
-    rows = rows.select(*keys, "r", "c", "b", "k.tr", "k.tc", "k.w").join(lut, [*on, "b"])
-    out = rows.groupBy(*keys, "r", "c").agg(F.sum(F.col("w") * F.col("to")).alias("_v"))
-    return out.select(*keys, "r", "c", F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("_v")))).cast("int").alias(value))
+    place = {axis: (F.col(axis) + 0.5) / size_ - 0.5 for axis, size_ in (("r", th), ("c", tw))}
+    rows = pixels.select(*keys, "r", "c", F.col(value).cast("int").alias("b"), *[F.floor(place[a]).cast("int").alias(f"q{a}") for a in "rc"])
+    rows = rows.join(cells, [*keys, "qr", "qc"])
+    fr, fc = place["r"] - F.col("qr"), place["c"] - F.col("qc")
+    parts = [(fr if a else 1 - fr) * (fc if b else 1 - fc) * F.get(F.col(f"_m{a}{b}"), F.col("b")) for a, b in sides]
+    blend = sum(parts[1:], parts[0])
+    return rows.select(*keys, "r", "c", F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), blend))).cast("int").alias(value))
