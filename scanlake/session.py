@@ -57,3 +57,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result outlives the executors that computed it."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
