@@ -25,16 +25,16 @@ class Rows:
 
     def __init__(self, terms: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray):
         self.size = np.array([len(s) for s, _ in terms], np.int64)
-        self.slot = np.concatenate([s for s, _ in terms]) if terms else np.zeros(0, np.int64)
-        self.value = np.concatenate([np.log1p(c) / np.sqrt(max(len(c), 1)) for _, c in terms]) if terms else np.zeros(0)
-        self.row = np.repeat(np.arange(len(terms)), self.size)
+        self.slot = np.concatenate([np.asarray(s, np.int32) for s, _ in terms]) if terms else np.zeros(0, np.int32)
+        self.value = np.concatenate([(np.log1p(c) / np.sqrt(max(len(c), 1))).astype(np.float32) for _, c in terms]) if terms else np.zeros(0, np.float32)
+        self.row = np.repeat(np.arange(len(terms), dtype=np.int32), self.size)
         self.dense = dense
 
     def take(self, keep: np.ndarray) -> Rows:
         out = object.__new__(Rows)
         inside = keep[self.row]
         out.size, out.slot, out.value, out.dense = self.size[keep], self.slot[inside], self.value[inside], self.dense[keep]
-        out.row = np.repeat(np.arange(len(out.size)), out.size)
+        out.row = np.repeat(np.arange(len(out.size), dtype=np.int32), out.size)
         return out
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def fit_chain(terms: list, numbers: np.ndarray, quality: np.ndarray, toxic: np.n
     return chain
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> DataFrame:
+def classify_documents(docs: DataFrame, labels: DataFrame, most: int = 6_000) -> DataFrame:
     """doc_id, held_out, p_low_quality, p_toxic, p_severe and toxic (0 or 1) of every document, from its whole text.
 
     Learned from labels (doc_id, quality, toxic) of rows that are not held out, at most ``most`` of them (the stated bound of the
@@ -155,13 +155,13 @@ def classify_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000) -
             terms = [features.term_counts(t) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "quality": pdf["quality"], "toxic": pdf["toxic"], "x": [features.numbers(t) for t in pdf["text"]],
-                "slots": [s.astype(np.int32) for s, _ in terms], "counts": [c.astype(np.float32) for _, c in terms],
+                "slots": [s.astype("<i4").tobytes() for s, _ in terms], "counts": [c.astype("<i4").tobytes() for _, c in terms],
             })
 
-    kind = "doc_id long, quality int, toxic int, x array<double>, slots array<int>, counts array<float>"
+    kind = "doc_id long, quality int, toxic int, x array<double>, slots binary, counts binary"
     got = learned.mapInPandas(vectors, kind).toPandas().sort_values(["doc_id", "quality", "toxic"], kind="stable")
     numbers = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(features.NUMBERS))
-    terms = [(np.asarray(s, np.int64), np.asarray(c, np.float64)) for s, c in zip(got["slots"], got["counts"])]
+    terms = [(np.frombuffer(s, "<i4"), np.frombuffer(c, "<i4")) for s, c in zip(got["slots"], got["counts"])]
     fold = (got["doc_id"].to_numpy(np.int64) * 2654435761 >> 8) % FOLDS
     chain = fit_chain(terms, numbers, got["quality"].to_numpy() == 1, got["toxic"].to_numpy() == 1, fold)
     shipped = docs.sparkSession.sparkContext.broadcast(chain)  # SLOTS numbers for each model
