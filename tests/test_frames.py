@@ -215,7 +215,7 @@ def test_read_scan(spark, tmp_path):
         (folder / f"img_X{x:+.3f}_Y{y:+.3f}.png").write_bytes(png(images[(x, y)]))
     scan = files.read_scan(spark, str(folder)).cache()
     rows = scan.collect()
-    assert {(r["x"], r["y"]) for r in rows} == set(images) and {r["scan_id"] for r in rows} == {"wafer_scan_20240102_030405"}
+    assert {(r["x"], r["y"]) for r in rows} == set(images) and {r["scan"] for r in rows} == {"wafer_scan_20240102_030405"}
     for r in rows:
         got = frames.as_array(bytes(r["data"]), r["height"], r["width"], r["n_channels"])
         assert np.array_equal(got[:, :, ::-1], images[(r["x"], r["y"])])
