@@ -230,13 +230,15 @@ def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str]
     while True:
         least = left.groupBy(*on, "cx", "cy").agg(F.min("p").alias("m")).select(*on, "m", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
         near = _cells(least, radius + 1, reach=True).join(left, [*on, "cx", "cy"])
-        near = near.where((F.abs(F.col("p.x") - F.col("m.x")) <= radius) & (F.abs(F.col("p.y") - F.col("m.y")) <= radius))
-        near = cut_lineage(near.select(*on, "m", "p"))
-        clear = near.groupBy(*on, "m").agg(F.min("p").alias("p")).where("p = m").select(*on, "m")
-        kept = clear if kept is None else kept.unionByName(clear)
-        left = cut_lineage(left.join(near.join(clear, [*on, "m"]).select(*on, "p").distinct(), [*on, "p"], "left_anti"))
+        near = near.where((F.abs(F.col("p.x") - F.col("m.x")) <= radius) & (F.abs(F.col("p.y") - F.col("m.y")) <= radius)).select(*on, "m", "p")
+        clear = near.groupBy(*on, "m").agg(F.min("p").alias("_first")).where("_first = m").select(*on, "m")
+        decided = near.join(clear, [*on, "m"]).groupBy(*on, "p").agg(F.max(F.col("p") == F.col("m")).alias("kept"))
+        state = cut_lineage(left.join(decided, [*on, "p"], "left"))
+        now = state.where("kept").select(*on, "p")
+        kept = now if kept is None else kept.unionByName(now)
+        left = state.where("kept IS NULL").drop("kept")
         if left.isEmpty():
-            return kept.select(*on, "m.id", "m.x", "m.y")
+            return kept.select(*on, "p.id", "p.x", "p.y")
 
 
 def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME) -> DataFrame:
