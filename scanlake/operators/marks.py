@@ -225,20 +225,23 @@ def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str]
     """
     on = list(keys)
     first = centres.groupBy(*on, "x", "y").agg(F.min("id").alias("id")).withColumn("p", F.struct("id", "x", "y"))
-    left = cut_lineage(_cells(first, radius + 1).select(*on, "p", "cx", "cy"))
-    kept = None
-    while True:
+    placed = _cells(first, radius + 1).select(*on, "p", "cx", "cy")
+    # most centres are alone in the nine cells round them: those are kept at once, and the rounds only see the others
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    near = placed.groupBy(*on, "cx", "cy").agg(F.count(F.lit(1)).alias("n")).withColumn("_m", moves)
+    near = near.groupBy(*on, (F.col("cx") + F.col("_m.a")).alias("cx"), (F.col("cy") + F.col("_m.b")).alias("cy")).agg(F.sum("n").alias("n"))
+    placed = cut_lineage(placed.join(near, [*on, "cx", "cy"]))
+    kept, left = placed.where("n = 1").select(*on, "p"), placed.where("n > 1").drop("n")
+    while not left.isEmpty():
         least = left.groupBy(*on, "cx", "cy").agg(F.min("p").alias("m")).select(*on, "m", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
         near = _cells(least, radius + 1, reach=True).join(left, [*on, "cx", "cy"])
         near = near.where((F.abs(F.col("p.x") - F.col("m.x")) <= radius) & (F.abs(F.col("p.y") - F.col("m.y")) <= radius)).select(*on, "m", "p")
         clear = near.groupBy(*on, "m").agg(F.min("p").alias("_first")).where("_first = m").select(*on, "m")
         decided = near.join(clear, [*on, "m"]).groupBy(*on, "p").agg(F.max(F.col("p") == F.col("m")).alias("kept"))
         state = cut_lineage(left.join(decided, [*on, "p"], "left"))
-        now = state.where("kept").select(*on, "p")
-        kept = now if kept is None else kept.unionByName(now)
+        kept = kept.unionByName(state.where("kept").select(*on, "p"))
         left = state.where("kept IS NULL").drop("kept")
-        if left.isEmpty():
-            return kept.select(*on, "p.id", "p.x", "p.y")
+    return kept.select(*on, "p.id", "p.x", "p.y")
 
 
 def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME) -> DataFrame:
