@@ -66,6 +66,11 @@ def references(docs: DataFrame, common: int = 24, max_letters: int = 8) -> DataF
 
     Candidates for common words have at most ``max_letters`` characters. Counts are added before each shuffle.
     """
+    with text.scratch():
+        return text.keep(_references(docs, common, max_letters), "divergence-references")
+
+
+def _references(docs: DataFrame, common: int, max_letters: int) -> DataFrame:
     lang = F.col("lang").alias("_lang")
     seen = docs.select(lang, F.explode(text.words(F.col("text"))).alias("w"))
     counted = seen.groupBy("_lang", F.when(F.length("w") <= max_letters, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
@@ -80,7 +85,7 @@ def references(docs: DataFrame, common: int = 24, max_letters: int = 8) -> DataF
     sums = sums.select(lang, F.array(*CLASSES).alias("_class_ref"))
     out = sums.join(total, F.col("_lang").eqNullSafe(F.col("_l2")), "left").join(top, F.col("_lang").eqNullSafe(F.col("_l1")), "left")
     words = F.concat(F.col("_counts"), F.array(F.col("_total") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)))
-    return text.stored(out.select("_lang", "_common", "_class_ref", words.cast("array<double>").alias("_word_ref")), "divergence-references")
+    return out.select("_lang", "_common", "_class_ref", words.cast("array<double>").alias("_word_ref"))
 
 
 def js_distance(p: Column, q: Column) -> Column:

@@ -14,7 +14,7 @@ from scanlake.llm import text
 
 #: Segments of a new leaf, and the most distinct segments a Python worker keeps counts of before it starts anew.
 LEAF = 32
-CACHE_SEGMENTS = 1_000_000
+CACHE_SEGMENTS = 300_000
 #: The characters with the White_Space property (fixed values of the Unicode standard).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")

@@ -17,7 +17,7 @@ from scanlake.llm import text
 SEQUENCE = 2048
 GROUP_ROWS = 50_000
 #: Most words a Python worker keeps token ids of before it starts anew (a bound on memory, not on results), and words encoded at once.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 ENCODE_WORDS = 20_000
 _ENCODERS: dict[str, "WordIds"] = {}
 
@@ -103,6 +103,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = 0) -
     """
     def rows(batches):
         encoder = word_ids(path)
+        encoder.ids.clear()  # what other tasks of this worker left would only fill its memory
         for batch in batches:
             ids, counts = encoder.texts(batch["text"])
             # the end mark of each document behind its ids
@@ -118,6 +119,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = 0) -
                 [batch["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.ids.clear()
 
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return pairs.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -180,7 +180,12 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
        A shard with many words (a passage that very many documents share) is split by text; its parts reduce their windows to
        distinct ones first, and learn from the others which of them are found earlier elsewhere.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with text.scratch():
+        scanned, nodes, cuts = _find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return text.keep(scanned.drop("phrases"), "scanned"), text.keep(nodes.drop("phrases"), "nodes"), text.keep(cuts, "cuts")
+
+
+def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     scanned = text.stored(scan(docs), "scanned")
     nodes = text.stored(
         scanned.groupBy("node").agg(
@@ -207,8 +212,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     others = split.join(least, ["shard", "a", "b"]).where("first > least").select("shard", "part", "a", "b", F.col("least").alias("first"))
     found = groups.drop("parts").groupBy("shard", "part").cogroup(others.groupBy("shard", "part")).applyInPandas(judge, "node binary, ranges array<array<int>>")
     found = text.stored(found, "ranges").groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    cuts = text.stored(kept_texts(texts.join(found, "node").select("node", "text", "ranges")), "cuts")
-    return scanned, nodes.drop("phrases"), cuts
+    return scanned, nodes, kept_texts(texts.join(found, "node").select("node", "text", "ranges"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.session import shared_path
+from scanlake.session import remove_path, shared_path
 
 #: ASCII white space; words are the runs between it.
 SPACE = r"[\x20\x09-\x0D]"
 #: Most distinct words a Python worker keeps hashes of before it starts anew; a bound on memory, not on results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,38 @@ def byte_size(text: Column) -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and still there when executors are lost.
 
-    The files stay until the shared folder is cleaned.
+    The files go at the end of the ``scratch`` block they were written in; outside of one they stay until the shared folder is cleaned.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1][path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+_SCRATCH: list[dict] = []
+
+
+@contextmanager
+def scratch():
+    """A block whose stored tables are removed at its end, but for those given to ``keep``: results may only read kept ones."""
+    _SCRATCH.append({})
+    try:
+        yield
+    finally:
+        for path, spark in _SCRATCH.pop().items():
+            remove_path(spark, path)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored such that it outlives the innermost ``scratch`` block; the next one out takes it over."""
+    out = stored(df, name)
+    spark = _SCRATCH[-1].pop(out.stored_at)
+    if len(_SCRATCH) > 1:
+        _SCRATCH[-2][out.stored_at] = spark
+    return out
 
 
 class WordHashes(dict):
