@@ -18,8 +18,10 @@ SIZE = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share are not verified: at 0.8 that happens with probability 1e-6.
 LEAST_ESTIMATE = 0.65
 #: Members of a bucket that one task compares with as many others, and words worked on at once.
-BLOCK = 512
+BLOCK, BLOCK_CHARS = 512, 2_000_000
 CHUNK_WORDS = 1_000_000
+#: Columns of the table in which shared shingles are counted at once.
+COLUMNS = 4096
 _U = np.uint64
 
 
@@ -145,34 +147,74 @@ def close_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return text.stored(both.where(estimate("sa", "sb") >= LEAST_ESTIMATE).select("a", "b"), "candidates")
 
 
-def compare_blocks(members: DataFrame) -> DataFrame:
-    """Pairs within a bucket of different roots with close sketches; ``members``: key, n (of the bucket), node, root, sketch.
-
-    A bucket is cut into blocks of about ``BLOCK`` members by hash, and each pair of blocks is one group of bounded size, so a
-    bucket of any size is compared whole, in blocks, without a row per pair.
+def shared_counts(row: np.ndarray, element: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left x right matrix of how many elements two of ``n`` sets share; (row, element) are the members of the sets."""
+    _, column, times = np.unique(element, return_inverse=True, return_counts=True)
+    some = times[column] > 1
+    row, column = row[some], (np.cumsum(times > 1) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (start, start + COLUMNS)))
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[row[at], column[at] - start] = 1
+        out += table[left] @ table[right].T
+    return out
+
+
+def compare_blocks(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different roots within a bucket; ``members``: key, n and chars (of the bucket), node, root, sketch, text.
+
+    A bucket is cut into blocks of about ``BLOCK`` members and ``BLOCK_CHARS`` characters by hash, and each pair of blocks is one
+    group of bounded size: all its pairs are compared exactly there, and only links that still join something are given out. So
+    a bucket of any size is compared whole, without a row per pair.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     sent = members.withColumn("own", own).select("*", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "text"
     )
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        a, b = [], []
-        if len(left) and len(right):
-            table = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, SIZE)
-            roots, names = right["root"].to_numpy(), right["node"].to_numpy()
-            for node, root, sketch in zip(left["node"], left["root"], left["sketch"]):
-                agree = (table == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-                for k in np.flatnonzero(agree >= LEAST_ESTIMATE):
-                    if roots[k] != root:
-                        a.append(min(node, names[k])), b.append(max(node, names[k]))
-        return pd.DataFrame({"a": a, "b": b})
-
-    return sent.groupBy("key", "i", "j").applyInPandas(pairs, "a binary, b binary").distinct()
+        block, node, root = pdf["own"].to_numpy(), pdf["node"].tolist(), pdf["root"].tolist()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        row, element, weight = weighted_shingles(pdf["text"].tolist())
+        size = np.bincount(row, minlength=len(pdf))
+        once = np.bincount(row, weight > 1, len(pdf)) == 0
+        code = {x: k for k, x in enumerate(dict.fromkeys(root))}
+        group = np.array([code[x] for x in root])
+        shared = shared_counts(row, element, len(pdf), left, right)
+        apart = group[left][:, None] != group[right][None]
+        similar = shared >= (least - 1e-9) * (size[left][:, None] + size[right][None] - shared)
+        plain = once[left][:, None] & once[right][None]
+        hits = [(left[x], right[y]) for x, y in zip(*np.nonzero(similar & plain & apart))]
+        # repeated shingles: exactly, pair by pair, where the signatures agree enough
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SIZE)
+        ends = np.cumsum(size)
+        sets = lambda k: (element[ends[k] - size[k] : ends[k]], weight[ends[k] - size[k] : ends[k]])
+        for x in range(len(left)):
+            for y in np.flatnonzero(~plain[x] & apart[x] & (shared[x] > 0)):
+                a, b = left[x], right[y]
+                if (sketch[a] == sketch[b]).mean() >= LEAST_ESTIMATE and probability_jaccard(sets(a), sets(b)) >= least - 1e-9:
+                    hits.append((a, b))
+        parent, a, b = list(range(len(code))), [], []
+
+        def top(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for x, y in hits:
+            one, two = top(group[x]), top(group[y])
+            if one != two:
+                parent[one] = two
+                a.append(node[x]), b.append(node[y])
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return sent.groupBy("key", "i", "j").applyInPandas(links, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -184,7 +226,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     member, then what is still apart within a bucket is compared in blocks. Pairs are verified on whole texts. Null doc_ids
     come after all others in a class. Only doc_id and text are read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with text.scratch():
+        return text.keep(_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least), "classes")
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     signed = text.stored(sign(docs), "signed")
     nodes = text.stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
@@ -199,11 +245,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # pairs of a centre are done; a bucket is open while its other members have more than one root
-    rest = rooted(buckets.where("n > 2 AND node <> center").select("key", "node"))
-    still = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    members = rest.join(still, "key").join(nodes.select("node", "sketch"), "node")
-    more = text.stored(compare_blocks(members), "block-pairs")
-    more = verified(more, nodes, docs, least)
+    rest = text.stored(rooted(buckets.where("n > 2 AND node <> center").select("key", "node")), "rest")
+    still = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = rest.join(still, "key")
+    texts = text.texts_of(rest.select("node").distinct().join(nodes.select("node", "rep"), "node"), docs).withColumn("size", F.length("text").cast("long"))
+    loads = rest.join(texts.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    members = rest.join(loads, "key").join(nodes.select("node", "sketch"), "node").join(texts.select("node", "text"), "node")
+    more = text.stored(compare_blocks(members, least), "block-links")
     roots = components(links.unionByName(more))
 
     named = rooted(nodes.select("node", "rep"))
