@@ -14,6 +14,10 @@ SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "mark")
 #: Most languages whose references are sent to every executor (about 1 kB each); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
+#: Words of a wide reference (those with a letter), the slots they are looked up in by hash, and most languages broadcast with them (about 20 kB each).
+WIDE, SLOTS, WIDE_LANGUAGES = 400, 512, 500
+#: Fewest words of the wide reference that a text must be expected to have to be judged by them.
+LEAST_EXPECTED = 20
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -61,22 +65,28 @@ def base(docs: DataFrame) -> DataFrame:
     return df.withColumns({"_classes": histogram, "base_failed": failed}).drop("_odd", "_upper", "_digit")
 
 
-def references(docs: DataFrame, common: int = 24, max_letters: int = 8) -> DataFrame:
+def slot(w: Column) -> Column:
+    return F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
+
+
+def references(docs: DataFrame, common: int = 24, max_letters: int = 8, wide: bool = False) -> DataFrame:
     """One row per language over all documents: its ``common`` most frequent words with their counts, all words, and character classes.
 
     Candidates for common words have at most ``max_letters`` characters. Counts are added before each shuffle.
+    ``wide`` adds _slots, the ``WIDE`` most frequent words that have a letter, of any length, by slot, and _wide_share, their share of all such words.
     """
     with text.scratch():
-        return text.keep(_references(docs, common, max_letters), "divergence-references")
+        return text.keep(_references(docs, common, max_letters, wide), "divergence-references")
 
 
-def _references(docs: DataFrame, common: int, max_letters: int) -> DataFrame:
+def _references(docs: DataFrame, common: int, max_letters: int, wide: bool) -> DataFrame:
     lang = F.col("lang").alias("_lang")
     seen = docs.select(lang, F.explode(text.words(F.col("text"))).alias("w"))
-    counted = seen.groupBy("_lang", F.when(F.length("w") <= max_letters, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
+    short = F.length("w") <= max_letters
+    counted = seen.groupBy("_lang", F.col("w") if wide else F.when(short, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
     counted = text.stored(counted, "divergence-words")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
-    top = counted.where("w IS NOT NULL").withColumn("k", rank).where(F.col("k") <= common)
+    top = counted.where(short).withColumn("k", rank).where(F.col("k") <= common)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
     top = top.select(F.col("_lang").alias("_l1"), F.col("top.w").alias("_common"), F.col("top.n").alias("_counts"))
     total = counted.groupBy(F.col("_lang").alias("_l2")).agg(F.sum("n").alias("_total"))
@@ -85,7 +95,16 @@ def _references(docs: DataFrame, common: int, max_letters: int) -> DataFrame:
     sums = sums.select(lang, F.array(*CLASSES).alias("_class_ref"))
     out = sums.join(total, F.col("_lang").eqNullSafe(F.col("_l2")), "left").join(top, F.col("_lang").eqNullSafe(F.col("_l1")), "left")
     words = F.concat(F.col("_counts"), F.array(F.col("_total") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)))
-    return out.select("_lang", "_common", "_class_ref", words.cast("array<double>").alias("_word_ref"))
+    out = out.select("_lang", "_common", "_class_ref", words.cast("array<double>").alias("_word_ref"))
+    if not wide:
+        return out
+    lettered = counted.where(F.col("w").rlike(r"\p{L}"))
+    most = lettered.withColumn("k", rank).where(F.col("k") <= WIDE).groupBy(F.col("_lang").alias("_l3")).agg(F.collect_list("w").alias("_wide"), F.sum("n").alias("_n"))
+    every = lettered.groupBy(F.col("_lang").alias("_l4")).agg(F.sum("n").alias("_all"))
+    out = out.join(most, F.col("_lang").eqNullSafe(F.col("_l3")), "left").join(every, F.col("_lang").eqNullSafe(F.col("_l4")), "left")
+    placed = F.transform("_wide", lambda w: F.struct(slot(w).alias("s"), w.alias("w")))
+    slots = text.let(placed, lambda x: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.transform(F.filter(x, lambda y: y["s"] == i), lambda y: y["w"])))
+    return out.select("_lang", "_common", "_class_ref", "_word_ref", slots.alias("_slots"), (F.col("_n") / F.col("_all")).alias("_wide_share"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -107,15 +126,21 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), text.let(F.struct(total(p).alias("p"), total(q).alias("q")), terms))
 
 
-def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words: float = 0.42, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words: float = 0.42, min_chars: int = 200, min_words: int = 50, least_cover: float = 0.4) -> DataFrame:
     """``docs`` with the base counts, class_distance, word_distance and ``kept``.
 
     ``kept`` is false if the base rules fail, if a text of at least ``min_chars`` characters is further than ``max_classes`` from
     its language's character classes, or one of at least ``min_words`` words further than ``max_words`` from its common words.
     Shorter texts are too noisy to judge by a histogram and pass it. Null texts have no words and fail the base rules; a null
     language is a language of its own. Row-wise, with the references joined by language.
+
+    The common words are too few to tell languages apart: a text with none of them is still within ``max_words``. With wide references
+    ``kept`` is also false if a text has less than ``least_cover`` of the words of its language's wide reference that are expected
+    among its words with a letter, as texts in another language or of invented letters do; it is judged if ``LEAST_EXPECTED`` or more are expected.
     """
-    few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    wide = "_slots" in refs.columns
+    most = WIDE_LANGUAGES if wide else BROADCAST_LANGUAGES
+    few = refs.limit(most + 1).count() <= most
     df = base(docs).join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     df = df.withColumn("_own", F.filter("_words", lambda w: F.array_contains("_common", w)))
     own = F.transform("_common", lambda w: F.size("_own") - F.size(F.array_remove("_own", w)))
@@ -124,7 +149,16 @@ def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words
     odd_classes = (F.length("text") >= min_chars) & (F.col("class_distance") > max_classes)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_words)
     kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))
-    return df.withColumn("kept", kept).drop("_words", "_own", "_classes", "_common", "_class_ref", "_word_ref")
+    if wide:
+        df = df.withColumn("_lettered", F.filter("_words", lambda w: w.rlike(r"\p{L}")))
+        known = F.filter("_lettered", lambda w: F.array_contains(F.get("_slots", slot(w)), w))
+        df = df.withColumns({"_known": F.size(known), "_expected": F.size("_lettered") * F.col("_wide_share")})
+        foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("_known") < least_cover * F.col("_expected"))
+        kept &= ~F.coalesce(foreign, F.lit(False))
+        df = df.withColumn("kept", kept).drop("_slots", "_wide_share", "_lettered", "_known", "_expected")
+    else:
+        df = df.withColumn("kept", kept)
+    return df.drop("_words", "_own", "_classes", "_common", "_class_ref", "_word_ref")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -138,10 +172,10 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 
 
 def rules_stage(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
+    """The documents that the rules keep, those of wide references included, with the columns of ``docs``."""
     own = docs.select(text.row_of(docs), "text", "lang")
     # the id keeps the optimizer from moving the filter below the projections, which would repeat each of them in the next
-    judged = judge(own, references(docs)).select("_row", "kept", F.monotonically_increasing_id().alias("_id"))
+    judged = judge(own, references(docs, wide=True)).select("_row", "kept", F.monotonically_increasing_id().alias("_id"))
     return judged.where("kept AND _id >= 0").select("_row.*")
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -65,6 +66,22 @@ def test_rules_stage_keeps_columns(spark, odd, nothing):
     assert divergence.rules_stage(nothing).count() == 0 and divergence.rate_documents(nothing).count() == 0
 
 
+def test_rules_stage_rejects_other_languages_and_gibberish(spark):
+    rng = random.Random(8)
+    common = {"en": "the of and to in is that for it as was with".split(), "fr": "le de et la les des un une du que au sur".split()}
+
+    def prose(lang):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.24 else "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(300))
+
+    rows = [(k, prose(lang), lang, "a") for k, lang in enumerate(["en", "fr"] * 40)]
+    other = [(100 + k, t, {"en": "fr", "fr": "en"}[lang], s) for k, t, lang, s in rows[:4]]
+    gibberish = [(200 + k, re.sub("[a-z]", lambda _: rng.choice("abcdefghijklmnopqrstuvwxyz"), t), lang, s) for k, t, lang, s in rows[:4]]
+    digits = [(300, " ".join(str(rng.random())[2:7] for _ in range(60)), "none", "a"), (301, None, "none", "a")]
+    docs = spark.createDataFrame(rows + other + gibberish + digits, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in divergence.rules_stage(docs).collect()}
+    assert kept == {r[0] for r in rows} | {300}
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
