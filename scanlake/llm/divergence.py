@@ -69,24 +69,23 @@ def slot(w: Column) -> Column:
     return F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
 
 
-def references(docs: DataFrame, common: int = 24, max_letters: int = 8, wide: bool = False) -> DataFrame:
+def references(docs: DataFrame, common: int = 24, wide: bool = False) -> DataFrame:
     """One row per language over all documents: its ``common`` most frequent words with their counts, all words, and character classes.
 
-    Candidates for common words have at most ``max_letters`` characters. Counts are added before each shuffle.
+    Counts are added before each shuffle, over words of any length.
     ``wide`` adds _slots, the ``WIDE`` most frequent words that have a letter, of any length, by slot, and _wide_share, their share of all such words.
     """
     with text.scratch():
-        return text.keep(_references(docs, common, max_letters, wide), "divergence-references")
+        return text.keep(_references(docs, common, wide), "divergence-references")
 
 
-def _references(docs: DataFrame, common: int, max_letters: int, wide: bool) -> DataFrame:
+def _references(docs: DataFrame, common: int, wide: bool) -> DataFrame:
     lang = F.col("lang").alias("_lang")
     seen = docs.select(lang, F.explode(text.words(F.col("text"))).alias("w"))
-    short = F.length("w") <= max_letters
-    counted = seen.groupBy("_lang", F.col("w") if wide else F.when(short, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
+    counted = seen.groupBy("_lang", "w").agg(F.count("*").alias("n"))
     counted = text.stored(counted, "divergence-words")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
-    top = counted.where(short).withColumn("k", rank).where(F.col("k") <= common)
+    top = counted.withColumn("k", rank).where(F.col("k") <= common)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
     top = top.select(F.col("_lang").alias("_l1"), F.col("top.w").alias("_common"), F.col("top.n").alias("_counts"))
     total = counted.groupBy(F.col("_lang").alias("_l2")).agg(F.sum("n").alias("_total"))

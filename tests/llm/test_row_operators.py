@@ -82,6 +82,18 @@ def test_rules_stage_rejects_other_languages_and_gibberish(spark):
     assert kept == {r[0] for r in rows} | {300}
 
 
+def test_long_words_are_common_words(spark):
+    rng = random.Random(6)
+    common = [f"gemeinsam{k:02d}" for k in range(24)]
+    text = " ".join(w for k in range(100) for w in (common[k % 24], f"selten{rng.random()}"))
+    foreign = " ".join(f"anders{rng.random()}" for _ in range(200))
+    docs = spark.createDataFrame([(1, text, "x"), (2, foreign, "y"), (3, foreign, "x")], "doc_id long, text string, lang string")
+    refs = {r["_lang"]: r for r in divergence.references(docs.where("doc_id < 3")).collect()}
+    assert sorted(refs["x"]["_common"]) == common and refs["x"]["_word_ref"][-1] == 100 and len(refs["y"]["_common"]) == 24
+    judged = {r["doc_id"]: r for r in divergence.judge(docs, divergence.references(docs.where("doc_id < 3"))).collect()}
+    assert judged[1]["word_distance"] == 0 and judged[1]["kept"] and judged[3]["word_distance"] > 0.42 and not judged[3]["kept"]
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
