@@ -83,6 +83,14 @@ def test_near_duplicates_on_odd_rows(spark, odd, odd_rows, nothing):
     assert kept.schema == odd.schema and kept.count() == len({r["root"] for r in got}) and probminhash.keep_one(nothing).count() == 0
 
 
+def test_keep_one_keeps_the_smallest_id_of_each_class(spark):
+    docs = documents(spark)
+    rows = pairs_of(docs)
+    wanted = set(near_classes(rows).values())
+    assert len(wanted) < len(rows)
+    assert sorted(pairs_of(probminhash.keep_one(docs))) == sorted((d, t) for d, t in rows if d in wanted)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(1000, 1001), (7, 7)], "a long, b long"))
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
