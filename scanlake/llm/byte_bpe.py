@@ -98,7 +98,7 @@ class Codec:
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.bytes_of, self.names = Gather(tokens), Gather([b" %d" % i for i in range(len(tokens))])
+        self.bytes_of, self.names = text.Gather(tokens), text.Gather([b" %d" % i for i in range(len(tokens))])
         self.splitter, self.ids = Splitter(), {}
 
     def encode(self, pieces: list[str]) -> list[bytes]:
@@ -122,21 +122,6 @@ class Codec:
         return self.bytes_of.of(ids)
 
 
-class Gather:
-    """Byte strings by number, fetched many at once and put together."""
-
-    def __init__(self, items: list[bytes]):
-        self.data = np.frombuffer(b"".join(items), np.uint8)
-        self.size = np.fromiter(map(len, items), np.int64, len(items))
-        self.start = np.cumsum(self.size) - self.size
-
-    def of(self, ids: np.ndarray) -> bytes:
-        size = self.size[ids]
-        upto = np.cumsum(size)
-        total = int(upto[-1]) if len(upto) else 0
-        return self.data[np.repeat(self.start[ids] - upto + size, size) + np.arange(total)].tobytes()
-
-
 def codec(path: str) -> Codec:
     """The codec of this Python worker."""
     if path not in _CODECS:

@@ -123,6 +123,24 @@ def chunks(counts: np.ndarray, most: int):
         yield slice(start, len(counts))
 
 
+class Gather:
+    """Byte strings by number, fetched many at once and put together."""
+
+    def __init__(self, items: list[bytes]):
+        self.data = np.frombuffer(b"".join(items), np.uint8)
+        self.size = np.fromiter(map(len, items), np.int64, len(items))
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.data[np.repeat(self.start[ids] - upto + size, size) + np.arange(total)].tobytes()
+
+    def one(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+
 def digest(text: Column) -> Column:
     """16 bytes that stand for a text; a null text counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
