@@ -195,7 +195,7 @@ def mask_outline(mask: DataFrame, value: str = "v", keys: Sequence[str] = FRAME)
     return rows.where((F.col(value) > 0) & (F.col("_row") + F.col("_col") < 4)).select(*mask.columns)
 
 
-def outer_outline(mask: DataFrame, value: str = "v", keys: Sequence[str] = FRAME) -> DataFrame:
+def outer_outline(mask: DataFrame, value: str = "v", keys: Sequence[str] = FRAME, size: tuple[int, int] | None = None) -> DataFrame:
     """Outline without the rims of holes: only pixels beside background that reaches the image border.
 
     Pixels on the border of the image belong to the outline as well.
@@ -206,7 +206,7 @@ def outer_outline(mask: DataFrame, value: str = "v", keys: Sequence[str] = FRAME
     rim = mask_outline(mask, value, keys)
     sides = mask.groupBy(*keys).agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
     background = mask.select(*on, F.when(F.col(value) > 0, 0).otherwise(1).alias("v"))
-    labels = marks.label_components(background, keys=keys, connectivity=4)
+    labels = marks.label_components(background, keys=keys, connectivity=4, size=size)
     edge = (F.col("r") == F.col("_r0")) | (F.col("r") == F.col("_r1")) | (F.col("c") == F.col("_c0")) | (F.col("c") == F.col("_c1"))
     outside = labels.join(sides, list(keys)).groupBy(*keys, "label").agg(F.max(edge).alias("_open")).where("_open").drop("_open")
     open_pixels = labels.join(outside, [*keys, "label"]).select(*on)

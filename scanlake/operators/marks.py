@@ -26,7 +26,8 @@ DIGIT_BOXES = {
     "BR": (8.5, 8.0, 47.2, 69.0),
 }
 CALIBRATION_WIDTH = 850.0
-TILE = 256
+# Side of a tile in pixels, of a tile of cells in cells, and nodes joined along each axis by a level of the tree over the tiles.
+TILE, CELL_TILE, FAN = 256, 32, 4
 # Pixel (r, c) as one number that sorts in reading order; images are less than 2^20 pixels wide.
 _ROW_STRIDE = 1 << 20
 
@@ -59,20 +60,9 @@ def mark_binary(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int]
     return binarise(even, otsu_threshold(even))
 
 
-def _first_of_each(codes: np.ndarray, connectivity: int) -> np.ndarray:
-    """For the sorted pixel codes of a tile, the position of the first pixel of each one's component."""
-    rows, cols = np.divmod(codes, _ROW_STRIDE)
-    r, c = rows - rows.min() + 1, cols - cols.min() + 1
-    index = np.full((r.max() + 2, c.max() + 2), -1, dtype=np.int64)
-    index[r, c] = np.arange(len(r))
-    steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
-    links = []
-    for dr, dc in steps:
-        other = index[r + dr, c + dc]
-        here = np.flatnonzero(other >= 0)
-        links.append(np.stack([here, other[here]]))
-    a, b = np.concatenate(links, axis=1)
-    first = np.arange(len(r))
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` entries the first one it is linked with, directly or through others; links are pairs of positions."""
+    first = np.arange(n)
     while True:
         low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
         if np.array_equal(low, high):
@@ -82,81 +72,130 @@ def _first_of_each(codes: np.ndarray, connectivity: int) -> np.ndarray:
             first = first[first]
 
 
-def label_components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+def _touching(group: np.ndarray, r: np.ndarray, c: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of neighbouring pixels of one group; pixels are distinct and sorted by group, r, c, with r and c from 0 on."""
+    width = int(max(r.max(), c.max())) + 3  # neighbours beyond the last row or column meet nothing
+    key = (group * width + r) * width + c
+    links = [(np.zeros(0, np.int64),) * 2]
+    for dr, dc in [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else []):
+        other = key + dr * width + dc
+        at = np.minimum(np.searchsorted(key, other), len(key) - 1)
+        here = np.flatnonzero(key[at] == other)
+        links.append((here, at[here]))
+    return tuple(np.concatenate(side) for side in zip(*links))
+
+
+def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the row, value) of all elements of some arrays."""
+    n = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    return np.repeat(np.arange(len(n)), n), np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64)
+
+
+def _split(values: np.ndarray, like: pd.Series) -> pd.Series:
+    ends = np.cumsum(np.fromiter(map(len, like), np.int64, len(like)))
+    return pd.Series(np.split(values, ends[:-1]) if len(like) else [])
+
+
+def _code(r: Column, c: Column) -> Column:
+    wide = F.raise_error(F.lit(f"a column is not below {_ROW_STRIDE}")).cast("long")
+    return F.when((c >= _ROW_STRIDE) | (c < 0), wide).otherwise(r.cast("long") * _ROW_STRIDE + c)
+
+
+def label_components(
+    mask: DataFrame, keys: Sequence[str] = grid.FRAME, connectivity: int = 8, tile: int = TILE, size: tuple[int, int] | None = None, fan: int = FAN,
+) -> DataFrame:
     """Component label (its first pixel in reading order, as r * 2^20 + c) of every set pixel.
 
-    Tiles are labelled on their own, at most ``tile`` squared pixels at a time. Components that touch across tile borders
-    are then joined by a graph over border labels only. Fails on columns from 2^20 on, which have no label.
+    Tiles are labelled on their own, at most ``tile`` squared pixels at a time. Then a tree over the tiles puts components together: each
+    level joins ``fan`` x ``fan`` neighbours by the labels on their rims alone and passes its own rim on. The number of levels follows
+    from ``size`` (height, width of the largest frame, read from the pixels unless given); frames of one tile have none. Fails on columns
+    below 0 or from 2^20 on, which have no label.
     """
     on = list(keys)
     place = [(F.floor(F.col(a) / tile)).cast("int").alias(f"t{a}") for a in ("r", "c")]
-    wide = F.raise_error(F.lit(f"a column is not below {_ROW_STRIDE}")).cast("long")
-    code = F.when(F.col("c") >= _ROW_STRIDE, wide).otherwise(F.col("r").cast("long") * _ROW_STRIDE + F.col("c"))
-    pixels = mask.where(F.col("v") > 0).select(*on, *place, code.alias("code"))
+    pixels = mask.where(F.col("v") > 0).select(*on, *place, _code(F.col("r"), F.col("c")).alias("code"))
     tiles = pixels.groupBy(*on, "tr", "tc").agg(F.sort_array(F.collect_list("code")).alias("codes"))
 
     @F.pandas_udf("array<bigint>")
     def label(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda tile_codes: tile_codes[_first_of_each(tile_codes, connectivity)])
+        group, code = _flat(codes)
+        if len(code) == 0:
+            return codes
+        r, c = np.divmod(code, _ROW_STRIDE)
+        return _split(code[_joined(len(code), *_touching(group, r % tile, c % tile, connectivity))], codes)
 
     local = tiles.select(*on, "tr", "tc", F.explode(F.arrays_zip("codes", label("codes").alias("labels"))).alias("_p"))
     local = local.select(
         *on, "tr", "tc", F.expr(f"CAST(_p.codes DIV {_ROW_STRIDE} AS INT)").alias("r"), F.expr(f"CAST(_p.codes % {_ROW_STRIDE} AS INT)").alias("c"),
         F.col("_p.labels").alias("label"),
     )
-    out = ["r", "c", "label"]
-    local = cut_lineage(local)
-    roots = _connect(_border_links(local, on, tile, connectivity), on)
+    levels = _levels(size, tile, fan) if size else None
+    if levels != 0:
+        local = cut_lineage(local)
+    roots = _tree(local, on, tile, fan, levels, connectivity)
     if roots is None:
-        return local.select(*on, *out)
+        return local.select(*on, "r", "c", "label")
     joined = local.join(roots, [*on, "label"], "left")
     return joined.select(*on, "r", "c", F.coalesce("root", "label").alias("label"))
 
 
-def _border_links(local: DataFrame, on: list[str], tile: int, connectivity: int) -> DataFrame:
-    """Pairs of labels (a larger than b) whose pixels touch across a tile border."""
-    edge = F.lit(False)
-    for axis in ("r", "c"):
-        place = F.pmod(F.col(axis), F.lit(tile))
-        edge = edge | (place == 0) | (place == tile - 1)
-    rim = local.where(edge)
-    steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
-    moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in steps])
-    sent = rim.withColumn("_m", F.explode(moves)).select(
-        *on, F.col("tr").alias("_tr"), F.col("tc").alias("_tc"), F.col("label").alias("_from"),
-        (F.col("r") + F.col("_m.dr")).alias("r"), (F.col("c") + F.col("_m.dc")).alias("c"),
-    )
-    met = sent.join(rim, [*on, "r", "c"]).where((F.col("tr") != F.col("_tr")) | (F.col("tc") != F.col("_tc")))
-    return met.select(*on, F.greatest("_from", "label").alias("a"), F.least("_from", "label").alias("b")).distinct()
+def _levels(size: tuple[int, int], tile: int, fan: int) -> int:
+    """Levels of the tree over the tiles of a frame of this size."""
+    tiles, levels = -(-max(size) // tile), 0
+    while tiles > 1:
+        tiles, levels = -(-tiles // fan), levels + 1
+    return levels
 
 
-def _connect(links: DataFrame, on: list[str]) -> DataFrame | None:
-    """Smallest label reachable from each linked label, by alternating large-star and small-star steps; None without links.
+def _tree(local: DataFrame, on: list[str], tile: int, fan: int, levels: int | None, connectivity: int) -> DataFrame | None:
+    """label and root of the tile labels whose components reach over tile borders; None for frames of one tile.
 
-    Each step keeps, per node, the minimum of its neighbours (partial minima before the shuffle) and re-hangs edges on it.
+    ``local`` has tr, tc, r, c and label. A level's group holds the rims of fan x fan nodes: about ``4 * fan * side`` pixels.
     """
-    edges = cut_lineage(links)
-    mark = _fingerprint(edges, on)
-    if mark[0] == 0:
-        return None
-    while True:
-        both = edges.unionByName(edges.select(*on, F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(*on, "a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, [*on, "a"]).where(F.col("b") > F.col("a")).select(*on, F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy(*on, "a").agg(F.min("b").alias("low"))
-        small = large.join(least, [*on, "a"]).select(*on, F.col("b").alias("a"), F.col("low").alias("b"))
-        small = small.unionByName(least.select(*on, "a", F.col("low").alias("b")))
-        edges = cut_lineage(small.where(F.col("a") != F.col("b")).distinct())
-        now = _fingerprint(edges, on)
-        if now == mark:
-            return edges.select(*on, F.col("a").alias("label"), F.col("b").alias("root"))
-        mark = now
+    if levels is None:
+        row = local.agg(*[F.max(f"t{a}").alias(a) for a in "rc"]).first()
+        levels = _levels(((row["r"] or 0) + 1, (row["c"] or 0) + 1), 1, fan)
 
+    def on_rim(side: int) -> Column:
+        edge = F.lit(False)
+        for axis in ("r", "c"):
+            edge = edge | F.pmod(F.col(axis), F.lit(side)).isin(0, side - 1)
+        return edge
 
-def _fingerprint(edges: DataFrame, on: list[str]) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*on, "a", "b")).alias("h")).first()
-    return row["n"], row["h"] or 0
+    @F.pandas_udf("array<bigint>")
+    def merge(codes: pd.Series, labels: pd.Series) -> pd.Series:
+        (group, code), (_, label) = _flat(codes), _flat(labels)
+        r, c = np.divmod(code, _ROW_STRIDE)
+        start = np.concatenate(([True], group[1:] != group[:-1]))
+        for axis in (r, c):
+            axis -= np.minimum.reduceat(axis, np.flatnonzero(start))[np.cumsum(start) - 1]
+        order = np.lexsort((label, group))
+        same = np.flatnonzero((group[order][1:] == group[order][:-1]) & (label[order][1:] == label[order][:-1]))
+        a, b = _touching(group, r, c, connectivity)
+        root = _joined(len(code), np.concatenate((a, order[same])), np.concatenate((b, order[same + 1])))
+        least = label.copy()
+        np.minimum.at(least, root, label)
+        return _split(least[root], codes)
+
+    side, rim, maps = tile, local.where(on_rim(tile)).select(*on, "r", "c", "label"), []
+    for _ in range(levels):
+        side *= fan
+        node = [F.floor(F.col(a) / side).cast("int").alias(f"n{a}") for a in ("r", "c")]
+        packed = F.sort_array(F.collect_list(F.struct(_code(F.col("r"), F.col("c")).alias("code"), "label")))
+        nodes = rim.groupBy(*on, *node).agg(packed.alias("_p"))
+        codes, labels = F.col("_p.code"), F.col("_p.label")
+        met = nodes.select(*on, F.explode(F.arrays_zip(codes.alias("code"), labels.alias("label"), merge(codes, labels).alias("root"))).alias("_p"))
+        met = met.select(*on, F.expr(f"CAST(_p.code DIV {_ROW_STRIDE} AS INT)").alias("r"), F.expr(f"CAST(_p.code % {_ROW_STRIDE} AS INT)").alias("c"), "_p.label", "_p.root")
+        maps.append(met.where("label <> root").select(*on, "label", "root").distinct())
+        rim = met.where(on_rim(side)).select(*on, "r", "c", F.col("root").alias("label"))
+    if not maps:
+        return None
+    # what a level made of a label may have got another root on a later one
+    roots = maps.pop()
+    for earlier in reversed(maps):
+        later = roots.select(*on, F.col("label").alias("root"), F.col("root").alias("_last"))
+        roots = earlier.join(later, [*on, "root"], "left").select(*on, "label", F.coalesce("_last", "root").alias("root")).unionByName(roots)
+    return roots
 
 
 def component_stats(labels: DataFrame, keys: Sequence[str] = grid.FRAME) -> DataFrame:
@@ -171,9 +210,9 @@ def component_stats(labels: DataFrame, keys: Sequence[str] = grid.FRAME) -> Data
     )
 
 
-def components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, tile: int = TILE) -> DataFrame:
+def components(mask: DataFrame, keys: Sequence[str] = grid.FRAME, tile: int = TILE, size: tuple[int, int] | None = None) -> DataFrame:
     """8-connected components of a mask with their boxes."""
-    return component_stats(label_components(mask, keys, 8, tile), keys)
+    return component_stats(label_components(mask, keys, 8, tile, size), keys)
 
 
 def mark_like(stats: DataFrame, size: tuple[int, int]) -> DataFrame:
@@ -216,32 +255,67 @@ def _cells(df: DataFrame, side: int, reach: bool = False) -> DataFrame:
     return df.withColumn("_m", F.explode(moves)).withColumns({"cx": cx + F.col("_m.a"), "cy": cy + F.col("_m.b")}).drop("_m")
 
 
-def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME) -> DataFrame:
+def _fold(x: list[int], y: list[int], radius: int, kept: dict[tuple[int, int], list[tuple[int, int]]]) -> list[bool]:
+    """Whether each centre in turn is kept; ``kept`` (centres kept so far, by cell) grows."""
+    side, out = radius + 1, []
+    for a, b in zip(x, y):
+        cx, cy = a // side, b // side
+        keep = True
+        for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if any(abs(a - p) <= radius and abs(b - q) <= radius for p, q in kept.get(cell, ())):
+                keep = False
+                break
+        if keep:
+            kept.setdefault((cx, cy), []).append((a, b))
+        out.append(keep)
+    return out
+
+
+def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None, tile: int = CELL_TILE) -> DataFrame:
     """Go through the centres of a frame in order of id and drop those within ``radius`` of a kept one on both axes.
 
-    Done in rounds over cells in which all centres are near each other: the first open centre of a cell is kept if no earlier
-    open one is near; what is near a kept one is dropped. That keeps what the loop in order keeps. A round compares one centre of a
-    cell with those of the nine cells round it, so no task sees a whole frame. Of centres on one pixel the first stands for all.
+    Centres fall into cells as wide as the reach; only those of touching cells can meet. Frames of at most ``tile`` cells a side are gone
+    through in one pass each. In larger ones the connected groups of occupied cells are found (``label_components`` over the cells),
+    and each group is gone through on its own, as a stream sorted by id that holds the kept centres alone. Neither needs more steps for
+    longer chains of centres. ``size`` (height, width) is the size of the largest frame, read from the centres unless given; centres lie
+    inside their frame. Of centres on one pixel the first stands for all.
     """
-    on = list(keys)
-    first = centres.groupBy(*on, "x", "y").agg(F.min("id").alias("id")).withColumn("p", F.struct("id", "x", "y"))
-    placed = _cells(first, radius + 1).select(*on, "p", "cx", "cy")
-    # most centres are alone in the nine cells round them: those are kept at once, and the rounds only see the others
-    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    near = placed.groupBy(*on, "cx", "cy").agg(F.count(F.lit(1)).alias("n")).withColumn("_m", moves)
-    near = near.groupBy(*on, (F.col("cx") + F.col("_m.a")).alias("cx"), (F.col("cy") + F.col("_m.b")).alias("cy")).agg(F.sum("n").alias("n"))
-    placed = cut_lineage(placed.join(near, [*on, "cx", "cy"]))
-    kept, left = placed.where("n = 1").select(*on, "p"), placed.where("n > 1").drop("n")
-    while not left.isEmpty():
-        least = left.groupBy(*on, "cx", "cy").agg(F.min("p").alias("m")).select(*on, "m", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
-        near = _cells(least, radius + 1, reach=True).join(left, [*on, "cx", "cy"])
-        near = near.where((F.abs(F.col("p.x") - F.col("m.x")) <= radius) & (F.abs(F.col("p.y") - F.col("m.y")) <= radius)).select(*on, "m", "p")
-        clear = near.groupBy(*on, "m").agg(F.min("p").alias("_first")).where("_first = m").select(*on, "m")
-        decided = near.join(clear, [*on, "m"]).groupBy(*on, "p").agg(F.max(F.col("p") == F.col("m")).alias("kept"))
-        state = cut_lineage(left.join(decided, [*on, "p"], "left"))
-        kept = kept.unionByName(state.where("kept").select(*on, "p"))
-        left = state.where("kept IS NULL").drop("kept")
-    return kept.select(*on, "p.id", "p.x", "p.y")
+    on, side = list(keys), radius + 1
+    first = centres.groupBy(*on, "x", "y").agg(F.min("id").alias("id"))
+    if size is None:
+        first = cut_lineage(first)
+        row = first.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+        size = ((row["y"] or 0) + 1, (row["x"] or 0) + 1)
+    cells = (-(-size[0] // side), -(-size[1] // side))
+
+    @F.pandas_udf("array<boolean>")
+    def fold(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_fold(a.tolist(), b.tolist(), radius, {}) for a, b in zip(x, y)])
+
+    if _levels(cells, tile, FAN) == 0:
+        rows = first.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
+        rows = rows.select(*on, F.explode(F.arrays_zip("p", fold("p.x", "p.y").alias("kept"))).alias("_k")).where("_k.kept")
+        return rows.select(*on, "_k.p.id", "_k.p.x", "_k.p.y")
+    first = cut_lineage(first)
+    cell = first.withColumns({"r": F.floor(F.col("y") / side).cast("int"), "c": F.floor(F.col("x") / side).cast("int")})
+    groups = label_components(cell.select(*on, "r", "c", F.lit(1).alias("v")).distinct(), keys, 8, tile, cells)
+    rows = cell.join(groups, [*on, "r", "c"]).select(*on, "label", "id", "x", "y")
+    columns = [*on, "label"]
+
+    def stream(batches):
+        group, kept = None, {}
+        for pdf in batches:
+            names = list(zip(*(pdf[c] for c in columns)))
+            starts = [k for k, name in enumerate(names) if k == 0 or name != names[k - 1]]
+            keep = []
+            for low, high in zip(starts, [*starts[1:], len(names)]):
+                if names[low] != group:
+                    group, kept = names[low], {}
+                keep += _fold(pdf["x"].iloc[low:high].tolist(), pdf["y"].iloc[low:high].tolist(), radius, kept)
+            yield pdf.loc[keep, [*on, "id", "x", "y"]]
+
+    ordered = rows.repartition(*columns).sortWithinPartitions(*columns, "id", "x", "y")
+    return ordered.mapInPandas(stream, ordered.select(*on, "id", "x", "y").schema)
 
 
 def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME) -> DataFrame:
@@ -257,12 +331,12 @@ def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME)
     return a.join(b, [*on, "cx", "cy"]).where(near & before).drop("cx", "cy")
 
 
-def grid_rotation(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME) -> DataFrame:
+def grid_rotation(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None) -> DataFrame:
     """Median direction between neighbouring marks of a frame, folded into [0, 90); frames without neighbours give null.
 
     Marks are thinned by ``suppress_near``; neighbours are at most ``reach`` apart on both axes (a little more than the pitch).
     """
-    kept = cut_lineage(suppress_near(centres, radius, keys))
+    kept = cut_lineage(suppress_near(centres, radius, keys, size))
     pairs = near_pairs(kept, reach, keys)
     angle = F.degrees(F.atan2(-(F.col("y_b") - F.col("y_a")).cast("double"), (F.col("x_b") - F.col("x_a")).cast("double")))
     turned = pairs.groupBy(*keys).agg(F.median(F.pmod(angle, F.lit(90.0))).alias("angle_deg"))

@@ -158,11 +158,11 @@ def layer_masks(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20, backg
     return rows.select("frame_id", F.col("_t.layer").alias("layer"), "r", "c", F.when(far <= tol, 255).otherwise(0).alias("v"))
 
 
-def layer_outlines(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20, background: bool = True) -> DataFrame:
+def layer_outlines(pixels: DataFrame, layers: Sequence[Layer], tol: int = 20, background: bool = True, size: tuple[int, int] | None = None) -> DataFrame:
     """Outer outlines (frame_id, layer, r, c) of each layer, after a 3x3 opening has removed specks."""
     keys = ("frame_id", "layer")
     cleaned = cut_lineage(grid.opening(layer_masks(pixels, layers, tol, background), keys=keys))
-    return grid.outer_outline(cleaned, keys=keys).select(*keys, "r", "c")
+    return grid.outer_outline(cleaned, keys=keys, size=size).select(*keys, "r", "c")
 
 
 def channels_long(pixels: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def outline(spark, sf_dir):
 
 
 def outer_outline(spark, sf_dir):
-    return grid.outer_outline(_mask(spark, sf_dir)).select("frame_id", "r", "c", "v")
+    return grid.outer_outline(_mask(spark, sf_dir), size=(8, 8)).select("frame_id", "r", "c", "v")
 
 
 _OUTER = (
@@ -175,7 +175,7 @@ _OUTER = (
 
 def layer_outlines(spark, sf_dir):
     rows = tables.mosaic(spark, sf_dir).selectExpr("frame_id", "r", "c", "v AS blue", "v AS green", "v AS red")
-    return pixels.layer_outlines(rows, [pixels.Layer("Mid", (120, 120, 120))], 50)
+    return pixels.layer_outlines(rows, [pixels.Layer("Mid", (120, 120, 120))], 50, size=(64, 64))
 
 
 _LAYERS = ", ".join(

@@ -9,7 +9,8 @@ from scanlake.plans import tables
 from scanlake.plans.frames_catalogue import EQUALISE
 
 C = F.col
-SIZE = (8, 8)
+# Height and width of the gray frames, and of the field that the marks lie in.
+SIZE, FIELD = (8, 8), (480, 640)
 REACH = 240
 
 
@@ -52,7 +53,7 @@ cs AS (SELECT frame_id, label, min(c) AS "left", min(r) AS top, max(c) - min(c)
 
 def _stats(spark, sf_dir, tile):
     # a tile smaller than the frame makes components cross tile borders, as on full-size frames
-    return marks.components(_binary(spark, sf_dir), tile=tile)
+    return marks.components(_binary(spark, sf_dir), tile=tile, size=SIZE)
 
 
 def components(spark, sf_dir):
@@ -64,20 +65,20 @@ def mark_like(spark, sf_dir):
 
 
 def box_centres(spark, sf_dir):
-    return marks.box_centres(marks.components(_binary(spark, sf_dir), tile=4))
+    return marks.box_centres(marks.components(_binary(spark, sf_dir), tile=4, size=SIZE))
 
 
 def moment_centres(spark, sf_dir):
-    return marks.moment_centres(marks.components(_binary(spark, sf_dir), tile=4), 10)
+    return marks.moment_centres(marks.components(_binary(spark, sf_dir), tile=4, size=SIZE), 10)
 
 
 def largest_centre(spark, sf_dir):
     frames = tables.load(spark, sf_dir, "embeddings").selectExpr("vec_id AS frame_id")
-    return marks.largest_centre(marks.components(_binary(spark, sf_dir), tile=4), frames, SIZE)
+    return marks.largest_centre(marks.components(_binary(spark, sf_dir), tile=4, size=SIZE), frames, SIZE)
 
 
 def suppress(spark, sf_dir):
-    return marks.suppress_near(tables.marks(spark, sf_dir), 40)
+    return marks.suppress_near(tables.marks(spark, sf_dir), 40, size=FIELD)
 
 
 _KEPT = """fm AS (SELECT frame_id, min(id) AS id, x, y FROM fx_marks GROUP BY frame_id, x, y),
@@ -91,11 +92,11 @@ _PAIRS = f"""pr AS (SELECT a.frame_id, a.id AS id_a, a.x AS x_a, a.y AS y_a, b.i
 
 
 def pairs(spark, sf_dir):
-    return marks.near_pairs(marks.suppress_near(tables.marks(spark, sf_dir)), REACH)
+    return marks.near_pairs(marks.suppress_near(tables.marks(spark, sf_dir), size=FIELD), REACH)
 
 
 def rotation(spark, sf_dir):
-    return marks.grid_rotation(tables.marks(spark, sf_dir), REACH).select("frame_id", F.round("angle_deg", 5).alias("angle_deg"))
+    return marks.grid_rotation(tables.marks(spark, sf_dir), REACH, size=FIELD).select("frame_id", F.round("angle_deg", 5).alias("angle_deg"))
 
 
 def digit_boxes(spark, sf_dir):

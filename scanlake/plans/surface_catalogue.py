@@ -157,13 +157,15 @@ QUERIES = {
     "wn10_reference_track": (
         reference_track,
         tables.sql(
-            """SELECT map_id, seq, x, y, round(z_ref, 6) AS z_ref, round(CASE WHEN seq >= anchor_seq THEN z_anchor + z_ref - then_ref ELSE z_ref END, 6) AS z_applied
-            FROM rt LEFT JOIN at_anchor a USING (map_id)""",
+            """SELECT m.map_id, m.seq, m.x, m.y, round(m.z_ref, 6) AS z_ref, round(CASE WHEN m.seq >= a.anchor_seq THEN a.z_anchor + m.z_ref - a.then_ref ELSE m.z_ref END, 6) AS z_applied
+            FROM means m LEFT JOIN at_anchor a ON a.map_id = m.map_id""",
             "fx_points",
-            extra="""rt AS MATERIALIZED (SELECT map_id, seq, x, y, z, CASE WHEN count(*) OVER w >= 3 THEN avg(z) OVER w END AS z_ref
-              FROM (SELECT * REPLACE (z * 10471975511965976e-16 AS z) FROM fx_points) WINDOW w AS (PARTITION BY map_id ORDER BY seq, x, y, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-            at_anchor AS (SELECT map_id, anchor_seq, z_anchor, CASE WHEN count(*) >= 3 THEN avg(z) END AS then_ref FROM rt
-              JOIN (SELECT s_suppkey AS map_id, s_suppkey * 1000 AS anchor_seq, s_acctbal / 100 AS z_anchor FROM supplier) USING (map_id) WHERE seq <= anchor_seq GROUP BY ALL)""",
+            extra="""sums AS (SELECT map_id, seq, x, y, row_number() OVER w AS n, sum(z * 10471975511965976e-16) OVER w AS s FROM fx_points
+              WINDOW w AS (PARTITION BY map_id ORDER BY seq, x, y, z ROWS UNBOUNDED PRECEDING)),
+            means AS (SELECT map_id, seq, x, y, n, CASE WHEN n >= 3 THEN s / n END AS z_ref FROM sums),
+            anchors AS (SELECT s_suppkey AS map_id, s_suppkey * 1000 AS anchor_seq, s_acctbal / 100 AS z_anchor FROM supplier),
+            last_before AS (SELECT m.map_id, max(m.n) AS n FROM means m JOIN anchors a ON a.map_id = m.map_id WHERE m.seq <= a.anchor_seq GROUP BY m.map_id),
+            at_anchor AS (SELECT a.map_id, a.anchor_seq, a.z_anchor, m.z_ref AS then_ref FROM last_before l JOIN means m ON m.map_id = l.map_id AND m.n = l.n JOIN anchors a ON a.map_id = l.map_id)""",
         ),
     ),
     "st3_map_points": (

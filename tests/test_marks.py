@@ -41,6 +41,34 @@ def snake(n):
     return m
 
 
+def spiral(n):
+    """One line that winds from the corner to the centre, with a gap of one pixel between its turns."""
+    m = np.zeros((n, n), int)
+    r, c, dr, dc = 0, 0, 0, 1
+    m[0, 0] = 1
+    while True:
+        for _ in range(2):
+            ahead, after = (r + dr, c + dc), (r + 2 * dr, c + 2 * dc)
+            if all(0 <= v < n for v in ahead) and not (all(0 <= v < n for v in after) and m[after]) and not m[ahead]:
+                break
+            dr, dc = dc, -dr
+        else:
+            return m
+        r, c = ahead
+        m[r, c] = 1
+
+
+@pytest.mark.parametrize("fan,size", [(2, None), (2, (32, 32)), (4, None), (16, (32, 32))])
+def test_components_of_a_spiral_over_many_tiles(spark, fan, size):
+    masks = {1: spiral(32), 2: np.random.default_rng(3).integers(0, 2, (32, 32)), 3: spiral(31)}
+    for connectivity in (4, 8):
+        got = {k: {} for k in masks}
+        for row in marks.label_components(as_rows(spark, masks), connectivity=connectivity, tile=2, size=size, fan=fan).collect():
+            got[row["frame_id"]][(row["r"], row["c"])] = row["label"]
+        assert got == {k: flood(m, connectivity) for k, m in masks.items()}
+    assert set(flood(masks[1], 4).values()) == {0} and marks._levels((32, 32), 2, 2) == 4
+
+
 @pytest.mark.parametrize("tile,connectivity", [(5, 8), (4, 4), (64, 8)])
 def test_components(spark, tile, connectivity):
     rng = np.random.default_rng(6)
@@ -99,6 +127,22 @@ def test_suppress_near_in_a_wide_frame(spark):
     assert got == set(greedy(points, 20))
 
 
+@pytest.mark.parametrize("tile", [marks.CELL_TILE, 4])
+def test_suppress_near_along_chains(spark, tile):
+    rnd = random.Random(7)
+    chain = [(i, 15 * (i % 250), 300 * (i // 250) + 7 * (i % 3)) for i in range(5000)]
+    back = [(5000 - i, x, y) for i, x, y in chain]
+    mixed = [(rnd.randrange(10**6), x, y) for _, x, y in chain[:1500]]
+    points = {1: chain, 2: back, 3: mixed, 4: [(1, 5, 5)]}
+    df = spark.createDataFrame([(k, *p) for k, ps in points.items() for p in ps], "frame_id long, id long, x int, y int")
+    for size in (None, (6000, 4000)):
+        got = {k: set() for k in points}
+        for r in marks.suppress_near(df, 20, size=size, tile=tile).collect():
+            got[r["frame_id"]].add((r["id"], r["x"], r["y"]))
+        assert {k: {(x, y) for _, x, y in v} for k, v in got.items()} == {k: set(greedy(ps, 20)) for k, ps in points.items()}
+    assert marks.suppress_near(df.limit(0)).count() == 0 and marks.label_components(df.selectExpr("frame_id", "y AS r", "x AS c", "0 AS v")).count() == 0
+
+
 def test_components_join_over_borders_and_refuse_wide_frames(spark):
     bar = spark.createDataFrame([(1, 0, c, 1) for c in range(12)], "frame_id long, r int, c int, v int")
     assert marks.components(bar, tile=8).count() == 1
