@@ -12,12 +12,16 @@ WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes of the histogram, in order: lower case and caseless, upper case, digits, white space, symbols, other marks.
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "mark")
-#: Most languages whose references are sent to every executor (about 1 kB each); more are joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
-#: Words of a wide reference (those with a letter), the slots they are looked up in by hash, and most languages broadcast with them (about 20 kB each).
-WIDE, SLOTS, WIDE_LANGUAGES = 400, 512, 500
+#: Words of the histogram's reference, of the wide reference (those with a letter), and slots in which both are looked up by hash.
+COMMON, WIDE, SLOTS = 24, 400, 512
+#: Most languages whose references are sent to every executor (about 20 kB each); more are joined by a shuffle.
+BROADCAST_LANGUAGES = 500
 #: Fewest words of the wide reference that a text must be expected to have to be judged by them.
 LEAST_EXPECTED = 20
+#: Codes of reference words: place among the common ones, the same from here on for those without a letter, and one code for all others.
+UNLETTERED, OTHER = 100, 200
+#: A word's first letter, found once for each word that has one.
+LETTERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -69,41 +73,47 @@ def slot(w: Column) -> Column:
     return F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
 
 
-def references(docs: DataFrame, common: int = 24, wide: bool = False) -> DataFrame:
-    """One row per language over all documents: its ``common`` most frequent words with their counts, all words, and character classes.
+def references(docs: DataFrame) -> DataFrame:
+    """One row per language over all documents: character classes, common words and the wide reference.
 
-    Counts are added before each shuffle, over words of any length.
-    ``wide`` adds _slots, the ``WIDE`` most frequent words that have a letter, of any length, by slot, and _wide_share, their share of all such words.
+    _word_ref counts the ``COMMON`` most frequent words and all others; _share is the share of the ``WIDE`` most frequent words with a
+    letter among all words with a letter. Both kinds are looked up in _slot_words, lists of words by the hash of a word, and
+    their codes in _slot_codes. Words of any length count, repeated rows count each, equal counts rank by the word. An empty table
+    gives no rows; a language without words has no word references. Counts are added before each shuffle.
     """
     with text.scratch():
-        return text.keep(_references(docs, common, wide), "divergence-references")
+        return text.keep(_references(docs), "divergence-references")
 
 
-def _references(docs: DataFrame, common: int, wide: bool) -> DataFrame:
+def _references(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").alias("_lang")
     seen = docs.select(lang, F.explode(text.words(F.col("text"))).alias("w"))
-    counted = seen.groupBy("_lang", "w").agg(F.count("*").alias("n"))
-    counted = text.stored(counted, "divergence-words")
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
-    top = counted.withColumn("k", rank).where(F.col("k") <= common)
-    top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
-    top = top.select(F.col("_lang").alias("_l1"), F.col("top.w").alias("_common"), F.col("top.n").alias("_counts"))
-    total = counted.groupBy(F.col("_lang").alias("_l2")).agg(F.sum("n").alias("_total"))
-    raw = base(docs.select("text", "lang"))
-    sums = raw.groupBy("lang").agg(*[F.sum(F.element_at("_classes", i + 1)).alias(name) for i, name in enumerate(CLASSES)])
-    sums = sums.select(lang, F.array(*CLASSES).alias("_class_ref"))
-    out = sums.join(total, F.col("_lang").eqNullSafe(F.col("_l2")), "left").join(top, F.col("_lang").eqNullSafe(F.col("_l1")), "left")
-    words = F.concat(F.col("_counts"), F.array(F.col("_total") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)))
-    out = out.select("_lang", "_common", "_class_ref", words.cast("array<double>").alias("_word_ref"))
-    if not wide:
-        return out
-    lettered = counted.where(F.col("w").rlike(r"\p{L}"))
-    most = lettered.withColumn("k", rank).where(F.col("k") <= WIDE).groupBy(F.col("_lang").alias("_l3")).agg(F.collect_list("w").alias("_wide"), F.sum("n").alias("_n"))
-    every = lettered.groupBy(F.col("_lang").alias("_l4")).agg(F.sum("n").alias("_all"))
-    out = out.join(most, F.col("_lang").eqNullSafe(F.col("_l3")), "left").join(every, F.col("_lang").eqNullSafe(F.col("_l4")), "left")
-    placed = F.transform("_wide", lambda w: F.struct(slot(w).alias("s"), w.alias("w")))
-    slots = text.let(placed, lambda x: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.transform(F.filter(x, lambda y: y["s"] == i), lambda y: y["w"])))
-    return out.select("_lang", "_common", "_class_ref", "_word_ref", slots.alias("_slots"), (F.col("_n") / F.col("_all")).alias("_wide_share"))
+    counted = text.stored(seen.groupBy("_lang", "w").agg(F.count("*").alias("n")), "divergence-words")
+    lettered = F.col("w").rlike(r"\p{L}").alias("lettered")
+    ranked = {}
+    for name, rows, most in (("common", counted, COMMON), ("wide", counted.where(lettered), WIDE)):
+        rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
+        ranked[name] = rows.withColumn("k", rank).where(F.col("k") <= most)
+    top = ranked["common"].select("_lang", "w", "n", F.when(lettered, F.col("k") - 1).otherwise(F.col("k") - 1 + UNLETTERED).alias("code"), F.lit(True).alias("common"))
+    wide = ranked["wide"].select("_lang", "w", "n", F.lit(OTHER).alias("code"), F.lit(False).alias("common"))
+    entry = F.struct(slot(F.col("w")).alias("s"), "w", F.col("code"))
+    both = top.unionByName(wide).groupBy("_lang", "w").agg(F.min("code").alias("code"), F.max("common").alias("common"), F.max("n").alias("n"), (F.count("*") - F.max("common").cast("int")).alias("wide"))
+    sums = both.groupBy(F.col("_lang").alias("_l1")).agg(
+        F.collect_list(entry).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("common"), F.struct((F.col("code") % UNLETTERED).alias("k"), "n")))).alias("common"),
+        F.sum(F.col("n") * F.col("wide")).alias("_n"),
+    )
+    every = counted.groupBy(F.col("_lang").alias("_l2")).agg(F.sum("n").alias("_total"), F.sum(F.when(lettered, F.col("n"))).alias("_all"))
+    classes = base(docs.select("text", "lang")).groupBy("lang").agg(*[F.sum(F.element_at("_classes", i + 1)).alias(name) for i, name in enumerate(CLASSES)])
+    out = classes.select(lang, F.array(*CLASSES).alias("_class_ref"))
+    for other, name in ((sums, "_l1"), (every, "_l2")):
+        out = out.join(other, F.col("_lang").eqNullSafe(F.col(name)), "left").drop(name)
+
+    def by_slot(field: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.transform(F.filter("entries", lambda e: e["s"] == i), lambda e: e[field]))
+
+    counts = F.transform("common", lambda e: e["n"])
+    words = F.concat(counts, F.array(F.col("_total") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x))).cast("array<double>")
+    return out.select("_lang", "_class_ref", words.alias("_word_ref"), by_slot("w").alias("_slot_words"), by_slot("code").alias("_slot_codes"), (F.col("_n") / F.col("_all")).alias("_share"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -130,51 +140,57 @@ def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words
 
     ``kept`` is false if the base rules fail, if a text of at least ``min_chars`` characters is further than ``max_classes`` from
     its language's character classes, or one of at least ``min_words`` words further than ``max_words`` from its common words.
-    Shorter texts are too noisy to judge by a histogram and pass it. Null texts have no words and fail the base rules; a null
-    language is a language of its own. Row-wise, with the references joined by language.
+    The common words alone cannot tell languages apart: a text with none of them is still within ``max_words``. So ``kept`` is also
+    false if a text has less than ``least_cover`` of the words of its language's wide reference that are expected among its words
+    with a letter, as texts in another language or of invented letters do; it is judged if ``LEAST_EXPECTED`` or more are expected.
 
-    The common words are too few to tell languages apart: a text with none of them is still within ``max_words``. With wide references
-    ``kept`` is also false if a text has less than ``least_cover`` of the words of its language's wide reference that are expected
-    among its words with a letter, as texts in another language or of invented letters do; it is judged if ``LEAST_EXPECTED`` or more are expected.
+    Shorter texts are too noisy to judge by a histogram and pass it. Null texts have no words and fail the base rules; a null
+    language is a language of its own. Repeated rows are judged alike, an empty table gives no rows. Texts of any length are
+    judged whole, in one row. Row-wise, with the references joined by language.
     """
-    wide = "_slots" in refs.columns
-    most = WIDE_LANGUAGES if wide else BROADCAST_LANGUAGES
-    few = refs.limit(most + 1).count() <= most
+    few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     df = base(docs).join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    df = df.withColumn("_own", F.filter("_words", lambda w: F.array_contains("_common", w)))
-    own = F.transform("_common", lambda w: F.size("_own") - F.size(F.array_remove("_own", w)))
-    df = df.withColumn("_own", F.concat(own, F.array(F.size("_words") - F.size("_own"))).cast("array<double>"))
+
+    def code(w: Column) -> Column:
+        return F.get(F.get("_slot_codes", slot(w)), F.array_position(F.get("_slot_words", slot(w)), w).cast("int") - 1)
+
+    df = df.withColumn("_known", F.array_compact(F.transform("_words", code)))
+    df = df.withColumn("_own", F.array_remove("_known", OTHER))
+
+    def times(k: int) -> Column:
+        return F.size("_own") - F.size(F.array_remove("_own", k))
+
+    # a language may have fewer common words than others
+    own = F.slice(F.array(*[times(k) + times(k + UNLETTERED) for k in range(COMMON)]), 1, F.size("_word_ref") - 1)
+    df = df.withColumn("_own", F.when(F.col("_word_ref").isNotNull(), F.concat(own, F.array(F.col("n_words").cast("int") - F.size("_own")))).cast("array<double>"))
     df = df.withColumns({"class_distance": js_distance(F.col("_classes"), F.col("_class_ref")), "word_distance": js_distance(F.col("_own"), F.col("_word_ref"))})
     odd_classes = (F.length("text") >= min_chars) & (F.col("class_distance") > max_classes)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_words)
-    kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))
-    if wide:
-        df = df.withColumn("_lettered", F.filter("_words", lambda w: w.rlike(r"\p{L}")))
-        known = F.filter("_lettered", lambda w: F.array_contains(F.get("_slots", slot(w)), w))
-        df = df.withColumns({"_known": F.size(known), "_expected": F.size("_lettered") * F.col("_wide_share")})
-        foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("_known") < least_cover * F.col("_expected"))
-        kept &= ~F.coalesce(foreign, F.lit(False))
-        df = df.withColumn("kept", kept).drop("_slots", "_wide_share", "_lettered", "_known", "_expected")
-    else:
-        df = df.withColumn("kept", kept)
-    return df.drop("_words", "_own", "_classes", "_common", "_class_ref", "_word_ref")
+    lettered = F.size(F.filter("_known", lambda x: ~x.between(UNLETTERED, OTHER - 1)))
+    df = df.withColumns({"n_known": lettered.cast("long"), "_expected": F.regexp_count("text", F.lit(LETTERED)) * F.col("_share")})
+    foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("n_known") < least_cover * F.col("_expected"))
+    kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)) & ~F.coalesce(foreign, F.lit(False))
+    return df.withColumn("kept", kept).drop("_words", "_own", "_known", "_classes", "_class_ref", "_word_ref", "_slot_words", "_slot_codes", "_share", "_expected")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def rate_documents(docs: DataFrame) -> DataFrame:
-    """Every document with its counts, verdicts and distances (rounded to 6 digits). Only doc_id, text and lang are read."""
+    """Every document with its counts, verdicts, distances (rounded to 6 digits) and n_known, its words of the wide reference.
+
+    Only doc_id, text and lang are read. Nulls, ties, repeated rows and empty tables: see ``judge`` and ``references``.
+    """
     docs = docs.select("doc_id", "text", "lang")
     rated = judge(docs, references(docs))
-    return rated.select("doc_id", *COUNTS, "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return rated.select("doc_id", *COUNTS, "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), "n_known")
 
 
 def rules_stage(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, those of wide references included, with the columns of ``docs``."""
+    """The documents that the rules keep (``judge``), with the columns of ``docs``. Null texts go, an empty table stays empty."""
     own = docs.select(text.row_of(docs), "text", "lang")
     # the id keeps the optimizer from moving the filter below the projections, which would repeat each of them in the next
-    judged = judge(own, references(docs, wide=True)).select("_row", "kept", F.monotonically_increasing_id().alias("_id"))
+    judged = judge(own, references(docs)).select("_row", "kept", F.monotonically_increasing_id().alias("_id"))
     return judged.where("kept AND _id >= 0").select("_row.*")
 
 
@@ -201,13 +217,18 @@ p AS (SELECT doc_id, lang, k, n / nullif(sum(n) OVER (PARTITION BY doc_id), 0) A
 cd AS (SELECT doc_id, sqrt(greatest(sum({_side("p", "q")} + {_side("q", "p")}) / 2, 0)) AS class_distance FROM p JOIN r ON p.lang IS NOT DISTINCT FROM r.lang AND p.k = r.k WHERE p IS NOT NULL GROUP BY 1),
 f AS (SELECT lang, s, count(*) AS n FROM (SELECT lang, unnest(w) AS s FROM d) GROUP BY 1, 2),
 tt AS (SELECT lang, sum(n) AS total FROM f GROUP BY 1),
-top AS (SELECT * FROM (SELECT lang, s, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, s) AS k FROM f WHERE length(s) <= 8) WHERE k <= 24),
+top AS (SELECT * FROM (SELECT lang, s, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, s) AS k FROM f) WHERE k <= 24),
+wide AS (SELECT * FROM (SELECT lang, s, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, s) AS k FROM f WHERE regexp_matches(s, '\p{{L}}')) WHERE k <= 400),
+share AS (SELECT w.lang, w.n / a.n AS share FROM (SELECT lang, sum(n) * 1e0 AS n FROM wide GROUP BY 1) w JOIN (SELECT lang, sum(n) * 1e0 AS n FROM f WHERE regexp_matches(s, '\p{{L}}') GROUP BY 1) a ON a.lang IS NOT DISTINCT FROM w.lang),
+kn AS (SELECT doc_id, count(*) AS n_known FROM (SELECT doc_id, lang, unnest(w) AS s FROM d) u JOIN wide ON wide.s = u.s AND wide.lang IS NOT DISTINCT FROM u.lang GROUP BY 1),
+ex AS (SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) * share AS expected FROM d JOIN share ON share.lang IS NOT DISTINCT FROM d.lang),
 own AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS s FROM d) u WHERE EXISTS (SELECT 1 FROM top WHERE top.s = u.s AND top.lang IS NOT DISTINCT FROM u.lang) GROUP BY 1, 2),
 m AS (SELECT b.doc_id, coalesce(own.n, 0) * 1e0 / b.n_words AS p, top.n * 1e0 / total AS q FROM b JOIN top ON b.lang IS NOT DISTINCT FROM top.lang JOIN tt ON tt.lang IS NOT DISTINCT FROM b.lang
     LEFT JOIN own ON own.doc_id = b.doc_id AND own.s = top.s WHERE b.n_words > 0),
 wd AS (SELECT doc_id, sqrt(greatest((sum({_side("p", "q")} + {_side("q", "p")}) + any_value(0e0) + {_side("greatest(1 - sum(p), 0)", "greatest(1 - sum(q), 0)")} + {_side("greatest(1 - sum(q), 0)", "greatest(1 - sum(p), 0)")}) / 2, 0)) AS word_distance
   FROM m GROUP BY 1),
-z AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+z AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id) LEFT JOIN kn USING (doc_id) LEFT JOIN ex USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(length(t) >= 200 AND class_distance > 28e-2, false) AND NOT coalesce(n_words >= 50 AND word_distance > 42e-2, false) AS kept,
+  NOT base_failed AND NOT coalesce(length(t) >= 200 AND class_distance > 28e-2, false) AND NOT coalesce(n_words >= 50 AND word_distance > 42e-2, false)
+  AND NOT coalesce(expected >= 20 AND coalesce(n_known, 0) < 4e-1 * expected, false) AS kept, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM z"""
