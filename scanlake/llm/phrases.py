@@ -17,18 +17,25 @@ WINDOW, PHRASE = 50, 8
 SHARD_PHRASES = 20_000
 GROUP_WORDS = 1_000_000
 CHUNK_CHARS = 4_000_000
+#: Digests of texts that a task remembers before it starts anew (a bound on memory, not on results).
+CACHE_NODES = 200_000
 _U = np.uint64
 _LAST = 2**63 - 1
 
 
-def positions(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, phrase hashes) chosen from texts whose word hashes stand one after another in ``h``.
+def letters(h: np.ndarray) -> np.ndarray:
+    """One 16-bit character for each word hash, the alphabet of the automata. Several words may share one."""
+    return (h % _U(0xD800 - 0x100) + _U(0x100)).astype("<u2")
+
+
+def positions(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the phrases chosen from texts whose word hashes stand one after another in ``h``.
 
     Of the phrases in each window of a text the one with the smallest hash is chosen, the first on ties: equal windows, wherever
     they stand, choose the same phrase.
     """
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64)
     grams = text.gram_hashes(h, PHRASE)
     low = (grams >> _U(32) << _U(32)) | np.arange(len(grams), dtype=_U)
     width, wanted = 1, WINDOW - PHRASE + 1
@@ -42,8 +49,7 @@ def positions(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.add.at(inside, starts[some], 1)
     np.add.at(inside, (starts + counts - WINDOW + 1)[some], -1)
     chosen = (low[np.cumsum(inside[: len(low)]) > 0] & _U(0xFFFFFFFF)).astype(np.int64)
-    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
-    return chosen, grams[chosen]
+    return chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
 
 
 def hashed(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -53,51 +59,62 @@ def hashed(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_words, sha256 (of the words joined by spaces) and phrases (the hashes chosen, each once)."""
+    """doc_id, node, n_words, sha256 (of the words joined by spaces) and phrases: the distinct ones chosen, as letters.
+
+    Of equal texts that a task meets one after another only the first has its phrases; the others have none.
+    """
 
     def rows(batches):
+        seen: set[bytes] = set()
         for pdf in batches:
             n, sha, phrases = [], [], []
+            if len(seen) > CACHE_NODES:
+                seen.clear()
             for at in text.chunks(pdf["text"].str.len().fillna(0).to_numpy(np.int64), CHUNK_CHARS):
                 words = [text.split_words(t) for t in pdf["text"].iloc[at]]
                 counts = np.array([len(w) for w in words], np.int64)
                 h = np.concatenate([text.HASHES.of(w) for w in words])
-                place, gram = positions(h, counts)
-                cut = np.searchsorted(place, np.cumsum(counts)[:-1])
-                phrases += [np.unique(g.view(np.int64)) for g in np.split(gram, cut)]
+                place = positions(h, counts)
+                data, cut = letters(h).tobytes(), np.searchsorted(place, np.cumsum(counts)[:-1])
+                for node, own in zip(pdf["node"].iloc[at], np.split(place, cut)):
+                    phrases.append([] if node in seen else list({data[2 * p : 2 * (p + PHRASE)] for p in own.tolist()}))
+                    seen.add(node)
                 n += counts.tolist()
                 sha += [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": pdf["node"], "n_words": n, "sha256": sha, "phrases": phrases})
 
     pairs = docs.select("doc_id", text.digest(F.col("text")).alias("node"), "text")
-    return pairs.mapInPandas(rows, "doc_id long, node binary, n_words long, sha256 string, phrases array<long>")
+    return pairs.mapInPandas(rows, "doc_id long, node binary, n_words long, sha256 string, phrases array<binary>")
+
+
+def automaton_of(phrases):
+    """Aho-Corasick automaton of phrases given as letters."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        automaton.add_word(phrase.decode("utf-16-le"))
+    automaton.make_automaton()
+    return automaton
 
 
 def occurrences(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate windows of a group of texts: (row, place, two hashes of the window, first document that has the text).
 
-    The group's recurring phrases are compiled into an Aho-Corasick automaton over words, one character standing for a word, and
-    all its texts are streamed through; windows round a hit are candidates. Characters may stand for several words, so hits
-    can be false; the two 64-bit hashes of a window are of the words themselves.
+    The confirmed phrases of the group are compiled into an Aho-Corasick automaton over words, one character standing for a word, and
+    all its texts are streamed through: a window is a candidate if a phrase occurs in it. Nothing else names candidates. Characters may
+    stand for several words, so hits can be false; the two 64-bit hashes of a window, by which windows are compared, are of the words.
     """
-    import ahocorasick
-
     h, counts = hashed(pdf["text"])
     starts = np.cumsum(counts) - counts
-    place, gram = positions(h, counts)
-    recurring = np.unique(np.concatenate(pdf["phrases"].to_numpy())) if len(pdf) else np.zeros(0, np.int64)
-    place = place[np.isin(gram.view(np.int64), recurring)]
-    letters = (h % _U(0xD800 - 0x100) + _U(0x100)).astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in place.tolist():
-        automaton.add_word(letters[p : p + PHRASE])
     marks = np.zeros(len(h) + 1, np.int64)
-    if len(place):
-        automaton.make_automaton()
+    phrases = set().union(*pdf["phrases"])
+    if phrases:
+        automaton, line = automaton_of(phrases), letters(h).tobytes().decode("utf-16-le")
         for start, n in zip(starts.tolist(), counts.tolist()):
             if n < WINDOW:
                 continue
-            at = np.fromiter((end for end, _ in automaton.iter(letters[start : start + n])), np.int64) - (PHRASE - 1)
+            at = np.fromiter((end for end, _ in automaton.iter(line[start : start + n])), np.int64) - (PHRASE - 1)
             np.add.at(marks, start + np.maximum(at - (WINDOW - PHRASE), 0), 1)
             np.add.at(marks, start + np.minimum(at, n - WINDOW) + 1, -1)
     window = np.flatnonzero(np.cumsum(marks) > 0)
@@ -173,27 +190,29 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A window repeats if its words also start in a document with a smaller doc_id. Equal texts are one node, judged for its
     smallest doc_id; of the other copies everything repeats, if they have a window at all.
 
-    1. Each text chooses phrases such that equal windows choose the same one. A phrase recurs if two distinct texts chose it.
-    2. A phrase belongs to the shard of one text that has it, so the phrases that two texts share meet in few shards. Each text
-       goes to the shards of its recurring phrases only; texts without any stay where they are.
-    3. Each shard compiles its phrases into an automaton and streams its texts through (``occurrences``), then windows are compared.
+    1. Each text chooses phrases such that equal windows choose the same one. A phrase is confirmed if two distinct texts chose it;
+       the phrase table holds its words as letters of the automata.
+    2. A phrase belongs to the shard of one text that has it, so the phrases that two texts share meet in few shards. All texts are held
+       against the phrase table and go to the shards of their confirmed phrases. One without any has no repeated window: it
+       would have chosen the same phrase as the text that it shares the window with.
+    3. Each shard compiles its phrases into an automaton and streams its texts through (``occurrences``); the hits name the windows that are compared.
        A shard with many words (a passage that very many documents share) is split by text; its parts reduce their windows to
        distinct ones first, and learn from the others which of them are found earlier elsewhere.
     """
     with text.scratch():
         scanned, nodes, cuts = _find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-        return text.keep(scanned.drop("phrases"), "scanned"), text.keep(nodes.drop("phrases"), "nodes"), text.keep(cuts, "cuts")
+        return text.keep(scanned.drop("phrases"), "scanned"), text.keep(nodes, "nodes"), text.keep(cuts, "cuts")
 
 
 def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     scanned = text.stored(scan(docs), "scanned")
     nodes = text.stored(
         scanned.groupBy("node").agg(
-            F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("phrases").alias("phrases")
+            F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")
         ),
         "nodes",
     )
-    chosen = nodes.select("node", F.xxhash64("node").alias("name"), F.explode("phrases").alias("phrase"))
+    chosen = scanned.select("node", F.xxhash64("node").alias("name"), F.explode("phrases").alias("phrase"))
     recurring = chosen.groupBy("phrase").agg(F.min("name").alias("source"), F.max("name").alias("other")).where("source <> other")
     recurring = text.stored(recurring.select("phrase", "source"), "recurring")
     shards = recurring.count() // SHARD_PHRASES + 1

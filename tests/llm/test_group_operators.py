@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -241,3 +242,28 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert packed.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "repeated_passages", "mix_sources", "pack_sequences"]
+
+
+def test_hits_of_the_automaton_alone_name_candidates(monkeypatch):
+    rng = random.Random(12)
+    one, two = ([f"{x}{rng.randint(0, 999)}" for _ in range(60)] for x in "pq")
+    texts = [" ".join([*one, *[f"a{k}" for k in range(30)], *two]), " ".join([*[f"b{k}" for k in range(40)], *two, *one])]
+    chosen = []
+    for t in texts:
+        h, counts = phrases.hashed([t])
+        data = phrases.letters(h).tobytes()
+        chosen.append({data[2 * p : 2 * (p + phrases.PHRASE)] for p in phrases.positions(h, counts).tolist()})
+    shared = sorted(chosen[0] & chosen[1])
+    first = [x for x in shared if x in phrases.letters(phrases.hashed([" ".join(one)])[0]).tobytes()]
+    assert first and len(first) < len(shared)
+    others = pd.DataFrame({"a": [], "b": [], "first": []})
+
+    def ranges(known):
+        pdf = pd.DataFrame({"node": [b"1", b"2"], "rep": [1, 2], "phrases": [known, known], "text": texts})
+        return {r.node: r.ranges for r in phrases.judge(pdf, others).itertuples()}
+
+    assert ranges(shared) == {b"2": [[40, 160]]} or ranges(shared) == {b"2": [[40, 100], [100, 160]]}
+    assert ranges(first) == {b"2": [[100, 160]]} and ranges([]) == {}
+    compiled = phrases.automaton_of
+    monkeypatch.setattr(phrases, "automaton_of", lambda known: compiled([b"\x01\x00"]))
+    assert ranges(shared) == {}
