@@ -62,14 +62,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **measures
     """Add running measures over (unbounded preceding, current row] of each key.
 
     ``df`` must carry the slice column. A measure is ``name=(kind, expression)`` with kind one of
-    ``sum count max min last``; ``last`` skips nulls.
+    ``sum count max min last``; ``last`` skips nulls. ``total`` is the sum over all rows of the key.
     """
     frame = _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
     local, totals, carried = [], [], []
     for name, (kind, expr) in measures.items():
-        if kind == "last":
+        if kind == "total":
+            totals.append(F.sum(expr).alias(f"_sum_{name}"))
+            carried.append(F.sum(f"_sum_{name}").over(Window.partitionBy(*keys)).alias(f"_in_{name}"))
+        elif kind == "last":
             local.append(F.last(expr, ignorenulls=True).over(frame).alias(f"_own_{name}"))
             totals.append(F.max_by(expr, F.when(expr.isNotNull(), position)).alias(f"_sum_{name}"))
             carried.append(F.last(f"_sum_{name}", ignorenulls=True).over(before).alias(f"_in_{name}"))
@@ -84,7 +87,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **measures
     result = [F.col(c) for c in df.columns]
     for name, (kind, _) in measures.items():
         own, into = F.col(f"_own_{name}"), F.col(f"_in_{name}")
-        if kind == "last":
+        if kind == "total":
+            value = into
+        elif kind == "last":
             value = F.coalesce(own, into)
         elif kind == "max":
             value = F.greatest(own, into)
@@ -112,10 +117,13 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], **columns
     )
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column | None = None, name: str = "i") -> DataFrame:
-    """Number the rows of each key 0, 1, 2, ... in order. ``slice_col`` must grow with the order columns; none means ``df`` is sliced."""
+def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column | None = None, name: str = "i", length: str | None = None) -> DataFrame:
+    """Number the rows of each key 0, 1, 2, ... in order. ``slice_col`` must grow with the order columns; none means ``df`` is sliced.
+
+    ``length`` names a column for the number of rows of the key.
+    """
     sliced = df if slice_col is None else df.withColumn(SLICE, slice_col)
-    numbered = running(sliced, keys, order, **{name: ("count", F.lit(1))})
+    numbered = running(sliced, keys, order, **{name: ("count", F.lit(1))}, **({length: ("total", F.lit(1))} if length else {}))
     return numbered.withColumn(name, F.col(name) - 1).drop(SLICE)
 
 

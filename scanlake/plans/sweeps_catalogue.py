@@ -25,7 +25,7 @@ def _peaks(rows, trend_n, fresh=False):
 
 
 def peak_crossing(spark, sf_dir):
-    return _peaks(tables.sweep(spark, sf_dir), 10)
+    return _peaks(tables.sweep_with_length(spark, sf_dir), 10)
 
 
 def peak_crossing_clean(spark, sf_dir):
@@ -33,7 +33,7 @@ def peak_crossing_clean(spark, sf_dir):
 
 
 def peak_crossing_fresh(spark, sf_dir):
-    return _peaks(tables.sweep(spark, sf_dir), 10, fresh=True)
+    return _peaks(tables.sweep_with_length(spark, sf_dir), 10, fresh=True)
 
 
 def _peak_sql(table: str, trend_n: int, fresh: bool = False) -> str:
@@ -59,7 +59,7 @@ def _peak_sql(table: str, trend_n: int, fresh: bool = False) -> str:
     body = f"""SELECT fin.sweep_id, CASE WHEN peak IS NOT NULL THEN 'crossing' WHEN up THEN 'boundary' ELSE 'none' END AS peak_kind,
       CAST(at_i AS BIGINT) AS peak_i, round(z_mm, 6) AS peak_z, round(nf, 6) AS noise_floor
       FROM (SELECT *, CASE WHEN peak IS NOT NULL THEN peak WHEN up THEN last_i END AS at_i FROM fin) fin LEFT JOIN {table} t ON t.sweep_id = fin.sweep_id AND t.i = at_i"""
-    return tables.sql(body, table, extra=extra)
+    return tables.sql(body, table, extra=extra) if table in tables.CTE else f"WITH {extra} {body}"
 
 
 def noise_floor(spark, sf_dir):
@@ -84,24 +84,47 @@ def parabolic_peak(spark, sf_dir):
     return out.select("sweep_id", F.round("z_peak", 6).alias("z_peak"), F.round("z_argmax", 6).alias("z_argmax"), "fitted")
 
 
-_PARABOLA_SQL = tables.sql(
-    """SELECT sweep_id, round(CASE WHEN n_z >= 3 AND a < 0 THEN greatest(lo, least(hi, zt - b / (2 * a))) ELSE zt END, 6) AS z_peak, round(zt, 6) AS z_argmax,
-    coalesce(n_z >= 3 AND a < 0, false) AS fitted FROM ab""",
-    "fx_focus",
-    extra="""top AS (SELECT sweep_id, z_mm AS zt FROM (SELECT *, row_number() OVER (PARTITION BY sweep_id ORDER BY metric DESC, i) AS k FROM fx_focus) WHERE k = 1),
+def _parabola_sql(table: str) -> str:
+    body = """SELECT sweep_id, round(CASE WHEN n_z >= 3 AND a < 0 THEN greatest(lo, least(hi, zt - b / (2 * a))) ELSE zt END, 6) AS z_peak, round(zt, 6) AS z_argmax,
+    coalesce(n_z >= 3 AND a < 0, false) AS fitted FROM ab"""
+    extra = f"""top AS (SELECT sweep_id, z_mm AS zt FROM (SELECT *, row_number() OVER (PARTITION BY sweep_id ORDER BY metric DESC, i) AS k FROM {table}) WHERE k = 1),
     near AS (SELECT sweep_id, z_mm, metric AS m, zt, z_mm - zt AS u FROM (
-      SELECT f.*, zt, row_number() OVER (PARTITION BY f.sweep_id ORDER BY abs(z_mm - zt), i) AS k FROM fx_focus f JOIN top USING (sweep_id)) WHERE k <= 7),
+      SELECT f.*, zt, row_number() OVER (PARTITION BY f.sweep_id ORDER BY abs(z_mm - zt), i) AS k FROM {table} f JOIN top USING (sweep_id)) WHERE k <= 7),
     s AS (SELECT sweep_id, max(zt) AS zt, min(z_mm) AS lo, max(z_mm) AS hi, count(DISTINCT z_mm) AS n_z, count(*) * 1e0 AS s0, sum(u) AS s1, sum(u*u) AS s2,
       sum(u*u*u) AS s3, sum(u*u*u*u) AS s4, sum(m) AS t0, sum(u*m) AS t1, sum(u*u*m) AS t2 FROM near GROUP BY 1),
     dd AS (SELECT *, s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2) AS det,
       t2*(s2*s0-s1*s1) - s3*(t1*s0-s1*t0) + s2*(t1*s1-s2*t0) AS da, s4*(t1*s0-s1*t0) - t2*(s3*s0-s1*s2) + s2*(s3*t0-t1*s2) AS db FROM s),
-    ab AS (SELECT *, da / nullif(det, 0) AS a, db / nullif(det, 0) AS b FROM dd)""",
-)
+    ab AS (SELECT *, da / nullif(det, 0) AS a, db / nullif(det, 0) AS b FROM dd)"""
+    return tables.sql(body, table, extra=extra) if table in tables.CTE else f"WITH {extra} {body}"
 
 
 def _zigzag(spark, sf_dir):
     """Sweeps that turn round every few steps, as a search with restarts leaves them."""
-    return tables.sweep(spark, sf_dir).selectExpr("sweep_id", "i", "abs((i % 17) - 8) * 3e-3 AS z_mm", "metric")
+    return tables.sweep_with_length(spark, sf_dir).selectExpr("sweep_id", "i", "abs((i % 17) - 8) * 3e-3 AS z_mm", "metric", "n")
+
+
+def autofocus_log(spark, sf_dir):
+    log = sweeps.autofocus_log(_zigzag(spark, sf_dir), 4, 3)
+    places = [F.round(c, 6).alias(c) for c in ("peak_z", "noise_floor", "z_peak", "z_best")]
+    return log.select("sweep_id", C("segment").cast("long").alias("segment"), "start_i", "steps", "peak_kind", "peak_i", *places)
+
+
+_LOG_CTE = """zz AS (SELECT sweep_id, i, abs((i % 17) - 8) * 3e-3 AS z_mm, metric FROM fx_sweep),
+wy AS (SELECT *, sign(z_mm - lag(z_mm) OVER w) AS way FROM zz WINDOW w AS (PARTITION BY sweep_id ORDER BY i)),
+tn AS (SELECT *, CASE WHEN way <> lag(way) OVER w THEN 1 ELSE 0 END AS turn FROM wy WINDOW w AS (PARTITION BY sweep_id ORDER BY i)),
+sg AS (SELECT sweep_id AS sweep, CAST(sum(turn) OVER (PARTITION BY sweep_id ORDER BY i) AS BIGINT) AS segment, i AS place, z_mm, metric FROM tn),
+st AS (SELECT *, min(place) OVER (PARTITION BY sweep, segment) AS start_i FROM sg),
+s_first AS (SELECT sweep * 1000000 + segment AS sweep_id, place - start_i AS i, z_mm, metric FROM st WHERE segment = 0),
+s_later AS (SELECT sweep * 1000000 + segment AS sweep_id, place - start_i AS i, z_mm, metric FROM st WHERE segment > 0),
+sizes AS (SELECT sweep * 1000000 + segment AS id, sweep, segment, min(place) AS start_i, count(*) AS steps FROM sg GROUP BY 1, 2, 3)"""
+
+
+def _log_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT * FROM ({_peak_sql(table, 4, fresh)})" for table, fresh in (("s_first", False), ("s_later", True)))
+    return tables.sql(
+        f"""SELECT sweep AS sweep_id, segment, start_i, steps, peak_kind, start_i + peak_i AS peak_i, peak_z, noise_floor, z_peak, z_argmax AS z_best
+        FROM sizes JOIN ({found}) f ON f.sweep_id = id JOIN ({_parabola_sql("zz")}) p ON p.sweep_id = sweep""", "fx_sweep", extra=_LOG_CTE,
+    )
 
 
 def segments(spark, sf_dir):
@@ -175,6 +198,7 @@ QUERIES = {
             FROM fx_sweep WINDOW w AS (PARTITION BY sweep_id ORDER BY i)""", "fx_sweep",
         ),
     ),
+    "autofocus_log": (autofocus_log, _log_sql()),
     "wn4_peak_crossing": (peak_crossing, _peak_sql("fx_sweep", 10)),
     "wn4_peak_crossing_clean": (peak_crossing_clean, _peak_sql("fx_focus", 4)),
     "wn4_peak_crossing_fresh": (peak_crossing_fresh, _peak_sql("fx_sweep", 10, True)),
@@ -208,7 +232,7 @@ QUERIES = {
             FROM (SELECT *, row_number() OVER (PARTITION BY sweep_id ORDER BY metric DESC, i) AS k FROM fx_sweep) WHERE k = 1""", "fx_sweep",
         ),
     ),
-    "ag12_parabolic_peak": (parabolic_peak, _PARABOLA_SQL),
+    "ag12_parabolic_peak": (parabolic_peak, _parabola_sql("fx_focus")),
     "ag13_noise_floor": (
         noise_floor,
         tables.sql(

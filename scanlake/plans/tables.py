@@ -52,9 +52,14 @@ def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy recorded sweeps, one per user, in time order."""
+    return sweep_with_length(spark, sf_dir).drop("n")
+
+
+def sweep_with_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sweep`` with ``n``, the steps of each."""
     events = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    seen = ordered.dense_index(ordered.time_sliced(events, "ts"), ["user_id"], ["ts", "event_id"])
-    return seen.selectExpr("user_id AS sweep_id", "i", "i * 3e-3 AS z_mm", "value AS metric")
+    seen = ordered.dense_index(ordered.time_sliced(events, "ts"), ["user_id"], ["ts", "event_id"], length="n")
+    return seen.selectExpr("user_id AS sweep_id", "i", "i * 3e-3 AS z_mm", "value AS metric", "n")
 
 
 def focus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,45 @@ def test_peak_crossing(table, made, trend_n, fresh, size):
     assert {"crossing", "boundary", "none"} == {kind for kind, _ in got.values()}
 
 
+def loop_segments(zs, ms, trend_n):
+    """Segments as (segment, start, steps, kind, index): cut where the direction changes, then each searched by ``loop_peak``."""
+    starts = [0] + [k for k in range(2, len(zs)) if np.sign(zs[k] - zs[k - 1]) != np.sign(zs[k - 1] - zs[k - 2])]
+    for number, (low, high) in enumerate(zip(starts, [*starts[1:], len(zs)])):
+        kind, at = loop_peak(ms[low:high], trend_n, number > 0)
+        yield number, low, high - low, kind, None if at is None else low + at
+
+
+@pytest.mark.parametrize("trend_n,size", [(10, 16), (4, 9), (4, 65_536)])
+def test_segment_peaks(spark, trend_n, size):
+    rnd = random.Random(21)
+    logs = {}
+    for key in range(60):
+        z, zs = 0.0, []
+        for _ in range(rnd.randint(1, 6)):
+            step = rnd.choice((0.01, -0.01, 0.0))
+            for _ in range(rnd.choice((1, 3, 9, 20, 45))):
+                zs.append(round(z, 6))
+                z += step
+            z = rnd.choice((z, 0.0))
+        kind = ("noise", "peak", "peak", "rise", "flat")[key % 5]
+        logs[key] = (zs, series(kind, len(zs), rnd))
+    df = spark.createDataFrame([(k, i, z, m) for k, (zs, ms) in logs.items() for i, (z, m) in enumerate(zip(zs, ms))], SCHEMA).repartition(4)
+    got = {}
+    for r in sweeps.segment_peaks(df, trend_n, size).collect():
+        got.setdefault(r["sweep_id"], set()).add((r["segment"], r["start_i"], r["steps"], r["peak_kind"], r["peak_i"]))
+    assert got == {k: set(loop_segments(zs, ms, trend_n)) for k, (zs, ms) in logs.items()}
+    assert max(map(len, got.values())) > 4
+    log = sweeps.autofocus_log(df, trend_n, 3, size)
+    assert log.count() == sum(map(len, got.values())) and log.where("z_best IS NULL").count() == 0
+
+
+def test_search_keys_and_given_lengths(spark, table):
+    two = table.selectExpr("sweep_id DIV 10 AS scan", "sweep_id % 10 AS part", "i", "z_mm", "metric", "count(*) OVER (PARTITION BY sweep_id) AS n")
+    got = {(r["scan"] * 10 + r["part"], r["peak_kind"], r["peak_i"]) for r in sweeps.find_peak_crossing(two, size=16, keys=("scan", "part")).collect()}
+    assert got == {(r["sweep_id"], r["peak_kind"], r["peak_i"]) for r in sweeps.find_peak_crossing(table, size=16).collect()}
+    assert sweeps.segment_peaks(table.limit(0)).count() == 0 and sweeps.find_peak_crossing(table.limit(0)).count() == 0
+
+
 def test_smoothed_delta_slices(table, made):
     rows = sweeps.smoothed_delta(table, 10, size=8).collect()
     for r in rows:
