@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from scanlake.llm import text
 
 #: Multiplications of one block of a product, and letters that are aligned at once (one longer segment or text is taken whole).
 BLOCK, ALIGN_LETTERS = 2_000_000, 400_000
+#: Segments that are put together for one call of A, and of B.
+JOINED = (50, 200)
 #: Letters of the segments a Python worker keeps alignments of before it starts anew (a bound on memory, not on results).
-CACHE_LETTERS = 2_000_000
+CACHE_LETTERS = 4_000_000
 #: Most id pairs whose counts are sent to every worker (17 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 4_000_000
 #: The characters with the White_Space property (fixed values of the Unicode standard).
@@ -26,6 +29,15 @@ _BREAK = re.compile(f"(?<=[^{_SPACE}]) ")
 _STORES: dict[tuple[str, str], "Segments"] = {}
 
 
+def blocks(work: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive entries with at most ``most`` work together, or one entry."""
+    upto, start = np.cumsum(work), 0
+    while start < len(work):
+        end = max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), "right")))
+        yield slice(start, end)
+        start = end
+
+
 class Csr:
     """Matrix of zeros and ones by rows: row i has its ones in the columns ``columns[start[i]:start[i + 1]]``."""
 
@@ -49,7 +61,7 @@ class Csr:
         """
         size, own = np.diff(other.start), np.diff(self.start)
         upto = np.concatenate(([0], np.cumsum(size[self.columns])))
-        for block in text.chunks(upto[self.start[1:]] - upto[self.start[:-1]], most):
+        for block in blocks(upto[self.start[1:]] - upto[self.start[:-1]], most):
             named = self.columns[self.start[block.start] : self.start[block.stop]]
             n = size[named]
             row = np.repeat(np.repeat(np.arange(block.start, block.stop), own[block]), n)
@@ -64,32 +76,20 @@ class Csr:
 
 
 class Aligned:
-    """Tokens of both tokenizers for some texts, as one block-diagonal problem: ``a``, ``b`` ids, texts ``a_text``, ``b_text``,
+    """Tokens of both tokenizers for some texts, as one block-diagonal problem: ids ``a``, ``b`` of texts ``a_text``, ``b_text``,
     token-byte matrices ``a_bytes``, ``b_bytes`` and token-group matrices ``a_groups``, ``b_groups``. Texts whose joined
     token bytes differ from their own are not ``good`` and have no tokens."""
 
-    def __init__(self, texts: list[str], a: list, b: list, a_table: text.Gather, b_table: text.Gather):
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        self.good = np.ones(len(texts), bool)
-        sides = [self._side(a, a_table), self._side(b, b_table)]
-        whole = b"".join(data)
-        if not all(np.array_equal(np.bincount(of, table.size[ids], len(texts)), size) and table.of(ids) == whole for (ids, of), table in zip(sides, (a_table, b_table))):
-            self.good = np.array([x == b"".join(a_table.one(i) for i in p) == b"".join(b_table.one(i) for i in q) for x, p, q in zip(data, a, b)], bool)
-            sides = [(ids[self.good[of]], of[self.good[of]]) for ids, of in sides]
+    def __init__(self, good: np.ndarray, size: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], tables: list[text.Gather]):
+        self.good = good
         total = int(size[self.good].sum())
         (self.a, self.a_text), (self.b, self.b_text) = sides
-        self.a_bytes, self.b_bytes = (Csr.of_rows(t.size[ids], np.arange(total), total) for t, (ids, _) in zip((a_table, b_table), sides))
+        self.a_bytes, self.b_bytes = (Csr.of_rows(t.size[ids], np.arange(total), total) for t, (ids, _) in zip(tables, sides))
         ends = self.a_bytes.start[1:], self.b_bytes.start[1:]
         cuts = np.intersect1d(*ends, assume_unique=True)
         self.a_group, self.b_group = (np.searchsorted(cuts, e) for e in ends)
         self.a_groups, self.b_groups = (Csr.of_rows(np.ones(len(g), np.int64), g, len(cuts)) for g in (self.a_group, self.b_group))
 
-    @staticmethod
-    def _side(rows: list, table: text.Gather) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter((i for r in rows for i in r), np.int64, int(n.sum())), np.repeat(np.arange(len(rows)), n)
-
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token of a, token of b, bytes they share) of all that overlap: the product A·Bᵀ of the token-byte matrices."""
         return self.a_bytes.products(self.b_bytes.transpose())
@@ -123,13 +123,46 @@ class Aligner:
         pieces = map(self.b.id_to_piece, range(self.b.vocab_size()))
         self.b_table = text.Gather([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.space = [self.b.piece_to_id("▁")]
-        self.a_names, self.b_names = ([str(i) for i in range(len(t.size))] for t in (self.a_table, self.b_table))
+        self.names = text.Gather([b"%d," % i for i in range(max(len(self.a_table.size), len(self.b_table.size)))])
 
-    def align(self, texts: list[str]) -> Aligned:
-        """The texts, each of them with a space put in front, by both tokenizers."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = [ids or self.space for ids in self.b.encode(texts, num_threads=1)]
-        return Aligned([" " + t for t in texts], a, b, self.a_table, self.b_table)
+    def align(self, texts: list[str], joined: tuple[int, int] | None = None) -> Aligned:
+        """The texts, each of them with a space put in front, by both tokenizers.
+
+        With ``joined`` so many texts, with the spaces between them, go through a tokenizer in one call. That needs texts
+        that both read alike wherever they stand (``plain``); should the result show that they do not, each goes alone.
+        """
+        data = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        good, tables = np.ones(len(texts), bool), [self.a_table, self.b_table]
+        if joined:
+            sides, ends = [], np.cumsum(size)
+            for ids, table in zip((self._a(texts, joined[0]), self._b(texts, joined[1])), tables):
+                stops = np.cumsum(table.size[ids])
+                sides.append((ids, np.searchsorted(ends, stops)))
+                if table.of(ids) != b"".join(data) or not np.isin(ends, stops, assume_unique=True).all():
+                    return self.align(texts)
+            return Aligned(good, size, sides, tables)
+        rows = [[e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], [ids or self.space for ids in self.b.encode(texts, num_threads=1)]]
+        for k, (a, b) in enumerate(zip(*rows)):
+            good[k] = data[k] == b"".join(map(self.a_table.one, a)) == b"".join(map(self.b_table.one, b))
+        sides = []
+        for side in rows:
+            n = np.fromiter(map(len, side), np.int64, len(side))
+            of = np.repeat(np.arange(len(side)), n)
+            sides.append((np.fromiter(chain.from_iterable(side), np.int64, int(n.sum()))[good[of]], of[good[of]]))
+        return Aligned(good, size, sides, tables)
+
+    def _a(self, texts: list[str], n: int) -> np.ndarray:
+        found = self.a.encode_batch_fast([" " + " ".join(texts[k : k + n]) for k in range(0, len(texts), n)], add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.int64)
+
+    def _b(self, texts: list[str], n: int) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(self.b.encode([" ".join(texts[k : k + n]) for k in range(0, len(texts), n)], num_threads=1)), np.int64)
+
+
+def plain(segment: str) -> bool:
+    """Whether both tokenizers read a segment alike with others around it: it ends in something to cut behind, and has no mark that B takes for a space."""
+    return bool(segment) and not segment[-1].isspace() and "▁" not in segment
 
 
 def segments(t: str) -> list[str]:
@@ -186,8 +219,8 @@ class Segments:
             upto = np.concatenate(([0], np.cumsum(value)))
             self.scores[low:high, k] = np.diff(upto[self.start[low : high + 1] - self.start[low]])
 
-    def _learn(self, new: list[str]) -> None:
-        x, low, n = self.aligner.align(new), len(self.groups), len(new)
+    def _learn(self, new: list[str], joined: tuple[int, int] | None) -> None:
+        x, low, n = self.aligner.align(new, joined), len(self.groups), len(new)
         high = low + n
         self.stats, self.scores = _grown(self.stats, high), _grown(self.scores, high)
         self.good, self.seen, self.start = _grown(self.good, high), _grown(self.seen, high), _grown(self.start, high + 1)
@@ -201,24 +234,34 @@ class Segments:
         ends = np.diff(x.a_group, append=-1) != 0  # last token of each group
         self.stats[low:high] = np.stack([np.bincount(x.a_text, minlength=n), np.bincount(x.b_text, minlength=n), np.bincount(x.a_text[ends], minlength=n), n_links, shared.astype(np.int64)], 1)
         self.good[low:high], self.seen[low:high] = x.good, 0
-        # the groups of each segment as text
-        a_names, b_names = ([names[i] for i in ids] for names, ids in ((self.aligner.a_names, x.a.tolist()), (self.aligner.b_names, x.b.tolist())))
-        a_at, b_at = (np.concatenate(([0], np.cumsum(np.bincount(g)))).tolist() if len(g) else [0] for g in (x.a_group, x.b_group))
-        names = [",".join(a_names[a_at[g] : a_at[g + 1]]) + "|" + ",".join(b_names[b_at[g] : b_at[g + 1]]) for g in range(len(a_at) - 1)]
-        at = np.concatenate(([0], np.cumsum(self.stats[low:high, 2]))).tolist()
-        self.groups += [";".join(names[p:q]).encode() for p, q in zip(at, at[1:])]
+        self.groups += self._lines(x, n)
         self._score(low, high)
-        for k, t in enumerate(new):
-            self.index[t] = low + k
-            self.letters += len(t) + 1
+        self.index.update(zip(new, range(low, high)))
+        self.letters += sum(map(len, new)) + n
+
+    def _lines(self, x: Aligned, n: int) -> list[bytes]:
+        """The groups of each text as it is hashed, with ``;`` behind the last."""
+        # all tokens in order of group, A's before B's; each is its id and one mark
+        place = np.argsort(np.concatenate((2 * x.a_group, 2 * x.b_group + 1)), kind="stable")
+        ids, of = np.concatenate((x.a, x.b))[place], np.concatenate((x.a_text, x.b_text))[place]
+        step = np.concatenate((2 * x.a_group, 2 * x.b_group + 1))[place]
+        line = np.frombuffer(self.aligner.names.of(ids), np.uint8).copy()
+        ends = np.cumsum(self.aligner.names.size[ids])
+        last = np.diff(step, append=-1) != 0
+        line[ends[last & (step % 2 == 0)] - 1], line[ends[last & (step % 2 == 1)] - 1] = ord("|"), ord(";")
+        size = np.bincount(of, self.aligner.names.size[ids], n).astype(np.int64)
+        at, whole = np.concatenate(([0], np.cumsum(size))).tolist(), line.tobytes()
+        return [whole[p:q] for p, q in zip(at, at[1:])]
 
     def codes(self, parts: list[str]) -> np.ndarray:
         """Number of each segment."""
         found = list(map(self.index.get, parts))
         if None in found:
-            new = list({p for p, f in zip(parts, found) if f is None})
-            for block in text.chunks(np.fromiter((len(p) + 1 for p in new), np.int64, len(new)), ALIGN_LETTERS):
-                self._learn(new[block])
+            new = {p for p, f in zip(parts, found) if f is None}
+            alike = list(filter(plain, new))
+            for names, joined in ((alike, JOINED), (list(new.difference(alike)), None)):
+                for block in blocks(np.fromiter(map(len, names), np.int64, len(names)) + 1, ALIGN_LETTERS):
+                    self._learn(names[block], joined)
             found = list(map(self.index.__getitem__, parts))
         return np.fromiter(found, np.int64, len(found))
 
@@ -343,7 +386,7 @@ def align_documents(docs: DataFrame, paths: tuple[str, str] | None = None, broad
                 codes, first, good = s.texts(texts[block])
                 sums = np.concatenate([np.add.reduceat(x[codes], first) for x in (s.stats, s.scores)], 1) * good[:, None]
                 last, groups = np.append(first[1:], len(codes)), s.groups
-                hashes = [hashlib.sha256(b";".join([groups[c] for c in codes[p:q].tolist()])).hexdigest() if g else "" for p, q, g in zip(first, last, good)]
+                hashes = [hashlib.sha256(b"".join([groups[c] for c in codes[p:q].tolist()])[:-1]).hexdigest() if g else "" for p, q, g in zip(first, last, good)]
                 columns, names = [ids[block], *map(pa.array, sums.T[: len(value)]), pa.array(hashes)], ["doc_id", *value, "groups_sha256"]
                 if not few:
                     pairs = [np.unique(np.concatenate([s.links[s.start[c] : s.start[c + 1]] for c in codes[p:q]]), return_counts=True) if g else None for p, q, g in zip(first, last, good)]
