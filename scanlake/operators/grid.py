@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,6 +242,14 @@ def rotate_points(x: Column, y: Column, angle_deg: float, cx: float, cy: float)
     return dx * cos + dy * sin + cx, dy * cos - dx * sin + cy
 
 
+def equal_map(counts: np.ndarray, clip: float) -> np.ndarray:
+    """Maps (one row of 256 values each) that equalise histograms: bins are cut at ``clip`` times the mean bin, what is cut off is spread evenly."""
+    area = counts.sum(axis=1, keepdims=True)
+    kept = np.minimum(counts, np.maximum(1.0, clip * area / 256))
+    excess = (counts - kept).sum(axis=1, keepdims=True)
+    return (np.cumsum(kept, axis=1) + excess * np.arange(1, 257) / 256) * 255.0 / area
+
+
 def tile_equalise(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int] = (8, 8), clip: float = 4.0, value: str = "v", keys: Sequence[str] = FRAME) -> DataFrame:
     """Contrast-limited histogram equalisation of 8-bit values on a grid of tiles.
 
@@ -248,21 +258,18 @@ def tile_equalise(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, in
     """
     h, w = size
     th, tw = math.ceil(h / tiles[0]), math.ceil(w / tiles[1])
-    bins = 256
     on = [*keys, "tr", "tc"]
     tile = [F.floor(F.col("r") / th).cast("int").alias("tr"), F.floor(F.col("c") / tw).cast("int").alias("tc")]
     hist = pixels.select(*keys, *tile, F.col(value).cast("int").alias("b")).groupBy(*on, "b").agg(F.count(F.lit(1)).alias("n"))
-    by_tile = Window.partitionBy(*on)
-    hist = hist.withColumn("area", F.sum("n").over(by_tile))
-    limit = F.greatest(F.lit(1.0), clip * F.col("area") / bins)
-    hist = hist.withColumn("kept", F.least(F.col("n").cast("double"), limit))
-    hist = hist.withColumn("excess", F.sum(F.col("n") - F.col("kept")).over(by_tile))
-    tile_rows = hist.groupBy(*on).agg(F.max("area").alias("area"), F.max("excess").alias("excess"))
-    every = tile_rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    every = every.join(hist.select(*on, "b", "kept"), [*on, "b"], "left")
-    upto = F.coalesce(F.sum("kept").over(by_tile.orderBy("b")), F.lit(0.0)) + F.col("excess") * (F.col("b") + 1) / bins
-    step = every.select(*on, F.struct("b", (upto * 255.0 / F.col("area")).alias("to")).alias("s"))
-    maps = step.groupBy(*on).agg(F.transform(F.sort_array(F.collect_list("s")), lambda e: e["to"]).alias("map"))
+
+    @F.pandas_udf("array<double>")
+    def map_of(values: pd.Series, counts: pd.Series) -> pd.Series:
+        wide = np.zeros((len(values), 256))
+        for k, (b, n) in enumerate(zip(values, counts)):
+            wide[k, b] = n
+        return pd.Series(list(equal_map(wide, clip)))
+
+    maps = hist.groupBy(*on).agg(F.collect_list("b").alias("_b"), F.collect_list("n").alias("_n")).select(*on, map_of("_b", "_n").alias("map"))
 
     # a pixel lies in a cell between the centres of up to four tiles; each tile goes to the cells that it is a corner of
     n_r, n_c = math.ceil(h / th), math.ceil(w / tw)

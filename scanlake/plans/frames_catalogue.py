@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake.operators import frames, grid, ordered, pixels, planes
+from scanlake.operators import frames, grid, ordered, pixels, planes, tiles
 from scanlake.plans import tables
 from scanlake.session import cut_lineage
 
@@ -248,7 +248,100 @@ g1 AS (SELECT f.frame_id, f.r, o.c, sum(w * f.v) AS v FROM (SELECT DISTINCT fram
 g2 AS (SELECT f.frame_id, o.r, f.c, sum(w * f.v) AS v FROM (SELECT DISTINCT frame_id, r, c FROM fx_frames) o CROSS JOIN tp
   JOIN g1 f ON f.frame_id = o.frame_id AND f.c = o.c AND f.r = CASE WHEN ((o.r + k) % 14 + 14) % 14 > 7 THEN 14 - ((o.r + k) % 14 + 14) % 14 ELSE ((o.r + k) % 14 + 14) % 14 END GROUP BY 1, 2, 3)"""
 
+SIDE = (16, 16)
+
+
+def _tiled(*steps, kind="int", digits=None):
+    """Planes of the mosaic, tile by tile."""
+    def query(spark, sf_dir):
+        out = tiles.pixels(tiles.apply(tiles.split(tables.packed_mosaic(spark, sf_dir), SIDE), *steps, side=SIDE), SIDE, kind, ("frame_id",))
+        return out if digits is None else out.withColumn("v", F.round("v", digits))
+
+    return query
+
+
+def equalise_tiled(spark, sf_dir):
+    return tiles.pixels(tiles.equalise(tables.packed_mosaic(spark, sf_dir), SIDE, 4.0), SIDE, keys=("frame_id",))
+
+
+def _mosaic_tiles(spark, sf_dir):
+    return tiles.split(tables.packed_mosaic(spark, sf_dir), SIDE)
+
+
+def flat_field_tiled(spark, sf_dir):
+    return tiles.flat_pixels(tiles.flat_field(_mosaic_tiles(spark, sf_dir), SIDE), SIDE)
+
+
+def apply_flat_tiled(spark, sf_dir):
+    rows = _mosaic_tiles(spark, sf_dir)
+    out = tiles.apply_flat(rows, cut_lineage(tiles.flat_field(rows, SIDE)), SIDE)
+    return tiles.pixels(out, SIDE, "double").withColumn("v", F.round(C("v") * STRETCH, 6))
+
+
+def global_stretch_tiled(spark, sf_dir):
+    return tiles.pixels(tiles.global_stretch(_mosaic_tiles(spark, sf_dir), SIDE), SIDE)
+
+
+def temporal_average_tiled(spark, sf_dir):
+    # two cameras in turn; complete frames and the short last one are told apart, as the frames of a camera are of one size
+    whole = F.when(C("height") == 64, C("frame_id") % 2).otherwise(2)
+    frames_ = tables.packed_mosaic(spark, sf_dir).withColumns({"camera": whole, "n": F.when(C("height") == 64, F.floor(C("frame_id") / 2)).otherwise(0)})
+    return tiles.pixels(tiles.temporal_average(tiles.split(frames_, SIDE), 4, SIDE), SIDE, keys=("frame_id",)).withColumnRenamed("v", "avg_v")
+
+
+# borders mirrored at the frame's own size
+_MOSAIC_GAUSS = f"""tp AS (SELECT unnest([{_TAPS}]) AS w, unnest(range(9)) - 4 AS k),
+hs AS (SELECT frame_id, max(r) AS r1 FROM fx_mosaic GROUP BY 1),
+g1 AS (SELECT f.frame_id, f.r, o.c, sum(w * f.v) AS v FROM fx_mosaic o CROSS JOIN tp JOIN fx_mosaic f ON f.frame_id = o.frame_id AND f.r = o.r AND f.c = 63 - abs(63 - abs(o.c + k)) GROUP BY 1, 2, 3),
+g2 AS (SELECT f.frame_id, o.r, f.c, sum(w * f.v) AS v FROM fx_mosaic o JOIN hs USING (frame_id) CROSS JOIN tp JOIN g1 f ON f.frame_id = o.frame_id AND f.c = o.c AND f.r = r1 - abs(r1 - abs(o.r + k)) GROUP BY 1, 2, 3)"""
+_MOSAIC_EQUALISE = """hs AS (SELECT frame_id, r // 16 AS tr, c // 16 AS tc, v AS b, count(*) AS n FROM fx_mosaic GROUP BY ALL),
+ar AS (SELECT frame_id, tr, tc, sum(n) AS area FROM hs GROUP BY ALL),
+kp AS (SELECT hs.*, area, least(n, greatest(1, 4e0 * area / 256)) AS kept FROM hs JOIN ar USING (frame_id, tr, tc)),
+ex AS (SELECT frame_id, tr, tc, area, sum(n - kept) AS excess FROM kp GROUP BY ALL),
+lm AS (SELECT frame_id, max(tr) AS tr1 FROM ar GROUP BY 1),
+cn AS (SELECT frame_id, r, c, v AS b, (r + 5e-1) / 16 - 5e-1 AS pr, (c + 5e-1) / 16 - 5e-1 AS pc FROM fx_mosaic),
+bl AS (SELECT frame_id, r, c, b, CAST(least(tr1, greatest(0, floor(pr) + dr)) AS BIGINT) AS tr, CAST(least(3, greatest(0, floor(pc) + dc)) AS BIGINT) AS tc,
+  CASE WHEN dr = 1 THEN pr - floor(pr) ELSE 1 - (pr - floor(pr)) END * CASE WHEN dc = 1 THEN pc - floor(pc) ELSE 1 - (pc - floor(pc)) END AS w
+  FROM cn JOIN lm USING (frame_id), (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc)),
+lv AS (SELECT frame_id, tr, tc, b AS level, sum(kept) OVER (PARTITION BY frame_id, tr, tc ORDER BY b) AS upto, coalesce(lead(b) OVER (PARTITION BY frame_id, tr, tc ORDER BY b), 256) AS above FROM kp),
+mp AS (SELECT bl.frame_id, r, c, w, (coalesce(upto, 0) + excess * (bl.b + 1) / 256e0) * 255 / area AS m FROM bl JOIN ex USING (frame_id, tr, tc)
+  LEFT JOIN lv ON lv.frame_id = bl.frame_id AND lv.tr = bl.tr AND lv.tc = bl.tc AND bl.b >= level AND bl.b < above),
+eq AS (SELECT frame_id, r, c, CAST(round_even(least(255, greatest(0, sum(w * m))), 0) AS INT) AS v FROM mp GROUP BY 1, 2, 3)"""
+_MOSAIC_FLAT = "fl AS (SELECT r, c, median(v) AS flat FROM fx_mosaic GROUP BY ALL)"
+
 QUERIES = {
+    "gr2_laplacian_tiled": (_tiled(tiles.stencil(grid.LAPLACIAN), kind="bigint"), _on_mosaic("SELECT frame_id, r, c, CAST(lap AS BIGINT) AS v FROM st", _NEAR)),
+    "gr3_gaussian_blur_tiled": (
+        _tiled(tiles.gaussian(1.0), (0, lambda plane: plane.clip(1.0)), kind="double", digits=5),
+        tables.sql("SELECT frame_id, r, c, round(greatest(1, v), 5) AS v FROM g2", "fx_mosaic", extra=_MOSAIC_GAUSS),
+    ),
+    "gr4_opening_tiled": (
+        _tiled((0, planes.above(120)), tiles.box(planes.opening, 3, 3, 2)), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)),
+    ),
+    "gr4_dilate_tiled": (_tiled((0, planes.above(120)), tiles.box(planes.dilate, 3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, _slide_sql("mk", "dl", "max", 3, 4))),
+    "gr7_tile_equalise_tiled": (equalise_tiled, tables.sql("SELECT frame_id, r, c, v FROM eq", "fx_mosaic", extra=_MOSAIC_EQUALISE)),
+    "ag6_flat_field_tiled": (flat_field_tiled, tables.sql("SELECT CAST(0 AS INT) AS ch, r, c, CAST(flat AS DOUBLE) AS flat FROM fl", "fx_mosaic", extra=_MOSAIC_FLAT)),
+    "jn4_apply_flat_tiled": (
+        apply_flat_tiled,
+        tables.sql(
+            "SELECT frame_id, CAST(0 AS INT) AS ch, r, c, round(v / greatest(flat, 1) * (SELECT avg(greatest(flat, 1)) FROM fl) * 10471975511965976e-16, 6) AS v FROM fx_mosaic JOIN fl USING (r, c)",
+            "fx_mosaic", extra=_MOSAIC_FLAT,
+        ),
+    ),
+    "ag14_global_stretch_tiled": (
+        global_stretch_tiled,
+        tables.sql(
+            """SELECT frame_id, CAST(0 AS INT) AS ch, r, c, CAST(floor(least(255e0, greatest(0e0, CASE WHEN hi > lo THEN (v - lo) / CAST(hi - lo AS DOUBLE) * 255 ELSE v END))) AS INT) AS v
+            FROM fx_mosaic JOIN (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM fx_mosaic GROUP BY 1) USING (frame_id)""", "fx_mosaic",
+        ),
+    ),
+    "wn1_temporal_average_tiled": (
+        temporal_average_tiled,
+        tables.sql(
+            """SELECT frame_id, r, c, CAST(floor(avg(v) OVER (PARTITION BY camera, r, c ORDER BY frame_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS INT) AS avg_v
+            FROM (SELECT *, CASE WHEN max(r) OVER (PARTITION BY frame_id) = 63 THEN frame_id % 2 ELSE 2 END AS camera FROM fx_mosaic)""", "fx_mosaic",
+        ),
+    ),
     **{f"ag4_{name.lower()}": (_metric(name), _METRIC_SQL[name]) for name in _METRIC_SQL},
     **{f"ag4_packed_{name.lower()}": (_packed_metric(name), _METRIC_SQL[name]) for name in _METRIC_SQL},
     "ag4_packed_shrunk": (
