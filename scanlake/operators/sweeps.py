@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def _median_of_lower_half(values: Column) -> Column:
     return (lower + upper) / 2.0
 
 
+def noise_floor_from(abs_deltas) -> float:
+    """``noise_floor_of`` for numbers at hand."""
+    small = sorted(float(d) for d in abs_deltas)[: max(1, len(abs_deltas) // 2)]
+    return statistics.median(small) * NOISE_FACTOR if len(abs_deltas) >= 3 else 0.0
+
+
 def noise_floor_of(abs_deltas: Column) -> Column:
     """Noise floor of an array of absolute deltas, 0 for fewer than three."""
     return F.when(F.size(abs_deltas) >= 3, _median_of_lower_half(abs_deltas) * NOISE_FACTOR).otherwise(F.lit(0.0))

@@ -1,6 +1,6 @@
 """Streaming twins that need their own state: rolling averages, peak and edge search, newest position.
 
-State lives in Spark's state store per key. Rows carry a gapless index; a row that arrives before its predecessor waits in the
+State lives in Spark's state store per key. Rows carry a gapless index; a row that arrives before its predecessor waits in a map of the
 state, so results do not depend on how the stream is cut into batches. What one task holds at a time is bounded by the
 source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 """
@@ -23,12 +23,23 @@ from scanlake.streaming.windows import WATERMARK
 REST_MS = 60_000
 
 
+#: Waiting rows handed on at once when the row before them has come.
+RUN = 1024
+
+
+def _plain(row) -> tuple:
+    """A pandas row as values that state can hold."""
+    return tuple(None if v is None or isinstance(v, float) and np.isnan(v) else v.tolist() if hasattr(v, "tolist") else v for v in row)
+
+
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``advance`` in index order, and ends a key that has come to rest.
 
-    ``memory`` is the state schema of the subclass; its first column is the next index due. With event times a timer goes on past
-    a row that is missing once the watermark has passed the rows behind it (their predecessor would be too late), and calls
-    ``finish`` and forgets the key once it has passed the newest row by ``rest_ms``. Without event times rows behind a gap wait.
+    ``memory`` is the state schema of the subclass; its first column is the next index due. Rows that are due go straight on. Those
+    that came too early wait in a map by index; each is written once and taken out once, so what a batch costs follows its own rows
+    and not those that wait. With event times a timer goes on past a row that is missing once the watermark has passed the rows behind it
+    (their predecessor would be too late), and calls ``finish`` and forgets the key once it has passed the newest row by ``rest_ms``.
+    Without event times rows behind a gap wait. Rows that come again are dropped.
     """
 
     index = "i"
@@ -40,7 +51,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("memory", self.memory)
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getMapState("waiting", "place bigint", self.columns)
+        self.lowest = handle.getValueState("lowest", "place bigint")  # smallest index that waits
         self.newest = handle.getValueState("newest", "us bigint")
         self.names = [part.split()[0] for part in self.columns.split(", ")]
 
@@ -54,47 +66,64 @@ class InOrder(StatefulProcessor):
         """Last row of a key at rest, if it has one to give."""
         return None
 
-    def _held(self) -> pd.DataFrame:
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        return pd.DataFrame(rows, columns=self.names)
-
-    def _go(self, key, held: pd.DataFrame, memory: tuple, passed_us: int | None = None) -> tuple[list[pd.DataFrame], pd.DataFrame, tuple]:
-        """Advance over what is due, and over gaps before rows that the watermark has passed."""
-        out = []
-        held = held.sort_values(self.index, ignore_index=True)
-        while len(held):
-            due = held[self.index].to_numpy()
-            length = int((due == memory[0] + np.arange(len(held))).cumprod().sum())
-            if not length:
-                if passed_us is None or due[0] > memory[0] and held["us"].iat[0] > passed_us:
-                    break
-                memory = (int(due[0]), *memory[1:]) if due[0] > memory[0] else memory
-                held = held[due >= memory[0]]  # rows that come again are dropped
-                continue
-            rows, memory = self.advance(key, held[:length], memory)
-            memory = (int(due[length - 1]) + 1, *memory[1:])
-            held = held[length:]
-            if rows is not None and len(rows):
-                out.append(rows)
-        return out, held, memory
-
-    def _keep(self, held: pd.DataFrame, memory: tuple) -> None:
-        self.state.update(memory)
-        if len(held):
-            self.waiting.put([tuple(None if isinstance(v, float) and np.isnan(v) else v.tolist() if hasattr(v, "tolist") else v for v in row) for row in held.itertuples(index=False)])
-        elif self.waiting.exists():
-            self.waiting.clear()
+    def _advance(self, key, run: pd.DataFrame, memory: tuple, out: list[pd.DataFrame]) -> tuple:
+        rows, memory = self.advance(key, run, memory)
+        if rows is not None and len(rows):
+            out.append(rows)
+        return (int(run[self.index].iat[-1]) + 1, *memory[1:])
+
+    def _release(self, key, memory: tuple, out: list[pd.DataFrame]) -> tuple:
+        """Advance over the waiting rows that have become due."""
+        if not self.lowest.exists() or self.lowest.get()[0] != memory[0]:
+            return memory
+        while True:
+            run = []
+            while len(run) < RUN and self.waiting.containsKey((memory[0] + len(run),)):
+                place = (memory[0] + len(run),)
+                run.append(tuple(self.waiting.getValue(place)))
+                self.waiting.removeKey(place)
+            if not run:
+                break
+            memory = self._advance(key, pd.DataFrame(run, columns=self.names), memory, out)
+        left = min((k[0] for k in self.waiting.keys()), default=None)  # behind another gap
+        if left is None:
+            self.lowest.clear()
+        else:
+            self.lowest.update((left,))
+        return memory
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        for row in rows.itertuples(index=False):
+            values = _plain(row)
+            self.waiting.updateValue((values[self.names.index(self.index)],), values)
+        low = int(rows[self.index].min())
+        if not self.lowest.exists() or low < self.lowest.get()[0]:
+            self.lowest.update((low,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        memory = tuple(self.state.get()) if self.state.exists() else self.start()
-        held = self._held()
+        memory, out = tuple(self.state.get()) if self.state.exists() else self.start(), []
         for chunk in rows:
-            chunk = chunk[self.names]
+            chunk = chunk[self.names].drop_duplicates(self.index).sort_values(self.index, ignore_index=True)
             if self.timed:
                 self._see(int(chunk["us"].max()))
-            out, held, memory = self._go(key, chunk if not len(held) else pd.concat([held, chunk], ignore_index=True), memory)
+            while len(chunk):
+                chunk = chunk[chunk[self.index] >= memory[0]]
+                place = chunk[self.index].to_numpy()
+                length = int((place == memory[0] + np.arange(len(place))).cumprod().sum())
+                # a waiting row goes before one of the same index that comes again
+                if self.lowest.exists():
+                    length = min(length, max(0, self.lowest.get()[0] - memory[0]))
+                if length:
+                    memory = self._advance(key, chunk[:length], memory, out)
+                    chunk = chunk[length:]
+                    memory = self._release(key, memory, out)
+                else:
+                    if len(chunk):
+                        self._wait(chunk)
+                    break
             yield from out
-        self._keep(held, memory)
+            out.clear()
+        self.state.update(memory)
 
     def _see(self, us: int) -> None:
         newest = max(us, self.newest.get()[0]) if self.newest.exists() else us
@@ -104,16 +133,19 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        passed = timerValues.getCurrentWatermarkInMs()
-        out, held, memory = self._go(key, self._held(), tuple(self.state.get()), passed * 1000)
+        passed, memory, out = timerValues.getCurrentWatermarkInMs(), tuple(self.state.get()), []
+        while self.lowest.exists():
+            place = self.lowest.get()
+            if dict(zip(self.names, self.waiting.getValue(place)))["us"] > passed * 1000:
+                break
+            memory = self._release(key, (place[0], *memory[1:]), out)
         yield from out
-        if len(held) or self.newest.get()[0] // 1000 + self.rest_ms >= passed:
-            self._keep(held, memory)
+        self.state.update(memory)
+        if self.lowest.exists() or self.newest.get()[0] // 1000 + self.rest_ms >= passed:
             return
         last = self.finish(key, memory)
-        for state in (self.state, self.waiting, self.newest):
-            if state.exists():
-                state.clear()
+        for state in (self.state, self.newest):
+            state.clear()
         if last is not None:
             yield last
 
@@ -180,9 +212,7 @@ class PeakSearch(InOrder):
         return 0, 0, [], [], False, 0.0, False, 0.0
 
     def noise_floor(self, head: np.ndarray) -> float:
-        """``sweeps.NOISE_FACTOR`` times the median of the smaller half of the steps, 0 for fewer than three."""
-        steps = np.sort(np.abs(np.diff(head)))
-        return float(np.median(steps[: max(1, len(steps) // 2)])) * sweeps.NOISE_FACTOR if len(steps) >= 3 else 0.0
+        return sweeps.noise_floor_from(np.abs(np.diff(head)))
 
     def after_head(self, head: list, up: bool, done: bool) -> tuple[float, bool]:
         """Noise floor, and whether the sweep still counts as rising, once its first steps are known."""
@@ -301,62 +331,100 @@ def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms:
     return rows.groupBy("scan_id", "dir").transformWithStateInPandas(search, f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", mode)
 
 
-class LatestPosition(StatefulProcessor):
-    """Buffers captures and readings of an instrument until the watermark has passed them, then matches them in time order."""
+class SlicePositions(StatefulProcessor):
+    """Matches the captures and readings of one slice of an instrument's time once the watermark has passed the slice.
+
+    Gives captures with the newest reading of the slice before them (kind 0), captures before its first reading (1), and its last reading (2).
+    """
 
     LINE = "us bigint, late int, capture_id bigint, x bigint, y bigint, z bigint"
     NAMES = ("us", "late", "capture_id", "x", "y", "z")
+    OUT = "instrument_id {key}, route bigint, kind int, part bigint, us bigint, capture_id bigint, x bigint, y bigint, z bigint, at timestamp"
+
+    def __init__(self, width_us: int):
+        self.width = width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.line = handle.getListState("line", self.LINE)
-        self.last = handle.getValueState("last", "x bigint, y bigint, z bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            self.line.appendList([tuple(None if pd.isna(v) else int(v) for v in row) for row in chunk[list(self.NAMES)].itertuples(index=False)])
-            self.wake_at(int(chunk["us"].min()))
+            self.line.appendList([_plain(None if pd.isna(v) else int(v) for v in row) for row in chunk[list(self.NAMES)].itertuples(index=False)])
+        self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
         yield from ()
 
-    def wake_at(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(((r[0], r[1], r) for r in map(tuple, self.line.get())), key=lambda r: r[:2])
+        line = pd.DataFrame([tuple(r) for r in self.line.get()], columns=self.NAMES, dtype="Int64").sort_values(["us", "late"], kind="stable", ignore_index=True)
+        self.line.clear()
+        # the newest reading up to each row
+        reading = (line["late"] == 0).to_numpy(bool)
+        at = np.maximum.accumulate(np.where(reading, np.arange(len(line)), -1))
+        found = line[["x", "y", "z"]].iloc[np.maximum(at, 0)].reset_index(drop=True)
+        found[at < 0] = pd.NA
+        out = pd.concat([line[["us", "capture_id"]], found], axis=1).assign(kind=np.where(at < 0, 1, 0), route=int(key[1]))[~reading]
+        if reading.any():
+            out = pd.concat([out, line[reading].tail(1)[["us", "x", "y", "z"]].assign(kind=2, route=-1, capture_id=pd.NA)])
+        out.loc[out["kind"] == 1, "route"] = -1
+        # what comes out is as old as the watermark, so that the next step does not take it for late
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
+        out = out.assign(instrument_id=key[0], part=int(key[1]), at=now)
+        yield out[["instrument_id", "route", "kind", "part", "us", "capture_id", "x", "y", "z", "at"]]
+
+    def close(self) -> None:
+        pass
+
+
+class CarriedPositions(StatefulProcessor):
+    """Gives captures before the first reading of their slice the last reading of the slices before.
+
+    Slices arrive in order of time, as their timers run out in that order; the state is one reading. Matched captures have routes of
+    their own and only pass through.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "x bigint, y bigint, z bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] >= 0:
+            for chunk in rows:
+                yield self._out(chunk)
+            return
+        line = pd.concat(list(rows)).sort_values(["part", "kind", "us"], ignore_index=True)
         last = tuple(self.last.get()) if self.last.exists() else (None, None, None)
-        out, keep = [], []
-        for us, late, row in rows:
-            if us >= limit:
-                keep.append(row)
-            elif late:
-                out.append((row[2], key[0], *last))
-            else:
-                last = row[3:]
-        if last[0] is not None:
-            self.last.update(last)
-        if keep:
-            self.line.put(keep)
-            self.wake_at(min(row[0] for row in keep))
-        else:
-            self.line.clear()
-        if out:
-            frame = pd.DataFrame(out, columns=["capture_id", "instrument_id", "x", "y", "z"])
-            yield frame.astype({c: "Int64" for c in ("x", "y", "z")})
+        ends = line["kind"].to_numpy() == 2
+        before = np.cumsum(ends) - 1  # of the readings in this batch
+        known = [last, *line.loc[ends, ["x", "y", "z"]].itertuples(index=False, name=None)]
+        if ends.any():
+            self.last.update(tuple(int(v) for v in known[-1]))
+        opened = line[~ends].drop(columns=["x", "y", "z"]).reset_index(drop=True)
+        if len(opened):
+            yield self._out(opened.join(pd.DataFrame([known[k + 1] for k in before[~ends]], columns=["x", "y", "z"])))
+
+    @staticmethod
+    def _out(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["capture_id", "instrument_id", "x", "y", "z"]].astype({c: "Int64" for c in ("capture_id", "x", "y", "z")})
 
     def close(self) -> None:
         pass
 
 
-def stream_latest_position(captures: DataFrame, readings: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Each capture with the newest reading of its instrument at or before its time, once the watermark has passed it.
+def stream_latest_position(captures: DataFrame, readings: DataFrame, delay: str = WATERMARK, slice_seconds: int = 3600) -> DataFrame:
+    """Each capture with the newest reading of its instrument at or before its time, once the watermark has passed its slice.
 
     Captures: capture_id, instrument_id, ts. Readings: instrument_id, ts, x, y, z. Times are zoned; the watermark is set here,
-    on both streams together.
+    on both streams together. Two stateful steps: the first is keyed by (instrument, slice of ``slice_seconds``), so a busy instrument
+    spreads over its slices and each row is read back once; the second carries the last readings from slice to slice. A capture comes out
+    once the watermark has passed the end of its slice: narrower slices answer sooner, and give the second step more to carry.
     """
     none = F.lit(None).cast("bigint")
+    key = captures.schema["instrument_id"].dataType.simpleString()
     left = captures.select("instrument_id", "ts", F.lit(1).alias("late"), "capture_id", none.alias("x"), none.alias("y"), none.alias("z"))
     right = readings.select("instrument_id", "ts", F.lit(0).alias("late"), none.alias("capture_id"), "x", "y", "z")
-    line = left.unionByName(right).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    out = "capture_id bigint, instrument_id bigint, x bigint, y bigint, z bigint"
-    return line.groupBy("instrument_id").transformWithStateInPandas(LatestPosition(), out, "append", "EventTime")
+    width = slice_seconds * 1_000_000
+    line = left.unionByName(right).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn("part", F.floor(F.col("us") / width).cast("long"))
+    matched = line.groupBy("instrument_id", "part").transformWithStateInPandas(
+        SlicePositions(width), SlicePositions.OUT.format(key=key), "append", "EventTime", eventTimeColumnName="at"
+    )
+    out = f"capture_id bigint, instrument_id {key}, x bigint, y bigint, z bigint"
+    return matched.groupBy("instrument_id", "route").transformWithStateInPandas(CarriedPositions(), out, "append", "EventTime")
