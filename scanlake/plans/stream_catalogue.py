@@ -8,52 +8,68 @@ from scanlake.operators import logs, ordered
 from scanlake.plans import tables
 from scanlake.plans.logs_catalogue import LATEST_SQL, RATE_SQL
 from scanlake.plans.sweeps_catalogue import _EDGE_CTE, _peak_sql
-from scanlake.session import shared_path
+from scanlake.session import cut_lineage, shared_path
 from scanlake.streaming import stateful, windows
 
 C = F.col
 BATCHES = 3
 
 
-#: Event time by which the feeds may be out of order, and the time of the row that closes them.
-DELAY = "2000 days"
+#: Time by which a feed may be out of order: of the events, and of steps and frames a second apart. Time of the row that closes a feed.
+DELAY, STEP_DELAY = "1 day", "10 seconds"
 CLOSING = "timestamp'2100-01-01 00:00:00'"
+#: Milliseconds after its last step at which a sweep or trace counts as finished.
+REST_MS = 5_000
 #: Second of step 0; a stream's first watermark is the epoch, and what is not later is too late.
 START = 1_000_000_000
+#: Added to the ids of rows that come too late, and the seconds by which they are older than the first batch's newest row.
+LATE_ID, LATE_BY = 1_000_000_000, 2 * ordered.DAY
 
 
-def _stream_of(rows, order, closing=None):
-    """Write a table in ranges of a column and stream its files in a few batches, in whatever order they were written.
+def _stream_of(rows, order, closing=None, late=None):
+    """Write a table in ranges of a number or time, one after the other, and stream a range a batch.
 
-    ``closing`` are columns of one more row, in a file of its own, that moves the watermark past all others.
+    ``late`` are changes to the rows of the first range that are older than the delay (column to expression), which come again with
+    them in the last batch, behind the watermark. ``closing`` are columns of one more row that moves the watermark past all others.
     """
-    spark = rows.sparkSession
-    path = shared_path(spark, "feed")
-    ranges = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(ranges, order).write.parquet(path)
+    rows = cut_lineage(rows)
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "feed")
+    place = C(order).cast("double")
+    edges = rows.select(place.alias("p")).approxQuantile("p", [k / BATCHES for k in range(1, BATCHES)], 0.001)
+    ends = [float("-inf"), *edges, float("inf")]
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)
+    for k, (low, high) in enumerate(zip(ends, ends[1:])):
+        part = rows.where((place > low) & (place <= high))
+        if late and k == BATCHES - 1:
+            part = part.unionByName(rows.where(place <= edges[0] - LATE_BY).withColumns({c: F.expr(e) for c, e in late.items()}))
+        # as many files in each batch, empty ones included
+        part.repartition(files, F.rand(k)).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
     if closing:
         spark.range(1).selectExpr(*[f"CAST({closing.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in rows.schema]).write.mode("append").parquet(path)
-    return windows.read_stream(spark, path, rows.schema, files_per_trigger=-(-ranges // BATCHES))
+    return windows.read_stream(spark, path, rows.schema, files_per_trigger=files)
 
 
-def _events(spark, sf_dir, closing=None):
+def _events(spark, sf_dir, closing=None, late=None):
     """The events as a stream of several batches with a zoned time."""
     events = tables.load(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp")).drop("props")
-    return _stream_of(events, "ts", closing).withColumnRenamed("user_id", "instrument_id")
+    return _stream_of(events, "ts", closing, late).withColumnRenamed("user_id", "instrument_id")
 
 
 def temporal_average(spark, sf_dir):
     frames = tables.load(spark, sf_dir, "embeddings")
     frames = ordered.dense_index(frames, ["label"], ["vec_id"], ordered.index_slice(C("vec_id")), "n")
     gray = F.transform("embedding", lambda e: F.floor(F.least(F.greatest((e.cast("double") + 0.6) / 1.2, F.lit(0.0)), F.lit(1.0)) * 255))
-    rows = frames.select(C("label").alias("camera"), F.lit(0).alias("tile"), "n", gray.cast("array<double>").alias("v"))
-    out = windows.run_available(stateful.stream_temporal_average(_stream_of(rows, "n"), 4))
+    rows = frames.select(C("label").cast("long").alias("camera"), F.lit(0).alias("tile"), "n", gray.cast("array<double>").alias("v"))
+    # each camera loses one frame in 29
+    rows = rows.where("n % 29 <> 13").withColumn("ts", F.timestamp_seconds(C("n") + START))
+    feed = _stream_of(rows, "n", {"camera": "-1", "tile": "0", "n": "0", "v": "array(0)", "ts": CLOSING}).withWatermark("ts", STEP_DELAY)
+    out = windows.run_available(stateful.stream_temporal_average(feed, 4, REST_MS)).where("camera >= 0")
     cells = out.select("camera", "n", F.posexplode("avg_v").alias("p", "avg_v"))
     return cells.selectExpr("camera", "CAST(p DIV 8 AS INT) AS r", "p % 8 AS c", "n", "avg_v")
 
 
 def frame_rate(spark, sf_dir):
-    events = _events(spark, sf_dir).withWatermark("ts", DELAY).where("event_type = 'purchase'")
+    events = _events(spark, sf_dir, late={"event_id": f"event_id + {LATE_ID}"}).withWatermark("ts", DELAY).where("event_type = 'purchase'")
     return windows.run_available(windows.stream_frame_rate(events, seconds=3600), "update", ["instrument_id", "window_start"])
 
 
@@ -72,33 +88,33 @@ def peak(spark, sf_dir):
     # one gap in 29 steps: by turns the row is missing, or only its metric
     rows = tables.sweep(spark, sf_dir).where("i % 58 <> 13").withColumn("metric", F.when(C("i") % 29 != 13, C("metric")))
     rows = rows.withColumn("ts", F.timestamp_seconds(C("i") + START))
-    feed = _stream_of(rows, "i", {"sweep_id": "-1", "ts": CLOSING, "i": "0"}).withWatermark("ts", DELAY)
-    out = windows.run_available(stateful.stream_peak(feed, 10))
+    feed = _stream_of(rows, "i", {"sweep_id": "-1", "ts": CLOSING, "i": "0"}).withWatermark("ts", STEP_DELAY)
+    out = windows.run_available(stateful.stream_peak(feed, 10, REST_MS))
     return out.select("sweep_id", "peak_kind", "peak_i", F.round("peak_z", 6).alias("peak_z"))
 
 
 def edge(spark, sf_dir):
     rows = tables.edge(spark, sf_dir).withColumn("ts", F.timestamp_seconds(C("i") + START))
-    feed = _stream_of(rows, "i", {"scan_id": "-1", "dir": "'end'", "ts": CLOSING, "i": "0"}).withWatermark("ts", DELAY)
-    out = windows.run_available(stateful.stream_edge(feed, 2)).where("scan_id >= 0")
+    feed = _stream_of(rows, "i", {"scan_id": "-1", "dir": "'end'", "ts": CLOSING, "i": "0"}).withWatermark("ts", STEP_DELAY)
+    out = windows.run_available(stateful.stream_edge(feed, 2, rest_ms=REST_MS)).where("scan_id >= 0")
     return out.select("scan_id", "dir", F.round("edge_mm", 6).alias("edge_mm"), "edge_kind")
 
 
 def latest_position(spark, sf_dir):
-    events = _events(spark, sf_dir, {"user_id": "-1", "event_id": "-1", "ts": CLOSING, "value": "0", "event_type": "'click'"})
+    events = _events(spark, sf_dir, {"user_id": "-1", "event_id": "-1", "ts": CLOSING, "value": "0", "event_type": "'click'"}, {"event_id": f"event_id + {LATE_ID}"})
     captures = events.where("event_type = 'purchase'").select(C("event_id").alias("capture_id"), "instrument_id", "ts")
     good = "concat(CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), ',', CAST(event_id AS STRING), ',', CAST(instrument_id AS STRING))"
     lines = events.where("event_type <> 'purchase'").selectExpr("instrument_id", "ts", f"CASE WHEN event_type = 'error' THEN 'ERR' ELSE {good} END AS line")
     readings = logs.parse_position_reply(lines).where("x IS NOT NULL")
-    return windows.run_available(stateful.stream_latest_position(captures, readings, DELAY))
+    return windows.run_available(stateful.stream_latest_position(captures, readings, DELAY, 5 * ordered.DAY))
 
 
 QUERIES = {
     "sm1_stream_temporal_average": (
         temporal_average,
         tables.sql(
-            """SELECT label AS camera, r, c, n, CAST(floor(avg(v) OVER (PARTITION BY label, r, c ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS INT) AS avg_v
-            FROM fx_frames JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings) e ON e.vec_id = frame_id""", "fx_frames",
+            """SELECT CAST(label AS BIGINT) AS camera, r, c, n, CAST(floor(avg(v) OVER (PARTITION BY label, r, c ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS INT) AS avg_v
+            FROM fx_frames JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings) e ON e.vec_id = frame_id WHERE n % 29 <> 13""", "fx_frames",
         ),
     ),
     "sm2_stream_frame_rate": (frame_rate, tables.sql(RATE_SQL.format(s=3600), "fx_captures")),

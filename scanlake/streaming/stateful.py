@@ -364,7 +364,8 @@ class SlicePositions(StatefulProcessor):
         found[at < 0] = pd.NA
         out = pd.concat([line[["us", "capture_id"]], found], axis=1).assign(kind=np.where(at < 0, 1, 0), route=int(key[1]))[~reading]
         if reading.any():
-            out = pd.concat([out, line[reading].tail(1)[["us", "x", "y", "z"]].assign(kind=2, route=-1, capture_id=pd.NA)])
+            newest = line[reading].tail(1)[["us", "capture_id", "x", "y", "z"]].assign(kind=2, route=-1)
+            out = pd.concat([out, newest]) if len(out) else newest
         out.loc[out["kind"] == 1, "route"] = -1
         # what comes out is as old as the watermark, so that the next step does not take it for late
         now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")

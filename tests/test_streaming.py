@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -94,7 +95,8 @@ def test_temporal_average_per_tile(spark, tmp_path):
         assert r["avg_v"] == [int(sum(col) / len(last)) for col in zip(*last)]
 
 
-def test_latest_position_waits_for_the_watermark(spark, tmp_path):
+@pytest.mark.parametrize("slice_seconds", [3600, 40])
+def test_latest_position_waits_for_the_watermark(spark, tmp_path, slice_seconds):
     rnd = random.Random(4)
     data = [(k, rnd.randint(1, 3), t, rnd.random() < 0.4, k % 2) for k, t in enumerate(sorted(rnd.sample(range(1000), 120)))]
     df = spark.createDataFrame(data, "event_id long, instrument_id long, s long, cap boolean, _file int").withColumn("ts", F.timestamp_seconds("s"))
@@ -103,13 +105,112 @@ def test_latest_position_waits_for_the_watermark(spark, tmp_path):
     closing.drop("_file").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark past all rows
     caps = stream.where("cap").select(F.col("event_id").alias("capture_id"), "instrument_id", "ts")
     reads = stream.where("NOT cap").selectExpr("instrument_id", "ts", "event_id AS x", "event_id AS y", "event_id AS z")
-    out = windows.run_available(stateful.stream_latest_position(caps, reads, "2000 seconds"))
+    out = windows.run_available(stateful.stream_latest_position(caps, reads, "2000 seconds", slice_seconds))
     c = df.where("cap").select(F.col("event_id").alias("capture_id"), "instrument_id", "ts")
     r = df.where("NOT cap").selectExpr("instrument_id", "ts", "event_id AS x")
     want = lookup.latest_position(c, r, ["x"]).select("capture_id", "instrument_id", "x")
     assert sorted(map(str, out.select("capture_id", "instrument_id", "x").collect())) == sorted(map(str, want.collect()))
 
 
+class Held:
+    """A state variable in memory that counts how often it is used."""
+
+    used = 0
+
+    def __init__(self):
+        self.value = None
+
+    def count(self, n=1):
+        Held.used += n
+
+    def exists(self):
+        self.count()
+        return bool(self.value)
+
+    def get(self):
+        self.count()
+        return self.value
+
+    def update(self, value):
+        self.count()
+        self.value = value
+
+    def clear(self):
+        self.count()
+        self.value = None
+
+    def containsKey(self, key):
+        self.count()
+        return key in (self.value or {})
+
+    def getValue(self, key):
+        self.count()
+        return self.value[key]
+
+    def updateValue(self, key, value):
+        self.count()
+        self.value = {**self.value, key: value} if self.value and len(self.value) < 3 else (self.value or {})
+        self.value[key] = value
+
+    def removeKey(self, key):
+        self.count()
+        del self.value[key]
+
+    def keys(self):
+        self.count(len(self.value or {}))
+        return list(self.value or {})
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *_):
+        return Held()
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_batch_costs_its_own_rows_however_many_wait():
+    search = stateful.TemporalAverage(3)
+    search.timed, search.rest_ms = True, 1000
+    search.init(Handle())
+    key, costs, rnd = ("cam", 0), [], random.Random(2)
+    for batch in range(50):
+        n = [1 + batch * 200 + k for k in range(200)]  # frame 0 never comes
+        rnd.shuffle(n)
+        rows = pd.DataFrame({"n": n, "us": [i * 1_000_000 for i in n], "v": [[float(i)] for i in n]})
+        Held.used = 0
+        assert list(search.handleInputRows(key, iter([rows]), Watermark(0))) == []
+        assert list(search.handleExpiredTimer(key, Watermark(500), None)) == []  # nothing has been passed yet
+        costs.append(Held.used)
+    assert len(search.waiting.value) == 10_000 and max(costs) <= min(costs) + 5 < 300
+    out = pd.concat(search.handleExpiredTimer(key, Watermark(20_000_000), None))
+    assert out["n"].tolist() == list(range(1, 10_001)) and out["avg_v"].map(lambda v: v[0]).tolist()[:4] == [1, 1, 2, 3]
+    assert not search.state.exists() and not search.waiting.exists()
+
+
+def test_rows_that_come_again_and_fill_gaps():
+    search = stateful.TemporalAverage(1)
+    search.init(Handle())
+    seen = []
+    for n in ([3, 1], [1, 5], [0, 3], [2], [2, 6, 4], [7, 0]):
+        rows = pd.DataFrame({"n": n, "us": 0, "v": [[float(i)] for i in n]})
+        seen += [v for out in search.handleInputRows(("cam", 0), iter([rows]), Watermark(0)) for v in out["n"]]
+    assert seen == list(range(8)) and not search.waiting.exists()
+
+
 def test_rates_progress_and_newest(spark, tmp_path):
     data = [(k, k % 3, k * 7, k % 2) for k in range(60)]
     df = spark.createDataFrame(data, "frame_id long, instrument_id long, s long, _file int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
