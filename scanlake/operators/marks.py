@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.functions import units
 from scanlake.operators import grid
 from scanlake.session import cut_lineage
 
@@ -18,6 +19,9 @@ MARK_ASPECT = 3.5
 MARK_FILL = 0.05
 NEAR_PX = 20
 MIN_AREA = 20
+# Shortest bar of a cross, and the clip limits of the equalisation before clusters and crossings are looked for.
+MIN_ARM = 12
+CLUSTER_CLIP, CROSSING_CLIP = 4.0, 2.0
 # Digit boxes (x0, y0, x1, y1) round the centre of a mark, in pixels of a frame 850 wide.
 DIGIT_BOXES = {
     "TL": (-46.5, -67.2, -8.2, -7.8),
@@ -343,6 +347,40 @@ def grid_rotation(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: S
     return kept.select(*keys).distinct().join(turned, list(keys), "left")
 
 
+def bright_clusters(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int] = (8, 8), radius: int = NEAR_PX) -> DataFrame:
+    """Centres (frame_id, id, x, y) of bright clusters of the size and shape of a mark in colour pixels, thinned by ``suppress_near``."""
+    binary = mark_binary(pixels, size, tiles, CLUSTER_CLIP)
+    grow = max(5, size[1] // 60)
+    stats = components(grid.dilate(binary, grow, grow), size=size)
+    return suppress_near(box_centres(mark_like(stats, size)), radius, size=size)
+
+
+def crossing_centres(plane: DataFrame, size: tuple[int, int], tiles: tuple[int, int] = (8, 8), min_arm: int = MIN_ARM) -> DataFrame:
+    """Centres (frame_id, id, x, y) of the places where two bright bars cross in a gray plane (frame_id, r, c, v)."""
+    even = grid.tile_equalise(plane, size, tiles, CROSSING_CLIP)
+    crossed = grid.line_crossings(binarise(even, otsu_threshold(even)), min_arm)
+    return moment_centres(components(crossed, size=size))
+
+
+def index_marks(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int] = (8, 8), min_arm: int = MIN_ARM, radius: int = NEAR_PX) -> DataFrame:
+    """Centres of the index marks of colour frames of one size (frame_id, stage, id, x, y).
+
+    Frames with bright clusters are done with them (stage ``clusters``). Only the others go on, by an anti join: there bars that
+    cross are looked for in the gray plane (``grey``) and in its negative (``inverted``); of the two, grey centres come first
+    when near ones are dropped. Frames without any mark have no rows. What the first stage finds is stored, as the others depend on it.
+    """
+    clusters = cut_lineage(bright_clusters(pixels, size, tiles, radius))
+    rest = pixels.join(clusters.select(*grid.FRAME).distinct(), list(grid.FRAME), "left_anti")
+    gray = cut_lineage(rest.select(*grid.FRAME, "r", "c", units.to_gray(F.col("blue"), F.col("green"), F.col("red")).cast("int").alias("v")))
+    later = 1 << 50  # ids of the second polarity follow all of the first
+    found = crossing_centres(gray, size, tiles, min_arm)
+    negative = crossing_centres(grid.invert(gray), size, tiles, min_arm)
+    both = suppress_near(found.unionByName(negative.withColumn("id", F.col("id") + later)), radius, size=size)
+    stage = F.when(F.col("id") < later, "grey").otherwise("inverted")
+    crossed = both.select(*grid.FRAME, stage.alias("stage"), (F.col("id") % later).alias("id"), "x", "y")
+    return clusters.select(*grid.FRAME, F.lit("clusters").alias("stage"), "id", "x", "y").unionByName(crossed)
+
+
 def digit_boxes(marks: DataFrame, frame_width: int, crop: tuple[Column, Column]) -> DataFrame:
     """The four digit boxes of each mark centre (x, y) inside its crop (width, height); empty boxes are left out."""
     scale = frame_width / CALIBRATION_WIDTH

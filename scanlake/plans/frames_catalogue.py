@@ -126,7 +126,7 @@ def _mask(spark, sf_dir):
 _MASK = "mk AS (SELECT frame_id, r, c, CASE WHEN v > 120 THEN 255 ELSE 0 END AS v FROM fx_frames)"
 
 
-def _slide_sql(src: str, out: str, agg: str, kh: int, kw: int) -> str:
+def slide_sql(src: str, out: str, agg: str, kh: int, kw: int) -> str:
     """Two tables that slide ``agg`` along rows, then columns."""
     def box(k):
         return f"ROWS BETWEEN {k // 2} PRECEDING AND {k - 1 - k // 2} FOLLOWING"
@@ -151,9 +151,9 @@ def crossings(spark, sf_dir):
 
 _CROSS = ", ".join(
     [
-        _MASK, "iv AS (SELECT frame_id, r, c, 255 - v AS v FROM mk)", _slide_sql("iv", "he", "min", 1, 3), _slide_sql("he", "ho", "max", 1, 3),
-        _slide_sql("iv", "ve", "min", 3, 1), _slide_sql("ve", "vo", "max", 3, 1),
-        "an AS (SELECT ho.frame_id, ho.r, ho.c, least(ho.v, vo.v) AS v FROM ho JOIN vo USING (frame_id, r, c))", _slide_sql("an", "dl", "max", 3, 3),
+        _MASK, "iv AS (SELECT frame_id, r, c, 255 - v AS v FROM mk)", slide_sql("iv", "he", "min", 1, 3), slide_sql("he", "ho", "max", 1, 3),
+        slide_sql("iv", "ve", "min", 3, 1), slide_sql("ve", "vo", "max", 3, 1),
+        "an AS (SELECT ho.frame_id, ho.r, ho.c, least(ho.v, vo.v) AS v FROM ho JOIN vo USING (frame_id, r, c))", slide_sql("an", "dl", "max", 3, 3),
     ]
 )
 
@@ -182,7 +182,7 @@ _LAYERS = ", ".join(
     [
         """mo AS (SELECT frame_id, q * 8 + 4 AS m FROM (SELECT frame_id, v >> 3 AS q, row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, v >> 3) AS k FROM fx_mosaic GROUP BY 1, 2) WHERE k = 1)""",
         """mk AS (SELECT frame_id * 2 + k AS frame_id, r, c, CASE WHEN abs(v - CASE WHEN k = 0 THEN m ELSE 120 END) <= 50 THEN 255 ELSE 0 END AS v FROM fx_mosaic JOIN mo USING (frame_id) CROSS JOIN (VALUES (0), (1)) AS t(k))""",
-        _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3),
+        slide_sql("mk", "er", "min", 3, 3), slide_sql("er", "op", "max", 3, 3),
         "sz AS (SELECT frame_id, max(r) AS r1 FROM op GROUP BY 1)",
         """open_px AS (SELECT frame_id, r, c FROM op JOIN sz USING (frame_id) WHERE v = 0 AND (r IN (0, r1) OR c IN (0, 63))
   UNION SELECT m.frame_id, m.r, m.c FROM open_px o JOIN op m ON m.frame_id = o.frame_id AND m.v = 0 AND abs(m.r - o.r) + abs(m.c - o.c) = 1)""",
@@ -316,9 +316,9 @@ QUERIES = {
         tables.sql("SELECT frame_id, r, c, round(greatest(1, v), 5) AS v FROM g2", "fx_mosaic", extra=_MOSAIC_GAUSS),
     ),
     "gr4_opening_tiled": (
-        _tiled((0, planes.above(120)), tiles.box(planes.opening, 3, 3, 2)), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)),
+        _tiled((0, planes.above(120)), tiles.box(planes.opening, 3, 3, 2)), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, slide_sql("mk", "er", "min", 3, 3), slide_sql("er", "op", "max", 3, 3)),
     ),
-    "gr4_dilate_tiled": (_tiled((0, planes.above(120)), tiles.box(planes.dilate, 3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, _slide_sql("mk", "dl", "max", 3, 4))),
+    "gr4_dilate_tiled": (_tiled((0, planes.above(120)), tiles.box(planes.dilate, 3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, slide_sql("mk", "dl", "max", 3, 4))),
     "gr7_tile_equalise_tiled": (equalise_tiled, tables.sql("SELECT frame_id, r, c, v FROM eq", "fx_mosaic", extra=_MOSAIC_EQUALISE)),
     "ag6_flat_field_tiled": (flat_field_tiled, tables.sql("SELECT CAST(0 AS INT) AS ch, r, c, CAST(flat AS DOUBLE) AS flat FROM fl", "fx_mosaic", extra=_MOSAIC_FLAT)),
     "jn4_apply_flat_tiled": (
@@ -418,9 +418,9 @@ QUERIES = {
         tables.sql("SELECT frame_id, r, c, round(greatest(1, v), 5) AS v FROM g2", "fx_frames", extra=_GAUSS),
     ),
     "gr4_opening_packed": (
-        _planes(planes.above(120), planes.opening()), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)),
+        _planes(planes.above(120), planes.opening()), _on_mosaic("SELECT frame_id, r, c, v FROM op", _MASK, slide_sql("mk", "er", "min", 3, 3), slide_sql("er", "op", "max", 3, 3)),
     ),
-    "gr4_dilate_packed": (_planes(planes.above(120), planes.dilate(3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, _slide_sql("mk", "dl", "max", 3, 4))),
+    "gr4_dilate_packed": (_planes(planes.above(120), planes.dilate(3, 4)), _on_mosaic("SELECT frame_id, r, c, v FROM dl", _MASK, slide_sql("mk", "dl", "max", 3, 4))),
     "ag16_binarise_packed": (
         _planes(planes.otsu), _on_mosaic(
             """SELECT frame_id, r, c, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM fx_mosaic JOIN (SELECT frame_id, t AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY
@@ -429,9 +429,9 @@ QUERIES = {
             FROM (SELECT frame_id, v AS t, CAST(count(*) AS DOUBLE) AS n FROM fx_mosaic GROUP BY ALL) WINDOW u AS (PARTITION BY frame_id ORDER BY t))) WHERE k = 1) USING (frame_id)"""
         ),
     ),
-    "gr4_dilate": (dilate, tables.sql("SELECT frame_id, r, c, v FROM dl", "fx_frames", extra=_MASK + ", " + _slide_sql("mk", "dl", "max", 3, 4))),
+    "gr4_dilate": (dilate, tables.sql("SELECT frame_id, r, c, v FROM dl", "fx_frames", extra=_MASK + ", " + slide_sql("mk", "dl", "max", 3, 4))),
     "gr4_opening": (
-        opening, tables.sql("SELECT frame_id, r, c, v FROM op", "fx_frames", extra=", ".join([_MASK, _slide_sql("mk", "er", "min", 3, 3), _slide_sql("er", "op", "max", 3, 3)])),
+        opening, tables.sql("SELECT frame_id, r, c, v FROM op", "fx_frames", extra=", ".join([_MASK, slide_sql("mk", "er", "min", 3, 3), slide_sql("er", "op", "max", 3, 3)])),
     ),
     "gr5_line_crossings": (crossings, tables.sql("SELECT frame_id, r, c, v FROM dl", "fx_frames", extra=_CROSS)),
     "gr6_mask_outline": (

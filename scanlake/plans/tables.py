@@ -95,6 +95,26 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SQUARE = "(frame_id % 3 = 0 AND ((abs(r - 9 - frame_id % 5) <= 2 AND abs(c - 12 - frame_id % 7) <= 2) OR (abs(r - 28) <= 2 AND abs(c - 45) <= 2)))"
+_CROSS = "((abs(r - 20) <= 1 AND abs(c - 24 - frame_id % 9) <= 10) OR (abs(c - 24 - frame_id % 9) <= 1 AND abs(r - 20) <= 10))"
+_DARK = "CAST(floor(v / 8e0) AS INT)"
+#: Colours of the mark frames: squares bright in all channels, crosses bright or dark in blue and green alone, over noise.
+_INDEX = f"""frame_id, r, c, CASE WHEN {_SQUARE} THEN 200 WHEN frame_id % 3 = 0 THEN 120 WHEN {_CROSS} THEN CASE WHEN frame_id % 3 = 1 THEN 250 ELSE {_DARK} END
+  WHEN frame_id % 3 = 1 THEN {_DARK} ELSE 220 + {_DARK} END AS blue,
+CASE WHEN {_SQUARE} THEN 240 WHEN frame_id % 3 = 0 THEN {_DARK} WHEN {_CROSS} THEN CASE WHEN frame_id % 3 = 1 THEN 250 ELSE {_DARK} END
+  WHEN frame_id % 3 = 1 THEN {_DARK} ELSE 220 + {_DARK} END AS green,
+CASE WHEN {_SQUARE} THEN 250 WHEN frame_id % 3 = 0 THEN {_DARK} ELSE v END AS red"""
+
+
+def index_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40x64 colour frames with index marks over noise, an embedding being one image row: squares, bright crosses, dark crosses by turns."""
+    gray = "CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT)"
+    cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
+    cells = cells.selectExpr("vec_id DIV 40 AS frame_id", "CAST(vec_id % 40 AS INT) AS r", "p AS c", f"{gray} AS v")
+    cells.createOrReplaceTempView("_index_cells")
+    return spark.sql(f"SELECT {_INDEX} FROM _index_cells")
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position replies, bad lines included: every event that is not a capture."""
     good = "concat(CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), ',', CAST(event_id AS STRING), ',', CAST(user_id AS STRING))"
@@ -132,6 +152,9 @@ FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) -
     "fx_mosaic": """SELECT vec_id // 64 AS frame_id, CAST(vec_id % 64 AS INT) AS r, CAST(p AS INT) AS c,
        CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT) AS v
 FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)""",
+    "fx_index": f"""SELECT {_INDEX} FROM (SELECT vec_id // 40 AS frame_id, CAST(vec_id % 40 AS INT) AS r, CAST(p AS INT) AS c,
+       CAST(floor(least(greatest((CAST(e AS DOUBLE) + 6e-1) / 12e-1, 0e0), 1e0) * 255) AS INT) AS v
+FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))""",
     "fx_rgb": "SELECT frame_id, r, c, v AS blue, (v * 7 + 13) % 256 AS green, (v * 3 + 29) % 256 AS red FROM fx_frames",
     "fx_sweep": """SELECT user_id AS sweep_id, i, i * 3e-3 AS z_mm, value AS metric
 FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)""",
