@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,8 +19,9 @@ from scanlake.llm import text
 BLOCK, ALIGN_LETTERS = 2_000_000, 400_000
 #: Segments that are put together for one call of A, and of B.
 JOINED = (50, 200)
-#: Letters of the segments a Python worker keeps alignments of before it starts anew (a bound on memory, not on results).
-CACHE_LETTERS = 4_000_000
+#: Letters of the segments a Python worker keeps alignments of before it drops those it rarely met, and the distinct segments that a task
+#: counts before it sends the counts on (bounds on memory, not on results).
+CACHE_LETTERS, COUNTED_SEGMENTS = 1_500_000, 200_000
 #: Most id pairs whose counts are sent to every worker (17 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 4_000_000
 #: The characters with the White_Space property (fixed values of the Unicode standard).
@@ -94,6 +96,13 @@ class Aligned:
         """(token of a, token of b, bytes they share) of all that overlap: the product A·Bᵀ of the token-byte matrices."""
         return self.a_bytes.products(self.b_bytes.transpose())
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(id pair of each link, in order of texts, links of each text); a pair is A's id in the high half and B's in the low one."""
+        if not len(self.a):
+            return np.zeros(0, np.int64), np.zeros(len(self.good), np.int64)
+        a, b, _ = (np.concatenate(parts) for parts in zip(*self.links(), strict=True))
+        return (self.a[a] << 32) | self.b[b], np.bincount(self.a_text[a], minlength=len(self.good))
+
     def group_links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token of a, token of b, 1) of all in one group: the product of the token-group matrices."""
         return self.a_groups.products(self.b_groups.transpose())
@@ -165,6 +174,14 @@ def plain(segment: str) -> bool:
     return bool(segment) and not segment[-1].isspace() and "▁" not in segment
 
 
+def alike(found: set[str]) -> Iterator[tuple[list[str], tuple[int, int] | None]]:
+    """Segments in blocks for ``align``, with how many of them go through a tokenizer together."""
+    together = list(filter(plain, found))
+    for names, joined in ((together, JOINED), (list(found.difference(together)), None)):
+        for block in blocks(np.fromiter(map(len, names), np.int64, len(names)) + 1, ALIGN_LETTERS):
+            yield names[block], joined
+
+
 def segments(t: str) -> list[str]:
     """The text cut at each space behind a character that is not white space, without those spaces.
 
@@ -196,9 +213,23 @@ class Segments:
     def clear(self) -> None:
         self.index, self.groups, self.letters = {}, [], 0
         self.stats, self.scores = np.zeros((1024, len(STATS)), np.int64), np.zeros((1024, len(SCORES)), np.int64)
-        self.good, self.seen = np.zeros(1024, bool), np.zeros(1024, np.int64)
+        self.good, self.used = np.zeros(1024, bool), np.zeros(1024, np.int64)
         self.links, self.start = np.zeros(1024, np.int64), np.zeros(1025, np.int64)
 
+    def shrink(self) -> None:
+        """Keep the segments met most often, at most half of what the cache holds."""
+        n, names = len(self.groups), list(self.index)
+        size, least = np.fromiter(map(len, names), np.int64, n) + 1, 2
+        while size[self.used[:n] >= least].sum() > CACHE_LETTERS // 2:
+            least *= 2
+        keep = np.flatnonzero(self.used[:n] >= least)
+        start, self.index = self.start, {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.groups, self.letters = [self.groups[k] for k in keep.tolist()], int(size[keep].sum())
+        length = start[keep + 1] - start[keep]
+        at = np.repeat(start[keep] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        self.links, self.start = self.links[at], np.concatenate(([0], np.cumsum(length)))
+        self.stats, self.scores, self.good, self.used = self.stats[keep], self.scores[keep], self.good[keep], self.used[keep] // 2
+
     def attach(self, name: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Score links by these (pairs ascending, counts, is best)."""
         if name != self.name:
@@ -223,17 +254,16 @@ class Segments:
         x, low, n = self.aligner.align(new, joined), len(self.groups), len(new)
         high = low + n
         self.stats, self.scores = _grown(self.stats, high), _grown(self.scores, high)
-        self.good, self.seen, self.start = _grown(self.good, high), _grown(self.seen, high), _grown(self.start, high + 1)
-        link_a, link_b, _ = (np.concatenate(parts) for parts in zip(*x.links(), strict=True)) if len(x.a) else (np.zeros(0, np.int64),) * 3
-        n_links = np.bincount(x.a_text[link_a], minlength=n)
+        self.good, self.used, self.start = _grown(self.good, high), _grown(self.used, high), _grown(self.start, high + 1)
+        links, n_links = x.pairs()
         first = int(self.start[low])
-        self.links = _grown(self.links, first + len(link_a))
-        self.links[first : first + len(link_a)] = (x.a[link_a] << 32) | x.b[link_b]
+        self.links = _grown(self.links, first + len(links))
+        self.links[first : first + len(links)] = links
         self.start[low + 1 : high + 1] = first + np.cumsum(n_links)
         shared = np.bincount(x.a_text, x.group_link_counts(), n) if len(x.a) else np.zeros(n)
         ends = np.diff(x.a_group, append=-1) != 0  # last token of each group
         self.stats[low:high] = np.stack([np.bincount(x.a_text, minlength=n), np.bincount(x.b_text, minlength=n), np.bincount(x.a_text[ends], minlength=n), n_links, shared.astype(np.int64)], 1)
-        self.good[low:high], self.seen[low:high] = x.good, 0
+        self.good[low:high], self.used[low:high] = x.good, 0
         self.groups += self._lines(x, n)
         self._score(low, high)
         self.index.update(zip(new, range(low, high)))
@@ -258,10 +288,8 @@ class Segments:
         found = list(map(self.index.get, parts))
         if None in found:
             new = {p for p, f in zip(parts, found) if f is None}
-            alike = list(filter(plain, new))
-            for names, joined in ((alike, JOINED), (list(new.difference(alike)), None)):
-                for block in blocks(np.fromiter(map(len, names), np.int64, len(names)) + 1, ALIGN_LETTERS):
-                    self._learn(names[block], joined)
+            for names, joined in alike(new):
+                self._learn(names, joined)
             found = list(map(self.index.__getitem__, parts))
         return np.fromiter(found, np.int64, len(found))
 
@@ -270,20 +298,10 @@ class Segments:
         parts = [segments(t or "") for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         codes = self.codes([p for x in parts for p in x])
+        self.used[: len(self.groups)] += np.bincount(codes, minlength=len(self.groups))
         first = np.cumsum(n) - n
         return codes, first, np.logical_and.reduceat(self.good[codes], first) & np.fromiter(map(bool, texts), bool, len(texts))
 
-    def seen_links(self) -> pa.RecordBatch:
-        """How often each id pair was linked in the segments counted in ``seen``, which is set back."""
-        n = len(self.groups)
-        times = np.repeat(self.seen[:n], self.stats[:n, 3])
-        links = self.links[: self.start[n]][times > 0]
-        pairs, of = np.unique(links, return_inverse=True)
-        total = np.zeros(len(pairs), np.int64)
-        np.add.at(total, of, times[times > 0])
-        self.seen[:] = 0
-        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total)], ["pair", "n"])
-
 
 def store(paths: tuple[str, str]) -> Segments:
     """The alignments of this Python worker."""
@@ -307,23 +325,57 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("b_id"), *[c for c in df.columns if c != "pair"])
 
 
-def _pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+def _segment_counts(docs: DataFrame, paths: tuple[str, str], bad: frozenset[str]) -> DataFrame:
+    """segment and n, how often it occurs in texts with tokens: those that hold none of the ``bad`` segments, which a tokenizer alters."""
+
     def rows(batches):
-        s = store(paths)
-        s.seen[:] = 0
+        found: Counter[str] = Counter()
+
+        def counted():
+            out = pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["segment", "n"])
+            found.clear()
+            return out
+
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for block in _slices(texts):
-                codes, first, good = s.texts(texts[block])
-                n = np.diff(np.append(first, len(codes)))
-                counted = np.bincount(codes[np.repeat(good, n)], minlength=len(s.groups))
-                s.seen[: len(counted)] += counted
-                if s.letters > CACHE_LETTERS:
-                    yield s.seen_links()
-                    s.clear()
-        yield s.seen_links()
+            for t in batch["text"]:
+                t = t.as_py()
+                if t and "▁" not in t:
+                    parts = segments(t)
+                    if not bad or bad.isdisjoint(parts):
+                        found.update(parts)
+                if len(found) > COUNTED_SEGMENTS:
+                    yield counted()
+        yield counted()
+
+    return docs.select("text").mapInArrow(rows, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
 
-    partial = docs.select("text").mapInArrow(rows, "pair long, n long")
+def _pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    def rows(batches):
+        aligner = store(paths).aligner
+        for batch in batches:
+            times = dict(zip(batch["segment"].to_pylist(), batch["n"].to_pylist()))
+            for names, joined in alike(set(times)):
+                x = aligner.align(names, joined)
+                links, of = x.pairs()
+                n = np.repeat(np.fromiter(map(times.__getitem__, names), np.int64, len(names)), of)
+                pairs, at = np.unique(links, return_inverse=True)
+                total = np.zeros(len(pairs), np.int64)
+                np.add.at(total, at, n)
+                altered = [names[k] for k in np.flatnonzero(~x.good)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(pairs), pa.nulls(len(altered), pa.int64())]), pa.concat_arrays([pa.array(total), pa.nulls(len(altered), pa.int64())]), pa.array([None] * len(pairs) + altered, pa.string())],
+                    ["pair", "n", "altered"],
+                )
+
+    # a text with a segment that a tokenizer alters has no tokens: should such segments turn up, their texts are left out and all is counted again
+    bad: frozenset[str] = frozenset()
+    while True:
+        partial = text.stored(_segment_counts(docs, paths, bad).mapInArrow(rows, "pair long, n long, altered string"), "pair-parts")
+        found = frozenset(r["altered"] for r in partial.where("altered IS NOT NULL").select("altered").distinct().collect())
+        if not found:
+            break
+        bad |= found
     counts = partial.groupBy("pair").agg(F.sum("n").alias("n"))
     # a B id meets at most as many A ids as there are in their vocabulary
     highest = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
@@ -332,7 +384,7 @@ def _pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
 def pair_counts(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """a_id, b_id, n and best of all id pairs that are linked in ``docs``: how many links hold the pair, and whether no other A id is
-    linked to the B id more often (ties are all best). Each task adds up its own links first."""
+    linked to the B id more often (ties are all best). Tasks count their distinct segments, and each distinct segment of the corpus is aligned once."""
     return _ids(_pair_counts(docs, paths or tokenizer_paths()))
 
 
@@ -364,7 +416,8 @@ def align_documents(docs: DataFrame, paths: tuple[str, str] | None = None, broad
     groups_sha256 is the hash of the groups. Null and empty texts, and those that a tokenizer does not give back byte for byte, have
     zeros and ``''``, and their links count nowhere. Repeated rows count each. An empty table gives no rows. Only doc_id and text are read.
 
-    Two passes over the texts: the first counts the pairs, the second looks the counts up. Up to ``broadcast_pairs`` pairs, a few
+    Two passes over the texts: the first counts the distinct segments, which are then aligned once each, weighted by their counts; the
+    second aligns what it has not met and looks the counts up. Up to ``broadcast_pairs`` pairs, a few
     megabytes, go to the workers; beyond that the pairs of each different list of groups are joined to the counts.
     """
     paths = paths or tokenizer_paths()
@@ -394,7 +447,7 @@ def align_documents(docs: DataFrame, paths: tuple[str, str] | None = None, broad
                     names.append("pairs")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 if s.letters > CACHE_LETTERS:
-                    s.clear()
+                    s.shrink()
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in value), "groups_sha256 string", *([] if few else ["pairs array<struct<pair: long, m: long>>"])])
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)

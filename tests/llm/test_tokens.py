@@ -173,6 +173,24 @@ def test_alignment_query_and_its_links(spark, tokenizers):
     assert {k: n for k, (n, _) in counts.items()} == own and any(not best for _, best in counts.values())
 
 
+def test_alignments_are_kept_by_use(monkeypatch):
+    monkeypatch.setattr(token_alignment, "CACHE_LETTERS", 400)
+    s = token_alignment.Segments(token_alignment.Aligner(*token_alignment.tokenizer_paths()))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    fresh = token_alignment.Segments(s.aligner)
+    for k in range(40):
+        texts = [" ".join([*rng.choices(words[:10], k=20), *rng.choices(words, k=10)]) for _ in range(3)]
+        (codes, first, good), (other, _, _) = s.texts(texts), fresh.texts(texts)
+        assert good.all() and np.array_equal(s.stats[codes], fresh.stats[other]) and [s.groups[c] for c in codes] == [fresh.groups[c] for c in other]
+        links = [[x.links[x.start[c] : x.start[c + 1]].tolist() for c in y] for x, y in ((s, codes), (fresh, other))]
+        assert links[0] == links[1]
+        if s.letters > 400:
+            s.shrink()
+            assert s.letters <= 200 and len(s.index) == len(s.groups)
+    assert sum(w in s.index for w in words[:10]) >= 8
+
+
 def test_products_equal_dense_ones():
     rng = np.random.default_rng(2)
     for _ in range(30):
