@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.operators import ordered
+from scanlake.session import cut_lineage
 
 # Fixed value: readings are refreshed on every tenth tick.
 REFRESH_EVERY = 10
@@ -67,6 +68,40 @@ def frame_rate(rows: DataFrame, key: str = "instrument_id", ts: str = "ts", seco
     return counts.select(key, "window_start", "frames", (F.col("frames") / float(seconds)).alias("fps"))
 
 
+def frame_ticks(rows: DataFrame, key: str = "instrument_id", ts: str = "ts", order: str = "frame_id", seconds: float = 1.0) -> DataFrame:
+    """Frame rates as a clock gives them that starts anew at each report: a report comes with the first frame that is ``seconds`` or
+    more behind the last one, and counts the frames since then. Frames that share a time come in ``order``.
+
+    Each frame points to the one that would report next if it had reported; the reports are what the first frame leads to. They are
+    found by doubling the steps, so a chain of n reports takes log2(n) rounds over all instruments at once, each stored. Frames are
+    numbered and looked up by slices of time, so a busy instrument is spread over tasks.
+    """
+    step = round(seconds * 1_000_000)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    frames = rows.select(key, us.alias("us"), F.col(order).alias("frame"))
+    part = F.floor(F.col("us") / step).cast("long")
+    numbered = cut_lineage(ordered.dense_index(frames, [key], ["us", "frame"], part, "n").withColumn("part", part))
+    # slices are as wide as a step: what is a step later lies in the next slice, or else is the first frame of a slice behind that
+    heads = numbered.groupBy(key, "part").agg(F.min("n").alias("head"))
+    by_part = Window.partitionBy(key).orderBy("part")
+    second = F.when(F.lead("part").over(by_part) > F.col("part") + 1, F.lead("head").over(by_part)).otherwise(F.lead("head", 2).over(by_part))
+    heads = heads.select(key, "part", second.alias("_far"))
+    copies = numbered.withColumn("_copy", F.lit(False)).unionByName(numbered.withColumns({"part": F.col("part") - 1, "_copy": F.lit(True)}))
+    behind = Window.partitionBy(key, "part").orderBy("us").rangeBetween(step, Window.unboundedFollowing)
+    near = copies.withColumn("_near", F.min("n").over(behind)).where("NOT _copy")
+    jump = cut_lineage(near.join(heads, [key, "part"]).select(key, "n", "us", F.coalesce("_near", "_far").alias("next")))
+    marked, steps = cut_lineage(jump.where("n = 0").select(key, "n")), jump.where("next IS NOT NULL").select(key, "n", "next")
+    while not steps.isEmpty():
+        reached = marked.join(steps, [key, "n"]).select(key, F.col("next").alias("n"))
+        marked = cut_lineage(marked.unionByName(reached))
+        onward = steps.select(key, F.col("n").alias("next"), F.col("next").alias("_next"))
+        steps = cut_lineage(steps.join(onward, [key, "next"]).select(key, "n", F.col("_next").alias("next")))
+    ticks = marked.join(jump.select(key, "n", "us"), [key, "n"]).withColumn(ordered.SLICE, ordered.index_slice(F.col("n")))
+    ticks = ordered.previous(ticks, [key], ["n"], n_before=F.col("n"), us_before=F.col("us")).where("n_before IS NOT NULL")
+    frames_, elapsed = F.col("n") - F.col("n_before"), (F.col("us") - F.col("us_before")) / 1e6
+    return ticks.select(key, F.col("us").alias("tick_us"), frames_.alias("frames"), (frames_ / elapsed).alias("fps"))
+
+
 def scan_summary(points: DataFrame, key: str = "scan_id") -> DataFrame:
     """Captured, skipped and total points per scan and its outcome.
 

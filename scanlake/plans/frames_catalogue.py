@@ -364,8 +364,8 @@ QUERIES = {
         ),
     ),
     "ag6_flat_field": (flat_field, tables.sql("SELECT * FROM fl", "fx_rgb", extra=_FLAT)),
-    "ag7_mode_colour": (mode_colour_thin, tables.sql(_MODE.format(where="WHERE r % 4 = 0 AND c % 4 = 0"), "fx_rgb")),
-    "ag7_mode_colour_all": (mode_colour, tables.sql(_MODE.format(where=""), "fx_rgb")),
+    "ag7_mode_colour_thinned": (mode_colour_thin, tables.sql(_MODE.format(where="WHERE r % 4 = 0 AND c % 4 = 0"), "fx_rgb")),
+    "ag7_mode_colour": (mode_colour, tables.sql(_MODE.format(where=""), "fx_rgb")),
     "fl4_colour_mask": (
         colour_mask,
         tables.sql(

@@ -101,7 +101,24 @@ LATEST_SQL = tables.sql(
 )
 RATE_SQL = """SELECT instrument_id, CAST(floor(epoch(ts) / {s}) * {s} AS BIGINT) AS window_start, count(*) AS frames, count(*) / {s}e0 AS fps FROM fx_captures GROUP BY 1, 2"""
 
+def frame_ticks(spark, sf_dir):
+    rows = tables.captures(spark, sf_dir).withColumnRenamed("capture_id", "frame_id")
+    out = logs.frame_ticks(rows, seconds=3 * 86400)
+    return out.select("instrument_id", "tick_us", "frames", F.round("fps", 9).alias("fps"))
+
+
+_TICKS = """n AS (SELECT instrument_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY instrument_id ORDER BY ts, capture_id) - 1 AS n FROM fx_captures),
+j AS (SELECT a.instrument_id, a.n, a.us, min(b.n) AS next FROM n a LEFT JOIN n b ON b.instrument_id = a.instrument_id AND b.us >= a.us + 259200000000 GROUP BY ALL),
+t AS (SELECT instrument_id, n, us, next, CAST(NULL AS BIGINT) AS n_before, CAST(NULL AS BIGINT) AS us_before FROM j WHERE n = 0
+  UNION ALL SELECT j.instrument_id, j.n, j.us, j.next, t.n, t.us FROM t JOIN j ON j.instrument_id = t.instrument_id AND j.n = t.next)"""
+
 QUERIES = {
+    "ag19_frame_ticks": (
+        frame_ticks,
+        tables.sql(
+            "SELECT instrument_id, us AS tick_us, n - n_before AS frames, round((n - n_before) / ((us - us_before) / 1e6), 9) AS fps FROM t WHERE n_before IS NOT NULL", "fx_captures", extra=_TICKS, recursive=True
+        ),
+    ),
     "jn1_with_calibration": (
         calibration,
         tables.sql("SELECT id, mag, ppm, coalesce(bar_um, 100) AS bar_um, exposure_us, z_jog_um FROM (SELECT id, trim(mag_text) AS mag FROM fx_mags) LEFT JOIN fx_objectives USING (mag)", "fx_mags", "fx_objectives"),

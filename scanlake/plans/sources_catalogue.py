@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake.functions import naming
-from scanlake.operators import planning, surface
+from scanlake.operators import planning, surface, tiles
 from scanlake.plans import tables
 from scanlake.session import shared_path
-from scanlake.sources import files
+from scanlake.sources import captures, files
 
 C = F.col
 
@@ -60,10 +60,11 @@ def limit_positions(spark, sf_dir):
 
 
 def positions(spark, sf_dir):
+    # all lines of two orders make a list, so that some lists are longer than the ten slots
     entry = """concat('{"Name": "m', l_linenumber, '", "Locked": ', l_tax > 0.04, ', "X": ', l_partkey, ', "Y": ', l_suppkey, '}')"""
-    rows = _slots(spark, sf_dir).selectExpr("l_orderkey", "slot", f"{entry} AS e").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("l"))
-    rows = rows.select(C("l_orderkey").alias("file"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda s: s["e"]), ","), F.lit("]")).alias("value"))
-    return files.explode_positions(rows, "value")
+    rows = tables.load(spark, sf_dir, "lineitem").selectExpr("l_orderkey DIV 8 AS file", f"struct(l_orderkey, l_partkey, l_suppkey, l_linenumber, {entry} AS e) AS s")
+    rows = rows.groupBy("file").agg(F.sort_array(F.collect_list("s")).alias("l"))
+    return files.explode_positions(rows.select("file", F.concat(F.lit("["), F.array_join(F.transform("l", lambda s: s["e"]), ","), F.lit("]")).alias("value")), "value")
 
 
 def scan_rows(spark, sf_dir):
@@ -85,7 +86,47 @@ def manifest(spark, sf_dir):
     return out.select("scan_id", "seq", "x", "y", "filename")
 
 
+def manifest_upsert(spark, sf_dir):
+    path = shared_path(spark, "versions")
+    points = tables.scan_points(spark, sf_dir)
+    x, y = naming.parse_filename(C("filename"))
+    points = points.select("scan_id", "seq", x.alias("x"), y.alias("y"), "filename")
+    files.upsert_manifest(points, path, 0)
+    # some points are captured again, and their batch is written twice, as after a failure
+    again = points.where("seq % 3 = 0").withColumn("x", C("x") + 1000)
+    for _ in range(2):
+        files.upsert_manifest(again, path, 1)
+    compact = shared_path(spark, "compact")
+    files.compact_manifest(spark, path, compact)
+    files.upsert_manifest(points.where("seq % 5 = 0").withColumn("y", C("y") - 1000), compact, 1)
+    return files.read_newest(spark, compact).select("scan_id", "seq", "x", "y", "filename")
+
+
+def capture_files(spark, sf_dir):
+    """16-bit frames written as PNG files of a scan and read back by place."""
+    captures.register(spark)
+    path = shared_path(spark, "captures")
+    place = "format_string('wafer_scan_20240101_000000/img_X%+.3f_Y%+.3f.png', frame_id * 5e-1, -frame_id * 25e-2) AS file"
+    wide = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.concat(*[F.hex(F.substring(C("data"), i, F.lit(1)))] * 2)), ""))
+    captures.write_captures(tables.packed_mosaic(spark, sf_dir).withColumn("data", wide).selectExpr(place, "height", "width", "n_channels", "data"), path)
+    found = spark.read.format("captures").option("tile", 16).load(path).where("x >= 1 AND scan = 'wafer_scan_20240101_000000'")
+    found = found.withColumn("frame_id", F.rint(C("x") * 2).cast("long"))
+    return tiles.pixels(found, (16, 16), keys=("frame_id", "x", "y"))
+
+
 QUERIES = {
+    "src1_captures": (
+        capture_files,
+        tables.sql("SELECT frame_id, frame_id * 5e-1 AS x, -frame_id * 25e-2 AS y, r, c, v * 257 AS v FROM fx_mosaic WHERE frame_id * 5e-1 >= 1", "fx_mosaic"),
+    ),
+    "src10_manifest_upsert": (
+        manifest_upsert,
+        tables.sql(
+            r"""SELECT scan_id, seq, x + CASE WHEN seq % 3 = 0 AND seq % 5 <> 0 THEN 1000 ELSE 0 END AS x, y - CASE WHEN seq % 5 = 0 THEN 1000 ELSE 0 END AS y, filename FROM (
+            SELECT *, CAST(regexp_extract(filename, 'X([+-][0-9.]+)_Y([+-][0-9.]+)\.png', 1) AS DOUBLE) AS x, CAST(regexp_extract(filename, 'X([+-][0-9.]+)_Y([+-][0-9.]+)\.png', 2) AS DOUBLE) AS y FROM fx_scan_points)""",
+            "fx_scan_points",
+        ),
+    ),
     "src3_sweep_logs": (sweep_logs, tables.sql("SELECT sweep_id, i, round(z_mm, 6) AS z_mm, round(metric, 4) AS metric FROM fx_sweep", "fx_sweep")),
     "src4_src5_focus_maps": (
         focus_maps,
@@ -106,10 +147,10 @@ QUERIES = {
     ),
     "src8_positions": (
         positions,
-        """WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS slot FROM lineitem),
-        o AS (SELECT DISTINCT l_orderkey, CAST(unnest(range(1, 11)) AS INT) AS slot FROM lineitem)
-        SELECT o.l_orderkey AS file, CAST(n AS INT) AS n_given, o.slot, coalesce('m' || l_linenumber, 'Pos ' || o.slot) AS name, coalesce(l_tax > 0.04, false) AS locked, coalesce(l_partkey, 0) AS x, coalesce(l_suppkey, 0) AS y,
-        CAST(0 AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS mag FROM o LEFT JOIN s ON s.l_orderkey = o.l_orderkey AND s.slot = o.slot JOIN (SELECT l_orderkey, least(10, count(*)) AS n FROM lineitem GROUP BY 1) g ON g.l_orderkey = o.l_orderkey""",
+        """WITH s AS (SELECT *, l_orderkey // 8 AS file, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax > 0.04) AS slot FROM lineitem),
+        o AS (SELECT file, CAST(count(*) AS INT) AS n_given, CAST(unnest(range(1, 11)) AS INT) AS slot FROM s GROUP BY file)
+        SELECT o.file, n_given, o.slot, coalesce('m' || l_linenumber, 'Pos ' || o.slot) AS name, coalesce(l_tax > 0.04, false) AS locked, coalesce(l_partkey, 0) AS x, coalesce(l_suppkey, 0) AS y,
+        CAST(0 AS BIGINT) AS z, CAST(NULL AS VARCHAR) AS mag FROM o LEFT JOIN s ON s.file = o.file AND s.slot = o.slot""",
     ),
     "tk6_limit_positions": (
         limit_positions,

@@ -54,6 +54,29 @@ def read_scan_manifest(spark: SparkSession, path: str, scan_type: str = "bigint"
     return out.withColumn("scan_id", F.col("scan_id").cast(scan_type))
 
 
+def upsert_manifest(rows: DataFrame, path: str, version: int) -> None:
+    """Add points (scan_id, seq, ...) to a manifest as one version; writing a version again replaces it, so a batch may run twice.
+
+    Fits ``foreachBatch`` with its batch number as ``version``. Each version is a folder of its own, partitioned by scan.
+    """
+    newest = rows.withColumn("_tie", F.xxhash64(*rows.columns)).groupBy("scan_id", "seq")
+    rows = newest.agg(F.max_by(F.struct(*rows.columns), "_tie").alias("row")).select("row.*")
+    rows.write.mode("overwrite").partitionBy("scan_id").parquet(f"{path}/version={version:012d}")
+
+
+def read_newest(spark: SparkSession, path: str, scan_type: str = "bigint") -> DataFrame:
+    """The newest version of each (scan_id, seq) of a manifest written by ``upsert_manifest``."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*").withColumn("scan_id", F.col("scan_id").cast(scan_type))
+    columns = [c for c in rows.columns if c != "version"]
+    newest = rows.groupBy("scan_id", "seq").agg(F.max_by(F.struct(*columns), F.col("version").cast("long")).alias("row"))
+    return newest.select("row.*")
+
+
+def compact_manifest(spark: SparkSession, path: str, target: str, scan_type: str = "bigint") -> None:
+    """Write the newest versions as the one version 0 of a new manifest at ``target``; readers of the old one are not disturbed."""
+    read_newest(spark, path, scan_type).write.mode("overwrite").partitionBy("scan_id").parquet(f"{target}/version={0:012d}")
+
+
 def read_sweep_logs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Sweep logs as steps: sweep_id, file, result, i, z_mm, metric, z_best, m_best.
 
