@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 
 import numpy as np
@@ -42,33 +43,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1][path] = df.sparkSession
+    if _blocks():
+        _blocks()[-1][path] = df.sparkSession
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-_SCRATCH: list[dict] = []
+_SCRATCH = threading.local()
+
+
+def _blocks() -> list[dict]:
+    """The open ``scratch`` blocks of this thread."""
+    if not hasattr(_SCRATCH, "blocks"):
+        _SCRATCH.blocks = []
+    return _SCRATCH.blocks
 
 
 @contextmanager
 def scratch():
     """A block whose stored tables are removed at its end, but for those given to ``keep``: results may only read kept ones."""
-    _SCRATCH.append({})
+    _blocks().append({})
     try:
         yield
     finally:
-        for path, spark in _SCRATCH.pop().items():
+        for path, spark in _blocks().pop().items():
             remove_path(spark, path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored such that it outlives the innermost ``scratch`` block; the next one out takes it over."""
     out = stored(df, name)
-    spark = _SCRATCH[-1].pop(out.stored_at)
-    if len(_SCRATCH) > 1:
-        _SCRATCH[-2][out.stored_at] = spark
+    spark = _blocks()[-1].pop(out.stored_at)
+    if len(_blocks()) > 1:
+        _blocks()[-2][out.stored_at] = spark
     return out
 
 

@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brute_force import near_classes, removed_words
-from scanlake.llm import components, edit_counts, packing, pairwise_quality, phrases, probminhash, toxicity_chain
+from check import connect
+from scanlake.llm import components, divergence, edit_counts, mixing, packing, pairwise_quality, phrases, probminhash, toxicity_chain
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +268,40 @@ def test_hits_of_the_automaton_alone_name_candidates(monkeypatch):
     compiled = phrases.automaton_of
     monkeypatch.setattr(phrases, "automaton_of", lambda known: compiled([b"\x01\x00"]))
     assert ranges(shared) == {}
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """``run`` against SQL for the rules and the mix, and plain Python for near copies, passages and pieces."""
+    import duckdb
+
+    con = connect(SF)
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({divergence.OP2_SQL}) WHERE kept").fetchall()}
+    rows = {r["doc_id"]: (r["text"], r["source"]) for r in documents(spark).collect() if r["doc_id"] in kept}
+    assert 0 < len(rows) < documents(spark).count()
+    firsts = set(near_classes([(d, t) for d, (t, _) in rows.items()]).values())
+    rows = {d: v for d, v in rows.items() if d in firsts}
+    before = {d: t for d, (t, _) in rows.items()}
+    for d, words, n in removed_words(list(before.items())):
+        if len(words) < n:
+            rows[d] = (b" ".join(words).decode(), rows[d][1])
+    assert any(rows[d][0] != before[d] for d in rows)
+    plain = pd.DataFrame([(d, t, s) for d, (t, s) in rows.items()], columns=["doc_id", "text", "source"])
+    mix = duckdb.connect()
+    mix.register("documents", plain)
+    times = {d: taken // size if size else 0 for d, size, taken in mix.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP6_SQL})").fetchall()}
+    encoder = Tokenizer.from_file(packing.tokenizer_path())
+    want = collections.Counter()
+    for d, (t, _) in rows.items():
+        ids = [*encoder.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[d, k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += times[d]
+    got, places = collections.Counter(), collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == +want
+    for pieces in places.values():
+        pieces.sort()
+        ends = list(itertools.accumulate(n for _, n in pieces))
+        assert [at for at, _ in pieces] == [0, *ends[:-1]] and ends[-1] <= 2048
