@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scanlake.llm import divergence, mixing, packing, phrases, probminhash, text
+from scanlake.session import remove_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read back by the next."""
-    docs = text.load(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read back by the next, after which its table goes; the last one stays."""
+    docs, before = text.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = text.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            remove_path(spark, before)
+        before = docs.stored_at
     return docs
