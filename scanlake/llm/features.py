@@ -11,7 +11,7 @@ from scanlake.llm import text
 
 #: Names of the numeric features, in order.
 NUMBERS = (
-    "words", "word_length", "short_words", "distinct_words", "upper", "digits", "symbols", "marks", "not_ascii", "pipes", "exclamations",
+    "words", "word_length", "short_words", "distinct_words", "upper", "digits", "symbols", "marks", "not_ascii",
     "line_words", "repeated_lines", "repeated_windows", "repeated_next", "top_word",
 )
 #: Slots that terms are hashed into.
@@ -22,7 +22,7 @@ _TERM = re.compile(r"\w+")
 def _shares(data: np.ndarray) -> list[float]:
     c = np.bincount(data, minlength=256) / max(len(data), 1)
     symbols, marks = b"#*$%&|<>", b".,;:!?'\"()-"
-    return [c[65:91].sum(), c[48:58].sum(), c[list(symbols)].sum(), c[list(marks)].sum(), c[128:].sum(), c[124], c[33]]
+    return [c[65:91].sum(), c[48:58].sum(), c[list(symbols)].sum(), c[list(marks)].sum(), c[128:].sum()]
 
 
 def numbers(t: str | None) -> np.ndarray:

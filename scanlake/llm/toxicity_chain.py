@@ -15,8 +15,8 @@ from scanlake.llm.pairwise_quality import held_out
 SLOTS = features.SLOTS
 #: A term is evidence of a category if it is in so many of its rows, and its log-odds are so high.
 LEAST_ROWS, LEAST_ODDS = 4, 1.5
-#: Categories in the order of the chain.
-CHAIN = ("low_quality", "toxic", "severe")
+#: Categories in the order of the chain: those that the labels hold.
+CHAIN = ("low_quality", "toxic")
 FOLDS = 5
 
 
@@ -99,27 +99,16 @@ class Chain:
         return out
 
 
-def marker_share(rows: Rows, toxic: np.ndarray) -> np.ndarray:
-    """Weight of a row's terms that occur in toxic rows far more than elsewhere."""
-    inside = np.bincount(rows.slot, toxic[rows.row].astype(float), SLOTS)
-    total = np.bincount(rows.slot, minlength=SLOTS)
-    marker = (inside >= 3) & (inside > 0.8 * total)
-    return np.bincount(rows.row, rows.value * marker[rows.slot], len(rows.size))
-
-
 def fit_chain(terms: list, numbers: np.ndarray, quality: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> Chain:
     """Fit the chain. Later models learn from out-of-fold probabilities of the earlier ones, as they meet them in use.
 
-    ``severe`` marks the toxic rows whose share of toxic marker terms is at or above the median of toxic rows. The threshold of
-    ``toxic`` is where its out-of-fold F1 is best.
+    The threshold of ``toxic`` is where its out-of-fold F1 is best, the middle of equally good ones.
     """
     mean, scale = (numbers.mean(axis=0), numbers.std(axis=0) + 1e-9) if len(numbers) else (np.zeros(len(features.NUMBERS)), np.ones(len(features.NUMBERS)))
     chain = Chain(mean, scale)
     rows = chain.rows(terms, numbers)
-    share = marker_share(rows, toxic)
-    severe = toxic & (share >= (np.median(share[toxic]) if toxic.any() else np.inf))
     earlier = np.zeros((len(terms), 0))
-    for name, y in zip(CHAIN, (~quality, toxic, severe)):
+    for name, y in zip(CHAIN, (~quality, toxic)):
         y = y.astype(np.float64)
         outside = np.full(len(y), 0.5)
         for f in range(FOLDS):
@@ -138,7 +127,7 @@ def fit_chain(terms: list, numbers: np.ndarray, quality: np.ndarray, toxic: np.n
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, most: int = 6_000) -> DataFrame:
-    """doc_id, held_out, p_low_quality, p_toxic, p_severe and toxic (0 or 1) of every document, from its whole text.
+    """doc_id, held_out, p_low_quality, p_toxic and toxic (0 or 1) of every document, from its whole text.
 
     Learned from labels (doc_id, quality, toxic) of rows that are not held out, at most ``most`` of them (the stated bound of the
     sample: those whose ids hash lowest; all where there are fewer). Empty and null texts have no terms and are scored like any
@@ -174,12 +163,12 @@ def classify_documents(docs: DataFrame, labels: DataFrame, most: int = 6_000) ->
                 rows = chain.rows([features.term_counts(t) for t in texts], np.array([features.numbers(t) for t in texts]))
                 p = chain.probabilities(rows)
                 yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[at], "held_out": pdf["held_out"].iloc[at], "p_low_quality": p[:, 0], "p_toxic": p[:, 1], "p_severe": p[:, 2],
+                    "doc_id": pdf["doc_id"].iloc[at], "held_out": pdf["held_out"].iloc[at], "p_low_quality": p[:, 0], "p_toxic": p[:, 1],
                     "toxic": (p[:, 1] >= chain.threshold).astype(np.int32),
                 })
 
     rows = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    return rows.mapInPandas(scored, "doc_id long, held_out boolean, p_low_quality double, p_toxic double, p_severe double, toxic int")
+    return rows.mapInPandas(scored, "doc_id long, held_out boolean, p_low_quality double, p_toxic double, toxic int")
 
 
 def op5_classifier_chain(spark, sf_dir: str) -> DataFrame:

@@ -209,6 +209,40 @@ def test_quality_held_out(spark):
     assert (rows.predicted == rows.quality).mean() > 0.93
 
 
+def test_ranking_equals_a_plain_fit():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    better = x[:, 0] - 0.5 * x[:, 1] + rng.normal(scale=0.7, size=400) > 0.2
+    model = pairwise_quality.fit(x, better, pairs=2000, ridge=1e-2, seed=3)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -8, 8)
+    z = np.concatenate((z, z * z), axis=1)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(better), 2000)] - z[draw.choice(np.flatnonzero(~better), 2000)]
+    w = np.zeros(6)
+    for _ in range(20_000):  # plain descent on the mean loss of log(1 + exp(-difference)) and the ridge
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 1e-2 * w)
+    assert np.allclose(model.weight, w, atol=1e-5) and model.threshold == pytest.approx(np.quantile(z @ w, (~better).mean()), abs=1e-4)
+    assert (model.score(x) >= 0.7).mean() == pytest.approx(better.mean(), abs=0.01)
+
+
+def test_term_evidence_is_out_of_fold():
+    slots = [np.array(s, np.int32) for s in ([1, 2], [1, 2], [1, 3], [1, 3], [4], [], [4, 5], [4], [4], [1])]
+    better = np.array([1, 1, 1, 1, 0, 1, 0, 0, 0, 1], bool)
+    sample = pairwise_quality.Sample(np.zeros((10, len(pairwise_quality.features.NUMBERS))), slots, better, np.arange(10) % 5)
+    x, odds = sample.inputs()
+
+    def plain(rows, s):
+        with_terms = [k for k in rows if len(slots[k])]
+        n, inside = sum(s in slots[k] for k in rows), sum(s in slots[k] and better[k] for k in rows)
+        good = sum(better[k] for k in with_terms)
+        return np.log((inside + 0.5) / (good + 1)) - np.log((n - inside + 0.5) / (len(with_terms) - good + 1)) if n >= 3 else 0.0
+
+    assert np.allclose(odds[:6], [plain(range(10), s) for s in range(6)]) and odds[1] > 1 > -1 > odds[4]
+    for k, s in enumerate(slots):
+        own = [plain([j for j in range(10) if j % 5 != k % 5], t) for t in s]
+        assert np.allclose(x[k, -3:], [np.mean(own), np.mean([v > 1 for v in own]), np.mean([v < -1 for v in own])] if len(s) else 0)
+
+
 def test_quality_ignores_held_out_labels(spark):
     docs, labels = labelled(spark, "quality")
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality")
