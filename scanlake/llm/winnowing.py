@@ -61,12 +61,13 @@ def in_slices(docs: DataFrame) -> tuple[DataFrame, object]:
     """``docs`` (doc_id, text) such that, in the window returned, each row is followed by the next document in ascending doc_id.
 
     The last document's next is the first. Rows with ``copy`` only serve as next ones. The order is cut into slices of ``SLICE`` ids. The first document of each slice is also sent to the slice before it, so one
-    shuffle of the texts gives each slice all it needs; which slice that is comes from the ids alone. Null ids come first; rows
-    with one id are ordered by the hash of their text, and equal rows are told apart arbitrarily.
+    shuffle of the texts gives each slice all it needs; which slice that is comes from the ids alone. Null ids come first, in slices
+    of their own by the hash of their text; rows with one id are ordered by that hash, and equal rows are told apart arbitrarily.
     """
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64("text").alias("h")).alias("key")
     keyed = docs.select(key, "doc_id", "text")
-    slice_of = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / SLICE).cast("long") + F.when(F.col("doc_id").isNull(), -(2**62)).otherwise(0)
+    by_hash = F.lit(-(2**62)).cast("long") + F.shiftright(F.col("key.h"), 54)
+    slice_of = F.when(F.col("doc_id").isNull(), by_hash).otherwise(F.floor(F.col("doc_id") / SLICE).cast("long"))
     keyed = keyed.withColumn("slice", slice_of)
     firsts = text.stored(keyed.groupBy("slice").agg(F.min("key").alias("key")), "slice-firsts")
     # the slices in order, each with the one before it; range partitions with the last row of the one before
