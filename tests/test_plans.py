@@ -9,7 +9,7 @@ from scanlake.operators import ordered, sweeps
 from scanlake.plans import catalogue, tables
 
 SF = "/root/testdata/sf0.001"
-EAGER = ("sm", "src", "ag17", "fl5", "gr6_outer", "layer_", "tk5", "jn5", "ag15", "ag18", "jn4")  # these run jobs while they are built
+EAGER = ("sm", "src", "ag17", "gr6_outer", "layer_", "ag15", "ag18", "jn4", "autofocus", "index_marks", "ag19_frame_ticks", "ag6_flat_field_tiled")  # these run jobs while they are built
 LAZY = sorted(n for n in catalogue.queries() if not n.startswith(EAGER) or n.startswith(("src2", "src7", "src9")))
 
 
@@ -41,3 +41,18 @@ def test_windows_carry_the_slice(spark):
 def test_nearest_k_limits_before_the_shuffle(spark):
     text = plan(sweeps.nearest_k(spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id AS sweep_id", "event_id AS i", "value AS z_mm"), F.lit(1.0), 3))
     assert text.count("WindowGroupLimit") == 2
+
+
+#: Most scans and exchanges (broadcasts left out) of some plans; more is a step back.
+LIMITS = {
+    "sharpest_frame": (2, 4), "fl4_colour_mask": (1, 0), "ag6_flat_field": (1, 2), "ag8_best_focus": (2, 4), "gr7_tile_equalise": (2, 5), "jn3_predict_surface": (4, 4), "jn7_latest_position": (4, 8),
+    "tk5_suppress_near": (1, 2), "tk1_nearest_k": (2, 4), "wn4_peak_crossing": (2, 6), "wn5_find_edge": (6, 12), "wn10_reference_track": (4, 7),
+    "gr2_laplacian_tiled": (1, 2), "gr3_gaussian_blur_tiled": (1, 2), "gr4_opening_tiled": (1, 2), "gr7_tile_equalise_tiled": (1, 2), "wn1_temporal_average_tiled": (1, 2),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_scans_and_exchanges(spark, name):
+    text = plan(catalogue.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
+    found = len(re.findall(r"FileScan|Scan ExistingRDD", text)), len(re.findall(r"\bExchange ", text))
+    assert all(n <= most for n, most in zip(found, LIMITS[name])), found
