@@ -14,12 +14,14 @@ SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "mark")
 #: Words of the histogram's reference, of the wide reference (those with a letter), and slots in which both are looked up by hash.
 COMMON, WIDE, SLOTS = 24, 400, 512
+#: Lower-case and caseless letters and white space, the characters most texts are made of.
+LETTERS = r"[\p{Ll}\p{Lo}\x20\x09-\x0D]+"
 #: Most languages whose references are sent to every executor (about 20 kB each); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 500
 #: Fewest words of the wide reference that a text must be expected to have to be judged by them.
 LEAST_EXPECTED = 20
-#: Codes of reference words: place among the common ones, the same from here on for those without a letter, and one code for all others.
-UNLETTERED, OTHER = 100, 200
+#: Codes of reference words: a capital for each common one, in small if it has no letter, and one character for all others.
+CAPITALS, OTHER = "ABCDEFGHIJKLMNOPQRSTUVWX", "*"
 #: A word's first letter, found once for each word that has one.
 LETTERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
@@ -32,15 +34,19 @@ def base(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_words", text.words(F.col("text")))
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.transform(
-        F.slice("_words", 1, F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WINDOW)]),
-    )
+
+    def pairs_of(step: int):
+        """Hash of each value and the one ``step`` further: windows twice as long."""
+        return lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(v, i + step)))
+
+    windows = F.transform("_words", lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):  # WINDOW is 8
+        windows = text.let(windows, pairs_of(step))
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_dup_lines": text.let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "_odd": F.regexp_replace(raw, r"[\p{Ll}\p{Lo}\x20\x09-\x0D]+", ""),
+        "_odd": F.regexp_replace(raw, LETTERS, ""),
         "_windows": windows,
     })
 
@@ -57,10 +63,8 @@ def base(docs: DataFrame) -> DataFrame:
     again = text.let(text.let(pairs, repeated), covered)
     df = df.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), again).otherwise(F.lit(0).cast("long")))
 
-    def count(pattern: str) -> Column:
-        return (F.length("_odd") - F.length(F.regexp_replace("_odd", pattern, ""))).cast("long")
-
-    df = df.withColumns({"n_symbols": count(SYMBOLS + "+"), "_upper": count(r"[\p{Lu}\p{Lt}]+"), "_digit": count(r"\p{N}+")}).drop("_windows")
+    found = _odd_counts("_odd")
+    df = df.withColumns({"n_symbols": found["symbol"], "_upper": found["upper"], "_digit": found["digit"]}).drop("_windows")
     rest = F.length("_odd") - F.col("n_symbols") - F.col("_upper") - F.col("_digit")
     histogram = F.array(
         F.col("word_chars") - F.length("_odd"), F.col("_upper"), F.col("_digit"), F.length(raw) - F.col("word_chars"), F.col("n_symbols"), rest
@@ -69,6 +73,12 @@ def base(docs: DataFrame) -> DataFrame:
     return df.withColumns({"_classes": histogram, "base_failed": failed}).drop("_odd", "_upper", "_digit")
 
 
+def _odd_counts(column: str) -> dict[str, Column]:
+    """Symbols, upper-case letters and digits in what is left of a text without ``LETTERS``."""
+    patterns = {"symbol": SYMBOLS + "+", "upper": r"[\p{Lu}\p{Lt}]+", "digit": r"\p{N}+"}
+    return {name: (F.length(column) - F.length(F.regexp_replace(column, p, ""))).cast("long") for name, p in patterns.items()}
+
+
 def slot(w: Column) -> Column:
     return F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
 
@@ -94,19 +104,26 @@ def _references(docs: DataFrame) -> DataFrame:
     for name, rows, most in (("common", counted, COMMON), ("wide", counted.where(lettered), WIDE)):
         rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
         ranked[name] = rows.withColumn("k", rank).where(F.col("k") <= most)
-    top = ranked["common"].select("_lang", "w", "n", F.when(lettered, F.col("k") - 1).otherwise(F.col("k") - 1 + UNLETTERED).alias("code"), F.lit(True).alias("common"))
+    capital = F.substring(F.lit(CAPITALS), F.col("k"), F.lit(1))
+    top = ranked["common"].select("_lang", "w", "n", F.when(lettered, capital).otherwise(F.lower(capital)).alias("code"), F.lit(True).alias("common"))
     wide = ranked["wide"].select("_lang", "w", "n", F.lit(OTHER).alias("code"), F.lit(False).alias("common"))
     entry = F.struct(slot(F.col("w")).alias("s"), "w", F.col("code"))
-    both = top.unionByName(wide).groupBy("_lang", "w").agg(F.min("code").alias("code"), F.max("common").alias("common"), F.max("n").alias("n"), (F.count("*") - F.max("common").cast("int")).alias("wide"))
+    both = top.unionByName(wide).groupBy("_lang", "w").agg(F.max("code").alias("code"), F.max("common").alias("common"), F.max("n").alias("n"), (F.count("*") - F.max("common").cast("int")).alias("wide"))
     sums = both.groupBy(F.col("_lang").alias("_l1")).agg(
-        F.collect_list(entry).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("common"), F.struct((F.col("code") % UNLETTERED).alias("k"), "n")))).alias("common"),
+        F.collect_list(entry).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("common"), F.struct(F.upper("code").alias("k"), "n")))).alias("common"),
         F.sum(F.col("n") * F.col("wide")).alias("_n"),
     )
-    every = counted.groupBy(F.col("_lang").alias("_l2")).agg(F.sum("n").alias("_total"), F.sum(F.when(lettered, F.col("n"))).alias("_all"))
-    classes = base(docs.select("text", "lang")).groupBy("lang").agg(*[F.sum(F.element_at("_classes", i + 1)).alias(name) for i, name in enumerate(CLASSES)])
-    out = classes.select(lang, F.array(*CLASSES).alias("_class_ref"))
-    for other, name in ((sums, "_l1"), (every, "_l2")):
+    # characters of the classes are counted in the distinct words; what is not in a word is white space
+    letters = counted.withColumn("_odd", F.regexp_replace("w", LETTERS, "")).groupBy(F.col("_lang").alias("_l2")).agg(
+        F.sum("n").alias("_total"), F.sum(F.when(lettered, F.col("n"))).alias("_all"), F.sum(F.col("n") * F.length("w")).alias("_chars"),
+        *[F.sum(F.col("n") * c).alias(name) for name, c in (("odd", F.length("_odd")), *_odd_counts("_odd").items())],
+    )
+    out = docs.groupBy(lang).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("_length"))
+    for other, name in ((sums, "_l1"), (letters, "_l2")):
         out = out.join(other, F.col("_lang").eqNullSafe(F.col(name)), "left").drop(name)
+    none = F.lit(0).cast("long")
+    odd, upper, digit, symbol, chars = (F.coalesce(c, none) for c in ("odd", "upper", "digit", "symbol", "_chars"))
+    out = out.withColumn("_class_ref", F.array(chars - odd, upper, digit, F.col("_length") - chars, symbol, odd - upper - digit - symbol).cast("array<double>"))
 
     def by_slot(field: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.transform(F.filter("entries", lambda e: e["s"] == i), lambda e: e[field]))
@@ -154,20 +171,16 @@ def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words
     def code(w: Column) -> Column:
         return F.get(F.get("_slot_codes", slot(w)), F.array_position(F.get("_slot_words", slot(w)), w).cast("int") - 1)
 
-    df = df.withColumn("_known", F.array_compact(F.transform("_words", code)))
-    df = df.withColumn("_own", F.array_remove("_known", OTHER))
-
-    def times(k: int) -> Column:
-        return F.size("_own") - F.size(F.array_remove("_own", k))
-
+    # a character for each known word
+    df = df.withColumn("_known", F.array_join(F.transform("_words", code), ""))
+    df = df.withColumn("_own", F.upper(F.translate("_known", OTHER, "")))
     # a language may have fewer common words than others
-    own = F.slice(F.array(*[times(k) + times(k + UNLETTERED) for k in range(COMMON)]), 1, F.size("_word_ref") - 1)
-    df = df.withColumn("_own", F.when(F.col("_word_ref").isNotNull(), F.concat(own, F.array(F.col("n_words").cast("int") - F.size("_own")))).cast("array<double>"))
+    own = F.slice(F.array(*[F.length("_own") - F.length(F.replace("_own", F.lit(c))) for c in CAPITALS]), 1, F.size("_word_ref") - 1)
+    df = df.withColumn("_own", F.when(F.col("_word_ref").isNotNull(), F.concat(own, F.array(F.col("n_words").cast("int") - F.length("_own")))).cast("array<double>"))
     df = df.withColumns({"class_distance": js_distance(F.col("_classes"), F.col("_class_ref")), "word_distance": js_distance(F.col("_own"), F.col("_word_ref"))})
     odd_classes = (F.length("text") >= min_chars) & (F.col("class_distance") > max_classes)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_words)
-    lettered = F.size(F.filter("_known", lambda x: ~x.between(UNLETTERED, OTHER - 1)))
-    df = df.withColumns({"n_known": lettered.cast("long"), "_expected": F.regexp_count("text", F.lit(LETTERED)) * F.col("_share")})
+    df = df.withColumns({"n_known": F.length(F.translate("_known", CAPITALS.lower(), "")).cast("long"), "_expected": F.regexp_count("text", F.lit(LETTERED)) * F.col("_share")})
     foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("n_known") < least_cover * F.col("_expected"))
     kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)) & ~F.coalesce(foreign, F.lit(False))
     return df.withColumn("kept", kept).drop("_words", "_own", "_known", "_classes", "_class_ref", "_word_ref", "_slot_words", "_slot_codes", "_share", "_expected")
