@@ -212,12 +212,14 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ),
         "nodes",
     )
-    chosen = scanned.select("node", F.xxhash64("node").alias("name"), F.explode("phrases").alias("phrase"))
+    # texts go by a short name here; should two share one, each also gets the other's phrases, which adds candidates and no removals
+    name = F.xxhash64("node").alias("name")
+    chosen = scanned.select(name, F.explode("phrases").alias("phrase"))
     recurring = chosen.groupBy("phrase").agg(F.min("name").alias("source"), F.max("name").alias("other")).where("source <> other")
     recurring = text.stored(recurring.select("phrase", "source"), "recurring")
     shards = recurring.count() // SHARD_PHRASES + 1
-    routes = chosen.join(recurring, "phrase").groupBy("node", F.pmod(F.xxhash64("source"), F.lit(shards)).cast("int").alias("shard"))
-    routes = routes.agg(F.collect_set("phrase").alias("phrases")).join(nodes.select("node", "rep", "n_words"), "node")
+    routes = chosen.join(recurring, "phrase").groupBy("name", F.pmod(F.xxhash64("source"), F.lit(shards)).cast("int").alias("shard"))
+    routes = routes.agg(F.collect_set("phrase").alias("phrases")).join(nodes.select(name, "node", "rep", "n_words"), "name").drop("name")
     routes = text.stored(routes, "routes")
     loads = routes.groupBy("shard").agg((F.floor(F.sum("n_words") / GROUP_WORDS) + 1).cast("int").alias("parts"))
     needed = routes.select("node", F.when(F.col("rep") < _LAST, F.col("rep")).alias("rep")).distinct()
