@@ -32,6 +32,8 @@ DIGIT_BOXES = {
 CALIBRATION_WIDTH = 850.0
 # Side of a tile in pixels, of a tile of cells in cells, and nodes joined along each axis by a level of the tree over the tiles.
 TILE, CELL_TILE, FAN = 256, 32, 4
+# Centres that are compared with each other directly.
+FEW = 16
 # Pixel (r, c) as one number that sorts in reading order; images are less than 2^20 pixels wide.
 _ROW_STRIDE = 1 << 20
 
@@ -264,14 +266,27 @@ def _fold(x: list[int], y: list[int], radius: int, kept: dict[tuple[int, int], l
     side, out = radius + 1, []
     for a, b in zip(x, y):
         cx, cy = a // side, b // side
-        keep = True
-        for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-            if any(abs(a - p) <= radius and abs(b - q) <= radius for p, q in kept.get(cell, ())):
-                keep = False
+        for cell in ((cx, cy), (cx - 1, cy), (cx + 1, cy), (cx, cy - 1), (cx, cy + 1), (cx - 1, cy - 1), (cx + 1, cy - 1), (cx - 1, cy + 1), (cx + 1, cy + 1)):
+            if cell in kept and any(-radius <= a - p <= radius and -radius <= b - q <= radius for p, q in kept[cell]):
+                out.append(False)
                 break
-        if keep:
+        else:
             kept.setdefault((cx, cy), []).append((a, b))
-        out.append(keep)
+            out.append(True)
+    return out
+
+
+def _fold_few(x: list[int], y: list[int], radius: int) -> list[bool]:
+    """``_fold`` of a short list, without cells."""
+    kept, out = [], []
+    for a, b in zip(x, y):
+        for p, q in kept:
+            if -radius <= a - p <= radius and -radius <= b - q <= radius:
+                out.append(False)
+                break
+        else:
+            kept.append((a, b))
+            out.append(True)
     return out
 
 
@@ -294,7 +309,11 @@ def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str]
 
     @F.pandas_udf("array<boolean>")
     def fold(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_fold(a.tolist(), b.tolist(), radius, {}) for a, b in zip(x, y)])
+        (_, xs), (_, ys) = _flat(x), _flat(y)
+        xs, ys = xs.tolist(), ys.tolist()
+        ends = np.cumsum(np.fromiter(map(len, x), np.int64, len(x))).tolist()
+        lines = ((xs[p:q], ys[p:q]) for p, q in zip([0, *ends], ends))
+        return pd.Series([_fold_few(a, b, radius) if len(a) <= FEW else _fold(a, b, radius, {}) for a, b in lines])
 
     if _levels(cells, tile, FAN) == 0:
         rows = first.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
