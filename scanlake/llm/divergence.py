@@ -180,7 +180,10 @@ def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words
     df = df.withColumns({"class_distance": js_distance(F.col("_classes"), F.col("_class_ref")), "word_distance": js_distance(F.col("_own"), F.col("_word_ref"))})
     odd_classes = (F.length("text") >= min_chars) & (F.col("class_distance") > max_classes)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_words)
-    df = df.withColumns({"n_known": F.length(F.translate("_known", CAPITALS.lower(), "")).cast("long"), "_expected": F.regexp_count("text", F.lit(LETTERED)) * F.col("_share")})
+    df = df.withColumn("n_known", F.length(F.translate("_known", CAPITALS.lower(), "")).cast("long"))
+    # words with a letter are counted where the text has too few known words even if not all of its words have one
+    lettered = F.when(F.col("n_known") < least_cover * (F.col("n_words") * F.col("_share")), F.regexp_count("text", F.lit(LETTERED)))
+    df = df.withColumn("_expected", lettered * F.col("_share"))
     foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("n_known") < least_cover * F.col("_expected"))
     kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)) & ~F.coalesce(foreign, F.lit(False))
     return df.withColumn("kept", kept).drop("_words", "_own", "_known", "_classes", "_class_ref", "_word_ref", "_slot_words", "_slot_codes", "_share", "_expected")
