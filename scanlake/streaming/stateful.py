@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +33,26 @@ def _plain(row) -> tuple:
     return tuple(None if v is None or isinstance(v, float) and np.isnan(v) else v.tolist() if hasattr(v, "tolist") else v for v in row)
 
 
+#: Keys of streams with many short keys share a call and a piece of state; a task holds the rows of a bucket.
+BUCKETS = 128
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets).cast("bigint"))
+
+
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Rows as one value that state can hold."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(block).read_pandas()
+
+
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``advance`` in index order, and ends a key that has come to rest.
 
@@ -331,46 +352,63 @@ def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms:
     return rows.groupBy("scan_id", "dir").transformWithStateInPandas(search, f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", mode)
 
 
+def _last(marked: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Place of the newest marked row up to each row inside its group, -1 without one; rows are sorted by group."""
+    place = np.arange(len(marked))
+    start = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[: len(group)], place, 0))
+    at = np.maximum.accumulate(np.where(marked, place, -1))
+    return np.where(at >= start, at, -1)
+
+
+def _grouped(rows: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows sorted by instrument, then ``order``, and the number of each row's instrument."""
+    rows = rows.assign(_group=pd.factorize(rows["instrument_id"], use_na_sentinel=False)[0])
+    rows = rows.sort_values(["_group", *order], kind="stable", ignore_index=True)
+    return rows.drop(columns="_group"), rows["_group"].to_numpy()
+
+
+def _ends(group: np.ndarray) -> np.ndarray:
+    """Whether each row is the last of its group."""
+    return np.append(group[1:] != group[:-1], True)[: len(group)]
+
+
 class SlicePositions(StatefulProcessor):
-    """Matches the captures and readings of one slice of an instrument's time once the watermark has passed the slice.
+    """Matches the captures and readings of some instruments in one slice of time once the watermark has passed the slice.
 
-    Gives captures with the newest reading of the slice before them (kind 0), captures before its first reading (1), and its last reading (2).
+    Gives captures with the newest reading of the slice before them (kind 0), captures before its first reading (1), and the last reading of each instrument (2).
     """
 
-    LINE = "us bigint, late int, capture_id bigint, x bigint, y bigint, z bigint"
-    NAMES = ("us", "late", "capture_id", "x", "y", "z")
-    OUT = "instrument_id {key}, route bigint, kind int, part bigint, us bigint, capture_id bigint, x bigint, y bigint, z bigint, at timestamp"
+    NAMES = ["instrument_id", "us", "late", "capture_id", "x", "y", "z"]
+    OUT = "bucket bigint, instrument_id {key}, route bigint, kind int, part bigint, us bigint, capture_id bigint, x bigint, y bigint, z bigint, at timestamp"
 
     def __init__(self, width_us: int):
         self.width = width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.line = handle.getListState("line", self.LINE)
+        self.line = handle.getListState("line", "block binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            self.line.appendList([_plain(None if pd.isna(v) else int(v) for v in row) for row in chunk[list(self.NAMES)].itertuples(index=False)])
+            self.line.appendValue((_pack(chunk[self.NAMES]),))
         self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        line = pd.DataFrame([tuple(r) for r in self.line.get()], columns=self.NAMES, dtype="Int64").sort_values(["us", "late"], kind="stable", ignore_index=True)
+        line, group = _grouped(pd.concat([_unpack(r[0]) for r in self.line.get()], ignore_index=True), ["us", "late"])
         self.line.clear()
-        # the newest reading up to each row
         reading = (line["late"] == 0).to_numpy(bool)
-        at = np.maximum.accumulate(np.where(reading, np.arange(len(line)), -1))
-        found = line[["x", "y", "z"]].iloc[np.maximum(at, 0)].reset_index(drop=True)
+        at = _last(reading, group)
+        found = line[["x", "y", "z"]].astype("Int64").iloc[np.maximum(at, 0)].reset_index(drop=True)
         found[at < 0] = pd.NA
-        out = pd.concat([line[["us", "capture_id"]], found], axis=1).assign(kind=np.where(at < 0, 1, 0), route=int(key[1]))[~reading]
-        if reading.any():
-            newest = line[reading].tail(1)[["us", "capture_id", "x", "y", "z"]].assign(kind=2, route=-1)
-            out = pd.concat([out, newest]) if len(out) else newest
-        out.loc[out["kind"] == 1, "route"] = -1
+        matched = pd.concat([line[["instrument_id", "us", "capture_id"]], found], axis=1)
+        matched = matched.assign(kind=np.where(at < 0, 1, 0), route=np.where(at < 0, -1, int(key[1])))[~reading]
+        newest = line.iloc[at[_ends(group) & (at >= 0)]].assign(kind=2, route=-1, capture_id=0)
+        out = pd.concat([part for part in (matched, newest) if len(part)], ignore_index=True)
         # what comes out is as old as the watermark, so that the next step does not take it for late
         now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
-        out = out.assign(instrument_id=key[0], part=int(key[1]), at=now)
-        yield out[["instrument_id", "route", "kind", "part", "us", "capture_id", "x", "y", "z", "at"]]
+        out = out.assign(bucket=key[0], part=int(key[1]), at=now).astype({c: "Int64" for c in ("capture_id", "x", "y", "z")})
+        yield out[["bucket", "instrument_id", "route", "kind", "part", "us", "capture_id", "x", "y", "z", "at"]]
 
     def close(self) -> None:
         pass
@@ -379,28 +417,32 @@ class SlicePositions(StatefulProcessor):
 class CarriedPositions(StatefulProcessor):
     """Gives captures before the first reading of their slice the last reading of the slices before.
 
-    Slices arrive in order of time, as their timers run out in that order; the state is one reading. Matched captures have routes of
-    their own and only pass through.
+    Slices arrive in order of time, as their timers run out in that order; the state is one reading of each instrument. Matched captures
+    have routes of their own and only pass through.
     """
 
+    NAMES = ["instrument_id", "x", "y", "z"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "x bigint, y bigint, z bigint")
+        self.last = handle.getValueState("last", "block binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[1] >= 0:
             for chunk in rows:
                 yield self._out(chunk)
             return
-        line = pd.concat(list(rows)).sort_values(["part", "kind", "us"], ignore_index=True)
-        last = tuple(self.last.get()) if self.last.exists() else (None, None, None)
-        ends = line["kind"].to_numpy() == 2
-        before = np.cumsum(ends) - 1  # of the readings in this batch
-        known = [last, *line.loc[ends, ["x", "y", "z"]].itertuples(index=False, name=None)]
-        if ends.any():
-            self.last.update(tuple(int(v) for v in known[-1]))
-        opened = line[~ends].drop(columns=["x", "y", "z"]).reset_index(drop=True)
-        if len(opened):
-            yield self._out(opened.join(pd.DataFrame([known[k + 1] for k in before[~ends]], columns=["x", "y", "z"])))
+        line = pd.concat(list(rows), ignore_index=True)
+        if self.last.exists():
+            before = _unpack(self.last.get()[0]).assign(part=np.iinfo(np.int64).min, kind=2, us=0)
+            line = pd.concat([before, line], ignore_index=True)
+        line, group = _grouped(line, ["part", "kind", "us"])
+        ends = (line["kind"] == 2).to_numpy()
+        at = _last(ends, group)
+        self.last.update((_pack(line[self.NAMES].iloc[at[_ends(group) & (at >= 0)]]),))
+        if not ends.all():
+            found = line[["x", "y", "z"]].astype("Int64").iloc[np.maximum(at, 0)].reset_index(drop=True)
+            found[at < 0] = pd.NA
+            yield self._out(pd.concat([line[["capture_id", "instrument_id"]], found], axis=1)[~ends])
 
     @staticmethod
     def _out(rows: pd.DataFrame) -> pd.DataFrame:
@@ -410,22 +452,23 @@ class CarriedPositions(StatefulProcessor):
         pass
 
 
-def stream_latest_position(captures: DataFrame, readings: DataFrame, delay: str = WATERMARK, slice_seconds: int = 3600) -> DataFrame:
+def stream_latest_position(captures: DataFrame, readings: DataFrame, delay: str = WATERMARK, slice_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """Each capture with the newest reading of its instrument at or before its time, once the watermark has passed its slice.
 
     Captures: capture_id, instrument_id, ts. Readings: instrument_id, ts, x, y, z. Times are zoned; the watermark is set here,
-    on both streams together. Two stateful steps: the first is keyed by (instrument, slice of ``slice_seconds``), so a busy instrument
-    spreads over its slices and each row is read back once; the second carries the last readings from slice to slice. A capture comes out
-    once the watermark has passed the end of its slice: narrower slices answer sooner, and give the second step more to carry.
+    on both streams together. Two stateful steps: the first is keyed by (bucket of instruments, slice of ``slice_seconds``), so a busy
+    instrument spreads over its slices, instruments with few rows share a call, and each row is read back once; the second carries the
+    last readings from slice to slice. A task holds the rows of a bucket in a slice. A capture comes out once the watermark has passed the
+    end of its slice: narrower slices answer sooner, and give the second step more to carry.
     """
-    none = F.lit(None).cast("bigint")
+    none = F.lit(0).cast("bigint")  # not null: pandas would make the numbers of the other side floating
     key = captures.schema["instrument_id"].dataType.simpleString()
-    left = captures.select("instrument_id", "ts", F.lit(1).alias("late"), "capture_id", none.alias("x"), none.alias("y"), none.alias("z"))
+    left = captures.select("instrument_id", "ts", F.lit(1).alias("late"), F.col("capture_id").cast("bigint").alias("capture_id"), none.alias("x"), none.alias("y"), none.alias("z"))
     right = readings.select("instrument_id", "ts", F.lit(0).alias("late"), none.alias("capture_id"), "x", "y", "z")
     width = slice_seconds * 1_000_000
     line = left.unionByName(right).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn("part", F.floor(F.col("us") / width).cast("long"))
-    matched = line.groupBy("instrument_id", "part").transformWithStateInPandas(
+    matched = line.withColumn("bucket", _bucket(["instrument_id"], buckets)).groupBy("bucket", "part").transformWithStateInPandas(
         SlicePositions(width), SlicePositions.OUT.format(key=key), "append", "EventTime", eventTimeColumnName="at"
     )
     out = f"capture_id bigint, instrument_id {key}, x bigint, y bigint, z bigint"
-    return matched.groupBy("instrument_id", "route").transformWithStateInPandas(CarriedPositions(), out, "append", "EventTime")
+    return matched.groupBy("bucket", "route").transformWithStateInPandas(CarriedPositions(), out, "append", "EventTime")

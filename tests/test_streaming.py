@@ -231,3 +231,45 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = windows.with_event_time(feed(spark, df, str(tmp_path / "in"), (0, 1, 2)))
     out = windows.run_available(windows.stream_frame_rate(stream), "update", ["instrument_id", "window_start"])
     assert sorted(r["window_start"] for r in out.collect()) == [1000, 1001, 1002]
+
+
+class Listed(Held):
+    """A list state."""
+
+    def get(self):
+        return iter(super().get() or [])
+
+    def appendValue(self, value):
+        self.update([*(self.value or []), value])
+
+
+def test_instruments_of_a_bucket_share_calls_and_state():
+    rnd, costs = random.Random(5), []
+    for instruments in (3, 400):
+        handle = Handle()
+        handle.getListState = lambda *_: Listed()
+        matching, carrying = stateful.SlicePositions(100), stateful.CarriedPositions()
+        matching.init(handle)
+        carrying.init(handle)
+        Held.used, got, want = 0, [], []
+        for part in range(4):
+            rows, taken = [], rnd.sample(range(100), 9)
+            for k in range(instruments):
+                for us in sorted(rnd.sample(taken, rnd.randrange(6))):
+                    late = rnd.randrange(2)
+                    n = part * 100 + us
+                    rows.append((k, n, late, n if late else 0, 0 if late else n, 0 if late else n, 0 if late else n))
+            rows = pd.DataFrame(rows, columns=matching.NAMES)
+            want += [(r.capture_id, r.instrument_id) for r in rows.itertuples() if r.late]
+            list(matching.handleInputRows((7, part), iter([rows[::2], rows[1::2]]), Watermark(0)))
+            out = pd.concat(matching.handleExpiredTimer((7, part), Watermark(1000), None))
+            for route, some in out.groupby("route"):
+                got += [r for done in carrying.handleInputRows((7, route), iter([some]), Watermark(1000)) for r in done.itertuples(index=False)]
+            got_reads = rows[rows["late"] == 0]
+            reads = got_reads if part == 0 else pd.concat([reads, got_reads])
+        costs.append(Held.used)
+        assert sorted((r.capture_id, r.instrument_id) for r in got) == sorted(want)
+        for r in got[:300]:
+            before = reads[(reads["instrument_id"] == r.instrument_id) & (reads["us"] <= r.capture_id)]["x"]
+            assert (None if pd.isna(r.x) else r.x) == (before.max() if len(before) else None)
+    assert costs[0] == costs[1]
