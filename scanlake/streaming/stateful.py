@@ -7,6 +7,7 @@ source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,7 +175,125 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _timed(processor: InOrder, stream: DataFrame, columns: list, rest_ms: int) -> tuple[DataFrame, str]:
+class KeysInOrder(StatefulProcessor):
+    """``InOrder`` for many short keys: those of a bucket share calls and state, and ``advance`` gets numpy columns.
+
+    Memories of the keys are one value; rows that came too early wait in packed blocks, which are read only when one of them is due.
+    """
+
+    keys, index, columns = (), "i", ()
+    out = ()
+    timed = False
+    rest_ms = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getValueState("members", "held binary")  # key to its memory, newest time, smallest index that waits and its time
+        self.waiting = handle.getListState("waiting", "block binary")
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def advance(self, key: tuple, run: dict[str, np.ndarray], memory: tuple) -> tuple[tuple | None, tuple]:
+        """A row to give, if there is one, and the new memory; its first value is set to the next index due."""
+        raise NotImplementedError
+
+    def finish(self, key: tuple, memory: tuple) -> tuple | None:
+        """Last row of a key at rest, if it has one to give."""
+        return None
+
+    def table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=list(self.out))
+
+    def _load(self) -> dict:
+        return pickle.loads(self.members.get()[0]) if self.members.exists() else {}
+
+    def _store(self, members: dict) -> None:
+        if not members:
+            self.members.clear()
+            return
+        self.members.update((pickle.dumps(members),))
+        if self.timed:
+            self.handle.registerTimer(min(newest for _, newest, _, _ in members.values()) // 1000 + self.rest_ms + 1)
+
+    def _take(self) -> list[pd.DataFrame]:
+        held = [_unpack(r[0]) for r in self.waiting.get()]
+        self.waiting.clear()
+        return held
+
+    def _groups(self, rows: pd.DataFrame) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+        """Each key with its rows in index order; of rows that come again the first."""
+        group = rows.groupby(list(self.keys), sort=False, dropna=False).ngroup().to_numpy()
+        place = rows[self.index].to_numpy()
+        order = np.lexsort((np.arange(len(rows)), place, group))
+        group, place = group[order], place[order]
+        fresh = np.append(True, (group[1:] != group[:-1]) | (place[1:] != place[:-1]))
+        order, group = order[fresh], group[fresh]
+        values = {c: rows[c].to_numpy()[order] for c in self.columns}
+        bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        names = rows[list(self.keys)].iloc[order[bounds]].itertuples(index=False, name=None)
+        for name, low, high in zip(names, bounds, [*bounds[1:], len(group)]):
+            yield _plain(name), {c: v[low:high] for c, v in values.items()}
+
+    def _advance(self, members: dict, rows: pd.DataFrame, passed_us: int | None, out: list[tuple]) -> None:
+        """Advance over the rows that are due, past gaps whose next row the watermark has passed; the others wait."""
+        early = []
+        for key, run in self._groups(rows):
+            memory, newest, low, low_us = members.get(key) or (self.start(), None, None, None)
+            if len(run["us"]):
+                newest = int(run["us"].max()) if newest is None else max(newest, int(run["us"].max()))
+            ahead = run[self.index] >= memory[0]
+            run = run if ahead.all() else {c: v[ahead] for c, v in run.items()}
+            place = run[self.index]
+            due = place == np.append(memory[0], place[:-1] + 1)[: len(place)]
+            if passed_us is not None:
+                due |= run["us"] <= passed_us
+            n = len(place) if due.all() else int(due.argmin())
+            if n:
+                row, memory = self.advance(key, {c: v[:n] for c, v in run.items()}, memory)
+                memory = (int(place[n - 1]) + 1, *memory[1:])
+                if row is not None:
+                    out.append(row)
+            if n < len(place):
+                if low is None or place[n] < low:
+                    low, low_us = int(place[n]), int(run["us"][n])
+                early.append(pd.DataFrame({**dict(zip(self.keys, key)), **{c: v[n:] for c, v in run.items()}}))
+            members[key] = (memory, newest, low, low_us)
+        if early:
+            self.waiting.appendValue((_pack(pd.concat(early, ignore_index=True)),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        members, out = self._load(), []
+        new = pd.concat([chunk[[*self.keys, *self.columns]] for chunk in rows], ignore_index=True)
+        if any(low is not None for _, _, low, _ in members.values()):
+            if any(members[k][2] is not None and members[k][0][0] in run[self.index] for k, run in self._groups(new) if k in members):
+                members = {k: (memory, newest, None, None) for k, (memory, newest, _, _) in members.items()}
+                new = pd.concat([*self._take(), new], ignore_index=True)  # what waits goes before a row that comes again
+        self._advance(members, new, None, out)
+        self._store(members)
+        if out:
+            yield self.table(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        members, passed, out = self._load(), timerValues.getCurrentWatermarkInMs(), []
+        if any(low is not None and low_us <= passed * 1000 for _, _, low, low_us in members.values()):
+            members = {k: (memory, newest, None, None) for k, (memory, newest, _, _) in members.items()}
+            self._advance(members, pd.concat(self._take(), ignore_index=True), passed * 1000, out)
+        for name, (memory, newest, low, _) in list(members.items()):
+            if low is None and newest // 1000 + self.rest_ms < passed:
+                last = self.finish(name, memory)
+                del members[name]
+                if last is not None:
+                    out.append(last)
+        self._store(members)
+        if out:
+            yield self.table(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(processor: InOrder | KeysInOrder, stream: DataFrame, columns: list, rest_ms: int) -> tuple[DataFrame, str]:
     """The columns of a stream with its event time ``ts`` (watermarked by the caller) if it has one, and the time mode."""
     if "ts" not in stream.columns:
         return stream.select(*columns, F.lit(0).cast("long").alias("us")), "none"
@@ -219,11 +338,14 @@ def stream_temporal_average(stream: DataFrame, n: int, rest_ms: int = REST_MS) -
     return rows.groupBy("camera", "tile").transformWithStateInPandas(search, out, "append", mode)
 
 
-class PeakSearch(InOrder):
-    """The search of ``sweeps.find_peak_crossing``, which see; steps without a metric are passed over and not counted."""
+class PeakSearch(KeysInOrder):
+    """The search of ``sweeps.find_peak_crossing``, which see; steps without a metric are passed over and not counted.
+
+    Memory: index due, steps counted, the first and the last metrics, whether it rose, noise floor, whether it was reported, last z.
+    """
 
-    columns = "i bigint, us bigint, z_mm double, metric double"
-    memory = "due bigint, n bigint, head array<double>, recent array<double>, up boolean, floor double, done boolean, last_z double"
+    keys, columns = ("sweep_id",), ("i", "us", "z_mm", "metric")
+    out = ("sweep_id", "peak_kind", "peak_i", "peak_z")
 
     def __init__(self, trend_n: int):
         self.first = max(4, trend_n)
@@ -250,22 +372,23 @@ class PeakSearch(InOrder):
 
     def advance(self, key, run, memory):
         due, n, head, recent, up, floor, done, last_z = memory
-        run = run[run["metric"].notna()]
-        if not len(run):
+        value, z = run["metric"].astype(float), run["z_mm"].astype(float)
+        if np.isnan(value).any():
+            value, z = value[~np.isnan(value)], z[~np.isnan(value)]
+        if not len(value):
             return None, memory
-        head, recent = list(head), list(recent)
-        value, z = run["metric"].to_numpy(float), run["z_mm"].to_numpy(float)
-        count = n + np.arange(len(run))
+        head, recent, size = list(head), list(recent), len(value)
+        count = n + np.arange(size)
         whole = np.concatenate((recent, value))
         span = np.minimum(self.half, count)
-        at = len(recent) + np.arange(len(run))
+        at = len(recent) + np.arange(size)
         delta = value - whole[np.maximum(at - 1, 0)]
-        smoothed = np.divide(value - whole[at - span], span, out=np.zeros(len(run)), where=span > 0)
+        smoothed = np.divide(value - whole[at - span], span, out=np.zeros(size), where=span > 0)
         early, found = count <= self.first, None
         head += value[early].tolist()
         if not done and early.any():
             found, up = self.crossing(smoothed[early] > 0, smoothed[early] < 0, up)
-        if n <= self.first < n + len(run):
+        if n <= self.first < n + size:
             floor, up = self.after_head(head, up, done or found is not None)
         if not done and found is None and not early.all():
             late = ~early
@@ -275,11 +398,14 @@ class PeakSearch(InOrder):
         out = None
         if found is not None:
             done, out = True, self.row(key, "crossing", int(count[found]), z[found])
-        return out, (due, n + len(run), head, whole[-self.half:].tolist(), bool(up), floor, bool(done), float(z[-1]))
+        return out, (due, n + size, head, whole[-self.half:].tolist(), bool(up), floor, bool(done), float(z[-1]))
 
     @staticmethod
     def row(key, kind, i, z):
-        return pd.DataFrame({"sweep_id": [key[0]], "peak_kind": [kind], "peak_i": pd.array([i], "Int64"), "peak_z": [z]})
+        return key[0], kind, i, z
+
+    def table(self, rows):
+        return super().table(rows).astype({"peak_i": "Int64", "peak_z": float})
 
     def finish(self, key, memory):
         _, n, head, _, up, _, done, last_z = memory
@@ -290,7 +416,7 @@ class PeakSearch(InOrder):
         return self.row(key, "boundary", n - 1, last_z) if up else self.row(key, "none", None, None)
 
 
-def stream_peak(stream: DataFrame, trend_n: int = 10, rest_ms: int = REST_MS) -> DataFrame:
+def stream_peak(stream: DataFrame, trend_n: int = 10, rest_ms: int = REST_MS, buckets: int = BUCKETS) -> DataFrame:
     """Reports how a sweep ends (sweep_id, peak_kind, peak_i, peak_z): a ``crossing`` when its step arrives.
 
     With an event time ``ts`` gaps are passed over, and ``boundary`` or ``none`` follows once the sweep has been at rest for ``rest_ms``.
@@ -298,14 +424,17 @@ def stream_peak(stream: DataFrame, trend_n: int = 10, rest_ms: int = REST_MS) ->
     key = stream.schema["sweep_id"].dataType.simpleString()
     search = PeakSearch(trend_n)
     rows, mode = _timed(search, stream, ["sweep_id", F.col("i").cast("long").alias("i"), "z_mm", "metric"], rest_ms)
-    return rows.groupBy("sweep_id").transformWithStateInPandas(search, f"sweep_id {key}, peak_kind string, peak_i bigint, peak_z double", "append", mode)
+    return rows.withColumn("bucket", _bucket(["sweep_id"], buckets)).groupBy("bucket").transformWithStateInPandas(search, f"sweep_id {key}, peak_kind string, peak_i bigint, peak_z double", "append", mode)
+
 
+class EdgeSearch(KeysInOrder):
+    """The search of ``edges.find_edge`` below half of the first intensity, which see.
 
-class EdgeSearch(InOrder):
-    """The search of ``edges.find_edge`` below half of the first intensity, which see."""
+    Memory: index due, steps counted, threshold, dark steps at the end, whether it was reported, last position.
+    """
 
-    columns = "i bigint, us bigint, step_mm double, pos_mm double, intensity double"
-    memory = "due bigint, n bigint, threshold double, dark bigint, done boolean, last_pos double"
+    keys, columns = ("scan_id", "dir"), ("i", "us", "step_mm", "pos_mm", "intensity")
+    out = ("scan_id", "dir", "edge_mm", "edge_kind")
 
     def __init__(self, k: int):
         self.k = k
@@ -315,23 +444,26 @@ class EdgeSearch(InOrder):
 
     def advance(self, key, run, memory):
         due, n, threshold, dark, done, _ = memory
-        value, pos = run["intensity"].to_numpy(float), run["pos_mm"].to_numpy(float)
+        value, pos = run["intensity"].astype(float), run["pos_mm"].astype(float)
         if n == 0:
             threshold = max(10.0, 0.5 * float(value[0]))
         below = value < threshold
-        place = np.arange(1, len(run) + 1)
+        place = np.arange(1, len(value) + 1)
         lit = np.maximum.accumulate(np.where(below, 0, place))  # last place that is not dark
         length = np.where(lit > 0, place - lit, place + dark)
         hit = np.flatnonzero(below & (length >= self.k))
         out = None
         if not done and len(hit):
             done = True
-            out = self.row(key, pos[hit[0]] - (self.k - 1) * run["step_mm"].to_numpy(float)[hit[0]], "crossed")
-        return out, (due, n + len(run), float(threshold), int(length[-1]) if below[-1] else 0, bool(done), float(pos[-1]))
+            out = self.row(key, pos[hit[0]] - (self.k - 1) * float(run["step_mm"][hit[0]]), "crossed")
+        return out, (due, n + len(value), float(threshold), int(length[-1]) if below[-1] else 0, bool(done), float(pos[-1]))
 
     @staticmethod
     def row(key, edge, kind):
-        return pd.DataFrame({"scan_id": [key[0]], "dir": [key[1]], "edge_mm": [edge], "edge_kind": [kind]})
+        return *key, edge, kind
+
+    def table(self, rows):
+        return super().table(rows).astype({"edge_mm": float})
 
     def finish(self, key, memory):
         _, n, _, _, done, last_pos = memory
@@ -340,7 +472,7 @@ class EdgeSearch(InOrder):
         return self.row(key, last_pos, "limit") if n > edges.LIMIT_STEPS else self.row(key, None, "none")
 
 
-def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms: int = REST_MS) -> DataFrame:
+def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms: int = REST_MS, buckets: int = BUCKETS) -> DataFrame:
     """Reports a trace's edge (scan_id, dir, edge_mm, edge_kind): ``crossed`` when the ``k``-th dark step in a row arrives.
 
     With an event time ``ts`` gaps are passed over, and ``limit`` or ``none`` follows once the trace has been at rest for ``rest_ms``.
@@ -349,7 +481,7 @@ def stream_edge(stream: DataFrame, k: int = 3, cap: int | None = None, rest_ms:
     search = EdgeSearch(k)
     stream = stream if cap is None else stream.where(F.col("i") < cap)
     rows, mode = _timed(search, stream, ["scan_id", "dir", F.col("i").cast("long").alias("i"), "step_mm", "pos_mm", "intensity"], rest_ms)
-    return rows.groupBy("scan_id", "dir").transformWithStateInPandas(search, f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", mode)
+    return rows.withColumn("bucket", _bucket(["scan_id", "dir"], buckets)).groupBy("bucket").transformWithStateInPandas(search, f"scan_id {key}, dir string, edge_mm double, edge_kind string", "append", mode)
 
 
 def _last(marked: np.ndarray, group: np.ndarray) -> np.ndarray:

@@ -273,3 +273,65 @@ def test_instruments_of_a_bucket_share_calls_and_state():
             before = reads[(reads["instrument_id"] == r.instrument_id) & (reads["us"] <= r.capture_id)]["x"]
             assert (None if pd.isna(r.x) else r.x) == (before.max() if len(before) else None)
     assert costs[0] == costs[1]
+
+
+class Seen(stateful.KeysInOrder):
+    """Gives the rows of each advance."""
+
+    keys, columns, out = ("k",), ("i", "us"), ("k", "seen")
+
+    def start(self):
+        return (0,)
+
+    def advance(self, key, run, memory):
+        return (key[0], run["i"].tolist()), memory
+
+    def finish(self, key, memory):
+        return key[0], ["end"]
+
+
+def keyed(search):
+    handle = Handle()
+    handle.getListState = lambda *_: Listed()
+    search.timed, search.rest_ms = True, 5
+    search.init(handle)
+    return handle
+
+
+def test_keys_of_a_bucket_wait_go_on_and_end_each_on_their_own():
+    search, rnd = Seen(), random.Random(8)
+    handle, seen = keyed(search), {}
+
+    def gather(frames):
+        for frame in frames:
+            for k, some in frame.itertuples(index=False):
+                seen.setdefault(k, []).extend(some)
+
+    places = {k: [i for i in range(40) if i % 7 != k] for k in range(6)}  # key k loses every seventh row, from row k on
+    feed_rows = [(k, i, i * 1000) for k, line in places.items() for i in line]
+    rnd.shuffle(feed_rows)
+    for part in range(4):
+        rows = pd.DataFrame(feed_rows[part::4] + feed_rows[:3], columns=["k", "i", "us"])  # some come again
+        gather(search.handleInputRows((0,), iter([rows[:20], rows[20:]]), Watermark(0)))
+    assert seen[5] == [0, 1, 2, 3, 4] and 0 not in seen
+    gather(search.handleExpiredTimer((0,), Watermark(20), None))  # rows up to 20 have been passed
+    assert seen[5] == [i for i in places[5] if i <= 25] and seen[0] == [i for i in places[0] if i < 21]
+    gather(search.handleExpiredTimer((0,), Watermark(45), None))
+    assert seen == {k: [*line, "end"] for k, line in places.items()}
+    assert not search.members.exists() and not search.waiting.exists() and max(handle.timers) == 38 + 5 + 1  # of the key that ends first
+
+
+def test_sweeps_of_a_bucket_share_calls_and_state():
+    costs = []
+    for sweeps_ in (3, 300):
+        search = stateful.PeakSearch(10)
+        keyed(search)
+        Held.used = 0
+        for part in range(2):
+            rows = [(k, i, i * 1000, i * 0.1, float(i if k % 3 else -i)) for k in range(sweeps_) for i in range(part * 20, part * 20 + 20) if i != 25]
+            assert not list(search.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["sweep_id", "i", "us", "z_mm", "metric"])]), Watermark(0)))
+        out = pd.concat(search.handleExpiredTimer((0,), Watermark(100), None))
+        costs.append(Held.used)
+        assert out["peak_kind"].value_counts().to_dict() == {"boundary": sweeps_ - len(range(0, sweeps_, 3)), "none": len(range(0, sweeps_, 3))}
+        assert set(out["peak_i"].dropna()) == {38}
+    assert costs[0] == costs[1]
