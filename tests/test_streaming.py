@@ -335,3 +335,20 @@ def test_sweeps_of_a_bucket_share_calls_and_state():
         assert out["peak_kind"].value_counts().to_dict() == {"boundary": sweeps_ - len(range(0, sweeps_, 3)), "none": len(range(0, sweeps_, 3))}
         assert set(out["peak_i"].dropna()) == {38}
     assert costs[0] == costs[1]
+
+
+def test_traces_of_a_bucket_share_calls_and_state():
+    costs = []
+    for scans in (3, 300):
+        search = stateful.EdgeSearch(2)
+        keyed(search)
+        Held.used = 0
+        out = []
+        for part in range(2):
+            rows = [(k, d, i, i * 1000, 0.1, i * 0.1, 10.0 if d == "up" and i > 22 else 90.0) for k in range(scans) for d in ("up", "down") for i in range(part * 20, part * 20 + 20)]
+            out += search.handleInputRows((0,), iter([pd.DataFrame(rows, columns=[*search.keys, *search.columns])]), Watermark(0))
+        out += search.handleExpiredTimer((0,), Watermark(100), None)
+        costs.append(Held.used)
+        got = {(r.scan_id, r.dir): (None if pd.isna(r.edge_mm) else round(r.edge_mm, 6), r.edge_kind) for r in pd.concat(out).itertuples()}
+        assert got == {(k, d): (2.3, "crossed") if d == "up" else (None, "none") for k in range(scans) for d in ("up", "down")}
+    assert costs[0] == costs[1]
