@@ -8,6 +8,7 @@ source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +78,7 @@ class InOrder(StatefulProcessor):
         self.lowest = handle.getValueState("lowest", "place bigint")  # smallest index that waits
         self.newest = handle.getValueState("newest", "us bigint")
         self.names = [part.split()[0] for part in self.columns.split(", ")]
+        self.line: deque[int] | None = None  # indices that wait, in order, once this call has asked for them
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -98,23 +100,23 @@ class InOrder(StatefulProcessor):
         """Advance over the waiting rows that have become due."""
         if not self.lowest.exists() or self.lowest.get()[0] != memory[0]:
             return memory
-        while True:
+        if self.line is None:  # once a call, however many gaps there are
+            self.line = deque(sorted(k[0] for k in self.waiting.keys()))
+        while self.line and self.line[0] == memory[0]:
             run = []
-            while len(run) < RUN and self.waiting.containsKey((memory[0] + len(run),)):
-                place = (memory[0] + len(run),)
+            while len(run) < RUN and self.line and self.line[0] == memory[0] + len(run):
+                place = (self.line.popleft(),)
                 run.append(tuple(self.waiting.getValue(place)))
                 self.waiting.removeKey(place)
-            if not run:
-                break
             memory = self._advance(key, pd.DataFrame(run, columns=self.names), memory, out)
-        left = min((k[0] for k in self.waiting.keys()), default=None)  # behind another gap
-        if left is None:
-            self.lowest.clear()
+        if self.line:  # behind another gap
+            self.lowest.update((self.line[0],))
         else:
-            self.lowest.update((left,))
+            self.lowest.clear()
         return memory
 
     def _wait(self, rows: pd.DataFrame) -> None:
+        self.line = None
         for row in rows.itertuples(index=False):
             values = _plain(row)
             self.waiting.updateValue((values[self.names.index(self.index)],), values)
@@ -123,7 +125,7 @@ class InOrder(StatefulProcessor):
             self.lowest.update((low,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        memory, out = tuple(self.state.get()) if self.state.exists() else self.start(), []
+        memory, out, self.line = tuple(self.state.get()) if self.state.exists() else self.start(), [], None
         for chunk in rows:
             chunk = chunk[self.names].drop_duplicates(self.index).sort_values(self.index, ignore_index=True)
             if self.timed:
@@ -155,13 +157,14 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        passed, memory, out = timerValues.getCurrentWatermarkInMs(), tuple(self.state.get()), []
+        passed, memory, out, self.line = timerValues.getCurrentWatermarkInMs(), tuple(self.state.get()), [], None
         while self.lowest.exists():
             place = self.lowest.get()
             if dict(zip(self.names, self.waiting.getValue(place)))["us"] > passed * 1000:
                 break
             memory = self._release(key, (place[0], *memory[1:]), out)
-        yield from out
+        if out:
+            yield pd.concat(out, ignore_index=True)
         self.state.update(memory)
         if self.lowest.exists() or self.newest.get()[0] // 1000 + self.rest_ms >= passed:
             return

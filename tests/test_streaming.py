@@ -352,3 +352,19 @@ def test_traces_of_a_bucket_share_calls_and_state():
         got = {(r.scan_id, r.dir): (None if pd.isna(r.edge_mm) else round(r.edge_mm, 6), r.edge_kind) for r in pd.concat(out).itertuples()}
         assert got == {(k, d): (2.3, "crossed") if d == "up" else (None, "none") for k in range(scans) for d in ("up", "down")}
     assert costs[0] == costs[1]
+
+
+def test_gaps_are_passed_without_asking_for_all_that_waits_again():
+    costs = []
+    for gap in (1000, 5):  # frames between two lost ones
+        search = stateful.TemporalAverage(2)
+        search.timed, search.rest_ms = True, 1000
+        search.init(Handle())
+        n = [i for i in range(1, 2001) if i % gap != 3]
+        rows = pd.DataFrame({"n": n, "us": [i * 1000 for i in n], "v": [[float(i)] for i in n]})
+        assert not list(search.handleInputRows(("cam", 0), iter([rows]), Watermark(0)))
+        Held.used = 0
+        out = pd.concat(search.handleExpiredTimer(("cam", 0), Watermark(20_000), None))
+        assert out["n"].tolist() == n and not search.waiting.exists()
+        costs.append(Held.used)
+    assert costs[1] < 2 * costs[0]
