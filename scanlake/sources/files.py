@@ -150,27 +150,24 @@ def parse_intensity(lines: DataFrame, line: str = "value") -> DataFrame:
     ``rest`` has the values after the last whole triple. A line whose first field is no number is ``malformed`` and keeps its text in
     ``line``; only header lines are left out.
     """
-    parts = F.split(line, ",")
     names = ("time", "stage_x", "stage_y", "stage_z", "mean_intensity", "centre_intensity")
-    head = [F.get(parts, F.lit(k)).try_cast("double").alias(name) for k, name in enumerate(names)]
-    rest = F.when(F.size(parts) > 6, F.slice(parts, F.lit(7), F.size(parts))).otherwise(F.array().cast("array<string>"))
-    head_time = F.get(parts, F.lit(0)).try_cast("double")
-    values = F.transform(rest, lambda v: v.try_cast("int"))
-    count = F.floor(F.size(values) / 3).cast("int")
+    rest_columns = [c for c in lines.columns if c != line]
+    # columns of their own: as expressions the split and the numbers would be made again for each value of a line
+    rows = lines.where(~F.col(line).startswith("time,stage_x,")).withColumn("_parts", F.split(line, ","))
+    rest = F.when(F.size("_parts") > 6, F.slice("_parts", F.lit(7), F.size("_parts"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_rest", rest).withColumn("_values", F.transform("_rest", lambda v: v.try_cast("int")))
+    head = [F.get("_parts", F.lit(k)).try_cast("double").alias(name) for k, name in enumerate(names)]
+    count = F.floor(F.size("_values") / 3).cast("int")
     pixels = F.when(
         count > 0,
         F.transform(
             F.sequence(F.lit(0), count - 1),
-            lambda k: F.struct(F.get(values, k * 3).alias("b"), F.get(values, k * 3 + 1).alias("g"), F.get(values, k * 3 + 2).alias("r")),
+            lambda k: F.struct(*[F.get("_values", k * 3 + j).alias(c) for j, c in enumerate("bgr")]),
         ),
     ).otherwise(F.array().cast("array<struct<b:int,g:int,r:int>>"))
-    rest_columns = [c for c in lines.columns if c != line]
-    rest = F.transform(F.slice(rest, count * 3 + 1, F.greatest(F.size(rest) - count * 3, F.lit(0))), lambda v: v)
-    bad = head_time.isNull()
-    out = lines.where(~F.col(line).startswith("time,stage_x,")).select(
-        *rest_columns, *head, pixels.alias("pixels"), rest.alias("rest"), bad.alias("malformed"), F.when(bad, F.col(line)).alias("line")
-    )
-    return out
+    left = F.slice("_rest", count * 3 + 1, F.greatest(F.size("_rest") - count * 3, F.lit(0)))
+    bad = F.get("_parts", F.lit(0)).try_cast("double").isNull()
+    return rows.select(*rest_columns, *head, pixels.alias("pixels"), left.alias("rest"), bad.alias("malformed"), F.when(bad, F.col(line)).alias("line"))
 
 
 def read_intensity_csv(spark: SparkSession, path: str) -> DataFrame:

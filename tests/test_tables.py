@@ -177,3 +177,12 @@ def test_map_points_status(spark):
 def test_shared_folder_comes_from_the_session(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert session.shared_path(spark, "x").startswith(root) and session.shared_path(spark, "x") != session.shared_path(spark, "x")
+
+
+def test_an_intensity_line_is_split_once(spark):
+    lines = spark.createDataFrame([("1,2,3,4,5,6,7,8,9,10,11,12,13",)], "value string")
+    out = files.parse_intensity(lines)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("transform(") == 2  # the numbers, and the triples that name them
+    row = out.first()
+    assert [tuple(p) for p in row["pixels"]] == [(7, 8, 9), (10, 11, 12)] and row["rest"] == ["13"]
