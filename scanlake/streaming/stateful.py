@@ -538,7 +538,7 @@ class SlicePositions(StatefulProcessor):
         found[at < 0] = pd.NA
         matched = pd.concat([line[["instrument_id", "us", "capture_id"]], found], axis=1)
         matched = matched.assign(kind=np.where(at < 0, 1, 0), route=np.where(at < 0, -1, int(key[1])))[~reading]
-        newest = line.iloc[at[_ends(group) & (at >= 0)]].assign(kind=2, route=-1, capture_id=0)
+        newest = line.iloc[at[_ends(group) & (at >= 0)]].astype({c: "Int64" for c in "xyz"}).assign(kind=2, route=-1, capture_id=0)
         out = pd.concat([part for part in (matched, newest) if len(part)], ignore_index=True)
         # what comes out is as old as the watermark, so that the next step does not take it for late
         now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
