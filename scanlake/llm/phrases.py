@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.llm import text
@@ -228,9 +228,10 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = groups.join(texts, "node").select("shard", "part", "parts", "node", "rep", "phrases", "text")
 
     split = groups.where("parts > 1").drop("parts").groupBy("shard", "part").applyInPandas(distinct_windows, "shard int, part int, a long, b long, first long")
-    split = text.stored(split, "windows")
-    least = split.groupBy("shard", "a", "b").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    others = split.join(least, ["shard", "a", "b"]).where("first > least").select("shard", "part", "a", "b", F.col("least").alias("first"))
+    # a part has a window once: of equal ones there are at most as many as the shard has parts; all move once and only the later ones are stored
+    least = F.min("first").over(Window.partitionBy("shard", "a", "b"))
+    later = split.withColumn("least", least).where("first > least").select("shard", "part", "a", "b", F.col("least").alias("first"))
+    others = text.stored(later, "windows")
     found = groups.drop("parts").groupBy("shard", "part").cogroup(others.groupBy("shard", "part")).applyInPandas(judge, "node binary, ranges array<array<int>>")
     found = text.stored(found, "ranges").groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     return scanned, nodes, kept_texts(texts.join(found, "node").select("node", "text", "ranges"))

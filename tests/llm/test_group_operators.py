@@ -116,6 +116,20 @@ def test_repeats(spark, odd, odd_rows, monkeypatch, shard, group):
     assert got == want
 
 
+def test_only_windows_found_earlier_are_stored(spark, monkeypatch):
+    """Of the windows of a split shard those go to the disk that another part has earlier: each is moved once to find them."""
+    monkeypatch.setattr(phrases, "GROUP_WORDS", 400)
+    kept, stored = {}, phrases.text.stored
+    monkeypatch.setattr(phrases.text, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([*(f"q{d}_{i}" for i in range(40)), *passage])) for d in range(30)]
+    with phrases.text.scratch():
+        _, _, cuts = phrases._find(spark.createDataFrame(rows, "doc_id long, text string"))
+        windows = [(r["part"], r["a"], r["b"], r["first"]) for r in kept["windows"].collect()]
+        assert cuts.count() == 29
+    assert windows and {w[3] for w in windows} == {0} and len(windows) == 11 * len({w[0] for w in windows})
+
+
 def test_repeats_stage(spark, odd, odd_rows, nothing):
     out = phrases.phrases_stage(odd)
     assert out.schema == odd.schema and out.count() == len(odd_rows)
