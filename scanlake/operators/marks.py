@@ -290,22 +290,19 @@ def _fold_few(x: list[int], y: list[int], radius: int) -> list[bool]:
     return out
 
 
-def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None, tile: int = CELL_TILE) -> DataFrame:
-    """Go through the centres of a frame in order of id and drop those within ``radius`` of a kept one on both axes.
-
-    Centres fall into cells as wide as the reach; only those of touching cells can meet. Frames of at most ``tile`` cells a side are gone
-    through in one pass each. In larger ones the connected groups of occupied cells are found (``label_components`` over the cells),
-    and each group is gone through on its own, as a stream sorted by id that holds the kept centres alone. Neither needs more steps for
-    longer chains of centres. ``size`` (height, width) is the size of the largest frame, read from the centres unless given; centres lie
-    inside their frame. Of centres on one pixel the first stands for all.
-    """
-    on, side = list(keys), radius + 1
+def _places(centres: DataFrame, radius: int, on: list[str], size: tuple[int, int] | None) -> tuple[DataFrame, tuple[int, int]]:
+    """The first centre on each pixel, and the cells of the largest frame along both axes; its ``size`` is read unless given."""
     first = centres.groupBy(*on, "x", "y").agg(F.min("id").alias("id"))
     if size is None:
         first = cut_lineage(first)
         row = first.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
         size = ((row["y"] or 0) + 1, (row["x"] or 0) + 1)
-    cells = (-(-size[0] // side), -(-size[1] // side))
+    side = radius + 1
+    return first, (-(-size[0] // side), -(-size[1] // side))
+
+
+def _kept_lists(first: DataFrame, radius: int, on: list[str]) -> DataFrame:
+    """One row for each frame with ``kept``, the centres (id, x, y) that stay, in order; a frame is gone through in one pass."""
 
     @F.pandas_udf("array<boolean>")
     def fold(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -315,13 +312,33 @@ def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str]
         lines = ((xs[p:q], ys[p:q]) for p, q in zip([0, *ends], ends))
         return pd.Series([_fold_few(a, b, radius) if len(a) <= FEW else _fold(a, b, radius, {}) for a, b in lines])
 
+    rows = first.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
+    rows = rows.withColumn("_k", fold("p.x", "p.y"))
+    return rows.select(*on, F.filter("p", lambda e, k: F.get("_k", k)).alias("kept"))
+
+
+def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None, tile: int = CELL_TILE) -> DataFrame:
+    """Go through the centres of a frame in order of id and drop those within ``radius`` of a kept one on both axes.
+
+    Centres fall into cells as wide as the reach; only those of touching cells can meet. Frames of at most ``tile`` cells a side are gone
+    through in one pass each. In larger ones the connected groups of occupied cells are found (``label_components`` over the cells),
+    and each group is gone through on its own, as a stream sorted by id that holds the kept centres alone. Neither needs more steps for
+    longer chains of centres. ``size`` (height, width) is the size of the largest frame, read from the centres unless given; centres lie
+    inside their frame. Of centres on one pixel the first stands for all.
+    """
+    on = list(keys)
+    first, cells = _places(centres, radius, on, size)
     if _levels(cells, tile, FAN) == 0:
-        rows = first.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
-        rows = rows.select(*on, F.explode(F.arrays_zip("p", fold("p.x", "p.y").alias("kept"))).alias("_k")).where("_k.kept")
-        return rows.select(*on, "_k.p.id", "_k.p.x", "_k.p.y")
+        return _kept_lists(first, radius, on).select(*on, F.inline("kept"))
+    return _suppress_in_groups(first, radius, on, cells, tile)
+
+
+def _suppress_in_groups(first: DataFrame, radius: int, on: list[str], cells: tuple[int, int], tile: int) -> DataFrame:
+    """``suppress_near`` by connected groups of occupied cells."""
+    side = radius + 1
     first = cut_lineage(first)
     cell = first.withColumns({"r": F.floor(F.col("y") / side).cast("int"), "c": F.floor(F.col("x") / side).cast("int")})
-    groups = label_components(cell.select(*on, "r", "c", F.lit(1).alias("v")).distinct(), keys, 8, tile, cells)
+    groups = label_components(cell.select(*on, "r", "c", F.lit(1).alias("v")).distinct(), on, 8, tile, cells)
     rows = cell.join(groups, [*on, "r", "c"]).select(*on, "label", "id", "x", "y")
     columns = [*on, "label"]
 
@@ -341,6 +358,10 @@ def suppress_near(centres: DataFrame, radius: int = NEAR_PX, keys: Sequence[str]
     return ordered.mapInPandas(stream, ordered.select(*on, "id", "x", "y").schema)
 
 
+def _near(xa: Column, ya: Column, xb: Column, yb: Column, reach: int) -> Column:
+    return (F.abs(xa - xb) <= reach) & (F.abs(ya - yb) <= reach)
+
+
 def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME) -> DataFrame:
     """Pairs of centres of a frame at most ``reach`` apart on both axes, the one with the smaller id first.
 
@@ -349,21 +370,45 @@ def near_pairs(centres: DataFrame, reach: int, keys: Sequence[str] = grid.FRAME)
     on = list(keys)
     a = _cells(centres, reach, reach=True).select(*on, "cx", "cy", F.col("id").alias("id_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"))
     b = _cells(centres, reach).select(*on, "cx", "cy", F.col("id").alias("id_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
-    near = (F.abs(F.col("x_a") - F.col("x_b")) <= reach) & (F.abs(F.col("y_a") - F.col("y_b")) <= reach)
+    near = _near(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b"), reach)
     before = F.struct("id_a", "x_a", "y_a") < F.struct("id_b", "x_b", "y_b")
     return a.join(b, [*on, "cx", "cy"]).where(near & before).drop("cx", "cy")
 
 
-def grid_rotation(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None) -> DataFrame:
+def _pairs_of(kept: str, reach: int) -> Column:
+    """The ``near_pairs`` of a sorted list of centres, as an array."""
+
+    def pairs(a: Column, k: Column) -> Column:
+        later = F.filter(F.slice(kept, k + 2, F.size(kept)), lambda b: _near(a["x"], a["y"], b["x"], b["y"], reach))
+        return F.transform(later, lambda b: F.struct(*[e[c].alias(f"{c}_{n}") for n, e in (("a", a), ("b", b)) for c in ("id", "x", "y")]))
+
+    return F.flatten(F.transform(kept, pairs))
+
+
+def _direction(xa: Column, ya: Column, xb: Column, yb: Column) -> Column:
+    """Direction from one centre to another in degrees, folded into [0, 90)."""
+    return F.pmod(F.degrees(F.atan2(-(yb - ya).cast("double"), (xb - xa).cast("double"))), F.lit(90.0))
+
+
+def grid_rotation(
+    centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None, tile: int = CELL_TILE
+) -> DataFrame:
     """Median direction between neighbouring marks of a frame, folded into [0, 90); frames without neighbours give null.
 
     Marks are thinned by ``suppress_near``; neighbours are at most ``reach`` apart on both axes (a little more than the pitch).
+    Marks of frames of at most ``tile`` cells a side meet in the list of the frame, which holds at most one centre a cell.
     """
-    kept = cut_lineage(suppress_near(centres, radius, keys, size))
-    pairs = near_pairs(kept, reach, keys)
-    angle = F.degrees(F.atan2(-(F.col("y_b") - F.col("y_a")).cast("double"), (F.col("x_b") - F.col("x_a")).cast("double")))
-    turned = pairs.groupBy(*keys).agg(F.median(F.pmod(angle, F.lit(90.0))).alias("angle_deg"))
-    return kept.select(*keys).distinct().join(turned, list(keys), "left")
+    on = list(keys)
+    first, cells = _places(centres, radius, on, size)
+    if _levels(cells, tile, FAN) == 0:
+        turned = F.transform(_pairs_of("kept", reach), lambda p: _direction(p["x_a"], p["y_a"], p["x_b"], p["y_b"]))
+        rows = _kept_lists(first, radius, on).select(*on, F.sort_array(turned).alias("_t")).withColumn("_n", F.size("_t"))
+        low, high = F.get("_t", F.expr("(_n - 1) DIV 2").cast("int")), F.get("_t", F.expr("_n DIV 2").cast("int"))
+        return rows.select(*on, F.when(F.col("_n") > 0, low * 0.5 + high * 0.5).alias("angle_deg"))
+    kept = cut_lineage(_suppress_in_groups(first, radius, on, cells, tile))
+    angle = _direction(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b"))
+    turned = near_pairs(kept, reach, keys).groupBy(*on).agg(F.median(angle).alias("angle_deg"))
+    return kept.select(*on).distinct().join(turned, on, "left")
 
 
 def bright_clusters(pixels: DataFrame, size: tuple[int, int], tiles: tuple[int, int] = (8, 8), radius: int = NEAR_PX) -> DataFrame:

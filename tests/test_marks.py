@@ -164,6 +164,36 @@ def test_grid_rotation(spark):
     assert out[1] == pytest.approx(float(np.median(angles))) and out[2] is None
 
 
+def clusters_of_points(seed):
+    rnd = random.Random(seed)
+    points = {k: [(rnd.randint(0, 9), rnd.randint(0, 400), rnd.randint(0, 300)) for _ in range(rnd.randint(1, 25))] for k in range(40)}
+    points[50] = [(i // 2, rnd.randint(0, 400), rnd.randint(0, 300)) for i in range(3000)]
+    points[51] = [(1, 5, 5), (2, 300, 5)]
+    return points
+
+
+def kept_brute(points):
+    kept = []
+    for p in sorted(set(points)):
+        if all(abs(p[1] - q[1]) > 20 or abs(p[2] - q[2]) > 20 for q in kept):
+            kept.append(p)
+    return kept
+
+
+def near_brute(points, reach):
+    kept = kept_brute(points)
+    return [(p, q) for i, p in enumerate(kept) for q in kept[i + 1 :] if max(abs(p[1] - q[1]), abs(p[2] - q[2])) <= reach]
+
+
+@pytest.mark.parametrize("tile", [marks.CELL_TILE, 4])
+def test_grid_rotation_of_small_and_large_frames(spark, tile):
+    points = clusters_of_points(11)
+    df = spark.createDataFrame([(k, *p) for k, ps in points.items() for p in ps], "frame_id long, id long, x int, y int")
+    got = {r["frame_id"]: r["angle_deg"] for r in marks.grid_rotation(df, 60, size=(301, 401), tile=tile).collect()}
+    angles = {k: [math.degrees(math.atan2(-(q[2] - p[2]), q[1] - p[1])) % 90 for p, q in near_brute(ps, 60)] for k, ps in points.items()}
+    assert got == {k: pytest.approx(float(np.median(a))) if a else None for k, a in angles.items()} and got[51] is None
+
+
 def test_otsu(spark):
     rng = np.random.default_rng(0)
     images = {1: np.array([[10, 10, 200, 200]]), 2: rng.integers(0, 256, (9, 9)), 3: np.full((2, 2), 7)}
