@@ -385,6 +385,16 @@ def _pairs_of(kept: str, reach: int) -> Column:
     return F.flatten(F.transform(kept, pairs))
 
 
+def kept_pairs(centres: DataFrame, reach: int, radius: int = NEAR_PX, keys: Sequence[str] = grid.FRAME, size: tuple[int, int] | None = None, tile: int = CELL_TILE) -> DataFrame:
+    """``near_pairs`` of the centres that ``suppress_near`` keeps. In frames of at most ``tile`` cells a side they meet in the list of the
+    frame, which holds at most one centre a cell; in larger ones by cell."""
+    on = list(keys)
+    first, cells = _places(centres, radius, on, size)
+    if _levels(cells, tile, FAN) == 0:
+        return _kept_lists(first, radius, on).select(*on, F.inline(_pairs_of("kept", reach)))
+    return near_pairs(_suppress_in_groups(first, radius, on, cells, tile), reach, keys)
+
+
 def _direction(xa: Column, ya: Column, xb: Column, yb: Column) -> Column:
     """Direction from one centre to another in degrees, folded into [0, 90)."""
     return F.pmod(F.degrees(F.atan2(-(yb - ya).cast("double"), (xb - xa).cast("double"))), F.lit(90.0))
@@ -396,7 +406,7 @@ def grid_rotation(
     """Median direction between neighbouring marks of a frame, folded into [0, 90); frames without neighbours give null.
 
     Marks are thinned by ``suppress_near``; neighbours are at most ``reach`` apart on both axes (a little more than the pitch).
-    Marks of frames of at most ``tile`` cells a side meet in the list of the frame, which holds at most one centre a cell.
+    As in ``kept_pairs``, marks of frames of few cells meet in the list of the frame.
     """
     on = list(keys)
     first, cells = _places(centres, radius, on, size)

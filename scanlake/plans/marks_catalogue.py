@@ -92,7 +92,7 @@ _PAIRS = f"""pr AS (SELECT a.frame_id, a.id AS id_a, a.x AS x_a, a.y AS y_a, b.i
 
 
 def pairs(spark, sf_dir):
-    return marks.near_pairs(marks.suppress_near(tables.marks(spark, sf_dir), size=FIELD), REACH)
+    return marks.kept_pairs(tables.marks(spark, sf_dir), REACH, size=FIELD)
 
 
 def rotation(spark, sf_dir):

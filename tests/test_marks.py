@@ -194,6 +194,16 @@ def test_grid_rotation_of_small_and_large_frames(spark, tile):
     assert got == {k: pytest.approx(float(np.median(a))) if a else None for k, a in angles.items()} and got[51] is None
 
 
+@pytest.mark.parametrize("size, tile", [((301, 401), marks.CELL_TILE), ((301, 401), 4), (None, marks.CELL_TILE)])
+def test_kept_pairs(spark, size, tile):
+    points = clusters_of_points(12)
+    df = spark.createDataFrame([(k, *p) for k, ps in points.items() for p in ps], "frame_id long, id long, x int, y int")
+    rows = marks.kept_pairs(df, 60, size=size, tile=tile)
+    assert rows.columns == ["frame_id", "id_a", "x_a", "y_a", "id_b", "x_b", "y_b"]
+    assert sorted(tuple(r) for r in rows.collect()) == sorted((k, *p, *q) for k, ps in points.items() for p, q in near_brute(ps, 60))
+    assert marks.kept_pairs(df.limit(0), 60, size=size, tile=tile).count() == 0
+
+
 def test_otsu(spark):
     rng = np.random.default_rng(0)
     images = {1: np.array([[10, 10, 200, 200]]), 2: rng.integers(0, 256, (9, 9)), 3: np.full((2, 2), 7)}

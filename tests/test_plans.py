@@ -58,6 +58,7 @@ def test_scans_and_exchanges(spark, name):
     assert all(n <= most for n, most in zip(found, LIMITS[name])), found
 
 
-def test_marks_of_small_frames_meet_in_the_list_of_the_frame(spark):
-    text = plan(catalogue.queries()["ag15_grid_rotation"](spark, SF)).split("== Initial Plan ==")[-1]
+@pytest.mark.parametrize("name", ["ag15_grid_rotation", "jn5_near_pairs"])
+def test_marks_of_small_frames_meet_in_the_list_of_the_frame(spark, name):
+    text = plan(catalogue.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
     assert "FileScan" in text and "Join" not in text and len(re.findall(r"\bExchange ", text)) <= 2
