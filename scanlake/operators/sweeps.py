@@ -148,9 +148,11 @@ def _pieces(sweep: DataFrame, trend_n: int, size: int, keys: list[str], turns: b
     others = F.filter(F.sequence(F.lit(0).cast("long"), last), lambda s: s != own)
     heads = F.when((F.col("i") <= first) & (last > 0), F.transform(others, lambda s: home(s, 2))).otherwise(none) if not fresh else none
     rows = rows.withColumn("_h", F.explode(F.concat(F.array(home(own, 0)), halo, heads))).withColumns({SLICE: F.col("_h.s"), "_kind": F.col("_h.kind")}).drop("_h", "n")
+    rows = rows.withColumn("_far", F.col("_kind") == 2)
 
+    # one sort serves all windows, as those over ``line`` come first; the sweep's first steps of other slices stand behind the slice's own rows
     whole = Window.partitionBy(*keys, SLICE)
-    line = Window.partitionBy(*keys, SLICE, F.col("_kind") == 2).orderBy("i")
+    line = whole.orderBy("_far", "i")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turn = F.lit(False)
@@ -161,9 +163,10 @@ def _pieces(sweep: DataFrame, trend_n: int, size: int, keys: list[str], turns: b
     rows = rows.withColumns({
         "_since": F.max(F.when(F.col("_turn"), F.col("i"))).over(upto), "_first": F.last(F.when(F.col("_turn"), F.col("metric")), ignorenulls=True).over(upto),
         "_was": F.lag("metric").over(line), "_back": F.lag("metric", half).over(line), "_zero": F.first("metric").over(upto),
-        "seg": F.sum(F.when(F.col("_turn") & (F.col("_kind") == 0), 1).otherwise(0)).over(upto),
-        "head": F.collect_list(F.when((F.col("_kind") != 1) & (F.col("i") <= first), F.struct("i", "z_mm", "metric"))).over(whole),
     })
+    if turns:
+        rows = rows.withColumn("seg", F.sum(F.when(F.col("_turn") & (F.col("_kind") == 0), 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("head", F.collect_list(F.when((F.col("_kind") != 1) & (F.col("i") <= first), F.struct("i", "z_mm", "metric"))).over(whole))
     # the first row of a slice works the first phase out for all of them
     rows = rows.withColumn("head", F.when(F.row_number().over(line) == 1, F.sort_array("head")))
     rows = _first_phase(rows, trend_n, turns).withColumn("phase", F.first("phase", ignorenulls=True).over(whole))
@@ -185,8 +188,9 @@ def _pieces(sweep: DataFrame, trend_n: int, size: int, keys: list[str], turns: b
         measures += [
             F.max(f"_r{w}").alias(f"up_{w}"), F.min(F.when(falls, _at())).alias(f"any_{w}"), F.min(F.when(falls & F.col(f"_u{w}"), _at())).alias(f"own_{w}"),
         ]
-    pieces = rows.where("_kind = 0").groupBy(*keys, SLICE, "seg")
-    return pieces.agg(F.count(F.lit(1)).alias("steps"), F.min("i").alias("start_i"), F.max(_at()).alias("end"), F.first("phase").alias("phase"), *measures)
+    pieces = rows.where("_kind = 0").groupBy(*keys, SLICE, *(["seg"] if turns else []))
+    pieces = pieces.agg(F.count(F.lit(1)).alias("steps"), F.min("i").alias("start_i"), F.max(_at()).alias("end"), F.first("phase").alias("phase"), *measures)
+    return pieces if turns else pieces.withColumn("seg", F.lit(0).cast("long"))
 
 
 def _put_together(pieces: DataFrame, on: list[str], two_phase: Column, ways: str) -> DataFrame:

@@ -29,7 +29,7 @@ def peak_crossing(spark, sf_dir):
 
 
 def peak_crossing_clean(spark, sf_dir):
-    return _peaks(tables.focus(spark, sf_dir), 4)
+    return _peaks(tables.focus_with_length(spark, sf_dir), 4)
 
 
 def peak_crossing_fresh(spark, sf_dir):

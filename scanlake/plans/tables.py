@@ -64,11 +64,16 @@ def sweep_with_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean focus curves with a known centre: one per customer, one step per order."""
+    return focus_with_length(spark, sf_dir).drop("n")
+
+
+def focus_with_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``focus`` with ``n``, the steps of each curve."""
     orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     days = ordered.time_slice(orders, "o_orderdate", 365 * ordered.DAY)
-    steps = ordered.dense_index(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], days)
-    steps = steps.selectExpr("o_custkey AS sweep_id", "i", "i * 2e-2 AS z_mm", "1e-1 + (o_custkey % 20) * 1e-2 AS z_true")
-    return steps.selectExpr("*", "100 + 5000 * exp(-power((z_mm - z_true) / 5e-2, 2)) AS metric")
+    steps = ordered.dense_index(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], days, length="n")
+    steps = steps.selectExpr("o_custkey AS sweep_id", "i", "i * 2e-2 AS z_mm", "1e-1 + (o_custkey % 20) * 1e-2 AS z_true", "n")
+    return steps.selectExpr("sweep_id", "i", "z_mm", "z_true", "100 + 5000 * exp(-power((z_mm - z_true) / 5e-2, 2)) AS metric", "n")
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:

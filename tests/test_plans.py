@@ -62,3 +62,15 @@ def test_scans_and_exchanges(spark, name):
 def test_marks_of_small_frames_meet_in_the_list_of_the_frame(spark, name):
     text = plan(catalogue.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
     assert "FileScan" in text and "Join" not in text and len(re.findall(r"\bExchange ", text)) <= 2
+
+
+@pytest.mark.parametrize("fresh", [False, True])
+def test_one_sort_serves_the_windows_of_a_peak_search(spark, fresh):
+    rows = spark.createDataFrame([], "sweep_id long, i long, z_mm double, metric double, n long")
+    text = plan(sweeps.find_peak_crossing(rows, fresh=fresh)).split("== Initial Plan ==")[-1]
+    assert text.count("Window [") >= 3 and text.count("Sort [") == 2  # the steps of the slices, and the slices of the sweeps
+
+
+def test_clean_sweeps_bring_their_length(spark):
+    text = plan(catalogue.queries()["wn4_peak_crossing_clean"](spark, SF)).split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\b(?:SortMerge|BroadcastHash|ShuffledHash)Join ", text)) == 1 and len(re.findall(r"FileScan", text)) == 2
