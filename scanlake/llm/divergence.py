@@ -86,7 +86,7 @@ def slot(w: Column) -> Column:
 def references(docs: DataFrame) -> DataFrame:
     """One row per language over all documents: character classes, common words and the wide reference.
 
-    _word_ref counts the ``COMMON`` most frequent words and all others; _share is the share of the ``WIDE`` most frequent words with a
+    _word_ref counts the ``COMMON`` most frequent words, which _common lists, and all others; _share is the share of the ``WIDE`` most frequent words with a
     letter among all words with a letter. Both kinds are looked up in _slot_words, lists of words by the hash of a word, and
     their codes in _slot_codes. Words of any length count, repeated rows count each, equal counts rank by the word. An empty table
     gives no rows; a language without words has no word references. Counts are added before each shuffle.
@@ -110,7 +110,7 @@ def _references(docs: DataFrame) -> DataFrame:
     entry = F.struct(slot(F.col("w")).alias("s"), "w", F.col("code"))
     both = top.unionByName(wide).groupBy("_lang", "w").agg(F.max("code").alias("code"), F.max("common").alias("common"), F.max("n").alias("n"), (F.count("*") - F.max("common").cast("int")).alias("wide"))
     sums = both.groupBy(F.col("_lang").alias("_l1")).agg(
-        F.collect_list(entry).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("common"), F.struct(F.upper("code").alias("k"), "n")))).alias("common"),
+        F.collect_list(entry).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("common"), F.struct(F.upper("code").alias("k"), "n", "w")))).alias("common"),
         F.sum(F.col("n") * F.col("wide")).alias("_n"),
     )
     # characters of the classes are counted in the distinct words; what is not in a word is white space
@@ -130,7 +130,8 @@ def _references(docs: DataFrame) -> DataFrame:
 
     counts = F.transform("common", lambda e: e["n"])
     words = F.concat(counts, F.array(F.col("_total") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x))).cast("array<double>")
-    return out.select("_lang", "_class_ref", words.alias("_word_ref"), by_slot("w").alias("_slot_words"), by_slot("code").alias("_slot_codes"), (F.col("_n") / F.col("_all")).alias("_share"))
+    common = F.transform("common", lambda e: e["w"]).alias("_common")
+    return out.select("_lang", "_class_ref", words.alias("_word_ref"), common, by_slot("w").alias("_slot_words"), by_slot("code").alias("_slot_codes"), (F.col("_n") / F.col("_all")).alias("_share"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -186,7 +187,7 @@ def judge(docs: DataFrame, refs: DataFrame, max_classes: float = 0.28, max_words
     df = df.withColumn("_expected", lettered * F.col("_share"))
     foreign = (F.col("_expected") >= LEAST_EXPECTED) & (F.col("n_known") < least_cover * F.col("_expected"))
     kept = ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)) & ~F.coalesce(foreign, F.lit(False))
-    return df.withColumn("kept", kept).drop("_words", "_own", "_known", "_classes", "_class_ref", "_word_ref", "_slot_words", "_slot_codes", "_share", "_expected")
+    return df.withColumn("kept", kept).drop("_words", "_own", "_known", "_classes", "_class_ref", "_word_ref", "_common", "_slot_words", "_slot_codes", "_share", "_expected")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
